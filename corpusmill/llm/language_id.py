@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.pieces import EMPTY, PieceTrie, codes_of, read_pieces
 from corpusmill.plans.runtime import bounded_batches
 
 TRAIN_DOCS = 4096
@@ -22,24 +23,14 @@ MAX_LANGUAGES = 1000
 SMOOTHING = 0.1
 CACHE_WORDS = 250_000
 DP_CHARS = 200_000
-WORD_START = "▁"
-
-
-def read_pieces(path: str) -> list[str]:
-    """Lower-case pieces of a sentencepiece vocabulary, in id order."""
-    from sentencepiece import SentencePieceProcessor
-
-    sp = SentencePieceProcessor(model_file=path)
-    pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return list(dict.fromkeys(p for p in pieces if p and p == p.lower() and WORD_START not in p[1:] and p != WORD_START))
+SHORT, SCALE = 40, 3.0
 
 
 class Lattice:
     """All occurrences of vocabulary pieces in words, and sums over their segmentations."""
 
     def __init__(self, pieces: list[str]):
-        self.id = {p: i for i, p in enumerate(pieces)}
-        self.prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        self.trie = PieceTrie(pieces)
         self.unknown = len(pieces)
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,47 +38,60 @@ class Lattice:
 
         A word is marked with its start; the mark alone and a character outside the vocabulary are one unknown piece.
         """
-        get, prefixes, unknown = self.id.get, self.prefixes, self.unknown
-        start, end, piece, first, last, at = [], [], [], [], [], 0
-        for w in words:
-            w = WORD_START + w
-            n = len(w)
-            first.append(at)
-            for i in range(n):
-                j = i + 1
-                sub = w[i:j]
-                if (x := get(sub)) is None:
-                    x = unknown
-                start.append(at + i)
-                end.append(at + j)
-                piece.append(x)
-                while j < n and sub in prefixes:
-                    j += 1
-                    sub = w[i:j]
-                    if (x := get(sub)) is not None:
-                        start.append(at + i)
-                        end.append(at + j)
-                        piece.append(x)
-            last.append(at + n)
-            at += n + 1
-        return tuple(np.array(x, dtype=np.int64) for x in (start, end, piece, first, last))
+        codes, lengths = codes_of(words)
+        word = np.repeat(np.arange(len(words)), lengths)
+        at, stop = np.arange(len(codes)), np.cumsum(lengths)[word]
+        node = self.trie.step(np.zeros(len(codes), dtype=np.int64), codes)
+        piece = np.where(node == EMPTY, EMPTY, self.trie.piece[node])
+        starts, ends, pieces, end = [at], [at + 1], [np.where(piece == EMPTY, self.unknown, piece)], at + 1
+        keep = (node != EMPTY) & (end < stop)
+        while keep.any():
+            at, end, stop, node = at[keep], end[keep], stop[keep], node[keep]
+            node = self.trie.step(node, codes[end])
+            end = end + 1
+            piece = np.where(node == EMPTY, EMPTY, self.trie.piece[node])
+            found = piece != EMPTY
+            starts.append(at[found])
+            ends.append(end[found])
+            pieces.append(piece[found])
+            keep = (node != EMPTY) & (end < stop)
+        start, end = np.concatenate(starts), np.concatenate(ends)
+        last = np.cumsum(lengths) + np.arange(len(words))
+        return start + word[start], end + word[start], np.concatenate(pieces), last - lengths, last
 
     @staticmethod
     def _sweep(src: np.ndarray, dst: np.ndarray, step: np.ndarray, log_p: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
-        """log of the summed path probability to each position; step orders the occurrences."""
-        alpha = np.full((size, log_p.shape[1]), -np.inf)
-        alpha[begin] = 0.0
+        """log of the summed path probability to each position; step orders the occurrences.
+
+        Up to SHORT steps the sums are plain, each character scaled by e^SCALE, which keeps them within range; longer
+        words are summed in logarithms.
+        """
         order = np.lexsort((dst, step))
         src, dst, step, log_p = src[order], dst[order], step[order], log_p[order]
         cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1], True])
         new = np.r_[True, (dst[1:] != dst[:-1]) | (step[1:] != step[:-1])]
+        short = int(step[-1]) <= SHORT
+        if short:
+            p = np.exp(log_p + SCALE * np.abs(dst - src)[:, None])
+            alpha = np.zeros((size, p.shape[1]))
+            alpha[begin] = 1.0
+        else:
+            alpha = np.full((size, log_p.shape[1]), -np.inf)
+            alpha[begin] = 0.0
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            x = alpha[src[a:b]] + log_p[a:b]
             heads = np.flatnonzero(new[a:b])
+            if short:
+                alpha[dst[a:b][heads]] = np.add.reduceat(alpha[src[a:b]] * p[a:b], heads, axis=0)
+                continue
+            x = alpha[src[a:b]] + log_p[a:b]
             top = np.maximum.reduceat(x, heads, axis=0)
             runs = np.diff(np.r_[heads, b - a])
             total = np.add.reduceat(np.exp(x - np.repeat(top, runs, axis=0)), heads, axis=0)
             alpha[dst[a:b][heads]] = top + np.log(total)
+        if short:
+            depth = np.zeros(size)
+            depth[dst] = step
+            alpha = np.log(alpha) - SCALE * depth[:, None]
         return alpha
 
     def forward(self, words: list[str], log_p: np.ndarray) -> np.ndarray:

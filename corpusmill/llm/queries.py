@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, cdc, language_id, mixing, sharding, simhash, token_counts
+from corpusmill.llm import ann, bpe, cdc, language_id, licenses, mixing, sharding, simhash, token_counts
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 PIECE_FILE = "piece_bpe_32k.model"
@@ -22,6 +22,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("rate")
 
 
+def op2_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = ann.near_duplicates(vectors)
+    return found.withColumn("audit_recall", F.lit(ann.audit(vectors, found)))
+
+
 def op3_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.edit_test(table(spark, sf_dir, "documents"))
 
@@ -32,6 +38,10 @@ def op4_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_FILE))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -70,8 +80,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_flat_graph": op2_flat_graph,
         "op3_cdc": op3_cdc,
         "op4_hilbert": op4_hilbert,
+        "op5_license_scan": op5_license_scan,
         "op7_language_id": op7_language_id,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
@@ -81,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE_SQL}
+    return {"op1_mixing": mixing.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL}
