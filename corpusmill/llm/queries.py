@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import ann, bpe, cdc, language_id, licenses, mixing, sharding, simhash, token_counts
+from corpusmill.llm import ann, bpe, cdc, language_id, licenses, mixing, sharding, simhash, token_counts, wrappers
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 PIECE_FILE = "piece_bpe_32k.model"
@@ -42,6 +42,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_FILE))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_cdc": op3_cdc,
         "op4_hilbert": op4_hilbert,
         "op5_license_scan": op5_license_scan,
+        "op6_wrapper": op6_wrapper,
         "op7_language_id": op7_language_id,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
