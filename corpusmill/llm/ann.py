@@ -11,12 +11,14 @@ never all pairs. Recall is audited against brute force.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.simhash import Forest
 from corpusmill.operators.components import connected_components
 from corpusmill.plans.runtime import bounded_batches, checkpoint, shuffle_partitions
 
@@ -31,6 +33,7 @@ CANDIDATES = 64
 ALPHA = 1.2
 BEAM = 24
 QUERY_ROWS = 128
+PAIR_ROWS = 1 << 14
 
 
 def valid(embedding: Column) -> Column:
@@ -85,7 +88,7 @@ def search(queries: np.ndarray, x: np.ndarray, links: np.ndarray, medoid: int, r
     """Similarity of each query to the rows its walk visited, -2 elsewhere.
 
     links is a padded adjacency matrix (-1: none). A query expands its best unexpanded row while that is among the beam
-    best visited or at least reach.
+    best visited, and all unexpanded rows of at least reach at once.
     """
     q, n = len(queries), len(x)
     sims, opened = np.full((q, n), -2.0), np.zeros((q, n), dtype=bool)
@@ -97,15 +100,19 @@ def search(queries: np.ndarray, x: np.ndarray, links: np.ndarray, medoid: int, r
         best = rest.argmax(axis=1)
         value = rest[np.arange(len(active)), best]
         bar = np.partition(s, n - beam, axis=1)[:, n - beam] if n > beam else np.full(len(active), -2.0)
-        go = (value > -2) & (value >= np.minimum(bar, reach))
-        active, best = active[go], best[go]
-        opened[active, best] = True
-        near = links[best]
-        row, col = np.nonzero(near >= 0)
-        who, what = active[row], near[row, col]
-        fresh = sims[who, what] == -2
-        who, what = who[fresh], what[fresh]
-        sims[who, what] = np.einsum("ij,ij->i", queries[who], x[what])
+        greedy = (value > -2) & (value < reach) & (value >= bar)
+        row, col = np.nonzero(rest >= reach)  # the range expands as one wave
+        who, what = np.concatenate([active[greedy], active[row]]), np.concatenate([best[greedy], col])
+        active = active[greedy | (value >= reach)]
+        opened[who, what] = True
+        for k in range(0, len(who), PAIR_ROWS):
+            near = links[what[k : k + PAIR_ROWS]]
+            at, slot = np.nonzero(near >= 0)
+            code = who[k + at] * n + near[at, slot]
+            code = np.unique(code[sims.reshape(-1)[code] == -2])
+            for c in range(0, len(code), PAIR_ROWS):
+                a, b = np.divmod(code[c : c + PAIR_ROWS], n)
+                sims[a, b] = np.einsum("ij,ij->i", queries[a], x[b])
     return sims
 
 
@@ -137,11 +144,12 @@ def _graphs(placed: DataFrame) -> DataFrame:
 def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     """Links of one shard's seekers to its members: (kind, a, b, n), sums of copies and edges of a spanning forest."""
     members = shard[shard["role"] == 0]
-    ids, own = members["id"].to_numpy(), [set(c) for c in members["clusters"]]
+    ids = members["id"].to_numpy()
     copies, cluster = members["copies"].to_numpy(), int(shard["cluster"].iloc[0])
     out: list[tuple[int, int, int, int]] = []
     if not len(ids):
         return pd.DataFrame(out, columns=["kind", "a", "b", "n"])
+    own = np.stack(members["clusters"].to_list())
     x = unit(members["embedding"])
     place = {v: k for k, v in enumerate(ids.tolist())}
     lists = [[place[v] for v in near if v in place] for near in members["near"]]
@@ -158,25 +166,30 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     mean = x.mean(axis=0)
     medoid = int((x @ mean).argmax())
     seekers = shard[shard["role"] == 1]
-    their, q_clusters = seekers["id"].to_numpy(), seekers["clusters"].tolist()
+    their, q_clusters = seekers["id"].to_numpy(), np.stack(seekers["clusters"].to_list())
+    nodes = np.union1d(ids, their)
+    forest = Forest(len(nodes))
+    place_of = partial(np.searchsorted, nodes)
     for k in range(0, len(seekers), QUERY_ROWS):
         part = unit(seekers["embedding"].iloc[k : k + QUERY_ROWS])
         sims = search(part, x, links, medoid, threshold - MARGIN, beam)
         row, col = np.nonzero(sims >= threshold)
-        n = np.zeros(len(part), dtype=np.int64)
-        for r, c in zip(row.tolist(), col.tolist()):
-            a, b = their[k + r], ids[c]
-            # a pair that shares clusters is counted in the smallest of them only
-            if a != b and min(own[c].intersection(q_clusters[k + r])) == cluster:
-                n[r] += copies[c]
-        low = np.full(len(part), np.iinfo(np.int64).max)
-        np.minimum.at(low, row, ids[col])
+        other = their[k + row] != ids[col]
+        row, col = row[other], col[other]
+        # a pair that shares clusters is counted in the smallest of them only
+        shared = own[col][:, :, None] == q_clusters[k + row][:, None, :]
+        first = np.where(shared.any(axis=2), own[col], np.iinfo(np.int32).max).min(axis=1, initial=np.iinfo(np.int32).max)
+        counted = first == cluster
+        n = np.bincount(row[counted], copies[col[counted]], len(part)).astype(np.int64)
         for r in np.flatnonzero(n):
             out.append((0, int(their[k + r]), 0, int(n[r])))
-        # each seeker hangs on its smallest partner, and all its partners on it through their own searches
-        for r in np.unique(row):
-            if low[r] != their[k + r]:
-                out.append((1, int(their[k + r]), int(low[r]), 0))
+        # a spanning forest of the links: only pairs in different trees so far are looked at one by one
+        a, b = place_of(their[k + row]), place_of(ids[col])
+        root = np.array(forest.parent)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        out += [(1, int(nodes[i]), int(nodes[j]), 0) for i, j in zip(a[apart].tolist(), b[apart].tolist()) if forest.join(i, j)]
     return pd.DataFrame(out, columns=["kind", "a", "b", "n"])
 
 
