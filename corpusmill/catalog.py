@@ -416,6 +416,79 @@ def m7(s, d):
     return b11(s, d).select("hit", F.col("queries").alias("distinct_queries_hit"))
 
 
+@_on_facts("h2_lifecycle", "SELECT fact_id, (age_days - ended_days)::DOUBLE AS lifetime_days, NOT tombstoned AND ended_days IS NULL AS active FROM facts")
+def h2(s, d):
+    return lifecycle.lifecycle(facts(s, d))
+
+
+@_on_facts("h18_staleness", "SELECT fact_id, age_days, age_days > 30 AS stale FROM facts WHERE NOT tombstoned")
+def h18(s, d):
+    return lifecycle.staleness(facts(s, d))
+
+
+@_on_facts(
+    "b8_promotion_gate",
+    "SELECT fact_id, CASE WHEN round(confidence, 6) < 0.5 THEN 'low_confidence' WHEN tier = 'public' AND visibility <> 'commons' THEN 'not_commons' ELSE 'accepted' END AS reason FROM facts",
+)
+def b8(s, d):
+    return lifecycle.promotion_gate(facts(s, d))
+
+
+@_on_facts(
+    "h12_scope_stats",
+    "SELECT scope_type, count(*) AS n, count(*) FILTER (expires_in_days < 0) AS expired, count(*) FILTER (expires_in_days BETWEEN 0 AND 7) AS expiring FROM facts WHERE NOT tombstoned GROUP BY 1",
+)
+def h12(s, d):
+    return lifecycle.scope_stats(facts(s, d))
+
+
+@_on_facts(
+    "i2_descendants",
+    """, w AS (WITH RECURSIVE t AS (SELECT fact_id AS seed, fact_id AS node, 0 AS depth FROM facts UNION SELECT t.seed, f.fact_id, depth + 1 FROM t JOIN facts f ON t.node = f.parent_id WHERE depth < 3) SELECT * FROM t)
+    SELECT seed, node, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY 1, 2""",
+)
+def i2(s, d):
+    f = facts(s, d)
+    edges = f.where("parent_id IS NOT NULL").select(F.col("fact_id").alias("child"), F.col("parent_id").alias("parent"))
+    return lifecycle.descendants(edges, f.select("fact_id"), 3)
+
+
+@_on_facts("j15_overview", "SELECT fact_id, substr(split_part(content, chr(10), 1), 1, 320) AS abstract, substr(content, 1, 240) AS overview FROM facts")
+def j15(s, d):
+    return lifecycle.overview(facts(s, d))
+
+
+@_on_facts("k11_per_user", "SELECT user_id, count(*) AS n, count(*) FILTER (tombstoned) AS gone, round(avg(importance), 6) AS avg_importance, count(DISTINCT kind) AS kinds FROM facts GROUP BY 1")
+def k11(s, d):
+    return reports.per_user(facts(s, d))
+
+
+@_on_facts(
+    "f15_entity_frequency",
+    """, x AS (SELECT fact_id, 'topic' AS type, topic AS value FROM facts UNION ALL SELECT fact_id, 'lang', lang FROM facts)
+    SELECT type, value, count(DISTINCT fact_id) AS fact_count FROM x GROUP BY 1, 2 ORDER BY fact_count DESC, type, value LIMIT 10""",
+)
+def f15(s, d):
+    return reports.entity_frequency(facts(s, d))
+
+
+@_on_facts("c2_facts_without_vector", "SELECT fact_id FROM facts WHERE fact_id NOT IN (SELECT vec_id FROM embeddings)")
+def c2(s, d):
+    return facts(s, d).select("fact_id").join(_emb(s, d).select("fact_id"), "fact_id", "left_anti")
+
+
+@_on_index(
+    "d8_gate_calibration",
+    """, m AS (SELECT query_id, sum(idf) AS mass FROM qt JOIN idf USING (term) GROUP BY 1),
+    p AS (SELECT query_id, doc_id, sum(idf) AS part FROM qt JOIN idf USING (term) JOIN post USING (term) GROUP BY 1, 2),
+    c AS (SELECT query_id, round(max(part) / any_value(mass), 6) AS coverage FROM p JOIN m USING (query_id) GROUP BY 1)
+    SELECT threshold::DOUBLE AS threshold, count(*) FILTER (coverage >= threshold) AS passed, round(avg((coverage >= threshold)::INT), 6) AS rate
+    FROM c, (VALUES (0.25), (0.5), (0.75), (0.9)) v(threshold) GROUP BY 1""",
+)
+def d8(s, d):
+    return reports.gate_calibration(d6(s, d), "coverage", [0.25, 0.5, 0.75, 0.9])
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -142,3 +142,36 @@ def session_clusters(chunks: DataFrame, gap_minutes: int = 30) -> DataFrame:
         F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"),
         (F.max("ts").cast("long") - F.min("ts").cast("long")).alias("seconds"),
     )
+
+
+def lifecycle(facts: DataFrame) -> DataFrame:
+    """(fact_id, lifetime_days, active): days from start to end, negative where the end lies before the start; null while valid."""
+    return facts.select("fact_id", (F.col("age_days") - F.col("ended_days")).cast("double").alias("lifetime_days"), is_active().alias("active"))
+
+
+def staleness(facts: DataFrame, threshold_days: int = 30) -> DataFrame:
+    return facts.where(~F.col("tombstoned")).select("fact_id", "age_days", (F.col("age_days") > threshold_days).alias("stale"))
+
+
+def promotion_gate(facts: DataFrame, min_confidence: float = 0.5) -> DataFrame:
+    """(fact_id, reason): why a candidate is refused, or accepted."""
+    reason = F.when(F.round("confidence", 6) < min_confidence, "low_confidence").when((F.col("tier") == "public") & (F.col("visibility") != "commons"), "not_commons")
+    return facts.select("fact_id", reason.otherwise("accepted").alias("reason"))
+
+
+def scope_stats(facts: DataFrame, soon: int = 7) -> DataFrame:
+    """Rows, expired rows and rows that expire soon, by scope."""
+    e = F.col("expires_in_days")
+    return facts.where(~F.col("tombstoned")).groupBy("scope_type").agg(
+        F.count("*").alias("n"), F.count_if(e < 0).alias("expired"), F.count_if((e >= 0) & (e <= soon)).alias("expiring")
+    )
+
+
+def descendants(edges: DataFrame, seeds: DataFrame, max_depth: int = 8) -> DataFrame:
+    """(seed, node, depth) over edges(child, parent), towards the children."""
+    return ancestors(edges.select(F.col("parent").alias("child"), F.col("child").alias("parent")), seeds, max_depth)
+
+
+def overview(facts: DataFrame, first: int = 320, chars: int = 240) -> DataFrame:
+    """(fact_id, abstract, overview): the first line up to a bound, and the first characters."""
+    return facts.select("fact_id", F.substring(F.split_part("content", F.lit("\n"), F.lit(1)), 1, first).alias("abstract"), F.substring("content", 1, chars).alias("overview"))

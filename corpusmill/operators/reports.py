@@ -100,3 +100,28 @@ def daily_counts(events: DataFrame) -> DataFrame:
     return events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(
         F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n"
     )
+
+
+def per_user(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("user_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("tombstoned")).alias("gone"), F.round(F.avg("importance"), 6).alias("avg_importance"), F.countDistinct("kind").alias("kinds")
+    )
+
+
+def entity_frequency(facts: DataFrame, n: int = 10) -> DataFrame:
+    """The n most frequent entities by distinct facts, ties by type and value."""
+    return entity_index(facts).select("type", "value", "fact_count").orderBy(F.desc("fact_count"), "type", "value").limit(n)
+
+
+def gate_calibration(scores: DataFrame, score: str, thresholds: list[float]) -> DataFrame:
+    """(threshold, passed, rate): how many queries pass a gate at each threshold, in one pass over the scores."""
+    gates = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
+    return scores.select(score, gates).groupBy("threshold").agg(
+        F.count_if(F.col(score) >= F.col("threshold")).alias("passed"), ratio(F.col(score) >= F.col("threshold")).alias("rate")
+    )
+
+
+def gap_class(hits: DataFrame, stored: DataFrame) -> DataFrame:
+    """(query_id, gap): hit, retrieval_gap (stored but not retrieved) or storage_gap."""
+    j = hits.join(stored.select("query_id", F.lit(True).alias("stored")).distinct(), "query_id", "left")
+    return j.select("query_id", F.when(F.col("matched") > 0, "hit").when(F.col("stored"), "retrieval_gap").otherwise("storage_gap").alias("gap"))
