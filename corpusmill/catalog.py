@@ -2,82 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill import catalog_ranking, catalog_screening  # noqa: F401  (they register their queries)
 from corpusmill.operators import lexical, lifecycle, reports, vectors
-from corpusmill.sources.views import FACTS_SQL, LOG_SQL, facts, queries_table, recall_log, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-STOP_SQL = ", ".join(f"'{w}'" for w in lexical.STOPWORDS)
-
-
-def _tok(col: str) -> str:
-    return f"list_filter(regexp_extract_all(lower(coalesce({col}, '')), '[a-z0-9]+'), lambda t: length(t) >= 2 AND t NOT IN ({STOP_SQL}))"
-
-
-INDEX_SQL = f"""
-tok AS (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents),
-post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
-len AS (SELECT doc_id, sum(tf) AS length FROM post GROUP BY 1),
-st AS (SELECT count(*) AS n, avg(length) AS avgdl FROM len),
-idf AS (SELECT term, count(*) AS df, ln((any_value(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1) AS idf FROM post, st GROUP BY 1),
-qt AS (SELECT DISTINCT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark),
-bm AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avgdl))), 6) AS score, count(*) AS matched
-  FROM qt JOIN idf USING (term) JOIN post USING (term) JOIN len USING (doc_id), st GROUP BY 1, 2)
-"""
-VEC_SQL = """
-e AS (SELECT vec_id AS fact_id, embedding::DOUBLE[] AS v, label, vec_id % 90 AS age_days FROM embeddings),
-cs AS (SELECT q.fact_id AS query_id, e.fact_id, list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))) AS cosine
-  FROM e q JOIN e ON q.fact_id % 50 = 0 AND q.fact_id <> e.fact_id)
-"""
-
-
-def _on_facts(name: str, sql: str):
-    return _register(name, f"WITH {FACTS_SQL} {sql}")
-
-
-def _on_log(name: str, sql: str):
-    return _register(name, f"WITH {LOG_SQL} {sql}")
-
-
-def _on_index(name: str, sql: str):
-    return _register(name, f"WITH {INDEX_SQL} {sql}")
-
-
-def _register(name: str, sql: str | None):
-    def keep(query: Query) -> Query:
-        _QUERIES[name] = query
-        if sql:
-            _ORACLES[name] = sql
-        return query
-
-    return keep
-
-
-def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", "text")
-
-
-def _emb(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "embeddings").select(F.col("vec_id").alias("fact_id"), "embedding", "label", (F.col("vec_id") % 90).alias("age_days"))
-
-
-def _vq(s: SparkSession, d: str) -> DataFrame:
-    return _emb(s, d).where(F.col("fact_id") % 50 == 0).select(F.col("fact_id").alias("query_id"), "embedding")
+from corpusmill.registry import ORACLES, QUERIES, VEC_SQL, Query, docs, emb, on_facts, on_index, on_log, query_vectors, register, tok_sql
+from corpusmill.sources.views import facts, queries_table, recall_log, table
 
 
-@_on_facts("a1_active_facts", "SELECT fact_id, kind FROM facts WHERE NOT tombstoned AND age_days >= 7 AND kind NOT IN ('lock_rule', 'rule')")
+@on_facts("a1_active_facts", "SELECT fact_id, kind FROM facts WHERE NOT tombstoned AND age_days >= 7 AND kind NOT IN ('lock_rule', 'rule')")
 def a1(s, d):
     return lifecycle.active_facts(facts(s, d)).select("fact_id", "kind")
 
 
-@_on_facts(
+@on_facts(
     "a7_export_by_kind",
     """, g AS (SELECT kind, md5(trim(regexp_replace(content, '\\s+', ' ', 'g'))) AS h, count(*) FILTER (NOT tombstoned) AS live, count(*) FILTER (tombstoned) AS gone FROM facts GROUP BY 1, 2)
     SELECT kind, count(*) FILTER (live > 0) AS entries, sum(greatest(live - 1, 0))::BIGINT AS collapsed, sum(gone)::BIGINT AS tombstoned FROM g GROUP BY 1""",
@@ -86,7 +24,7 @@ def a7(s, d):
     return lifecycle.export_by_kind(facts(s, d))
 
 
-@_on_facts(
+@on_facts(
     "a9_entity_index",
     """, x AS (SELECT fact_id, 'topic' AS type, topic AS value FROM facts UNION ALL SELECT fact_id, 'lang', lang FROM facts)
     SELECT type, value, count(DISTINCT fact_id) AS fact_count, min(fact_id) AS first_id, sum(fact_id)::BIGINT AS id_sum FROM x GROUP BY 1, 2""",
@@ -95,101 +33,101 @@ def a9(s, d):
     return reports.entity_index(facts(s, d))
 
 
-@_on_facts(
+@on_facts(
     "a11_integrity_scan",
     """SELECT 'rows' AS name, count(*) AS n FROM facts UNION ALL SELECT 'null_content', count(*) FROM facts WHERE content IS NULL
     UNION ALL SELECT 'facts_without_embedding', count(*) FROM facts WHERE fact_id NOT IN (SELECT vec_id FROM embeddings)
     UNION ALL SELECT 'embeddings_without_fact', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT fact_id FROM facts)""",
 )
 def a11(s, d):
-    return lifecycle.integrity_scan(facts(s, d), _emb(s, d))
+    return lifecycle.integrity_scan(facts(s, d), emb(s, d))
 
 
-@_on_facts("b1_is_active", "SELECT fact_id FROM facts WHERE NOT tombstoned AND ended_days IS NULL")
+@on_facts("b1_is_active", "SELECT fact_id FROM facts WHERE NOT tombstoned AND ended_days IS NULL")
 def b1(s, d):
     return facts(s, d).where(lifecycle.is_active()).select("fact_id")
 
 
-@_on_facts("b13_retired", "SELECT fact_id, kind, tier FROM facts WHERE NOT tombstoned AND ended_days IS NOT NULL")
+@on_facts("b13_retired", "SELECT fact_id, kind, tier FROM facts WHERE NOT tombstoned AND ended_days IS NOT NULL")
 def b13(s, d):
     return facts(s, d).where(~F.col("tombstoned") & F.col("ended_days").isNotNull()).select("fact_id", "kind", "tier")
 
 
-@_on_log("b11_recall_trail", "SELECT hit, count(DISTINCT qhash) AS queries, count(*) AS reads FROM (SELECT qhash, unnest([hit_a, hit_b]) AS hit FROM recall_log) GROUP BY 1")
+@on_log("b11_recall_trail", "SELECT hit, count(DISTINCT qhash) AS queries, count(*) AS reads FROM (SELECT qhash, unnest([hit_a, hit_b]) AS hit FROM recall_log) GROUP BY 1")
 def b11(s, d):
     hits = recall_log(s, d).select("qhash", F.explode(F.array("hit_a", "hit_b")).alias("hit"))
     return hits.groupBy("hit").agg(F.countDistinct("qhash").alias("queries"), F.count("*").alias("reads"))
 
 
-@_on_facts("c7_cross_tier", "SELECT stable_id, count(DISTINCT tier) AS tiers, count(*) AS n FROM facts GROUP BY 1 HAVING count(DISTINCT tier) > 1")
+@on_facts("c7_cross_tier", "SELECT stable_id, count(DISTINCT tier) AS tiers, count(*) AS n FROM facts GROUP BY 1 HAVING count(DISTINCT tier) > 1")
 def c7(s, d):
     return facts(s, d).groupBy("stable_id").agg(F.countDistinct("tier").alias("tiers"), F.count("*").alias("n")).where("tiers > 1")
 
 
-@_register("d1_tokenize", f"SELECT doc_id, len({_tok('text')}) AS n, md5(array_to_string({_tok('text')}, ' ')) AS digest FROM documents")
+@register("d1_tokenize", f"SELECT doc_id, len({tok_sql('text')}) AS n, md5(array_to_string({tok_sql('text')}, ' ')) AS digest FROM documents")
 def d1(s, d):
-    t = _docs(s, d).select("doc_id", lexical.tokens(F.col("text")).alias("t"))
+    t = docs(s, d).select("doc_id", lexical.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-@_on_index("d2_build_index", "SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM post GROUP BY 1")
+@on_index("d2_build_index", "SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM post GROUP BY 1")
 def d2(s, d):
-    postings, _ = lexical.build_index(_docs(s, d), "doc_id", "text")
+    postings, _ = lexical.build_index(docs(s, d), "doc_id", "text")
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-@_on_index(
+@on_index(
     "d3_bm25_topk",
     "SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 5",
 )
 def d3(s, d):
-    return lexical.top_k(lexical.bm25(queries_table(s, d), _docs(s, d), "doc_id", "text"), 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return lexical.top_k(lexical.bm25(queries_table(s, d), docs(s, d), "doc_id", "text"), 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@_on_index("d4_bm25_coverage", "SELECT query_id, doc_id, score, matched FROM bm WHERE matched >= 3")
+@on_index("d4_bm25_coverage", "SELECT query_id, doc_id, score, matched FROM bm WHERE matched >= 3")
 def d4(s, d):
-    return lexical.bm25(queries_table(s, d), _docs(s, d), "doc_id", "text").where("matched >= 3")
+    return lexical.bm25(queries_table(s, d), docs(s, d), "doc_id", "text").where("matched >= 3")
 
 
-@_on_index(
+@on_index(
     "d5_known_term_ratio",
     """SELECT query_id, count(df) AS n_known, round(sum(coalesce(idf, 0)) / sum(coalesce(idf, ln((n + 0.5::DOUBLE) / 0.5::DOUBLE + 1))), 6) AS ratio
     FROM qt LEFT JOIN idf USING (term), st GROUP BY 1""",
 )
 def d5(s, d):
-    return lexical.known_term_ratio(queries_table(s, d), _docs(s, d), "doc_id", "text")
+    return lexical.known_term_ratio(queries_table(s, d), docs(s, d), "doc_id", "text")
 
 
-@_on_index(
+@on_index(
     "d6_idf_coverage",
     """, m AS (SELECT query_id, sum(idf) AS mass FROM qt JOIN idf USING (term) GROUP BY 1),
     p AS (SELECT query_id, doc_id, sum(idf) AS part, count(*) AS m FROM qt JOIN idf USING (term) JOIN post USING (term) GROUP BY 1, 2)
     SELECT query_id, round(max(part) / any_value(mass), 6) AS coverage, max(m) AS matched FROM p JOIN m USING (query_id) GROUP BY 1""",
 )
 def d6(s, d):
-    return lexical.idf_coverage(queries_table(s, d), _docs(s, d), "doc_id", "text")
+    return lexical.idf_coverage(queries_table(s, d), docs(s, d), "doc_id", "text")
 
 
-@_register(
+@register(
     "e1_vector_topk",
     f"""WITH {VEC_SQL}, pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, fact_id) AS r FROM cs),
     f AS (SELECT query_id, fact_id, round(0.8::DOUBLE * cosine + 0.2::DOUBLE * pow(0.5::DOUBLE, age_days / 30), 6) AS score FROM pool JOIN e USING (fact_id) WHERE r <= 40)
     SELECT query_id, fact_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM f) WHERE rank <= 10""",
 )
 def e1(s, d):
-    return vectors.vector_topk(_vq(s, d), _emb(s, d), 10).withColumn("rank", F.col("rank").cast("long"))
+    return vectors.vector_topk(query_vectors(s, d), emb(s, d), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-@_register(
+@register(
     "e2_chunk_vector_topk",
     f"WITH {VEC_SQL} SELECT query_id, fact_id, score FROM (SELECT query_id, fact_id, round(cosine, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 6) DESC, fact_id) AS r FROM cs JOIN e USING (fact_id) WHERE age_days <= 60) WHERE r <= 5",
 )
 def e2(s, d):
-    scored = vectors.cosine_scores(_vq(s, d), _emb(s, d).where("age_days <= 60"))
+    scored = vectors.cosine_scores(query_vectors(s, d), emb(s, d).where("age_days <= 60"))
     return lexical.top_k(scored.select("query_id", "fact_id", F.round("cosine", 6).alias("score")), 5, item="fact_id").drop("rank")
 
 
-@_register(
+@register(
     "e3_centroids",
     """WITH p AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
     m AS (SELECT label, pos, avg(x) AS m FROM p GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS nrm FROM m GROUP BY 1),
@@ -197,21 +135,21 @@ def e2(s, d):
     SELECT label, pos::BIGINT AS pos, members, round(m / nrm, 6) AS x FROM m JOIN n USING (label) JOIN c USING (label)""",
 )
 def e3(s, d):
-    c = vectors.centroids(_emb(s, d), "label")
+    c = vectors.centroids(emb(s, d), "label")
     return c.select("label", "members", F.posexplode("centroid").alias("pos", "x")).select("label", F.col("pos").cast("long").alias("pos"), "members", F.round("x", 6).alias("x"))
 
 
-@_register(
+@register(
     "g5_semantic_pairs",
     f"""WITH {VEC_SQL.split('cs AS')[0].rstrip().rstrip(',')} SELECT a.fact_id AS a, b.fact_id AS b,
     round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS cosine
     FROM e a JOIN e b ON a.fact_id < b.fact_id WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.35""",
 )
 def g5(s, d):
-    return vectors.cosine_pairs(_emb(s, d), 0.35)
+    return vectors.cosine_pairs(emb(s, d), 0.35)
 
 
-@_on_index(
+@on_index(
     "f4_rrf",
     """, bl AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm),
     cl AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, doc_id) AS rank FROM bm),
@@ -219,16 +157,16 @@ def g5(s, d):
     SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM u GROUP BY 1, 2""",
 )
 def f4(s, d):
-    b = lexical.bm25(queries_table(s, d), _docs(s, d), "doc_id", "text")
+    b = lexical.bm25(queries_table(s, d), docs(s, d), "doc_id", "text")
     return vectors.rrf([lexical.top_k(b, 20), lexical.top_k(b, 20, score="matched")])
 
 
-@_on_facts("g2_upgrade", "SELECT fact_id, 0.7::DOUBLE AS importance FROM facts WHERE importance = 0.5 AND access_count >= 5 AND NOT tombstoned")
+@on_facts("g2_upgrade", "SELECT fact_id, 0.7::DOUBLE AS importance FROM facts WHERE importance = 0.5 AND access_count >= 5 AND NOT tombstoned")
 def g2(s, d):
     return lifecycle.upgrade(facts(s, d))
 
 
-@_on_facts(
+@on_facts(
     "g4_promote_private",
     """SELECT fact_id, stable_id FROM facts WHERE tier = 'private' AND importance >= 0.85 AND access_count >= 10 AND distinct_queries_hit >= 3
     AND visibility = 'commons' AND NOT tombstoned AND stable_id NOT IN (SELECT stable_id FROM facts WHERE tier = 'public')""",
@@ -237,7 +175,7 @@ def g4(s, d):
     return lifecycle.promote_private(facts(s, d))
 
 
-@_on_facts(
+@on_facts(
     "g1_near_dup_prefix",
     """, f AS (SELECT fact_id, importance, trim(content, ' ') AS body FROM facts WHERE NOT tombstoned AND content IS NOT NULL),
     g AS (SELECT fact_id, substr(body, 1, 30) AS block, list_distinct(CASE WHEN length(body) >= 3 THEN [substr(body, i, 3) for i in range(1, length(body) - 1)] ELSE [body] END) AS g FROM f),
@@ -251,12 +189,12 @@ def g1(s, d):
     return lifecycle.near_dup_prefix(facts(s, d))
 
 
-@_on_facts("h3_as_of_view", "SELECT fact_id FROM facts WHERE age_days >= 10 AND (ended_days IS NULL OR ended_days < 10)")
+@on_facts("h3_as_of_view", "SELECT fact_id FROM facts WHERE age_days >= 10 AND (ended_days IS NULL OR ended_days < 10)")
 def h3(s, d):
     return lifecycle.as_of_view(facts(s, d), 10).select("fact_id")
 
 
-@_on_facts(
+@on_facts(
     "h6_recall_decay",
     """, h AS (SELECT DISTINCT event_id % 100 AS fact_id FROM events)
     SELECT fact_id, round(CASE WHEN h.fact_id IS NOT NULL THEN least(1.0::DOUBLE, importance * 1.05::DOUBLE)
@@ -267,12 +205,12 @@ def h6(s, d):
     return lifecycle.recall_decay(facts(s, d), recall_log(s, d).select(F.col("hit_a").alias("fact_id")))
 
 
-@_on_facts("h7_decay_sweep", "SELECT fact_id FROM facts WHERE importance <= 0.5 AND access_count <= 0 AND (confirmed_days IS NULL OR confirmed_days > 30) AND NOT tombstoned")
+@on_facts("h7_decay_sweep", "SELECT fact_id FROM facts WHERE importance <= 0.5 AND access_count <= 0 AND (confirmed_days IS NULL OR confirmed_days > 30) AND NOT tombstoned")
 def h7(s, d):
     return lifecycle.decay_sweep(facts(s, d))
 
 
-@_on_facts(
+@on_facts(
     "h10_classify_scope",
     """, r AS (SELECT fact_id, CASE WHEN kind IN ('rule', 'user_preference', 'decision') THEN 'kind' WHEN access_count >= 3 THEN 'confirmations' WHEN importance >= 0.7 THEN 'importance' ELSE 'default' END AS reason FROM facts)
     SELECT fact_id, CASE WHEN reason = 'default' THEN 'short_term' ELSE 'long_term' END AS scope, reason, CASE WHEN reason = 'default' THEN 30 ELSE 0 END AS ttl_days FROM r""",
@@ -281,7 +219,7 @@ def h10(s, d):
     return lifecycle.classify_scope(facts(s, d))
 
 
-@_on_facts(
+@on_facts(
     "i1_ancestors",
     """, w AS (WITH RECURSIVE t AS (SELECT fact_id AS seed, fact_id AS node, 0 AS depth FROM facts UNION SELECT t.seed, f.parent_id, depth + 1 FROM t JOIN facts f ON t.node = f.fact_id WHERE f.parent_id IS NOT NULL AND depth < 8) SELECT * FROM t)
     SELECT seed, node, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY 1, 2""",
@@ -292,7 +230,7 @@ def i1(s, d):
     return lifecycle.ancestors(edges, f.select("fact_id"))
 
 
-@_on_log(
+@on_log(
     "k1_usage_stats",
     "SELECT tier, count(*) AS reads, count(DISTINCT qhash) AS queries, count(DISTINCT user_id) AS users, round(avg(n_results), 6) AS avg_results, round(avg(used_hint::INT), 6) AS hint_ratio FROM recall_log GROUP BY 1",
 )
@@ -300,7 +238,7 @@ def k1(s, d):
     return reports.usage_stats(recall_log(s, d))
 
 
-@_on_log(
+@on_log(
     "k2_self_eval",
     "SELECT intent, count(*) AS events, count(*) FILTER (top_hit_score >= 0.5) AS hits, count(*) FILTER (n_results = 0) AS empty, round(avg((top_hit_score >= 0.5)::INT), 6) AS hit_rate, round(avg(top_hit_score), 4) AS avg_top FROM recall_log GROUP BY 1",
 )
@@ -308,7 +246,7 @@ def k2(s, d):
     return reports.self_eval(recall_log(s, d))
 
 
-@_on_log(
+@on_log(
     "k3_llm_spend",
     "SELECT tier, intent AS provider, count(*) AS calls, count(*) FILTER (intent = 'error') AS failures, sum(event_id % 1000)::BIGINT AS input_length FROM recall_log GROUP BY GROUPING SETS ((tier), (intent), ())",
 )
@@ -317,7 +255,7 @@ def k3(s, d):
     return reports.llm_spend(calls)
 
 
-@_on_facts(
+@on_facts(
     "k4_importance_histogram",
     "SELECT CASE WHEN importance < 0.25 THEN '0-25' WHEN importance < 0.5 THEN '25-50' WHEN importance < 0.75 THEN '50-75' ELSE '75-100' END AS band, count(*) AS n FROM facts WHERE NOT tombstoned GROUP BY 1",
 )
@@ -325,12 +263,12 @@ def k4(s, d):
     return reports.importance_histogram(facts(s, d))
 
 
-@_on_facts("k5_growth", "SELECT age_days, count(*) AS n, count(*) FILTER (tombstoned) AS gone FROM facts GROUP BY 1")
+@on_facts("k5_growth", "SELECT age_days, count(*) AS n, count(*) FILTER (tombstoned) AS gone FROM facts GROUP BY 1")
 def k5(s, d):
     return reports.growth(facts(s, d))
 
 
-@_on_facts(
+@on_facts(
     "k6_top_keywords",
     "SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(content), '[a-z]{4,}'))) AS word FROM facts) GROUP BY 1 ORDER BY n DESC, word LIMIT 20",
 )
@@ -338,12 +276,12 @@ def k6(s, d):
     return reports.top_keywords(facts(s, d))
 
 
-@_on_facts("k7_class_distribution", "SELECT tier, kind, count(*) AS n, round(avg(tombstoned::INT), 6) AS gone_ratio FROM facts GROUP BY 1, 2")
+@on_facts("k7_class_distribution", "SELECT tier, kind, count(*) AS n, round(avg(tombstoned::INT), 6) AS gone_ratio FROM facts GROUP BY 1, 2")
 def k7(s, d):
     return reports.class_distribution(facts(s, d))
 
 
-@_on_facts(
+@on_facts(
     "k8_tombstone_ages",
     "SELECT count(*) AS total, count(*) FILTER (confirmed_days <= 30) AS recent_30d, count(*) FILTER (confirmed_days > 30) AS old, count(*) FILTER (confirmed_days IS NULL) AS no_timestamp FROM facts WHERE tombstoned",
 )
@@ -351,12 +289,12 @@ def k8(s, d):
     return reports.tombstone_age_buckets(facts(s, d))
 
 
-@_on_facts("k12_recent_capture", "SELECT kind, fact_id, rank FROM (SELECT kind, fact_id, row_number() OVER (PARTITION BY kind ORDER BY age_days, fact_id)::INT AS rank FROM facts) WHERE rank <= 3")
+@on_facts("k12_recent_capture", "SELECT kind, fact_id, rank FROM (SELECT kind, fact_id, row_number() OVER (PARTITION BY kind ORDER BY age_days, fact_id)::INT AS rank FROM facts) WHERE rank <= 3")
 def k12(s, d):
     return reports.recent_capture(facts(s, d), "kind")
 
 
-@_on_facts(
+@on_facts(
     "k16_governance",
     """, g AS (SELECT substr(content, 1, 60) AS head, count(*) AS n, count(DISTINCT content) AS u, count(*) FILTER (confirmed_days IS NULL) AS m FROM facts GROUP BY 1)
     SELECT sum(n)::BIGINT AS rows, sum(m)::BIGINT AS unconfirmed, sum(n - u)::BIGINT AS exact_dups, sum(n - 1)::BIGINT AS prefix_dups FROM g""",
@@ -365,7 +303,7 @@ def k16(s, d):
     return reports.governance(facts(s, d))
 
 
-@_on_index(
+@on_index(
     "l1_hit_mrr",
     """, kw AS (SELECT item_id AS query_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}')))[1:3] AS keywords FROM benchmark),
     r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm),
@@ -376,15 +314,15 @@ def k16(s, d):
 def l1(s, d):
     q = queries_table(s, d)
     keywords = F.slice(F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("[a-z]{8,}"), F.lit(0)))), 1, 3)
-    results = lexical.top_k(lexical.bm25(q, _docs(s, d), "doc_id", "text"), 10)
-    return reports.hit_mrr(results, q.select("query_id", keywords.alias("keywords")), _docs(s, d))
+    results = lexical.top_k(lexical.bm25(q, docs(s, d), "doc_id", "text"), 10)
+    return reports.hit_mrr(results, q.select("query_id", keywords.alias("keywords")), docs(s, d))
 
 
 CHUNKS_SQL = """chunks AS (SELECT conv_id * 1000 + turn AS event_id, conv_id % 20 AS user_id,
   epoch(TIMESTAMP '2024-01-01')::BIGINT + conv_id * 10800 + turn * (10 + 10 * (conv_id % 4)) * 60 AS s FROM conversations)"""
 
 
-@_register(
+@register(
     "m1_session_clusters",
     f"""WITH {CHUNKS_SQL}, g AS (SELECT *, CASE WHEN s - lag(s) OVER w > 1800 OR lag(s) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM chunks WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)),
     c AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY s, event_id)::BIGINT AS cluster FROM g)
@@ -397,7 +335,7 @@ def m1(s, d):
     return lifecycle.session_clusters(chunks)
 
 
-@_on_log(
+@on_log(
     "m4_rate_snapshot",
     """, w AS (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS n FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM recall_log))
     SELECT user_id, max(n) AS most, count(*) AS reads FROM w GROUP BY 1""",
@@ -406,27 +344,27 @@ def m4(s, d):
     return reports.rate_snapshot(recall_log(s, d))
 
 
-@_register("m6_daily_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@register("m6_daily_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def m6(s, d):
     return reports.daily_counts(table(s, d, "events"))
 
 
-@_on_log("m7_distinct_query_hits", "SELECT hit, count(DISTINCT qhash) AS distinct_queries_hit FROM (SELECT qhash, unnest([hit_a, hit_b]) AS hit FROM recall_log) GROUP BY 1")
+@on_log("m7_distinct_query_hits", "SELECT hit, count(DISTINCT qhash) AS distinct_queries_hit FROM (SELECT qhash, unnest([hit_a, hit_b]) AS hit FROM recall_log) GROUP BY 1")
 def m7(s, d):
     return b11(s, d).select("hit", F.col("queries").alias("distinct_queries_hit"))
 
 
-@_on_facts("h2_lifecycle", "SELECT fact_id, (age_days - ended_days)::DOUBLE AS lifetime_days, NOT tombstoned AND ended_days IS NULL AS active FROM facts")
+@on_facts("h2_lifecycle", "SELECT fact_id, (age_days - ended_days)::DOUBLE AS lifetime_days, NOT tombstoned AND ended_days IS NULL AS active FROM facts")
 def h2(s, d):
     return lifecycle.lifecycle(facts(s, d))
 
 
-@_on_facts("h18_staleness", "SELECT fact_id, age_days, age_days > 30 AS stale FROM facts WHERE NOT tombstoned")
+@on_facts("h18_staleness", "SELECT fact_id, age_days, age_days > 30 AS stale FROM facts WHERE NOT tombstoned")
 def h18(s, d):
     return lifecycle.staleness(facts(s, d))
 
 
-@_on_facts(
+@on_facts(
     "b8_promotion_gate",
     "SELECT fact_id, CASE WHEN round(confidence, 6) < 0.5 THEN 'low_confidence' WHEN tier = 'public' AND visibility <> 'commons' THEN 'not_commons' ELSE 'accepted' END AS reason FROM facts",
 )
@@ -434,7 +372,7 @@ def b8(s, d):
     return lifecycle.promotion_gate(facts(s, d))
 
 
-@_on_facts(
+@on_facts(
     "h12_scope_stats",
     "SELECT scope_type, count(*) AS n, count(*) FILTER (expires_in_days < 0) AS expired, count(*) FILTER (expires_in_days BETWEEN 0 AND 7) AS expiring FROM facts WHERE NOT tombstoned GROUP BY 1",
 )
@@ -442,7 +380,7 @@ def h12(s, d):
     return lifecycle.scope_stats(facts(s, d))
 
 
-@_on_facts(
+@on_facts(
     "i2_descendants",
     """, w AS (WITH RECURSIVE t AS (SELECT fact_id AS seed, fact_id AS node, 0 AS depth FROM facts UNION SELECT t.seed, f.fact_id, depth + 1 FROM t JOIN facts f ON t.node = f.parent_id WHERE depth < 3) SELECT * FROM t)
     SELECT seed, node, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY 1, 2""",
@@ -453,17 +391,17 @@ def i2(s, d):
     return lifecycle.descendants(edges, f.select("fact_id"), 3)
 
 
-@_on_facts("j15_overview", "SELECT fact_id, substr(split_part(content, chr(10), 1), 1, 320) AS abstract, substr(content, 1, 240) AS overview FROM facts")
+@on_facts("j15_overview", "SELECT fact_id, substr(split_part(content, chr(10), 1), 1, 320) AS abstract, substr(content, 1, 240) AS overview FROM facts")
 def j15(s, d):
     return lifecycle.overview(facts(s, d))
 
 
-@_on_facts("k11_per_user", "SELECT user_id, count(*) AS n, count(*) FILTER (tombstoned) AS gone, round(avg(importance), 6) AS avg_importance, count(DISTINCT kind) AS kinds FROM facts GROUP BY 1")
+@on_facts("k11_per_user", "SELECT user_id, count(*) AS n, count(*) FILTER (tombstoned) AS gone, round(avg(importance), 6) AS avg_importance, count(DISTINCT kind) AS kinds FROM facts GROUP BY 1")
 def k11(s, d):
     return reports.per_user(facts(s, d))
 
 
-@_on_facts(
+@on_facts(
     "f15_entity_frequency",
     """, x AS (SELECT fact_id, 'topic' AS type, topic AS value FROM facts UNION ALL SELECT fact_id, 'lang', lang FROM facts)
     SELECT type, value, count(DISTINCT fact_id) AS fact_count FROM x GROUP BY 1, 2 ORDER BY fact_count DESC, type, value LIMIT 10""",
@@ -472,12 +410,12 @@ def f15(s, d):
     return reports.entity_frequency(facts(s, d))
 
 
-@_on_facts("c2_facts_without_vector", "SELECT fact_id FROM facts WHERE fact_id NOT IN (SELECT vec_id FROM embeddings)")
+@on_facts("c2_facts_without_vector", "SELECT fact_id FROM facts WHERE fact_id NOT IN (SELECT vec_id FROM embeddings)")
 def c2(s, d):
-    return facts(s, d).select("fact_id").join(_emb(s, d).select("fact_id"), "fact_id", "left_anti")
+    return facts(s, d).select("fact_id").join(emb(s, d).select("fact_id"), "fact_id", "left_anti")
 
 
-@_on_index(
+@on_index(
     "d8_gate_calibration",
     """, m AS (SELECT query_id, sum(idf) AS mass FROM qt JOIN idf USING (term) GROUP BY 1),
     p AS (SELECT query_id, doc_id, sum(idf) AS part FROM qt JOIN idf USING (term) JOIN post USING (term) GROUP BY 1, 2),
@@ -490,8 +428,8 @@ def d8(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)

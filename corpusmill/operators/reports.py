@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.pairing import against
+
 
 def ratio(flag: Column) -> Column:
     return F.round(F.avg(flag.cast("double")), 6)
@@ -125,3 +127,80 @@ def gap_class(hits: DataFrame, stored: DataFrame) -> DataFrame:
     """(query_id, gap): hit, retrieval_gap (stored but not retrieved) or storage_gap."""
     j = hits.join(stored.select("query_id", F.lit(True).alias("stored")).distinct(), "query_id", "left")
     return j.select("query_id", F.when(F.col("matched") > 0, "hit").when(F.col("stored"), "retrieval_gap").otherwise("storage_gap").alias("gap"))
+
+
+def entity_coverage(facts: DataFrame) -> DataFrame:
+    """Rows and the share that has an entity, per tier."""
+    return facts.groupBy("tier").agg(F.count("*").alias("n"), ratio(F.col("topic").isNotNull() | F.col("lang").isNotNull()).alias("covered"))
+
+
+def initial_report(facts: DataFrame) -> DataFrame:
+    """(axis, value, n): live facts by kind, by tier and in total, in one grouping."""
+    live = facts.where(~F.col("tombstoned")).groupBy("kind", "tier").agg(F.count("*").alias("n"))
+    parts = F.array(F.struct(F.lit("kind").alias("axis"), F.col("kind").alias("value")), F.struct(F.lit("tier").alias("axis"), F.col("tier").alias("value")), F.struct(F.lit("total").alias("axis"), F.lit("").alias("value")))
+    return live.select("n", F.inline(parts)).groupBy("axis", "value").agg(F.sum("n").alias("n"))
+
+
+def token_savings(results: DataFrame, docs: DataFrame, shown: int = 240, chars_per_token: float = 1.6) -> DataFrame:
+    """Mean and median share of tokens saved by sending the first characters of each result instead of its text."""
+    n = F.length("text")
+    per = results.join(docs, "doc_id").groupBy("query_id").agg(
+        (F.sum(F.least(n, F.lit(shown))) / chars_per_token).alias("sent"), (F.sum(n) / chars_per_token).alias("source")
+    )
+    saving = 1 - F.col("sent") / F.col("source")
+    return per.agg(F.count("*").alias("queries"), F.round(F.avg(saving), 6).alias("mean_saving"), F.round(F.median(saving), 6).alias("median_saving"))
+
+
+def topic_index(facts: DataFrame, min_weight: float = 0.5) -> DataFrame:
+    """Peers, mean and largest weight per topic."""
+    return facts.where(F.col("importance") >= min_weight).groupBy("topic").agg(
+        F.countDistinct("user_id").alias("peers"), F.round(F.avg("importance"), 6).alias("avg_weight"), F.max("importance").alias("max_weight")
+    )
+
+
+def lexical_gold(expected: DataFrame, facts: DataFrame) -> DataFrame:
+    """(query_id, gold, matched): the fact with the most keywords of the query, ties by importance, then the smallest id."""
+    texts = facts.select("fact_id", "importance", F.lower("content").alias("low"))
+    found = against(texts, expected, "query_id").withColumn("m", F.size(F.filter("keywords", lambda w: F.coalesce(F.contains(F.col("low"), w), F.lit(False)))))
+    best = found.where("m > 0").groupBy("query_id").agg(F.max_by("fact_id", F.struct("m", "importance", -F.col("fact_id"))).alias("gold"), F.max("m").alias("matched"))
+    return best.withColumn("matched", F.col("matched").cast("long"))
+
+
+def golden_mrr(results: DataFrame, golden: DataFrame) -> DataFrame:
+    """(query_id, hit, mrr): where the golden document stands among the ranked results."""
+    j = golden.join(results.select("query_id", F.col("doc_id").alias("gold"), "rank"), ["query_id", "gold"], "left")
+    return j.select("query_id", F.col("rank").isNotNull().alias("hit"), F.round(F.coalesce(1.0 / F.col("rank"), F.lit(0.0)), 6).alias("mrr"))
+
+
+def keyword_coverage(results: DataFrame, expected: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, n, covered, complete): how many expected keywords occur in any of the query's results."""
+    texts = results.select("query_id", "doc_id").join(docs.select("doc_id", F.lower("text").alias("low")), "doc_id")
+    j = expected.select("query_id", F.explode("keywords").alias("word")).join(texts, "query_id", "left")
+    ok = j.groupBy("query_id", "word").agg(F.bool_or(F.coalesce(F.contains("low", "word"), F.lit(False))).alias("ok"))
+    return ok.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("ok")).alias("covered"), F.bool_and("ok").alias("complete"))
+
+
+def gate(coverage: DataFrame, share: float) -> DataFrame:
+    """(query_id, passed): at least the given share of the keywords, and one at least, is covered."""
+    return coverage.select("query_id", (F.col("covered") >= F.greatest(F.lit(1), F.ceil(share * F.col("n")))).alias("passed"))
+
+
+def retirement_impact(results: DataFrame, expected: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, before, after): reciprocal rank in the first k before and after the top result is removed; results go to rank k + 1."""
+    j = results.join(expected, "query_id").join(docs.select("doc_id", F.lower("text").alias("low")), "doc_id")
+    ok = F.exists("keywords", lambda w: F.contains(F.col("low"), w))
+    best = j.groupBy("query_id").agg(
+        F.min(F.when(ok & (F.col("rank") <= k), F.col("rank"))).alias("b"), F.min(F.when(ok & (F.col("rank") > 1), F.col("rank") - 1)).alias("a")
+    )
+    return best.select("query_id", *[F.round(F.coalesce(1.0 / F.col(c), F.lit(0.0)), 6).alias(n) for c, n in (("b", "before"), ("a", "after"))])
+
+
+def eval_trend(runs: DataFrame) -> DataFrame:
+    """(variant, last, median3, delta) over runs(variant, run, score): the last score, the median of the last 3, the last change."""
+    order = Window.partitionBy("variant").orderBy("run")
+    back = Window.partitionBy("variant").orderBy(F.desc("run"))
+    r = runs.withColumn("change", F.col("score") - F.lag("score").over(order)).withColumn("back", F.row_number().over(back))
+    return r.groupBy("variant").agg(
+        F.round(F.max(F.when(F.col("back") == 1, F.col("score"))), 6).alias("last"), F.round(F.median(F.when(F.col("back") <= 3, F.col("score"))), 6).alias("median3"),
+        F.round(F.max(F.when(F.col("back") == 1, F.col("change"))), 6).alias("delta"),
+    )
