@@ -63,7 +63,7 @@ def f3(s, d):
     return facts(s, d).select("fact_id", fusion.anchor_proximity(F.col("age_days") - 20).alias("proximity"))
 
 
-@on_lists("f5_weighted_max", "SELECT query_id, fact_id, round(max(score), 6) AS score FROM (SELECT * FROM lx UNION ALL SELECT query_id, fact_id, 0.5::DOUBLE * score FROM vx) GROUP BY 1, 2")
+@on_lists("f5_weighted_max", "SELECT query_id, fact_id, round(max(score), 7) AS score FROM (SELECT * FROM lx UNION ALL SELECT query_id, fact_id, 0.5::DOUBLE * score FROM vx) GROUP BY 1, 2")
 def f5(s, d):
     return fusion.weighted_max(by_fact(lexical.top_k(scored(s, d), 20)), vector_list(s, d, 20))
 

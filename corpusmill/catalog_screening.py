@@ -17,7 +17,9 @@ ROUTES = [
 JUNK = [(r"^[0-9 ]+$", "digits"), (r"(?i)^(spam|smoke|admin) test", "probe"), (r"^.{0,20}$", "tiny"), (r"[0-9]{8}", "number")]
 ZONE_SQL = "CASE kind WHEN 'failure_pattern' THEN 'failure' WHEN 'lesson' THEN 'lesson' WHEN 'success_pattern' THEN 'success' ELSE 'other' END"
 OUTCOME_SQL = ZONE_SQL.replace("'other'", "'neutral'")
-KEYWORDS_SQL = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z]{{4,}}'), lambda w, i: list_position(regexp_extract_all(lower(coalesce({0}, '')), '[a-z]{{4,}}'), w) = i)[1:5]"
+KEYWORDS_SQL = """x5 AS (SELECT fact_id, confidence, regexp_extract_all(lower(coalesce(content, '')), '[a-z]{4,}') AS ws FROM facts),
+p5 AS (SELECT fact_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM x5), d5 AS (SELECT fact_id, w, min(p) AS p FROM p5 GROUP BY 1, 2),
+n5 AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY p) AS n FROM d5), k5 AS (SELECT fact_id, list(w ORDER BY p) AS k FROM n5 WHERE n <= 5 GROUP BY 1)"""
 EXPECTED_SQL = "kw AS (SELECT item_id AS query_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}')))[1:3] AS keywords FROM benchmark)"
 
 
@@ -172,7 +174,7 @@ def g10(s, d):
 
 @on_facts(
     "g12_keyword_pairs",
-    f""", x AS (SELECT confidence, list_sort({KEYWORDS_SQL.format('content')})[1:2] AS k FROM facts)
+    f""", {KEYWORDS_SQL}, x AS (SELECT confidence, list_sort(k)[1:2] AS k FROM x5 JOIN k5 USING (fact_id))
     SELECT k[1] AS a, k[2] AS b, count(*) AS n, round(avg(confidence), 6) AS confidence FROM x WHERE len(k) = 2 GROUP BY 1, 2 HAVING count(*) >= 2 AND round(avg(confidence), 6) >= 0.5""",
 )
 def g12(s, d):
@@ -344,7 +346,7 @@ def j12(s, d):
     return x.select("fact_id", "score", F.when(F.col("o").isin("failure", "lesson") | (F.col("score") >= 0.5), "public").alias("tier"))
 
 
-@on_facts("j13_keywords", f"SELECT fact_id, array_to_string({KEYWORDS_SQL.format('content')}, ' ') AS keywords FROM facts")
+@on_facts("j13_keywords", f", {KEYWORDS_SQL} SELECT fact_id, coalesce(array_to_string(k, ' '), '') AS keywords FROM facts LEFT JOIN k5 USING (fact_id)")
 def j13(s, d):
     return facts(s, d).select("fact_id", F.array_join(screening.keywords(F.col("content")), " ").alias("keywords"))
 

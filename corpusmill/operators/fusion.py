@@ -35,7 +35,7 @@ def anchor_proximity(days: Column) -> Column:
 def weighted_max(primary: DataFrame, second: DataFrame, weight: float = 0.5) -> DataFrame:
     """The larger of the first list's score and the second's, weighted."""
     every = primary.select("query_id", "fact_id", "score").unionByName(second.select("query_id", "fact_id", (weight * F.col("score")).alias("score")))
-    return every.groupBy("query_id", "fact_id").agg(F.round(F.max("score"), 6).alias("score"))
+    return every.groupBy("query_id", "fact_id").agg(F.round(F.max("score"), 7).alias("score"))
 
 
 def dedupe_hits(scored: DataFrame, injected: DataFrame) -> DataFrame:

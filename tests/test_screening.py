@@ -82,3 +82,10 @@ def test_depth_takes_the_longest_way(spark):
     edges = spark.createDataFrame([(2, 1), (3, 2), (3, 1), (5, 6), (6, 5)], "child long, parent long")
     facts = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "fact_id long")
     assert sorted(map(tuple, changes.provenance_depth(edges, facts).collect())) == [(1, 0), (2, 1), (3, 2), (4, 0)]
+
+
+def test_first_line_markers_and_boosts(spark):
+    rows = [(1, "[LESSON] one\ntwo", "fact", 0.3), (2, "Failed again", "fact", 0.3), (3, "worked\nfail", "fact", 0.9), (4, "worked", "rule", 0.9), (5, None, "fact", 0.1), (6, "see [LESSON]", "fact", 0.85)]
+    df = spark.createDataFrame(rows, "fact_id long, content string, kind string, importance double")
+    assert sorted(map(tuple, screening.classify_first_line(df).collect())) == [(1, "lesson"), (2, "failure_pattern"), (3, "success_pattern")]
+    assert sorted(map(tuple, screening.importance_audit(df).collect())) == [(1, 0.3, 0.85)]
