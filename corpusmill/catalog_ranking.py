@@ -241,3 +241,23 @@ def k13(s, d):
 def k1(s, d):
     by = recall_log(s, d).rollup("user_id").agg(F.count("*").alias("reads"), reports.ratio(F.col("used_hint")).alias("hint_ratio"))
     return by.withColumn("user_id", F.coalesce("user_id", F.lit(-1)))
+
+
+CHUNK_INDEX_SQL = INDEX_SQL.replace("FROM documents", "FROM (SELECT conv_id * 1000 + turn AS doc_id, substr(text, 1, 200) AS text FROM conversations)").replace("SELECT DISTINCT item_id", "SELECT item_id")
+
+
+@register(
+    "d7_chunk_bm25",
+    f"WITH {CHUNK_INDEX_SQL} SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM bm) WHERE rank <= 5",
+)
+def d7(s, d):
+    chunks = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), F.substring("text", 1, 200).alias("prefix"))
+    return lexical.top_k(lexical.bm25(queries_table(s, d), chunks, "event_id", "prefix", repeats=True), 5).select("query_id", "doc_id", "score", "rank")
+
+
+@on_facts(
+    "a10_manifest",
+    "SELECT tier, count(*) AS n, min(fact_id) AS first_id, max(fact_id) AS last_id, sum(('0x' || substr(md5(coalesce(content, '')), 1, 8))::BIGINT)::BIGINT AS checksum FROM facts GROUP BY 1",
+)
+def a10(s, d):
+    return reports.manifest(facts(s, d), "tier")

@@ -29,8 +29,9 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Dat
     return postings, postings.groupBy("doc_id").agg(F.sum("tf").alias("length"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+def query_terms(queries: DataFrame, repeats: bool = False) -> DataFrame:
+    found = tokens(F.col("query"))
+    return queries.select("query_id", F.explode(found if repeats else F.array_distinct(found)).alias("term"))
 
 
 def with_idf(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,11 +42,14 @@ def with_idf(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFr
     return df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf")), stats
 
 
-def bm25(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(query_id, doc_id, score, matched) for every document that shares a term; score to 6 digits."""
+def bm25(queries: DataFrame, docs: DataFrame, doc_id: str, text: str, repeats: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, matched) for every document that shares a term; score to 6 digits.
+
+    With repeats a query term counts as often as the query has it, otherwise once.
+    """
     postings, lengths = build_index(docs, doc_id, text)
     df, stats = with_idf(postings, lengths)
-    hits = query_terms(queries).join(df, "term").join(postings, "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
+    hits = query_terms(queries, repeats).join(df, "term").join(postings, "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl"))
     return hits.groupBy("query_id", "doc_id").agg(
         F.round(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"), F.count("*").alias("matched")

@@ -204,3 +204,9 @@ def eval_trend(runs: DataFrame) -> DataFrame:
         F.round(F.max(F.when(F.col("back") == 1, F.col("score"))), 6).alias("last"), F.round(F.median(F.when(F.col("back") <= 3, F.col("score"))), 6).alias("median3"),
         F.round(F.max(F.when(F.col("back") == 1, F.col("change"))), 6).alias("delta"),
     )
+
+
+def manifest(facts: DataFrame, key: str) -> DataFrame:
+    """(key, n, first_id, last_id, checksum): rows, id range and an order-free sum of content hashes, to verify a restored copy."""
+    h = F.conv(F.substring(F.md5(F.coalesce("content", F.lit(""))), 1, 8), 16, 10).cast("long")
+    return facts.groupBy(key).agg(F.count("*").alias("n"), F.min("fact_id").alias("first_id"), F.max("fact_id").alias("last_id"), F.sum(h).alias("checksum"))
