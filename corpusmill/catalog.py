@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill import catalog_ranking, catalog_records, catalog_relations, catalog_screening  # noqa: F401  (they register their queries)
+from corpusmill import catalog_ranking, catalog_records, catalog_relations, catalog_screening, catalog_texts  # noqa: F401  (they register their queries)
 from corpusmill.operators import lexical, lifecycle, reports, vectors
 from corpusmill.registry import ORACLES, QUERIES, VEC_SQL, Query, docs, emb, on_facts, on_index, on_log, query_vectors, register, tok_sql
 from corpusmill.sources.views import facts, queries_table, recall_log, table

@@ -234,9 +234,9 @@ def restore(log: DataFrame, schema: str) -> DataFrame:
 
 def signals(text: Column) -> Column:
     """Names of the signals of private speech that a text shows; plural pronouns count only beside a personal marker or travel."""
-    found = F.array_compact(F.array(*[F.when(text.rlike(p), n) for n, p in SIGNALS]))
-    beside = F.array_contains(found, "marker") | F.array_contains(found, "travel")
-    return F.filter(found, lambda n: ~n.isin("plural", "marker", "travel") | ((n == "plural") & beside))
+    has = {n: text.rlike(p) for n, p in SIGNALS}
+    shown = [has["singular"], has["plural"] & (has["marker"] | has["travel"]), has["emotion"], has["contact"]]
+    return F.array_compact(F.array(*[F.when(c, n) for c, n in zip(shown, ["singular", "plural", "emotion", "contact"])]))
 
 
 def metadata_entities(parents: Column, keywords: Column, topic: Column, text: Column, most: int = 32) -> Column:
@@ -275,7 +275,7 @@ def signal_matrix(labelled: DataFrame) -> DataFrame:
 
     labelled(text, private). A signal's share in one scan of the texts; null texts show no signal.
     """
-    names = [n for n, _ in SIGNALS if n not in ("marker", "travel")]
+    names = ["singular", "plural", "emotion", "contact"]
     seen = labelled.select("private", F.coalesce(signals(F.col("text")), F.array().cast("array<string>")).alias("s"))
     flags = [F.struct(F.lit(n).alias("signal"), F.array_contains("s", n).alias("hit")) for n in names] + [F.struct(F.lit("any").alias("signal"), (F.size("s") > 0).alias("hit"))]
     rows = seen.select("private", F.inline(F.array(*flags)))
