@@ -1,11 +1,13 @@
 """Embedding near-duplicates with a robust-pruned flat graph over overlapping shards.
 
 Distinct vectors are assigned to the two nearest of a bounded set of centroids, so shards overlap. Every shard builds a
-robust-pruned neighbour graph; adjacency lists of a vector from all its shards are united. Each vector then searches its
-shards' part of the united graph: greedily from the shard's medoid, expanding further while nodes within the link range
-(and a margin) remain unexpanded. Pairs found are verified in double precision. A shard above the row bound is cut at
-random into sub-shards with a graph each, and its members search all of them. Tasks return counts and a spanning forest,
-never all pairs. Recall is audited against brute force.
+robust-pruned neighbour graph; adjacency lists of a vector from all its shards are united. Each vector then searches every
+shard that may hold a row it links with: the clusters whose centroid is within a margin of its nearest or within link
+range. In a dense group that many centroids cut, these are all clusters of the group. The search walks the shard's part of
+the united graph: greedily from the shard's medoid, expanding further while nodes within the link range (and a margin)
+remain unexpanded. A pair is counted in the nearest cluster of the row found and nowhere else, verified in double
+precision. A shard above the row bound is cut at random into sub-shards with a graph each, and its seekers search all of
+them. Tasks return counts and a spanning forest, never all pairs. Recall is audited against brute force.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from corpusmill.plans.runtime import bounded_batches, checkpoint, shuffle_partit
 THRESHOLD = 0.9
 MARGIN = 0.15
 OVERLAP = 2
+REACH = 2.0
+NEAR = 0.05
+SEEKERS = 8192
 SHARD_ROWS = 1024
 MAX_CENTROIDS = 4096
 SAMPLE_ROWS = 16_384
@@ -116,17 +121,36 @@ def search(queries: np.ndarray, x: np.ndarray, links: np.ndarray, medoid: int, r
     return sims
 
 
-def _assign(vectors: DataFrame, centers, shards: int) -> DataFrame:
-    """Add clusters, the OVERLAP nearest centroids of each vector, nearest first."""
+def _seeks(sims: np.ndarray, centers: np.ndarray, threshold: float, reach: float) -> np.ndarray:
+    """Which clusters each row searches, from its similarities to all centroids.
+
+    A row linked with this one may be nearest to another centroid only if the plane halfway to that is within the link
+    range: (best - sim) / |centroid - best centroid| <= sin(range). A link in a random direction crosses about reach /
+    sqrt(dimension) of its length, the share that is asked for; an infinite reach takes every cluster. Centroids within
+    link range (less NEAR) are always searched, and so are the OVERLAP nearest.
+    """
+    best = sims.argmax(axis=1)
+    gap = sims[np.arange(len(sims)), best][:, None] - sims
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centers[best] @ centers.T))
+    share = min(1.0, reach / np.sqrt(centers.shape[1])) * np.sqrt(max(0.0, 1 - threshold**2))
+    wanted = (gap <= share * apart) | (sims >= threshold - NEAR) | np.isinf(reach)
+    np.put_along_axis(wanted, np.argsort(-sims, axis=1, kind="stable")[:, :OVERLAP], True, axis=1)
+    return wanted
+
+
+def _assign(vectors: DataFrame, centers, threshold: float, reach: float) -> DataFrame:
+    """Add clusters, the OVERLAP nearest centroids of each vector, nearest first, and seeks, the clusters it searches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = centers.value / np.maximum(np.linalg.norm(centers.value, axis=1, keepdims=True), 1e-12)
         for b in batches:
             if len(b):
-                sims = unit(b["embedding"]) @ centers.value.T
+                sims = unit(b["embedding"]) @ c.T
                 top = np.argsort(-sims, axis=1, kind="stable")[:, : min(OVERLAP, sims.shape[1])]
-                yield b.assign(clusters=[t.astype(np.int32) for t in top])
+                seeks = [np.flatnonzero(w).astype(np.int32) for w in _seeks(sims, c, threshold, reach)]
+                yield b.assign(clusters=[t.astype(np.int32) for t in top], seeks=seeks)
 
-    return vectors.mapInPandas(run, "id long, copies long, embedding array<double>, clusters array<int>")
+    return vectors.mapInPandas(run, "id long, copies long, embedding array<double>, clusters array<int>, seeks array<int>")
 
 
 def _graphs(placed: DataFrame) -> DataFrame:
@@ -149,7 +173,7 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     out: list[tuple[int, int, int, int]] = []
     if not len(ids):
         return pd.DataFrame(out, columns=["kind", "a", "b", "n"])
-    own = np.stack(members["clusters"].to_list())
+    home = members["home"].to_numpy() == cluster
     x = unit(members["embedding"])
     place = {v: k for k, v in enumerate(ids.tolist())}
     lists = [[place[v] for v in near if v in place] for near in members["near"]]
@@ -166,7 +190,7 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     mean = x.mean(axis=0)
     medoid = int((x @ mean).argmax())
     seekers = shard[shard["role"] == 1]
-    their, q_clusters = seekers["id"].to_numpy(), np.stack(seekers["clusters"].to_list())
+    their = seekers["id"].to_numpy()
     nodes = np.union1d(ids, their)
     forest = Forest(len(nodes))
     place_of = partial(np.searchsorted, nodes)
@@ -176,10 +200,8 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
         row, col = np.nonzero(sims >= threshold)
         other = their[k + row] != ids[col]
         row, col = row[other], col[other]
-        # a pair that shares clusters is counted in the smallest of them only
-        shared = own[col][:, :, None] == q_clusters[k + row][:, None, :]
-        first = np.where(shared.any(axis=2), own[col], np.iinfo(np.int32).max).min(axis=1, initial=np.iinfo(np.int32).max)
-        counted = first == cluster
+        # a row is counted in its nearest cluster only; elsewhere it is a way point and joins components
+        counted = home[col]
         n = np.bincount(row[counted], copies[col[counted]], len(part)).astype(np.int64)
         for r in np.flatnonzero(n):
             out.append((0, int(their[k + r]), 0, int(n[r])))
@@ -228,12 +250,12 @@ def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, ev
     return row["hit"] / row["all"] if row["all"] else 1.0
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM, reach: float = REACH) -> DataFrame:
     """Return (vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding).
 
     Vectors link at cosine >= threshold, pairs verified in double precision. Null, zero, null-holding and non-finite
     vectors link with nothing; vectors of different lengths never link. Equal vectors are searched once and all link.
-    Rows must have distinct vec_id; a null vec_id takes no part in links and keeps component_id null.
+    reach sets how many clusters a vector searches, infinity means all. Rows must have distinct vec_id; a null vec_id takes no part in links and keeps component_id null.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -249,18 +271,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, beam: int
         share = min(1.0, SAMPLE_ROWS / n)
         sample = distinct.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)).limit(2 * SAMPLE_ROWS).select("embedding").toPandas()["embedding"]
         centers = centroids(unit(sample), min(k, len(sample))) if len(sample) else np.eye(1, dim)
-        placed = checkpoint(_assign(distinct, spark.sparkContext.broadcast(centers), k))
-        spread = placed.withColumn("cluster", F.explode("clusters"))
-        # at most MAX_CENTROIDS rows
+        placed = checkpoint(_assign(distinct, spark.sparkContext.broadcast(centers), threshold, reach))
+        spread, asked = placed.withColumn("cluster", F.explode("clusters")), placed.withColumn("cluster", F.explode("seeks"))
+        # at most MAX_CENTROIDS rows; the seekers of a cluster meet its members in parts of bounded size
         subs = spread.groupBy("cluster").agg(F.ceil(F.count("*") / (2 * SHARD_ROWS)).cast("int").alias("subs"))
-        spread = spread.join(F.broadcast(subs), "cluster")
+        parts = asked.groupBy("cluster").agg(F.ceil(F.count("*") / SEEKERS).cast("int").alias("parts"))
+        cut = F.broadcast(subs.join(parts, "cluster"))
+        spread = spread.join(cut, "cluster")
         member = spread.withColumn("sub", F.pmod(F.xxhash64("id", F.lit(5)), F.col("subs")).cast("int"))
         graph = checkpoint(_graphs(member))
-        member = member.join(graph, "id").select("cluster", "sub", F.lit(0).alias("role"), "id", "copies", "embedding", "clusters", "near")
-        seeker = spread.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select(
-            "cluster", "sub", F.lit(1).alias("role"), "id", "copies", "embedding", "clusters", F.array().cast("array<long>").alias("near")
+        member = member.join(graph, "id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        member = member.select("cluster", "sub", "part", F.lit(0).alias("role"), "id", "copies", "embedding", F.col("clusters")[0].alias("home"), "near")
+        asked = asked.join(cut, "cluster").withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int"))
+        seeker = asked.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select(
+            "cluster", "sub", "part", F.lit(1).alias("role"), "id", "copies", "embedding", F.lit(0).alias("home"), F.array().cast("array<long>").alias("near")
         )
-        found = member.union(seeker).groupBy("cluster", "sub").applyInPandas(lambda s: _find(s, threshold, beam), "kind int, a long, b long, n long")
+        found = member.union(seeker).groupBy("cluster", "sub", "part").applyInPandas(lambda s: _find(s, threshold, beam), "kind int, a long, b long, n long")
         found = checkpoint(found)
         sums.append(found.where("kind = 0").groupBy("a").agg(F.sum("n").alias("n")))
         edges.append(found.where("kind = 1").select("a", "b"))

@@ -157,6 +157,39 @@ def test_flat_graph_odd_vectors(spark):
     assert ann.near_duplicates(v.limit(0)).count() == 0
 
 
+def vector_table(spark, x):
+    return spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def true_links(x, threshold=0.9):
+    near = x @ x.T >= threshold
+    return near.sum(axis=1) - 1
+
+
+def near_copies(rng, n, dim=64, cosine=0.95):
+    return ann.unit(np.sqrt(cosine) * ann.unit(rng.normal(size=(1, dim))) + np.sqrt(1 - cosine) * ann.unit(rng.normal(size=(n, dim))))
+
+
+def link_recall(spark, x, **kw):
+    got = {r["vec_id"]: r["n_links"] for r in ann.near_duplicates(vector_table(spark, x), **kw).collect()}
+    want = true_links(x)
+    found = np.array([got[k] for k in range(len(x))])
+    assert (found <= want).all()
+    return found.sum() / want.sum()
+
+
+def test_flat_graph_finds_links_between_clusters(spark, monkeypatch):
+    # many centroids: a third of the rows is one group of near copies, the rest are isolated pairs at cosine 0.905
+    monkeypatch.setattr(ann, "SHARD_ROWS", 64)
+    rng = np.random.default_rng(3)
+    a = ann.unit(rng.normal(size=(800, 64)))
+    w = rng.normal(size=a.shape)
+    w -= (w * a).sum(axis=1, keepdims=True) * a
+    pairs = np.concatenate([a, 0.905 * a + np.sqrt(1 - 0.905**2) * ann.unit(w)])
+    assert link_recall(spark, pairs) >= 0.95
+    assert link_recall(spark, np.concatenate([pairs, near_copies(rng, 800)])) >= 0.98
+
+
 def test_mixing_equals_sql_and_hits_targets(spark, docs):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
