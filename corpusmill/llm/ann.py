@@ -4,8 +4,8 @@ Distinct vectors are assigned to the two nearest of a bounded set of centroids,
 robust-pruned neighbour graph; adjacency lists of a vector from all its shards are united. Each vector then searches every
 shard that may hold a row it links with: the clusters whose centroid is within a margin of its nearest or within link
 range. In a dense group that many centroids cut, these are all clusters of the group. The search walks the shard's part of
-the united graph: greedily from the shard's medoid, expanding further while nodes within the link range (and a margin)
-remain unexpanded. A pair is counted in the nearest cluster of the row found and nowhere else, verified in double
+the united graph: greedily from the vector's own row, the shard's medoid, rows spread over the shard and one row of each
+connected part, expanding further while nodes within the link range (and a margin) remain unexpanded. A pair is counted in the nearest cluster of the row found and nowhere else, verified in double
 precision. A shard above the row bound is cut at random into sub-shards with a graph each, and its seekers search all of
 them. Tasks return counts and a spanning forest, never all pairs. Recall is audited against brute force.
 """
@@ -37,6 +37,7 @@ DEGREE = 24
 CANDIDATES = 64
 ALPHA = 1.2
 BEAM = 24
+ENTRIES = 64
 QUERY_ROWS = 128
 PAIR_ROWS = 1 << 14
 
@@ -89,15 +90,36 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
     return out
 
 
-def search(queries: np.ndarray, x: np.ndarray, links: np.ndarray, medoid: int, reach: float, beam: int = BEAM) -> np.ndarray:
+def entry_points(x: np.ndarray, links: np.ndarray, most: int = ENTRIES) -> np.ndarray:
+    """Rows where walks start: the medoid, rows each farthest from those before, and a row of every connected part left."""
+    chosen = [int((x @ x.mean(axis=0)).argmax())]
+    near = x @ x[chosen[0]]
+    while len(chosen) < min(most, len(x)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    a, slot = np.nonzero(links >= 0)
+    b, root, last = links[a, slot], np.arange(len(x)), None
+    while last is None or (root != last).any():
+        last, least = root, np.minimum(root[a], root[b])
+        root = root.copy()
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        root = root[root]
+    return np.union1d(chosen, np.setdiff1d(root, root[chosen]))
+
+
+def search(queries: np.ndarray, x: np.ndarray, links: np.ndarray, entries: np.ndarray, own: np.ndarray, reach: float, beam: int = BEAM) -> np.ndarray:
     """Similarity of each query to the rows its walk visited, -2 elsewhere.
 
-    links is a padded adjacency matrix (-1: none). A query expands its best unexpanded row while that is among the beam
-    best visited, and all unexpanded rows of at least reach at once.
+    links is a padded adjacency matrix (-1: none); own is the row of each query itself, -1 if it has none, where its walk
+    starts besides at the entries. A query expands its best unexpanded row while that is among the beam best visited, and
+    all unexpanded rows of at least reach at once.
     """
     q, n = len(queries), len(x)
     sims, opened = np.full((q, n), -2.0), np.zeros((q, n), dtype=bool)
-    sims[:, medoid] = queries @ x[medoid]
+    sims[:, entries] = queries @ x[entries].T
+    here = np.flatnonzero(own >= 0)
+    sims[here, own[here]] = np.einsum("ij,ij->i", queries[here], x[own[here]])
     active = np.arange(q)
     while len(active):
         s = sims[active]
@@ -187,8 +209,7 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     links = np.full((len(ids), width), -1, dtype=np.int64)
     for k, near in enumerate(both):
         links[k, : len(near)] = near
-    mean = x.mean(axis=0)
-    medoid = int((x @ mean).argmax())
+    entries = entry_points(x, links)
     seekers = shard[shard["role"] == 1]
     their = seekers["id"].to_numpy()
     nodes = np.union1d(ids, their)
@@ -196,7 +217,8 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     place_of = partial(np.searchsorted, nodes)
     for k in range(0, len(seekers), QUERY_ROWS):
         part = unit(seekers["embedding"].iloc[k : k + QUERY_ROWS])
-        sims = search(part, x, links, medoid, threshold - MARGIN, beam)
+        itself = np.array([place.get(v, -1) for v in their[k : k + QUERY_ROWS].tolist()])
+        sims = search(part, x, links, entries, itself, threshold - MARGIN, beam)
         row, col = np.nonzero(sims >= threshold)
         other = their[k + row] != ids[col]
         row, col = row[other], col[other]

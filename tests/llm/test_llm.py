@@ -190,6 +190,28 @@ def test_flat_graph_finds_links_between_clusters(spark, monkeypatch):
     assert link_recall(spark, np.concatenate([pairs, near_copies(rng, 800)])) >= 0.98
 
 
+def test_flat_graph_walks_reach_every_group_of_a_shard(spark):
+    # groups larger than a row's candidates: no list leaves a group, or few paths do
+    rng = np.random.default_rng(5)
+    parts = [near_copies(rng, 200) for _ in range(4)] + [ann.unit(rng.normal(size=(20, 64)))]
+    assert link_recall(spark, np.concatenate(parts)) >= 0.99
+
+
+def test_flat_graph_entry_points_cover_parts_and_strangers():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([near_copies(rng, 300) for _ in range(3)])
+    near = ann.robust_prune(x)
+    links = np.full((len(x), ann.DEGREE), -1, dtype=np.int64)
+    for k, v in enumerate(near):
+        links[k, : len(v)] = v
+    strangers = near_copies(np.random.default_rng(5), 301)[300:]  # of the first group's kind, but no member
+    entries = ann.entry_points(x, links)
+    assert {int(e) // 300 for e in entries} == {0, 1, 2}
+    q = np.concatenate([x[[10, 310, 610]], strangers])
+    sims = ann.search(q, x, links, entries, np.array([-1, -1, -1, -1]), 0.75)
+    assert ((sims >= 0.9).sum(axis=1) == (q @ x.T >= 0.9).sum(axis=1)).all()
+
+
 def test_mixing_equals_sql_and_hits_targets(spark, docs):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
