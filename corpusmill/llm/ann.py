@@ -7,7 +7,8 @@ range. In a dense group that many centroids cut, these are all clusters of the g
 the united graph: greedily from the vector's own row, the shard's medoid, rows spread over the shard and one row of each
 connected part, expanding further while nodes within the link range (and a margin) remain unexpanded. A pair is counted in the nearest cluster of the row found and nowhere else, verified in double
 precision. A shard above the row bound is cut at random into sub-shards with a graph each, and its seekers search all of
-them. Tasks return counts and a spanning forest, never all pairs. Recall is audited against brute force.
+them. Tasks return counts and a spanning forest, never all pairs. Recall is audited against brute force, and where it is
+too low the search is widened, at last to all clusters and all of their rows.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ CANDIDATES = 64
 ALPHA = 1.2
 BEAM = 24
 ENTRIES = 64
+RECALL = 0.9
+WIDENING = ((REACH, BEAM), (2 * REACH, 4 * BEAM), (float("inf"), 1 << 30))
 QUERY_ROWS = 128
 PAIR_ROWS = 1 << 14
 
@@ -116,6 +119,8 @@ def search(queries: np.ndarray, x: np.ndarray, links: np.ndarray, entries: np.nd
     all unexpanded rows of at least reach at once.
     """
     q, n = len(queries), len(x)
+    if n <= beam:  # every row is among the best
+        return queries @ x.T
     sims, opened = np.full((q, n), -2.0), np.zeros((q, n), dtype=bool)
     sims[:, entries] = queries @ x[entries].T
     here = np.flatnonzero(own >= 0)
@@ -126,7 +131,7 @@ def search(queries: np.ndarray, x: np.ndarray, links: np.ndarray, entries: np.nd
         rest = np.where(opened[active], -2.0, s)
         best = rest.argmax(axis=1)
         value = rest[np.arange(len(active)), best]
-        bar = np.partition(s, n - beam, axis=1)[:, n - beam] if n > beam else np.full(len(active), -2.0)
+        bar = np.partition(s, n - beam, axis=1)[:, n - beam]
         greedy = (value > -2) & (value < reach) & (value >= bar)
         row, col = np.nonzero(rest >= reach)  # the range expands as one wave
         who, what = np.concatenate([active[greedy], active[row]]), np.concatenate([best[greedy], col])
@@ -327,3 +332,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, beam: int
     alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = out.unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def audited(vectors: DataFrame, threshold: float = THRESHOLD, least: float = RECALL) -> DataFrame:
+    """near_duplicates with audit_recall, searched ever wider until the audit is at least the given recall.
+
+    The last step compares every vector with all rows, so that only a fault is left to raise an error.
+    """
+    for reach, beam in WIDENING:
+        found = checkpoint(near_duplicates(vectors, threshold, beam, reach))
+        recall = audit(vectors, found, threshold)
+        if recall >= least:
+            return found.withColumn("audit_recall", F.lit(recall))
+    raise RuntimeError(f"audited recall {recall} is under {least}")

@@ -23,9 +23,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    found = ann.near_duplicates(vectors)
-    return found.withColumn("audit_recall", F.lit(ann.audit(vectors, found)))
+    return ann.audited(table(spark, sf_dir, "embeddings"))
 
 
 def op3_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:

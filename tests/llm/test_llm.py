@@ -212,6 +212,20 @@ def test_flat_graph_entry_points_cover_parts_and_strangers():
     assert ((sims >= 0.9).sum(axis=1) == (q @ x.T >= 0.9).sum(axis=1)).all()
 
 
+def test_flat_graph_audit_holds_and_widens(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 64)
+    rng = np.random.default_rng(3)
+    many = np.concatenate([ann.unit(rng.normal(size=(800, 64))), near_copies(rng, 400)])
+    assert ann.audited(vector_table(spark, many)).first()["audit_recall"] >= 0.9
+    # a first step that is too narrow must not be what is returned
+    x = ann.unit(rng.normal(size=(600, 64)))
+    v = vector_table(spark, x)
+    monkeypatch.setattr(ann, "WIDENING", ((0.0, 1), (float("inf"), 1 << 30)))
+    assert ann.audit(v, ann.near_duplicates(v, 0.35, 1, 0.0), 0.35) < 0.9
+    got = {r["vec_id"]: (r["n_links"], r["audit_recall"]) for r in ann.audited(v, 0.35).collect()}
+    assert [got[k] for k in range(len(x))] == [(n, 1.0) for n in true_links(x, 0.35)]
+
+
 def test_mixing_equals_sql_and_hits_targets(spark, docs):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
