@@ -2,16 +2,15 @@
 
 Pages of a host are parsed to DOM trees whose block nodes form a skeleton (adjacent siblings of one kind share a node).
 Simple tree matching aligns the skeletons of a host and unites them to its template; counting texts by template node over
-all pages then tells constant nodes, which belong to the template, from varying slots, which may hold content. Extraction
-aligns each page with its host's template, takes the article region if the page marks one, else the body, and leaves out
-constant nodes and nodes that tag, class, id or role mark as page furniture. Unknown hosts and small hosts have no
+all distinct contents then tells constant nodes, which belong to the template, from varying slots, which may hold content.
+Extraction aligns each page with its host's template, takes the article region if the page marks one, else the body without
+constant nodes, and leaves out nodes that tag, class, id or role mark as page furniture. Unknown hosts and small hosts have no
 constant nodes and rely on the marks alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -227,7 +226,7 @@ def align(template: list, tree: list) -> dict[int, int]:
 
 
 def main_text(root: Node, constant: set[int], number: dict[int, int]) -> str:
-    """Blocks of the article region, or of the body, without furniture and without constant skeleton nodes."""
+    """Blocks of the article region, or of the body without constant skeleton nodes; furniture is left out of both."""
     regions, todo = {"article": [], "main": []}, [root]
     while todo:
         node = todo.pop()
@@ -250,7 +249,7 @@ def main_text(root: Node, constant: set[int], number: dict[int, int]) -> str:
             node, it = stack[-1]
             for child in it:
                 if isinstance(child, str):
-                    if number.get(id(node)) not in constant:
+                    if inside or number.get(id(node)) not in constant:
                         run.append(child)
                     continue
                 if child.tag == "br":
@@ -275,25 +274,33 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1), F.lit(""))
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
 def induce(pages: DataFrame) -> DataFrame:
     """(host, template, constant): each host's united skeleton and the numbers of its constant nodes.
 
-    A node is constant if it has one and the same text on all its pages, MIN_PAGES at least, while the host's pages do
-    vary. Counts cover all pages; only distinct skeletons of a host meet, in bounded runs that are united in turn.
+    A node is constant if it has one and the same text on all its pages, MIN_PAGES at least and most of the host's, while
+    those do vary. Pages whose text without furniture is equal are copies and count once, by one of them. Only distinct
+    skeletons of a host meet, in bounded runs that are united in turn.
     """
 
     def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen: Counter = Counter()
+            rows = []
             for host, html in zip(b["host"], b["html"]):
-                tree, _, texts, _ = skeleton(parse(html))
-                shape = dump(tree)
-                seen.update((host, shape, k, xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1) for k, t in enumerate(texts) if t)
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["host", "shape", "node", "hash", "n"])
-
-    counts = checkpoint(
-        pages.mapInPandas(observe, "host string, shape string, node int, hash long, n long").groupBy("host", "shape", "node", "hash").agg(F.sum("n").alias("n"))
-    )
+                root = parse(html)
+                tree, _, texts, number = skeleton(root)
+                # node -1 stands for the page
+                filled = [(-1, 0), *((k, _hash(t)) for k, t in enumerate(texts) if t)]
+                rows.append((host, _hash(main_text(root, set(), number)), dump(tree), [k for k, _ in filled], [h for _, h in filled]))
+            yield pd.DataFrame(rows, columns=["host", "content", "shape", "node", "hash"])
+
+    seen = pages.mapInPandas(observe, "host string, content long, shape string, node array<int>, hash array<long>")
+    once = seen.groupBy("host", "content").agg(F.min(F.struct("shape", "node", "hash")).alias("page"))
+    nodes = once.select("host", "page.shape", F.explode(F.arrays_zip("page.node", "page.hash")).alias("of")).select("host", "shape", "of.node", "of.hash")
+    counts = checkpoint(nodes.groupBy("host", "shape", "node", "hash").agg(F.count("*").alias("n")))
     shapes = checkpoint(counts.select("host", "shape").distinct())
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
@@ -315,8 +322,10 @@ def induce(pages: DataFrame) -> DataFrame:
     placed = shapes.join(templates, "host").mapInPandas(place, "host string, shape string, node int, place int")
     texts = counts.join(placed, ["host", "shape", "node"]).groupBy("host", "place", "hash").agg(F.sum("n").alias("n"))
     slots = texts.groupBy("host", "place").agg(F.sum("n").alias("pages"), F.count("*").alias("kinds"))
-    fixed = slots.groupBy("host").agg(
-        F.collect_list(F.when((F.col("kinds") == 1) & (F.col("pages") >= MIN_PAGES), F.col("place"))).alias("constant"), F.max("kinds").alias("most")
+    total = counts.where("node = -1").groupBy("host").agg(F.sum("n").alias("total"))
+    usual = (F.col("pages") >= MIN_PAGES) & (2 * F.col("pages") > F.col("total"))
+    fixed = slots.join(total, "host").groupBy("host").agg(
+        F.collect_list(F.when((F.col("kinds") == 1) & usual, F.col("place"))).alias("constant"), F.max("kinds").alias("most")
     )
     constant = F.coalesce(F.when(F.col("most") > 1, F.col("constant")), F.array().cast("array<int>")).alias("constant")
     return checkpoint(templates.join(fixed, "host", "left").select("host", "template", constant))

@@ -288,6 +288,29 @@ def test_wrapper_drops_furniture_and_constant_nodes(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_wrapper_keeps_copied_articles(spark):
+    page = "<body><div class='date'>{k}</div>{open}<h2>Summary</h2><p>{text}</p>{list}{close}<div class='note'>Same line everywhere</div></body>"
+
+    def make(k, text, mark, extra=""):
+        return page.format(k=k, text=text, list=extra, open=f"<{mark}>" if mark else "", close=f"</{mark}>" if mark else "")
+
+    rows = [(k, "http://a/", make(k, f"text {k}", "article")) for k in range(6)]
+    rows += [(10 + k, "http://a/", make(k, "copied", "article", "<ul><li>only here</ul>")) for k in range(6)]  # six copies of one article
+    rows += [(20 + k, "http://b/", make(k, "the whole host", "main")) for k in range(6)]  # a host of copies that differ by date
+    advert = "<body><div class='ad'>{k}</div><h1>One</h1><p>the same text</p></body>"
+    rows += [(30 + k, "http://c/", advert.format(k=k)) for k in range(6)]  # no mark, and an advert that varies
+    # no mark: six copies among other pages of the host
+    rows += [(40 + k, "http://d/", f"<body><p>text {k}</p><div class='note'>Same</div></body>") for k in range(8)]
+    rows += [(50 + k, "http://d/", f"<body><div class='ad'>{k}</div><p>copied</p><ul><li>only here</ul><div class='note'>Same</div></body>") for k in range(6)]
+    text = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[k] == f"Summary\ntext {k}" for k in range(6))
+    assert all(text[10 + k] == "Summary\ncopied\nonly here" for k in range(6))
+    assert all(text[20 + k] == "Summary\nthe whole host" for k in range(6))
+    assert all(text[30 + k] == "One\nthe same text" for k in range(6))
+    assert all(text[40 + k] == f"text {k}" for k in range(8))
+    assert all(text[50 + k] == "copied\nonly here" for k in range(6))
+
+
 def test_simple_tree_matching_unites_shapes():
     a, b = wrappers.load("body(h1\tp\tul(li)\tp)"), wrappers.load("body(h1\tp\tdiv)")
     assert wrappers.matching(a, b, {})[0] == 3
