@@ -14,9 +14,8 @@ from corpusmill.plans.runtime import checkpoint, shuffle_partitions
 
 TEMPERATURE = 0.5
 EPOCHS = 1.0
-MAX_RATE = 8.0
 TERMS = 64
-BROADCAST_SOURCES = 10_000
+BROADCAST_TERMS = 640_000
 
 
 def hashed_bits(*parts: Column) -> Column:
@@ -24,11 +23,12 @@ def hashed_bits(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long")
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, max_rate: float = MAX_RATE) -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, max_rate: float | None = None) -> DataFrame:
     """(source, rate): mean repetitions so that sources share the output by weight.
 
     Weights default to size ** temperature (size: code points); explicit weights name sources, others get 0. The output
-    is epochs times the input in size, less what max_rate, the most repetitions wanted, takes from small sources.
+    is epochs times the input in size. max_rate, if given, is the most repetitions wanted of a source; what it takes from
+    small sources goes to the others by weight, as far as they are under it too.
     """
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("size"))
     if weights is None:
@@ -39,13 +39,24 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     every = Window.partitionBy(F.lit(1))  # one row per source
     weighed = sizes.withColumn("w", w)
     share = F.col("w") / F.sum("w").over(every)
-    rate = F.least(F.lit(max_rate), F.lit(epochs) * share * F.sum("size").over(every) / F.col("size"))
+    rate = F.lit(epochs) * share * F.sum("size").over(every) / F.col("size")
+    if max_rate is not None:
+        # sources in falling order of weight a size: the first ones are cut until the rest, scaled up, stays under the limit
+        weighed = weighed.withColumn("dense", F.when(F.col("size") > 0, F.col("w") / F.col("size")).otherwise(0.0))
+        before = Window.partitionBy(F.lit(1)).orderBy(F.desc("dense"), "source").rowsBetween(Window.unboundedPreceding, -1)
+        after = Window.partitionBy(F.lit(1)).orderBy(F.desc("dense"), "source").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        left = F.lit(epochs) * F.sum("size").over(every) - F.lit(float(max_rate)) * F.coalesce(F.sum("size").over(before), F.lit(0.0))
+        reach = F.when(F.col("dense") > 0, left / F.sum(F.when(F.col("size") > 0, F.col("w"))).over(after))
+        weighed = weighed.withColumn("reach", reach)
+        scale = F.min(F.when(F.col("reach") * F.col("dense") <= max_rate, F.col("reach"))).over(every)
+        rate = F.when(F.col("dense") > 0, F.least(F.lit(float(max_rate)), F.coalesce(scale * F.col("dense"), F.lit(float(max_rate))))).otherwise(0.0)
     return weighed.select("source", F.coalesce(F.when(F.col("size") > 0, rate), F.lit(0.0)).alias("rate"))
 
 
 def thresholds(rate: DataFrame) -> DataFrame:
-    """(source, rate, cdf): the Poisson distribution function at 0, 1, ...; its 64 terms reach below 2^-52 for rates up to 8."""
-    terms = rate.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(TERMS - 1))))
+    """(source, rate, cdf): the Poisson distribution function at 0, 1, ...; its terms, 64 at least, reach below 2^-52."""
+    last = F.greatest(F.lit(TERMS - 1), F.ceil(F.col("rate") + 9 * F.sqrt("rate")).cast("int") + 40)
+    terms = rate.withColumn("k", F.explode(F.sequence(F.lit(0), F.when(F.col("rate") > 8, last).otherwise(TERMS - 1))))
     upto = Window.partitionBy("source").orderBy("k")
     ln_fact = F.sum(F.ln(F.greatest("k", F.lit(1)).cast("double"))).over(upto)
     terms = terms.withColumn("p", F.when(F.col("rate") > 0, F.exp(-F.col("rate") + F.col("k") * F.ln("rate") - ln_fact)).otherwise((F.col("k") == 0).cast("double")))
@@ -53,21 +64,19 @@ def thresholds(rate: DataFrame) -> DataFrame:
     return terms.groupBy("source", "rate").agg(F.sort_array(F.collect_list("c")).alias("cdf"))
 
 
-def mix(docs: DataFrame, seed: int = 1, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, max_rate: float = MAX_RATE) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 1, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, max_rate: float | None = None) -> DataFrame:
     """Repeat documents (doc_id, text, source, ...) to target weights and shuffle them globally.
 
     Adds rate, n_copies, replica (from 0) and shuffle_key. A null source counts as the source ''; null texts have size
     0; rows with equal doc_id, null included, draw the same number; a document drawn 0 times is absent. Columns of
     these names are replaced.
     """
-    if max_rate > MAX_RATE:
-        raise ValueError(f"rates above {MAX_RATE} need more terms")
     spark = docs.sparkSession
     docs = docs.drop("rate", "n_copies", "replica", "shuffle_key")
     table = checkpoint(thresholds(rates(docs, weights, temperature, epochs, max_rate)))
     table = table.withColumnRenamed("source", "source_")
-    if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)  # checked: at most 10,000 sources of 64 numbers
+    if (table.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_TERMS:
+        table = F.broadcast(table)  # checked: at most 640,000 numbers
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     u = hashed_bits(F.lit(str(seed)), ident) / F.lit(float(1 << 52))
     drawn = (

@@ -235,6 +235,18 @@ def test_mixing_equals_sql_and_hits_targets(spark, docs):
     assert key(got) == key(want)
 
 
+def test_mixing_meets_targets_of_small_sources(spark):
+    # one large source and a small one that wants 40 repetitions for its weight
+    rows = [(k, "x" * 10, "large") for k in range(4000)] + [(10_000 + k, "x" * 10, "small") for k in range(50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rate = {r["source"]: r["rate"] for r in mixing.rates(d, {"small": 0.5, "large": 0.5}).collect()}
+    assert rate["small"] == pytest.approx(40.5) and rate["large"] == pytest.approx(0.50625)
+    got = {r["source"]: r["count"] for r in mixing.mix(d, weights={"small": 0.5, "large": 0.5}).groupBy("source").count().collect()}
+    assert abs(got["small"] - 2025) < 200 and abs(got["large"] - 2025) < 200
+    cut = {r["source"]: r["rate"] for r in mixing.rates(d, {"small": 0.5, "large": 0.5}, max_rate=8).collect()}
+    assert cut["small"] == 8 and cut["large"] == pytest.approx((40_500 - 8 * 500) / 40_000)
+
+
 def test_license_scan_equals_sql(spark, docs):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
