@@ -40,17 +40,20 @@ def negation_conflicts(facts: DataFrame, least: float = 0.6) -> tuple[DataFrame,
     return pairs, members
 
 
-def auto_invalidate(new: DataFrame, similar: DataFrame, facts: DataFrame, kinds: list[str], least: float = 0.85, most: int = 20) -> DataFrame:
+def auto_invalidate(new: DataFrame, similar: DataFrame, facts: DataFrame, kinds: list[str], least: float = 0.85, most: int | None = None) -> DataFrame:
     """(fact_id, replaced_by, similarity): live facts that a new fact of an update kind replaces.
 
-    Same kind and topic, similarity(query_id, fact_id, score) at the threshold, importance not above the new fact's. Only the
-    `most` most important candidates of each new fact are looked at, ties by id; the most similar new fact replaces.
+    Same kind and topic, similarity(query_id, fact_id, score) at the threshold, importance not above the new fact's. All
+    candidates are looked at, or if most is given that many of the most important of each new fact, ties by id; the most
+    similar new fact replaces.
     """
     f = facts.where(~F.col("tombstoned") & F.col("ended_days").isNull()).select("fact_id", "kind", "topic", F.col("importance").alias("old"))
     n = new.where(F.col("kind").isin(kinds)).select(F.col("fact_id").alias("query_id"), "kind", "topic", "importance")
     j = similar.join(n, "query_id").join(f, ["fact_id", "kind", "topic"])
-    order = Window.partitionBy("query_id").orderBy(F.desc("old"), "fact_id")
-    seen = j.withColumn("r", F.row_number().over(order)).where((F.col("r") <= most) & (F.col("score") >= least) & (F.col("importance") >= F.col("old")))
+    if most is not None:
+        order = Window.partitionBy("query_id").orderBy(F.desc("old"), "fact_id")
+        j = j.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    seen = j.where((F.col("score") >= least) & (F.col("importance") >= F.col("old")))
     best = F.max_by(F.struct("query_id", "score"), F.struct("score", -F.col("query_id")))
     return seen.groupBy("fact_id").agg(best.alias("b")).select("fact_id", F.col("b.query_id").alias("replaced_by"), F.col("b.score").alias("similarity"))
 

@@ -107,3 +107,14 @@ def test_mined_texts_are_new_and_clean(spark):
     none = spark.createDataFrame([], "fact_id long")
     assert [r["fact_id"] for r in texts.mine_public(facts, ["lesson"], none).collect()] == [1]
     assert texts.mine_public(facts, ["lesson"], facts.select("fact_id")).count() == 0
+
+
+def test_auto_invalidate_looks_at_all_candidates(spark):
+    # fact 30 is the least important of 30 and the only similar one
+    old = [(k, "fact", "t", False, None, 0.9 - k / 100) for k in range(1, 31)]
+    new = [(99, "fact", "t", 0.95)]
+    facts = spark.createDataFrame(old, "fact_id long, kind string, topic string, tombstoned boolean, ended_days int, importance double")
+    news = spark.createDataFrame(new, "fact_id long, kind string, topic string, importance double")
+    similar = spark.createDataFrame([(99, k, 0.9 if k == 30 else 0.1) for k in range(1, 31)], "query_id long, fact_id long, score double")
+    assert [tuple(r) for r in experiences.auto_invalidate(news, similar, facts, ["fact"]).collect()] == [(30, 99, 0.9)]
+    assert experiences.auto_invalidate(news, similar, facts, ["fact"], most=20).count() == 0
