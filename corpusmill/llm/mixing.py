@@ -28,7 +28,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
     Weights default to size ** temperature (size: code points); explicit weights name sources, others get 0. The output
     is epochs times the input in size. max_rate, if given, is the most repetitions wanted of a source; what it takes from
-    small sources goes to the others by weight, as far as they are under it too.
+    small sources goes to the others by weight, as far as they are under it too. Sums over sources are one-row aggregates.
     """
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("size"))
     if weights is None:
@@ -36,21 +36,27 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     else:
         table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
         w = F.coalesce(table[F.col("source")], F.lit(0.0))
-    every = Window.partitionBy(F.lit(1))  # one row per source
-    weighed = sizes.withColumn("w", w)
-    share = F.col("w") / F.sum("w").over(every)
-    rate = F.lit(epochs) * share * F.sum("size").over(every) / F.col("size")
-    if max_rate is not None:
-        # sources in falling order of weight a size: the first ones are cut until the rest, scaled up, stays under the limit
-        weighed = weighed.withColumn("dense", F.when(F.col("size") > 0, F.col("w") / F.col("size")).otherwise(0.0))
-        before = Window.partitionBy(F.lit(1)).orderBy(F.desc("dense"), "source").rowsBetween(Window.unboundedPreceding, -1)
-        after = Window.partitionBy(F.lit(1)).orderBy(F.desc("dense"), "source").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        left = F.lit(epochs) * F.sum("size").over(every) - F.lit(float(max_rate)) * F.coalesce(F.sum("size").over(before), F.lit(0.0))
-        reach = F.when(F.col("dense") > 0, left / F.sum(F.when(F.col("size") > 0, F.col("w"))).over(after))
-        weighed = weighed.withColumn("reach", reach)
-        scale = F.min(F.when(F.col("reach") * F.col("dense") <= max_rate, F.col("reach"))).over(every)
-        rate = F.when(F.col("dense") > 0, F.least(F.lit(float(max_rate)), F.coalesce(scale * F.col("dense"), F.lit(float(max_rate))))).otherwise(0.0)
-    return weighed.select("source", F.coalesce(F.when(F.col("size") > 0, rate), F.lit(0.0)).alias("rate"))
+    weighed = checkpoint(sizes.withColumn("w", w))
+    total = weighed.agg(F.sum("w").alias("w"), F.sum("size").alias("size")).first()
+    if max_rate is None:
+        rate = F.lit(epochs) * (F.col("w") / F.lit(total["w"])) * F.lit(total["size"]) / F.col("size") if total["w"] else F.lit(0.0)
+        return weighed.select("source", F.coalesce(F.when(F.col("size") > 0, rate), F.lit(0.0)).alias("rate"))
+    # scale the weight a size of the sources that are not cut until no further one is above the limit
+    live = weighed.where("size > 0 AND w > 0").withColumn("dense", F.col("w") / F.col("size"))
+    scale, cut = 0.0, None
+    while True:
+        over = F.lit(False) if cut is None else F.col("dense") >= cut
+        s = live.agg(F.sum(F.when(over, F.col("size"))).alias("full"), F.sum(F.when(~over, F.col("w"))).alias("w")).first()
+        if not s["w"]:
+            break
+        scale = max(0.0, epochs * total["size"] - max_rate * (s["full"] or 0.0)) / s["w"]
+        least = live.where(~over & (F.col("dense") * scale > max_rate)).agg(F.min("dense").alias("d")).first()["d"]
+        if least is None:
+            break
+        cut = least
+    over = F.lit(False) if cut is None else F.col("dense") >= cut
+    rate = live.select("source", F.when(over, float(max_rate)).otherwise(F.col("dense") * scale).alias("rate"))
+    return weighed.select("source").join(rate, "source", "left").select("source", F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 
 def thresholds(rate: DataFrame) -> DataFrame:
@@ -64,31 +70,40 @@ def thresholds(rate: DataFrame) -> DataFrame:
     return terms.groupBy("source", "rate").agg(F.sort_array(F.collect_list("c")).alias("cdf"))
 
 
-def mix(docs: DataFrame, seed: int = 1, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, max_rate: float | None = None) -> DataFrame:
-    """Repeat documents (doc_id, text, source, ...) to target weights and shuffle them globally.
+#: Columns that mix adds to those of docs.
+ADDED = ("rate", "n_copies", "replica", "shuffle_key")
 
-    Adds rate, n_copies, replica (from 0) and shuffle_key. A null source counts as the source ''; null texts have size
-    0; rows with equal doc_id, null included, draw the same number; a document drawn 0 times is absent. Columns of
-    these names are replaced.
-    """
+
+def _repeated(docs: DataFrame, seed: int, weights: dict[str, float] | None, temperature: float, epochs: float, max_rate: float | None) -> DataFrame:
+    """(row_, rate, n_copies, replica, shuffle_key) in shuffled order: row_ holds all columns of docs untouched."""
     spark = docs.sparkSession
-    docs = docs.drop("rate", "n_copies", "replica", "shuffle_key")
     table = checkpoint(thresholds(rates(docs, weights, temperature, epochs, max_rate)))
-    table = table.withColumnRenamed("source", "source_")
     if (table.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_TERMS:
         table = F.broadcast(table)  # checked: at most 640,000 numbers
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    u = hashed_bits(F.lit(str(seed)), ident) / F.lit(float(1 << 52))
-    drawn = (
-        docs.join(table, F.coalesce("source", F.lit("")) == F.col("source_"))
-        .withColumn("u_", u)
-        .withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("u_"))))
-        .where(F.col("n_copies") > 0)
-        .drop("source_", "cdf", "u_")
-    )
-    copies = drawn.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    keyed = copies.withColumn("shuffle_key", hashed_bits(F.lit(f"{seed}:order"), ident, F.col("replica").cast("string")))
-    return keyed.repartition(shuffle_partitions(spark), "shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "replica")
+    whole = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("ident"), F.struct("*").alias("row_"))
+    u = hashed_bits(F.lit(str(seed)), F.col("ident")) / F.lit(float(1 << 52))
+    drawn = whole.join(table, "source").withColumn("u", u).withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("n_copies > 0")
+    copies = drawn.select("row_", "rate", "n_copies", "ident", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("replica"))
+    key = hashed_bits(F.lit(f"{seed}:order"), F.col("ident"), F.col("replica").cast("string"))
+    keyed = copies.withColumn("shuffle_key", key)
+    return keyed.repartition(shuffle_partitions(spark), "shuffle_key").sortWithinPartitions("shuffle_key", "ident", "replica").drop("ident")
+
+
+def mix(docs: DataFrame, seed: int = 1, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, max_rate: float | None = None) -> DataFrame:
+    """Repeat documents (doc_id, text, source, ...) to target weights and shuffle them globally.
+
+    Adds rate, n_copies, replica (from 0) and shuffle_key; columns of docs with these names are left out (replicate keeps
+    them). A null source counts as the source ''; null texts have size 0; rows with equal doc_id, null included, draw the
+    same number; a document drawn 0 times is absent; no rows give no rows.
+    """
+    out = _repeated(docs, seed, weights, temperature, epochs, max_rate)
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    return out.select(*[F.col("row_").getField(c).alias(c) for c in kept], *ADDED)
+
+
+def replicate(docs: DataFrame, seed: int = 1, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, max_rate: float | None = None) -> DataFrame:
+    """The same repeated and shuffled documents with the columns of docs alone, whatever their names."""
+    return _repeated(docs, seed, weights, temperature, epochs, max_rate).select("row_.*")
 
 
 ORACLE_SQL = """
