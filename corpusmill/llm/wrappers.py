@@ -1,16 +1,18 @@
 """HTML main-text extraction by wrapper induction.
 
 Pages of a host are parsed to DOM trees whose block nodes form a skeleton (adjacent siblings of one kind share a node).
-Simple tree matching aligns the skeletons of a host and unites them to its template; counting texts by template node over
-all distinct contents then tells constant nodes, which belong to the template, from varying slots, which may hold content.
-Extraction aligns each page with its host's template, takes the article region if the page marks one, else the body without
-constant nodes, and leaves out nodes that tag, class, id or role mark as page furniture. Unknown hosts and small hosts have no
-constant nodes and rely on the marks alone.
+Simple tree matching aligns the skeletons of a host and unites them to its template, in rounds of bounded groups; counting
+texts by template node over all distinct contents then tells constant nodes, which belong to the template, from varying
+slots, which may hold content. Extraction aligns each page with its host's template, takes the article region if the page
+marks one, else the body without constant nodes, and leaves out page furniture: nodes marked by tag, role or firm class and
+id words, and nodes with softer words (legal, related, share and the like) where the template holds them constant or links
+make up most of their text. Unknown hosts and hosts of few pages have no constant nodes and rely on marks and links alone.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,6 +27,10 @@ from corpusmill.plans.runtime import bounded_batches, checkpoint
 MIN_PAGES = 5
 BROADCAST_BYTES = 16 << 20
 MAX_DEPTH = 32
+FAN_IN = 64
+RARE = 1 / 16
+CELLS = 4_000_000
+SALTS = 16
 
 # HTML element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,12 +44,21 @@ CLOSED_BY = {
     "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "body": {"head"},
 }
 SCOPE = set("table ul ol dl td th body html article section div main".split())
-# Marks of page furniture.
+# Marks of page furniture. Soft words also name parts of articles and need evidence of the page or host.
 NOISE_TAGS = set("head nav footer aside form script style noscript iframe svg template button select option textarea input dialog menu object canvas video audio".split())
-NOISE_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal "
-    "overlay newsletter subscribe subscription signup login nav navigation navbar menu breadcrumb breadcrumbs sidebar aside footer related recommended recommendations "
-    "share sharing social comment comments commentlist reply replies disqus respond pagination pager widget toolbar copyright legal disclaimer hidden skip".split()
+FIRM_WORDS = set(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo cookie cookies consent gdpr popup modal newsletter subscribe subscription "
+    "signup login nav navigation navbar menu breadcrumb breadcrumbs sidebar footer comments commentlist disqus pagination pager".split()
+)
+SOFT_WORDS = set(
+    "promotion banner notice notices alert overlay aside related recommended recommendations share sharing social comment reply replies respond widget toolbar "
+    "copyright legal disclaimer hidden skip".split()
+)
+# Soft words that are firm where a name has nothing but furniture and layout words.
+NAMED_WORDS = set("notice notices comment reply replies banner overlay".split())
+LAYOUT_WORDS = set(
+    "area bar block body bottom box button buttons card col column container content group header heading icon icons inner item items left link links list main outer "
+    "panel post posts right row section site slot text title to top unit wrap wrapper".split()
 )
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 KEPT_TAGS = {"html", "body", "article", "main"}
@@ -54,31 +69,50 @@ TOKEN = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    """An element: tag, key (tag with its class words), children (elements and texts), and whether it is marked as furniture."""
+    """An element: tag, key (tag with its class words), children (elements and texts), and its mark as furniture (0 none, 1 soft, 2 firm)."""
 
     __slots__ = ("tag", "key", "children", "noise")
 
-    def __init__(self, tag: str, key: str, noise: bool):
+    def __init__(self, tag: str, key: str, noise: int):
         self.tag, self.key, self.noise, self.children = tag, key, noise, []
 
 
+def _mark(names: str) -> int:
+    """How firmly class and id names mark furniture."""
+    mark = 0
+    for name in names.split():
+        words = {w for w in TOKEN.findall(name) if not w.isdigit()}
+        if not FIRM_WORDS.isdisjoint(words) or (not NAMED_WORDS.isdisjoint(words) and words <= SOFT_WORDS | LAYOUT_WORDS):
+            return 2
+        if not SOFT_WORDS.isdisjoint(words):
+            mark = 1
+    return mark
+
+
 def _element(tag: str, attributes: str) -> Node:
-    noise, key = tag in NOISE_TAGS, tag
+    noise, key = 2 * (tag in NOISE_TAGS), tag
     if attributes and not attributes.isspace():
         found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)}
-        words = TOKEN.findall(f"{found.get('class', '')} {found.get('id', '')}")
         if found.get("class"):
             key = f"{tag}.{'.'.join(w for w in TOKEN.findall(found['class']) if not w.isdigit())}"
         if tag not in KEPT_TAGS:
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-            noise = noise or hidden or found.get("role", "") in NOISE_ROLES or not NOISE_WORDS.isdisjoint(words)
+            if hidden or found.get("role", "") in NOISE_ROLES:
+                noise = 2
+            noise = max(noise, _mark(f"{found.get('class', '')} {found.get('id', '')}"))
     return Node(tag, key, noise)
 
 
 def parse(html: str) -> Node:
     """A lenient tree: implied end tags are closed, stray end tags ignored, unfinished tags and comments at the end dropped."""
-    root = Node("#root", "#root", False)
+    root = Node("#root", "#root", 0)
     stack, pos, n = [root], 0, len(html)
+    opened: Counter[str] = Counter()
+
+    def cut(k: int) -> None:
+        opened.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+
     while pos < n:
         m = TAG.search(html, pos)
         start = m.start() if m else n
@@ -92,21 +126,21 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if slash:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in ("td", "th", "table") and tag not in BLOCK:
                     break
             continue
         if tag in BLOCK:
             ends = CLOSED_BY.get(tag, set()) | ({"p"} if tag not in ("html", "head", "body") else set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    del stack[k:]
+            for k in range(len(stack) - 1, 0, -1) if any(opened[e] > 0 for e in ends) else ():
+                if k < len(stack) and stack[k].tag in ends:
+                    cut(k)
                     if tag not in ("tr", "tbody", "tfoot", "td", "th"):
                         break
-                elif stack[k].tag in SCOPE and not (tag in CLOSED_BY and stack[k].tag in ends):
+                elif k < len(stack) and stack[k].tag in SCOPE and not (tag in CLOSED_BY and stack[k].tag in ends):
                     break
         node = _element(tag, attributes)
         stack[-1].children.append(node)
@@ -117,9 +151,25 @@ def parse(html: str) -> Node:
             pos = end.end() if end else n
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
+class Shape:
+    """A skeleton node: key, children, its number in preorder, the pages that have it, and a hash and the size of its subtree."""
+
+    __slots__ = ("key", "children", "number", "weight", "code", "size")
+
+    def __init__(self, key: str, children: list[Shape], weight: int = 1):
+        self.key, self.weight, self.number = key, weight, 0
+        self.close(children)
+
+    def close(self, children: list[Shape]) -> None:
+        self.children = children
+        self.code = hash((self.key, *(c.code for c in children)))
+        self.size = 1 + sum(c.size for c in children)
+
+
 def skeleton(root: Node) -> tuple[list, list[Node], list[str], dict[int, int]]:
     """(tree [key, children], a DOM node and the own text of each skeleton node in preorder, skeleton number by DOM node id).
 
@@ -156,84 +206,163 @@ def skeleton(root: Node) -> tuple[list, list[Node], list[str], dict[int, int]]:
 
 
 def dump(tree: list) -> str:
+    """A skeleton as text: keys, and children in brackets between tabs."""
     return tree[0] + ("(" + "\t".join(dump(c) for c in tree[1]) + ")" if tree[1] else "")
 
 
-def load(text: str) -> list:
-    """The tree of a dump, numbered by its own preorder."""
-    root: list = ["", [], 0]
-    stack, count, at = [root], 0, 0
+def write(shape: Shape) -> str:
+    """The same form with the weight of each node after its key."""
+    return f"{shape.key}:{shape.weight}" + ("(" + "\t".join(map(write, shape.children)) + ")" if shape.children else "")
+
+
+def load(text: str, weight: int = 1) -> Shape:
+    """The tree of a text form, numbered in preorder; nodes without a weight get the given one."""
+    root = Shape("", [])
+    stack, children, count, at = [root], [[]], 0, 0
     for m in re.finditer(r"[()\t]|\Z", text):
-        name = text[at : m.start()]
-        if name:
-            node = [name, [], count]
+        if name := text[at : m.start()]:
+            key, _, own = name.partition(":")
+            node = Shape(key, [], int(own) if own else weight)
+            node.number = count
             count += 1
-            stack[-1][1].append(node)
+            children[-1].append(node)
         if m[0] == "(":
-            stack.append(stack[-1][1][-1])
+            stack.append(children[-1][-1])
+            children.append([])
         elif m[0] == ")":
-            stack.pop()
+            stack.pop().close(children.pop())
         at = m.end()
-    return root[1][0]
+    return children[0][0]
+
 
+def _pairs(weights: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of the heaviest common order of x and y, whose items i and j match with weights[i, j].
 
-def matching(a: list, b: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the largest number of matched nodes under equal roots, and the matched child positions."""
-    if a[0] != b[0]:
+    A row of the table is one numpy pass. Tables above CELLS are halved, first by x, so that memory grows with a row only.
+    """
+    if not len(x) or not len(y):
+        return []
+    if len(x) > 1 and len(x) * len(y) > CELLS:
+        half = len(x) // 2
+
+        def last(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            row = np.zeros(len(b) + 1, dtype=np.int64)
+            for i in a:
+                row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[i, b]))
+            return row
+
+        cut = int((last(x[:half], y) + last(x[half:][::-1], y[::-1])[::-1]).argmax())
+        return _pairs(weights, x[:half], y[:cut]) + [(i + half, j + cut) for i, j in _pairs(weights, x[half:], y[cut:])]
+    m = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int64)
+    for k, i in enumerate(x):
+        m[k + 1, 1:] = np.maximum.accumulate(np.maximum(m[k, 1:], m[k, :-1] + weights[i, y]))
+    out, i, j = [], len(x), len(y)
+    while i and j:
+        w = weights[x[i - 1], y[j - 1]]
+        if w and m[i, j] == m[i - 1, j - 1] + w:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif m[i, j] == m[i - 1, j]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def matching(a: Shape, b: Shape, memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching: the largest number of matched nodes under equal roots, and the matched child positions.
+
+    Equal subtrees match whole, so equal children at both ends are paired first, which loses nothing; the rest meets in one
+    table over its distinct subtrees.
+    """
+    if a.key != b.key:
         return 0, []
-    key = id(a), id(b)
+    x, y = a.children, b.children
+    if a.code == b.code:
+        return a.size, [(k, k) for k in range(len(x))]
+    key = a.code, b.code
     if key not in memo:
-        x, y = a[1], b[1]
-        w = [[matching(p, q, memo)[0] for q in y] for p in x]
-        m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x)):
-            for j in range(len(y)):
-                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + w[i][j])
-        pairs, i, j = [], len(x), len(y)
-        while i and j:
-            if w[i - 1][j - 1] and m[i][j] == m[i - 1][j - 1] + w[i - 1][j - 1]:
-                i, j = i - 1, j - 1
-                pairs.append((i, j))
-            elif m[i][j] == m[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        memo[key] = 1 + m[-1][-1], pairs[::-1]
+        head, tail = 0, 0
+        most = min(len(x), len(y))
+        while head < most and x[head].code == y[head].code:
+            head += 1
+        while tail < most - head and x[-1 - tail].code == y[-1 - tail].code:
+            tail += 1
+        inner_x, inner_y = x[head : len(x) - tail], y[head : len(y) - tail]
+        place_x, place_y = ({code: k for k, code in enumerate(dict.fromkeys(n.code for n in inner))} for inner in (inner_x, inner_y))
+        one_x, one_y = ({n.code: n for n in inner} for inner in (inner_x, inner_y))
+        weights = np.array([[matching(one_x[p], one_y[q], memo)[0] for q in place_y] for p in place_x], dtype=np.int64).reshape(len(place_x), len(place_y))
+        found = _pairs(weights, np.array([place_x[n.code] for n in inner_x], dtype=int), np.array([place_y[n.code] for n in inner_y], dtype=int))
+        pairs = [(k, k) for k in range(head)] + [(i + head, j + head) for i, j in found] + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
+        total = 1 + sum(n.size for n in x[:head]) + sum(n.size for n in x[len(x) - tail :]) + sum(int(weights[place_x[inner_x[i].code], place_y[inner_y[j].code]]) for i, j in found)
+        memo[key] = total, pairs
     return memo[key]
 
 
-def unite(a: list, b: list, memo: dict | None = None) -> list:
-    """The template that holds both trees: matched nodes once, the others of both in order."""
+def unite(a: Shape, b: Shape, memo: dict | None = None) -> Shape:
+    """The template that holds both trees: matched nodes once, with both weights, the others of both in order."""
     memo = {} if memo is None else memo
     out, i, j = [], 0, 0
-    for p, q in [*matching(a, b, memo)[1], (len(a[1]), len(b[1]))]:
-        out += a[1][i:p] + b[1][j:q]
-        if p < len(a[1]):
-            out.append(unite(a[1][p], b[1][q], memo))
+    for p, q in [*matching(a, b, memo)[1], (len(a.children), len(b.children))]:
+        out += a.children[i:p] + b.children[j:q]
+        if p < len(a.children):
+            out.append(unite(a.children[p], b.children[q], memo))
         i, j = p + 1, q + 1
-    return [a[0], out, 0]
+    return Shape(a.key, out, a.weight + b.weight)
+
 
+def prune(shape: Shape, least: float) -> Shape:
+    """Without the nodes that fewer pages have."""
+    return Shape(shape.key, [prune(c, least) for c in shape.children if c.weight >= least], shape.weight)
 
-def align(template: list, tree: list) -> dict[int, int]:
+
+def align(template: Shape, tree: Shape) -> dict[int, int]:
     """Template node number of each aligned node of a tree."""
     memo: dict = {}
-    out, todo = {}, [(template, tree)] if template[0] == tree[0] else []
+    out, todo = {}, [(template, tree)] if template.key == tree.key else []
     while todo:
         t, s = todo.pop()
-        out[s[2]] = t[2]
-        todo += [(t[1][i], s[1][j]) for i, j in matching(t, s, memo)[1]]
+        out[s.number] = t.number
+        todo += [(t.children[i], s.children[j]) for i, j in matching(t, s, memo)[1]]
     return out
 
 
+def links_prevail(node: Node) -> bool:
+    """Do links hold at least half of the characters of a node that has any, or has it form fields?"""
+    linked = total = 0
+    todo: list[tuple[Node, bool]] = [(node, node.tag == "a")]
+    while todo:
+        here, inside = todo.pop()
+        for child in here.children:
+            if isinstance(child, str):
+                n = len(child) - child.count(" ")
+                total += n
+                linked += n * inside
+            elif child.tag in ("input", "select", "textarea", "button"):
+                return True
+            else:
+                todo.append((child, inside or child.tag == "a"))
+    return total > 0 and 2 * linked >= total
+
+
 def main_text(root: Node, constant: set[int], number: dict[int, int]) -> str:
     """Blocks of the article region, or of the body without constant skeleton nodes; furniture is left out of both."""
+    judged: dict[int, bool] = {}
+
+    def furniture(node: Node) -> bool:
+        if node.noise != 1:
+            return node.noise == 2
+        if id(node) not in judged:
+            judged[id(node)] = number.get(id(node)) in constant or links_prevail(node)
+        return judged[id(node)]
+
     regions, todo = {"article": [], "main": []}, [root]
     while todo:
         node = todo.pop()
         if node.tag in regions:
             regions[node.tag].append(node)
             continue
-        todo += [c for c in reversed(node.children) if not isinstance(c, str) and not c.noise]
+        todo += [c for c in reversed(node.children) if not isinstance(c, str) and not furniture(c)]
     inside = regions["article"] or regions["main"]
     blocks: list[str] = []
     run: list[str] = []
@@ -255,7 +384,7 @@ def main_text(root: Node, constant: set[int], number: dict[int, int]) -> str:
                 if child.tag == "br":
                     run.append(" ")
                     continue
-                if child.noise or child.tag in RAW or (child.tag == "header" and not inside):
+                if furniture(child) or child.tag in RAW or (child.tag == "header" and not inside):
                     continue
                 if child.tag in BLOCK:
                     flush()
@@ -278,12 +407,14 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def induce(pages: DataFrame) -> DataFrame:
+def induce(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, template, constant): each host's united skeleton and the numbers of its constant nodes.
 
-    A node is constant if it has one and the same text on all its pages, MIN_PAGES at least and most of the host's, while
-    those do vary. Pages whose text without furniture is equal are copies and count once, by one of them. Only distinct
-    skeletons of a host meet, in bounded runs that are united in turn.
+    A node is constant if it has one and the same text on all its pages, min_pages at least and most of the host's, while
+    those do vary. Pages whose text without furniture is equal are copies and count once, by one of them. The distinct
+    skeletons of a host meet in groups of about FAN_IN, whose united trees meet in turn until one is left. A united tree
+    leaves out nodes that under RARE of its group's pages have: a node on most pages of the host loses less than RARE of
+    them a round and so stays for seven rounds (64^7 skeletons), while a template is at most 1 / RARE mean pages large.
     """
 
     def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,36 +425,43 @@ def induce(pages: DataFrame) -> DataFrame:
                 tree, _, texts, number = skeleton(root)
                 # node -1 stands for the page
                 filled = [(-1, 0), *((k, _hash(t)) for k, t in enumerate(texts) if t)]
-                rows.append((host, _hash(main_text(root, set(), number)), dump(tree), [k for k, _ in filled], [h for _, h in filled]))
-            yield pd.DataFrame(rows, columns=["host", "content", "shape", "node", "hash"])
+                shape = dump(tree)
+                rows.append((host, _hash(main_text(root, set(), number)), _hash(shape), shape, [k for k, _ in filled], [h for _, h in filled]))
+            yield pd.DataFrame(rows, columns=["host", "content", "code", "shape", "node", "hash"])
 
-    seen = pages.mapInPandas(observe, "host string, content long, shape string, node array<int>, hash array<long>")
-    once = seen.groupBy("host", "content").agg(F.min(F.struct("shape", "node", "hash")).alias("page"))
-    nodes = once.select("host", "page.shape", F.explode(F.arrays_zip("page.node", "page.hash")).alias("of")).select("host", "shape", "of.node", "of.hash")
-    counts = checkpoint(nodes.groupBy("host", "shape", "node", "hash").agg(F.count("*").alias("n")))
-    shapes = checkpoint(counts.select("host", "shape").distinct())
+    seen = pages.mapInPandas(observe, "host string, content long, code long, shape string, node array<int>, hash array<long>")
+    once = checkpoint(seen.groupBy("host", "content").agg(F.min(F.struct("code", "shape", "node", "hash")).alias("page")).select("host", "page.*"))
+    # nodes carry the skeleton's code, not its text, which is as long as the page has nodes
+    nodes = once.select("host", "code", F.explode(F.arrays_zip("node", "hash")).alias("of")).select("host", "code", "of.node", "of.hash")
+    counts = checkpoint(nodes.groupBy("host", "code", "node", "hash").agg(F.count("*").alias("n")))
+    shapes = checkpoint(once.groupBy("host", "code").agg(F.min("shape").alias("shape"), F.count("*").alias("n")))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        whole = None
-        for shape in sorted(group["shape"]):
-            tree = load(shape)
-            whole = tree if whole is None else unite(whole, tree)
-        return pd.DataFrame({"host": group["host"].iloc[:1], "shape": [dump(whole)]})
-
-    part = shapes.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(64)))
-    merged = part.groupBy("host", "salt").applyInPandas(merge, "host string, shape string")
-    templates = checkpoint(merged.groupBy("host").applyInPandas(merge, "host string, shape string").withColumnRenamed("shape", "template"))
+        whole, memo = None, {}
+        for shape, n in sorted(zip(group["shape"], group["n"])):
+            tree = load(shape, n)
+            whole = tree if whole is None else unite(whole, tree, memo)
+        return pd.DataFrame({"host": group["host"].iloc[:1], "shape": [write(prune(whole, RARE * whole.weight))], "n": [whole.weight]})
+
+    level = shapes.select("host", "shape", "n")
+    while True:
+        sizes = level.groupBy("host").agg(F.ceil(F.count("*") / FAN_IN).cast("int").alias("groups"))
+        dealt = level.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("shape"), F.col("groups")).cast("int"))
+        level = checkpoint(dealt.groupBy("host", "salt").applyInPandas(merge, "host string, shape string, n long"))
+        if level.groupBy("host").count().where("count > 1").isEmpty():
+            break
+    templates = level.select("host", F.col("shape").alias("template"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(h, s, k, t) for h, s, w in zip(b["host"], b["shape"], b["template"]) for k, t in align(load(w), load(s)).items()]
-            yield pd.DataFrame(rows, columns=["host", "shape", "node", "place"])
+            rows = [(h, c, k, t) for h, c, s, w in zip(b["host"], b["code"], b["shape"], b["template"]) for k, t in align(load(w), load(s)).items()]
+            yield pd.DataFrame(rows, columns=["host", "code", "node", "place"])
 
-    placed = shapes.join(templates, "host").mapInPandas(place, "host string, shape string, node int, place int")
-    texts = counts.join(placed, ["host", "shape", "node"]).groupBy("host", "place", "hash").agg(F.sum("n").alias("n"))
+    placed = shapes.select("host", "code", "shape").join(templates, "host").mapInPandas(place, "host string, code long, node int, place int")
+    texts = counts.join(placed, ["host", "code", "node"]).groupBy("host", "place", "hash").agg(F.sum("n").alias("n"))
     slots = texts.groupBy("host", "place").agg(F.sum("n").alias("pages"), F.count("*").alias("kinds"))
     total = counts.where("node = -1").groupBy("host").agg(F.sum("n").alias("total"))
-    usual = (F.col("pages") >= MIN_PAGES) & (2 * F.col("pages") > F.col("total"))
+    usual = (F.col("pages") >= min_pages) & (2 * F.col("pages") > F.col("total"))
     fixed = slots.join(total, "host").groupBy("host").agg(
         F.collect_list(F.when((F.col("kinds") == 1) & usual, F.col("place"))).alias("constant"), F.max("kinds").alias("most")
     )
@@ -331,20 +469,26 @@ def induce(pages: DataFrame) -> DataFrame:
     return checkpoint(templates.join(fixed, "host", "left").select("host", "template", constant))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Return (page_id, url, text, n_chars) for every page (page_id, url, html).
 
-    A null html counts as empty and gives an empty text; a null url belongs to the host ''. Repeated rows stay.
+    A null html counts as empty and gives an empty text; a null url belongs to the host ''. Repeated rows stay; very long
+    and deeply nested pages are read whole; no rows give no rows; other columns of pages, whatever their names, are left out.
+    A text is constant on a host only if min_pages distinct pages at least have it.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    wrappers = induce(rows.select("host", "html"))
+    wrappers = induce(rows.select("host", "html"), min_pages).where(F.size("constant") > 0)
     size = wrappers.agg(F.sum(F.octet_length("template") + 4 * F.size("constant") + F.octet_length("host") + 64).alias("b")).first()["b"] or 0
-    joined = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+    if size <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(wrappers), "host", "left")
+    else:  # a host's pages are dealt to several tasks, each with the wrapper
+        salted = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded: dict[str, list] = {}
+        loaded: dict[str, Shape] = {}
         placed: dict[tuple[str, str], dict[int, int]] = {}
         for b in batches:
             out = []
