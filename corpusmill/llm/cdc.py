@@ -1,8 +1,10 @@
 """Document fingerprints from content-defined chunks.
 
 A gear hash over the last 32 bytes, computed for all positions by doubling, marks cut points: a stricter mask below the
-normal chunk size and a looser one above it keep sizes near the normal. A fingerprint is the set of chunk digests with
-lengths; equal passages give equal chunks wherever they stand, and likeness is the shared length over the smaller set's.
+normal chunk size and a looser one above it keep sizes near the normal. Every text is cut into coarse chunks of about 64
+bytes; texts of at most FINE_BYTES bytes, where few of those fit, into fine ones of about 16 too. A fingerprint is the set of
+chunk digests with lengths; equal passages give equal chunks wherever they stand. Likeness is the shared length over the
+smaller set's, by fine chunks if both texts have them, else by coarse ones.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from pyspark.sql import functions as F
 from corpusmill.functions.ordered import bucket_of, quantile_bounds
 from corpusmill.plans.runtime import bounded_batches, shuffle_partitions
 
-MIN_BYTES, NORMAL_BYTES, MAX_BYTES = 4, 16, 64
-MASK_BITS = 4
+#: (least, normal, most bytes, mask bits) of a chunk
+COARSE, FINE = (16, 64, 256, 6), (4, 16, 64, 4)
+FINE_BYTES = 1024
 WINDOW = 32
-RECORD = np.dtype([("digest", "<u8"), ("length", "u1")])
+LENGTH = np.uint64(0x1FF)
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([i]), 0x6EA8) & 0xFFFFFFFF for i in range(256)], dtype=np.uint32)
 
 
@@ -38,64 +41,68 @@ def gear_hashes(raw: bytes) -> np.ndarray:
     return h
 
 
-def cuts(raw: bytes) -> list[int]:
-    """Ends of the chunks of a text's bytes."""
-    n = len(raw)
-    if n <= MIN_BYTES:
+def cuts(h: np.ndarray, scale: tuple[int, int, int, int]) -> list[int]:
+    """Ends of the chunks of a text whose bytes have these gear hashes."""
+    n, (least, normal, most, bits) = len(h), scale
+    if n <= least:
         return [n] if n else []
-    h = gear_hashes(raw)
-    loose = (np.flatnonzero(h < np.uint32(1 << (32 - MASK_BITS + 1))) + 1).tolist()
-    strict = (np.flatnonzero(h < np.uint32(1 << (32 - MASK_BITS - 1))) + 1).tolist()
+    loose = (np.flatnonzero(h < np.uint32(1 << (32 - bits + 1))) + 1).tolist()
+    strict = (np.flatnonzero(h < np.uint32(1 << (32 - bits - 1))) + 1).tolist()
     out, start, a, b = [], 0, 0, 0
     loose.append(n)
     strict.append(n)
     while start < n:
-        a = bisect_left(strict, min(start + MIN_BYTES, n), a)
+        a = bisect_left(strict, min(start + least, n), a)
         end = strict[a]
-        if end > start + NORMAL_BYTES:
-            b = bisect_left(loose, min(start + NORMAL_BYTES, n), b)
-            end = min(loose[b], start + MAX_BYTES)
+        if end > start + normal:
+            b = bisect_left(loose, min(start + normal, n), b)
+            end = min(loose[b], start + most)
         out.append(end)
         start = end
     return out
 
 
-def chunk_set(text: str | None) -> np.ndarray:
-    """Distinct chunks as records (digest, length) in digest order."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    ends = cuts(raw)
+def records(raw: bytes, h: np.ndarray, scale: tuple[int, int, int, int]) -> np.ndarray:
+    """Distinct chunks in order as 64-bit numbers: 55 bits of the digest, then 9 of the length."""
+    ends = cuts(h, scale)
     digest, starts = xxhash.xxh64_intdigest, [0, *ends[:-1]]
-    sizes = {digest(raw[a:b]): b - a for a, b in zip(starts, ends)}
-    out = np.empty(len(sizes), dtype=RECORD)
-    keys = np.fromiter(sizes.keys(), np.uint64, len(sizes))
-    order = np.argsort(keys)
-    out["digest"] = keys[order]
-    out["length"] = np.fromiter(sizes.values(), np.uint8, len(sizes))[order]
-    return out
+    found = np.fromiter((digest(raw[a:b]) for a, b in zip(starts, ends)), np.uint64, len(ends))
+    sizes = np.diff(np.array([0, *ends])).astype(np.uint64)
+    return np.unique(found & ~LENGTH | sizes)
+
+
+def chunk_set(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(coarse, fine) chunks of a text; those of a text above FINE_BYTES have no fine part."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    h = gear_hashes(raw)
+    return records(raw, h, COARSE), records(raw, h, FINE) if len(raw) <= FINE_BYTES else np.zeros(0, np.uint64)
 
 
-def pack(chunks: np.ndarray) -> str:
-    return base64.b64encode(chunks.tobytes()).decode()
+def pack(chunks: tuple[np.ndarray, np.ndarray]) -> str:
+    """Base 64 of both sets with a dot between; a text without bytes has the dot alone."""
+    return ".".join(base64.b64encode(c.astype("<u8").tobytes()).decode() for c in chunks)
 
 
-def unpack(fingerprint: str | None) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint or ""), dtype=RECORD)
+def unpack(fingerprint: str | None) -> tuple[np.ndarray, np.ndarray]:
+    coarse, _, fine = (fingerprint or ".").partition(".")
+    return np.frombuffer(base64.b64decode(coarse), dtype="<u8"), np.frombuffer(base64.b64decode(fine), dtype="<u8")
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Length of shared chunks over the smaller set's length; two empty sets are alike, one is like no other."""
+def containment(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """Length of shared chunks over the smaller set's length; two empty texts are alike, one is like no other."""
+    a, b = (x[1], y[1]) if len(x[1]) and len(y[1]) else (x[0], y[0])
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     if len(a) > len(b):
         a, b = b, a
-    at = np.searchsorted(b["digest"], a["digest"])
+    at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    shared = a["length"][b["digest"][at] == a["digest"]].sum(dtype=np.int64)
-    return float(shared / min(a["length"].sum(dtype=np.int64), b["length"].sum(dtype=np.int64)))
+    shared = (a[b[at] == a] & LENGTH).sum(dtype=np.int64)
+    return float(shared / min((a & LENGTH).sum(dtype=np.int64), (b & LENGTH).sum(dtype=np.int64)))
 
 
 def fingerprint(text: Column) -> Column:
-    """The packed chunk set of each text; null and empty texts have ''."""
+    """The packed chunk sets of each text; null and empty texts have '.'."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -159,7 +166,8 @@ def edit_test(docs: DataFrame) -> DataFrame:
     """Fingerprint each text and its edited form, whose last third comes from the next document, and compare.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next; null texts count
-    as empty; every row of docs has one row.
+    as empty; texts of any length are chunked whole; every row of docs, repeated ones too, has one row; no rows give no
+    rows. Other columns of docs are not read, so that no name can clash.
     """
     bounded_batches(docs.sparkSession, 256)
     pairs = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
