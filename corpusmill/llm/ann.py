@@ -1,14 +1,16 @@
 """Embedding near-duplicates with a robust-pruned flat graph over overlapping shards.
 
-Distinct vectors are assigned to the two nearest of a bounded set of centroids, so shards overlap. Every shard builds a
-robust-pruned neighbour graph; adjacency lists of a vector from all its shards are united. Each vector then searches every
-shard that may hold a row it links with: the clusters whose centroid is within a margin of its nearest or within link
-range. In a dense group that many centroids cut, these are all clusters of the group. The search walks the shard's part of
-the united graph: greedily from the vector's own row, the shard's medoid, rows spread over the shard and one row of each
-connected part, expanding further while nodes within the link range (and a margin) remain unexpanded. A pair is counted in the nearest cluster of the row found and nowhere else, verified in double
-precision. A shard above the row bound is cut at random into sub-shards with a graph each, and its seekers search all of
-them. Tasks return counts and a spanning forest, never all pairs. Recall is audited against brute force, and where it is
-too low the search is widened, at last to all clusters and all of their rows.
+Distinct vectors are assigned to the nearest of a bounded set of centroids, so shards overlap. Centroids are one level while
+they fit a bounded table; a larger corpus has a second level, fitted and searched inside each cluster of the first, so that
+shards keep their size. Every shard builds a robust-pruned neighbour graph; adjacency lists of a vector from all its shards
+are united. Each vector then searches every shard that may hold a row it links with: the clusters whose centroid is within
+a margin of its nearest or within link range. In a dense group that many centroids cut, these are all clusters of the group.
+The search walks the shard's part of the united graph: greedily from the vector's own row, the shard's medoid, rows spread
+over the shard and one row of each connected part, expanding further while nodes within the link range (and a margin) remain
+unexpanded. A pair is counted in the home cluster of the row found and nowhere else, verified in double precision. A shard
+above the row bound is cut at random into sub-shards with a graph each, and its seekers, dealt into parts, search all of
+them. Tasks return counts and a spanning forest, never all pairs. Recall is audited against brute force, and where it is too
+low the search is widened, at last to all clusters and all of their rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.simhash import Forest
 from corpusmill.operators.components import connected_components
-from corpusmill.plans.runtime import bounded_batches, checkpoint, shuffle_partitions
+from corpusmill.plans.runtime import bounded_batches, checkpoint
 
 THRESHOLD = 0.9
 MARGIN = 0.15
@@ -42,6 +44,8 @@ ENTRIES = 64
 RECALL = 0.9
 WIDENING = ((REACH, BEAM), (2 * REACH, 4 * BEAM), (float("inf"), 1 << 30))
 QUERY_ROWS = 128
+ASSIGN_ROWS = 65_536
+AUDIT_QUERIES = 4096
 PAIR_ROWS = 1 << 14
 
 
@@ -165,19 +169,79 @@ def _seeks(sims: np.ndarray, centers: np.ndarray, threshold: float, reach: float
     return wanted
 
 
+def _places(x: np.ndarray, centers: np.ndarray, threshold: float, reach: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The OVERLAP nearest centroids of each row, nearest first, and those whose clusters it searches."""
+    c = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
+    sims = x @ c.T
+    return np.argsort(-sims, axis=1, kind="stable")[:, : min(OVERLAP, len(c))], [np.flatnonzero(w) for w in _seeks(sims, c, threshold, reach)]
+
+
+#: A vector in one cluster: searched there (member), from there (seeker) or both; home is the cluster where it is counted.
+PLACED = "id long, copies long, embedding array<double>, cluster long, member boolean, seeker boolean, home boolean"
+
+
+def _rows(b: pd.DataFrame, x: np.ndarray, centers: np.ndarray, base: int, threshold: float, reach: float, member, seeker, home) -> pd.DataFrame:
+    """A row for each cluster base + centroid that a vector of b is in or searches, where the flags allow it."""
+    top, seeks = _places(x, centers, threshold, reach)
+    at, cluster, flags = [], [], []
+    for k in range(len(b)):
+        for c in np.union1d(top[k], seeks[k]).tolist():
+            m, s = bool(member[k]) and c in top[k], bool(seeker[k]) and c in seeks[k]
+            if m or s:
+                at.append(k)
+                cluster.append(base + c)
+                flags.append((m, s, bool(home[k]) and c == top[k][0]))
+    out = b[["id", "copies", "embedding"]].iloc[at].reset_index(drop=True)
+    out["cluster"] = np.array(cluster, dtype=np.int64)
+    for name, column in zip(("member", "seeker", "home"), zip(*flags) if flags else ([], [], [])):
+        out[name] = np.array(column, dtype=bool)
+    return out
+
+
 def _assign(vectors: DataFrame, centers, threshold: float, reach: float) -> DataFrame:
-    """Add clusters, the OVERLAP nearest centroids of each vector, nearest first, and seeks, the clusters it searches."""
+    """Vectors with their clusters of the first level; centers maps a vector length to (first cluster number, centroids)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = centers.value / np.maximum(np.linalg.norm(centers.value, axis=1, keepdims=True), 1e-12)
         for b in batches:
-            if len(b):
-                sims = unit(b["embedding"]) @ c.T
-                top = np.argsort(-sims, axis=1, kind="stable")[:, : min(OVERLAP, sims.shape[1])]
-                seeks = [np.flatnonzero(w).astype(np.int32) for w in _seeks(sims, c, threshold, reach)]
-                yield b.assign(clusters=[t.astype(np.int32) for t in top], seeks=seeks)
+            width = b["embedding"].map(len)
+            for d in sorted(width.unique()):
+                part = b[width == d]
+                base, c = centers.value[d]
+                yes = np.ones(len(part), dtype=bool)
+                yield _rows(part, unit(part["embedding"]), c, base, threshold, reach, yes, yes, yes)
+
+    return vectors.mapInPandas(run, PLACED)
+
+
+def _refine(placed: DataFrame, threshold: float, reach: float) -> DataFrame:
+    """Clusters of the first level cut by centroids of their own, so that each is about a shard large.
+
+    A cluster's centroids are fitted on a bounded sample of its members; then its rows, in blocks of about ASSIGN_ROWS, meet
+    them. The new cluster number holds the old one.
+    """
+    sizes = checkpoint(placed.groupBy("cluster").agg(F.count_if("member").alias("n"), F.ceil(F.count("*") / ASSIGN_ROWS).cast("int").alias("blocks")))
+    share = F.least(F.lit(1.0), SAMPLE_ROWS / F.col("n"))
+    sample = placed.where("member").join(sizes.where(F.col("n") > 2 * SHARD_ROWS), "cluster")
+    sample = sample.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20)).select("cluster", "n", "embedding")
 
-    return vectors.mapInPandas(run, "id long, copies long, embedding array<double>, clusters array<int>, seeks array<int>")
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x = unit(group["embedding"])
+        k = int(min(MAX_CENTROIDS, len(x), max(1, group["n"].iloc[0] // SHARD_ROWS)))
+        return pd.DataFrame({"cluster": group["cluster"].iloc[:1], "centers": [centroids(x, k).ravel()], "k": [k]})
+
+    fitted = checkpoint(sample.groupBy("cluster").applyInPandas(fit, "cluster long, centers array<double>, k int"))
+    blocks = sizes.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(fitted, "cluster", "left")
+    blocks = blocks.toDF("cluster", "block", "centers", "k")  # columns of its own for the cogroup
+    dealt = placed.join(sizes.select("cluster", "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int")).drop("blocks")
+
+    def place(b: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        base = int(c["cluster"].iloc[0]) * (MAX_CENTROIDS + 1)
+        if not len(b) or c["centers"].iloc[0] is None:
+            return b.assign(cluster=base).drop(columns="block")
+        x = unit(b["embedding"])
+        return _rows(b, x, np.reshape(c["centers"].iloc[0], (int(c["k"].iloc[0]), -1)), base, threshold, reach, b["member"].to_numpy(), b["seeker"].to_numpy(), b["home"].to_numpy())
+
+    return dealt.groupBy("cluster", "block").cogroup(blocks.groupBy("cluster", "block")).applyInPandas(place, PLACED)
 
 
 def _graphs(placed: DataFrame) -> DataFrame:
@@ -196,11 +260,11 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     """Links of one shard's seekers to its members: (kind, a, b, n), sums of copies and edges of a spanning forest."""
     members = shard[shard["role"] == 0]
     ids = members["id"].to_numpy()
-    copies, cluster = members["copies"].to_numpy(), int(shard["cluster"].iloc[0])
+    copies = members["copies"].to_numpy()
     out: list[tuple[int, int, int, int]] = []
     if not len(ids):
         return pd.DataFrame(out, columns=["kind", "a", "b", "n"])
-    home = members["home"].to_numpy() == cluster
+    home = members["home"].to_numpy(dtype=bool)
     x = unit(members["embedding"])
     place = {v: k for k, v in enumerate(ids.tolist())}
     lists = [[place[v] for v in near if v in place] for near in members["near"]]
@@ -208,7 +272,7 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     for k, near in enumerate(lists):
         for v in near:
             back[v].append(k)
-    # links are walked both ways; a hub keeps its nearest
+    # links are walked both ways
     both = [list(dict.fromkeys(a + b)) for a, b in zip(lists, back)]
     width = max(map(len, both), default=0) or 1
     links = np.full((len(ids), width), -1, dtype=np.int64)
@@ -227,7 +291,7 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
         row, col = np.nonzero(sims >= threshold)
         other = their[k + row] != ids[col]
         row, col = row[other], col[other]
-        # a row is counted in its nearest cluster only; elsewhere it is a way point and joins components
+        # a row is counted in its home cluster only; elsewhere it is a way point and joins components
         counted = home[col]
         n = np.bincount(row[counted], copies[col[counted]], len(part)).astype(np.int64)
         for r in np.flatnonzero(n):
@@ -242,92 +306,103 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["kind", "a", "b", "n"])
 
 
-def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 100, block: int = 512) -> float:
-    """Share of links, over the vectors whose id divides by every, that found.n_links holds against brute force.
+def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 100, most: int = AUDIT_QUERIES) -> float | None:
+    """Share of the links of vectors whose id divides by every that found.n_links holds against brute force; None without any.
 
-    Queries meet all vectors in blocks of matrix products; nothing but sums leaves the tasks.
+    Of those vectors about most are taken, by a hash of the id. Executors hold them in one bounded matrix for each vector
+    length, all vectors stream past it, and only counts leave the tasks.
     """
     spark = vectors.sparkSession
-    ready = vectors.where(valid(F.col("embedding"))).select(F.col("vec_id").alias("id"), "embedding")
-    blocks = ready.where(F.col("id") % every == 0).select((F.xxhash64("id") % 1_000_003).alias("block"), "id", "embedding")
-    size = blocks.count()
-    if not size:
-        return 1.0
-    parts = -(-size // block)
-    blocks = blocks.withColumn("block", F.pmod("block", F.lit(parts)).cast("int"))
-    slices = shuffle_partitions(spark)
-    left = blocks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    right = ready.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def run(key: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"id": [], "n": []})
-        width = q["embedding"].map(len)
-        n = np.zeros(len(q), dtype=np.int64)
-        for d in width.unique():
-            at, rows = np.flatnonzero(width == d), v[v["embedding"].map(len) == d]
-            if len(rows):
-                n[at] = (unit(q["embedding"].iloc[at]) @ unit(rows["embedding"]).T >= threshold).sum(axis=1)
-        n -= q["id"].isin(v["id"]).to_numpy()
-        return pd.DataFrame({"id": q["id"], "n": n})
-
-    true = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInPandas(run, "id long, n long")
-    true = true.groupBy("id").agg(F.sum("n").alias("true"))
-    row = true.join(found, true["id"] == found["vec_id"]).agg(F.sum(F.least("true", "n_links")).alias("hit"), F.sum("true").alias("all")).first()
-    return row["hit"] / row["all"] if row["all"] else 1.0
+    ready = vectors.where(valid(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = ready.where(F.col("id") % every == 0)
+    n = asked.count()
+    if n > most:
+        asked = asked.where(F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1 << 20)) < F.lit(most / n * (1 << 20)))
+    sample = asked.limit(2 * most).toPandas()  # bounded: about most rows
+    if not len(sample):
+        return None
+    sample = sample.drop_duplicates("id")
+    blocks = {d: (part["id"].to_numpy(), unit(part["embedding"])) for d, part in sample.groupby(sample["embedding"].map(len))}
+    held = spark.sparkContext.broadcast(blocks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {d: np.zeros(len(ids), dtype=np.int64) for d, (ids, _) in held.value.items()}
+        for b in batches:
+            width = b["embedding"].map(len)
+            for d, (ids, q) in held.value.items():
+                part = b[width == d]
+                if len(part):
+                    near = q @ unit(part["embedding"]).T >= threshold
+                    total[d] += (near & (ids[:, None] != part["id"].to_numpy()[None, :])).sum(axis=1)
+        for d, (ids, _) in held.value.items():
+            yield pd.DataFrame({"id": ids, "n": total[d]})
+
+    true = ready.dropDuplicates(["id", "embedding"]).mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("true"))
+    row = true.join(found.groupBy("vec_id").agg(F.max("n_links").alias("n_links")), F.col("id") == F.col("vec_id")).agg(F.sum(F.least("true", "n_links")).alias("hit"), F.sum("true").alias("all")).first()
+    return row["hit"] / row["all"] if row["all"] else None
+
+
+def _centers(groups: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """Centroids of the first level for each vector length, fitted on a bounded sample, and the number of its first cluster."""
+    counts = {r["d"]: r["n"] for r in groups.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row per length
+    share = min(1.0, SAMPLE_ROWS / max(1, sum(counts.values())))
+    drawn = groups.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)).limit(2 * SAMPLE_ROWS).select("embedding").toPandas()["embedding"]
+    width, out, base = drawn.map(len), {}, 0
+    for d, n in sorted(counts.items()):
+        sample = drawn[width == d]
+        k = int(min(MAX_CENTROIDS, max(1, n * OVERLAP // SHARD_ROWS), max(1, len(sample))))
+        out[d] = base, centroids(unit(sample), k) if len(sample) else np.eye(1, d)
+        base += k
+    return out
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM, reach: float = REACH) -> DataFrame:
     """Return (vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding).
 
-    Vectors link at cosine >= threshold, pairs verified in double precision. Null, zero, null-holding and non-finite
-    vectors link with nothing; vectors of different lengths never link. Equal vectors are searched once and all link.
-    reach sets how many clusters a vector searches, infinity means all. Rows must have distinct vec_id; a null vec_id takes no part in links and keeps component_id null.
+    Vectors link at cosine >= threshold, pairs verified in double precision. Null, empty, zero, null-holding and non-finite
+    vectors link with nothing; vectors of different lengths, however long, never link. Equal vectors are searched once and all
+    link; repeated rows (equal vec_id and vector) are one vector and each gets its result; rows with equal vec_id and other
+    vectors are vectors of their own, of one name. A null vec_id takes no part in links and keeps component_id null. No rows
+    give no rows; other columns of vectors are not read. reach sets how many clusters a vector searches, infinity means all.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = valid(F.col("embedding")) & F.col("vec_id").isNotNull()
     keyed = rows.where(good).select("vec_id", F.xxhash64("embedding").alias("h"), F.hash("embedding").alias("g"), "embedding")
-    groups = checkpoint(keyed.groupBy("h", "g").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
-    sums, edges = [], []
-    for dim in sorted(r["d"] for r in groups.select(F.size("embedding").alias("d")).distinct().collect()):
-        distinct = groups.where(F.size("embedding") == dim).select("id", "copies", "embedding")
-        n = distinct.count()
-        k = int(min(MAX_CENTROIDS, max(1, n * OVERLAP // SHARD_ROWS)))
-        share = min(1.0, SAMPLE_ROWS / n)
-        sample = distinct.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)).limit(2 * SAMPLE_ROWS).select("embedding").toPandas()["embedding"]
-        centers = centroids(unit(sample), min(k, len(sample))) if len(sample) else np.eye(1, dim)
-        placed = checkpoint(_assign(distinct, spark.sparkContext.broadcast(centers), threshold, reach))
-        spread, asked = placed.withColumn("cluster", F.explode("clusters")), placed.withColumn("cluster", F.explode("seeks"))
-        # at most MAX_CENTROIDS rows; the seekers of a cluster meet its members in parts of bounded size
-        subs = spread.groupBy("cluster").agg(F.ceil(F.count("*") / (2 * SHARD_ROWS)).cast("int").alias("subs"))
-        parts = asked.groupBy("cluster").agg(F.ceil(F.count("*") / SEEKERS).cast("int").alias("parts"))
-        cut = F.broadcast(subs.join(parts, "cluster"))
-        spread = spread.join(cut, "cluster")
-        member = spread.withColumn("sub", F.pmod(F.xxhash64("id", F.lit(5)), F.col("subs")).cast("int"))
-        graph = checkpoint(_graphs(member))
-        member = member.join(graph, "id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        member = member.select("cluster", "sub", "part", F.lit(0).alias("role"), "id", "copies", "embedding", F.col("clusters")[0].alias("home"), "near")
-        asked = asked.join(cut, "cluster").withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int"))
-        seeker = asked.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select(
-            "cluster", "sub", "part", F.lit(1).alias("role"), "id", "copies", "embedding", F.lit(0).alias("home"), F.array().cast("array<long>").alias("near")
-        )
-        found = member.union(seeker).groupBy("cluster", "sub", "part").applyInPandas(lambda s: _find(s, threshold, beam), "kind int, a long, b long, n long")
-        found = checkpoint(found)
-        sums.append(found.where("kind = 0").groupBy("a").agg(F.sum("n").alias("n")))
-        edges.append(found.where("kind = 1").select("a", "b"))
-    linked = groups.select("id", F.col("copies") - 1).toDF("id", "n").where("id is null")
-    edge = linked.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    for s, e in zip(sums, edges):
-        linked, edge = linked.unionByName(s.select(F.col("a").alias("id"), "n")), edge.unionByName(e)
-    component = connected_components(edge)
+    first = keyed.groupBy("h", "g").agg(F.min("vec_id").alias("low"), F.first("embedding").alias("embedding"))
+    copies = keyed.groupBy("h", "g", "vec_id").agg(F.lit(1).alias("one")).groupBy("h", "g").agg(F.count("*").alias("copies"))
+    # a number of its own for each distinct vector: vec_id may repeat
+    groups = checkpoint(first.join(copies, ["h", "g"]).withColumn("id", F.xxhash64("h", "g")))
+    distinct = groups.select("id", "copies", "embedding")
+    centers = _centers(distinct)
+    placed = checkpoint(_assign(distinct, spark.sparkContext.broadcast(centers), threshold, reach))
+    if any(len(c) >= MAX_CENTROIDS for _, c in centers.values()):
+        placed = checkpoint(_refine(placed, threshold, reach))
+    # a cluster's members in sub-shards, its seekers in parts, each of bounded size
+    cut = placed.groupBy("cluster").agg(
+        F.greatest(F.lit(1), F.ceil(F.count_if("member") / (2 * SHARD_ROWS))).cast("int").alias("subs"), F.greatest(F.lit(1), F.ceil(F.count_if("seeker") / SEEKERS)).cast("int").alias("parts")
+    )
+    placed = placed.join(checkpoint(cut), "cluster")
+    member = placed.where("member").withColumn("sub", F.pmod(F.xxhash64("id", F.lit(5)), F.col("subs")).cast("int"))
+    graph = checkpoint(_graphs(member))
+    member = member.join(graph, "id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    member = member.select("cluster", "sub", "part", F.lit(0).alias("role"), "id", "copies", "embedding", "home", "near")
+    seeker = placed.where("seeker").withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int"))
+    seeker = seeker.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    seeker = seeker.select("cluster", "sub", "part", F.lit(1).alias("role"), "id", "copies", "embedding", F.lit(False).alias("home"), F.array().cast("array<long>").alias("near"))
+    found = member.union(seeker).groupBy("cluster", "sub", "part").applyInPandas(lambda s: _find(s, threshold, beam), "kind int, a long, b long, n long")
+    found = checkpoint(found)
+    linked = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    component = connected_components(found.where("kind = 1").select("a", "b"))
     classes = (
-        groups.select("h", "g", "id", "copies")
+        groups.select("h", "g", "id", "copies", "low")
         .join(linked, "id", "left")
         .join(component, "id", "left")
-        .select("h", "g", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        .select("h", "g", "low", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("c"))
     )
+    named = classes.groupBy("c").agg(F.min("low").alias("component_id"))
+    classes = classes.join(named, "c").select("h", "g", "n_links", "component_id")
     out = keyed.select("vec_id", "h", "g").join(classes, ["h", "g"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = out.unionByName(alone)
@@ -337,11 +412,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, beam: int
 def audited(vectors: DataFrame, threshold: float = THRESHOLD, least: float = RECALL) -> DataFrame:
     """near_duplicates with audit_recall, searched ever wider until the audit is at least the given recall.
 
-    The last step compares every vector with all rows, so that only a fault is left to raise an error.
+    audit_recall is null where the audited vectors have no link, so that nothing can be measured. The last step compares
+    every vector with all rows, so that only a fault is left to raise an error.
     """
     for reach, beam in WIDENING:
         found = checkpoint(near_duplicates(vectors, threshold, beam, reach))
         recall = audit(vectors, found, threshold)
-        if recall >= least:
-            return found.withColumn("audit_recall", F.lit(recall))
+        if recall is None or recall >= least:
+            return found.withColumn("audit_recall", F.lit(recall).cast("double"))
     raise RuntimeError(f"audited recall {recall} is under {least}")
