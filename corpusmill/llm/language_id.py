@@ -2,7 +2,9 @@
 
 Words are cut only into pieces of a fixed public vocabulary. One E-step with equal piece probabilities gives every
 language expected piece counts; smoothed, they are its piece probabilities. A forward pass then sums the probability
-of a word over all segmentations, for all languages at once, and a text scores the sum over its words.
+of a word over all segmentations, for all languages at once, and a text scores the sum over its words. No language at all
+is a word of characters drawn evenly from an alphabet: the share of a text's words that its language explains better than
+that tells whether the text is in a learned language.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.pieces import EMPTY, PieceTrie, codes_of, read_pieces
-from corpusmill.plans.runtime import bounded_batches
+from corpusmill.plans.runtime import bounded_batches, free_names
 
 TRAIN_DOCS = 4096
-MAX_LANGUAGES = 1000
 SMOOTHING = 0.1
 CACHE_WORDS = 250_000
+CACHE_CELLS = 4_000_000
+FIT, ALPHABET = 0.2, 100
 DP_CHARS = 200_000
 SHORT, SCALE = 40, 3.0
 
@@ -36,7 +39,7 @@ class Lattice:
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of each occurrence as positions in one flat array, and each word's first and last position.
 
-        A word is marked with its start; the mark alone and a character outside the vocabulary are one unknown piece.
+        A word is marked with its start; a character outside the vocabulary is the unknown piece.
         """
         codes, lengths = codes_of(words)
         word = np.repeat(np.arange(len(words)), lengths)
@@ -100,16 +103,16 @@ class Lattice:
         base = np.repeat(first, last - first + 1)
         return self._sweep(start, end, end - base[end], log_p[piece], first, int(last[-1]) + 1)[last]
 
-    def expected(self, words: list[str], weights: np.ndarray) -> np.ndarray:
-        """Expected piece counts under equal piece probabilities, each word counting with its weight."""
+    def expected(self, words: list[str], weights: np.ndarray, log_p: np.ndarray | None = None) -> np.ndarray:
+        """Expected piece counts, each word counting with its weight; without log_p all pieces are equally likely."""
         start, end, piece, first, last = self.edges(words)
         size = int(last[-1]) + 1
         base, stop = np.repeat(first, last - first + 1), np.repeat(last, last - first + 1)
-        equal = np.full((len(piece), 1), -np.log(self.unknown + 1))
-        ahead = self._sweep(start, end, end - base[end], equal, first, size)[:, 0]
-        behind = self._sweep(end, start, stop[start] - start, equal, last, size)[:, 0]
+        given = np.full((len(piece), 1), -np.log(self.unknown + 1)) if log_p is None else log_p[piece][:, None]
+        ahead = self._sweep(start, end, end - base[end], given, first, size)[:, 0]
+        behind = self._sweep(end, start, stop[start] - start, given, last, size)[:, 0]
         word = np.repeat(np.arange(len(words)), last - first + 1)
-        share = np.exp(ahead[start] + equal[:, 0] + behind[end] - ahead[last][word[start]])
+        share = np.exp(ahead[start] + given[:, 0] + behind[end] - ahead[last][word[start]])
         return np.bincount(piece, share * weights[word[start]], self.unknown + 1)
 
 
@@ -141,18 +144,17 @@ def train(labelled: DataFrame, pieces, train_docs: int = TRAIN_DOCS) -> tuple[li
     """(languages, log piece probabilities) from columns text, lang, doc_id.
 
     Fitted on a bounded sample: about train_docs texts of each language, those whose hash of doc_id and text is
-    smallest against a threshold set from the language's count. The model has one row per piece and language.
+    smallest against a threshold set from the language's count (equal rows are in it together). The model is a column of
+    doubles per language and a row per piece; it is what executors hold.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((0, 0))
     spark = labelled.sparkSession
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, train_docs / counts[k]))])
-    u = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.where(u < share[F.col("lang")]).select("lang", "text")
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,54 +186,61 @@ def train(labelled: DataFrame, pieces, train_docs: int = TRAIN_DOCS) -> tuple[li
 
 
 class Scorer:
-    """Bounded two-generation cache of word scores, a row of languages for each word."""
+    """Bounded cache of word scores: a row for each word, a column for each language and one for none of them."""
 
     def __init__(self, lattice: Lattice, log_p: np.ndarray):
         self.lattice, self.log_p = lattice, log_p
+        self.most = max(1000, min(CACHE_WORDS, CACHE_CELLS // (log_p.shape[1] + 1)))
         self.index: dict[str, int] = {}
-        self.rows = np.zeros((0, log_p.shape[1]), dtype=np.float32)
+        self.rows = np.zeros((0, log_p.shape[1] + 1))
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Summed log probability of each text's words, by language."""
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed log probability of each text's words by language, and the share of its words with a letter that the best one fits."""
         split = [t.lower().split() for t in texts]
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > self.most:
             self.index.clear()
             self.rows = self.rows[:0]
         fresh = list({w for ws in split for w in ws} - self.index.keys())
         parts = [self.rows]
         for run in _runs(fresh):
             self.index.update(zip(run, range(len(self.index), len(self.index) + len(run))))
-            parts.append(self.lattice.forward(run, self.log_p).astype(np.float32))
+            parts.append(np.c_[self.lattice.forward(run, self.log_p), [-np.log(ALPHABET) * (len(w) + 1) if any(map(str.isalpha, w)) else np.nan for w in run]])
         self.rows = np.concatenate(parts)
-        out = np.zeros((len(texts), self.rows.shape[1]))
+        out, fit = np.zeros((len(texts), self.rows.shape[1] - 1)), np.zeros(len(texts))
         for k, ws in enumerate(split):
             if ws:
-                out[k] = self.rows[np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))].sum(axis=0, dtype=np.float64)
-        return out
+                x = self.rows[np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))]
+                out[k] = x[:, :-1].sum(axis=0)
+                fit[k] = (x[:, out[k].argmax()] > x[:, -1]).sum() / max(1, (~np.isnan(x[:, -1])).sum())
+        return out, fit
 
 
 def predict(text: Column, pieces, model) -> Column:
-    """struct<lang_pred, score>: the likeliest learned language and its posterior under equal priors.
+    """struct<lang_pred, score, fit>: the likeliest learned language, its posterior under equal priors, and its share of words.
 
-    A null text or one without a letter is `und` with score 0, as is every text if nothing was learned.
+    A null text or one without a letter is `und` with score and fit 0, as is every text if nothing was learned.
     """
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, fit double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         langs, log_p = model.value
         scorer = Scorer(_lattice(pieces), log_p) if langs else None
         for s, known in batches:
-            lang, score = np.full(len(s), "und", dtype=object), np.zeros(len(s))
+            lang, score, fit = np.full(len(s), "und", dtype=object), np.zeros(len(s)), np.zeros(len(s))
             at = np.flatnonzero(known.to_numpy(dtype=bool)) if langs else []
             for k in range(0, len(at), 256):
                 rows = at[k : k + 256]
-                x = scorer.scores(s.iloc[rows].tolist())
+                x, fit[rows] = scorer.scores(s.iloc[rows].tolist())
                 best = x.argmax(axis=1)
                 lang[rows] = np.array(langs, dtype=object)[best]
                 score[rows] = 1 / np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1)
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "fit": fit})
 
-    return run(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    return run(text, has_letter(text))
+
+
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -239,15 +248,38 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, piece_path: str, labelled: DataFrame | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """Add held_out, lang_pred and score to docs (doc_id, text, lang, ...); learns from labelled, by default docs itself.
-
-    Only rows outside the held-out quarter teach. Rows are kept as they are; columns of these names are replaced.
-    """
+def _model(docs: DataFrame, piece_path: str, labelled: DataFrame | None, train_docs: int) -> tuple:
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     pieces = spark.sparkContext.broadcast(read_pieces(piece_path))
-    source = (labelled or docs).where(~held_out()).select("doc_id", "text", "lang")
-    model = spark.sparkContext.broadcast(train(source, pieces, train_docs))
-    out = docs.withColumn("held_out", held_out()).withColumn("lang_", predict(F.col("text"), pieces, model))
-    return out.withColumn("lang_pred", F.col("lang_.lang_pred")).withColumn("score", F.col("lang_.score")).drop("lang_")
+    source = (docs if labelled is None else labelled).where(~held_out()).select("doc_id", "text", "lang")
+    return pieces, spark.sparkContext.broadcast(train(source, pieces, train_docs))
+
+
+def identify(docs: DataFrame, piece_path: str, labelled: DataFrame | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """Add held_out, lang_pred, score and fit to docs (doc_id, text, lang, ...); learns from labelled, by default docs itself.
+
+    Only rows outside the held-out quarter teach. Rows, repeated ones too, are kept as they are; a null doc_id is never held
+    out; null, empty and letterless texts are `und`; very long texts are scored whole; no rows give no rows. Columns of docs
+    with these four names are left out.
+    """
+    pieces, model = _model(docs, piece_path, labelled, train_docs)
+    (name,) = free_names(docs, "lang_")
+    added = ["lang_pred", "score", "fit"]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("held_out", *added)]
+    return docs.withColumn(name, predict(F.col("text"), pieces, model)).select(*kept, held_out().alias("held_out"), *[F.col(name).getField(a).alias(a) for a in added])
+
+
+def keep_known(docs: DataFrame, piece_path: str, labelled: DataFrame | None = None, train_docs: int = TRAIN_DOCS, fit: float = FIT) -> DataFrame:
+    """The rows of docs, columns untouched, whose text is in a learned language.
+
+    Out go texts that are null or without a letter and those of whose words with a letter less than the share fit is likelier in the
+    predicted language than as characters of an alphabet of ALPHABET. If no row teaches a language, every text with a letter stays.
+    """
+    pieces, model = _model(docs, piece_path, labelled, train_docs)
+    if not model.value[0]:
+        return docs.where(has_letter(F.col("text")))
+    (name,) = free_names(docs, "lang_")
+    scored = docs.withColumn(name, predict(F.col("text"), pieces, model))
+    found = F.col(name)
+    return scored.where((found["lang_pred"] != "und") & (found["fit"] >= fit)).select(*[F.col(f"`{c}`") for c in docs.columns])

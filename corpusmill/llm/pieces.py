@@ -8,13 +8,13 @@ WORD_START = "▁"
 EMPTY = -1
 
 
-def read_pieces(path: str) -> list[str]:
-    """Lower-case pieces of a sentencepiece vocabulary, in id order."""
+def read_pieces(path: str, lower: bool = True) -> list[str]:
+    """Pieces of a sentencepiece vocabulary that a word can hold, in id order; with lower only those in lower case."""
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=path)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return list(dict.fromkeys(p for p in pieces if p and p == p.lower() and WORD_START not in p[1:] and p != WORD_START))
+    return list(dict.fromkeys(p for p in pieces if p and (not lower or p == p.lower()) and WORD_START not in p[1:]))
 
 
 class PieceTrie:

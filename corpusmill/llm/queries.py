@@ -56,7 +56,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(PIECE_FILE))
-    return found.select("doc_id", "n_pretokens", "n_tokens")
+    return found.select("doc_id", "n_pretokens", "n_tokens", "log_p")
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
