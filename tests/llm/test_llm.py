@@ -33,7 +33,7 @@ def odd(spark):
             (5, "the cat sat on the mat", "en", "a", 22), (5, "the cat sat on the mat", "en", "a", 22), (6, "!!! 123", "en", "b", 7), (None, "no id here at all", "fr", "a", 17),
             (None, None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    extra = {c: F.lit(7) for c in ("score", "fp", "rate", "replica", "bpe_ids", "n_tokens", "shard", "id", "component", "tile", "key", "h", "bucket_", "words")}
+    extra = {c: F.lit(7) for c in ("score", "fp", "rate", "replica", "bpe_ids", "n_tokens", "shard", "id", "component", "tile", "key", "h", "bucket_", "words", "cdf", "source_", "lang_", "fit", "row_")}
     return df.withColumns(extra)
 
 
@@ -79,21 +79,61 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(np.exp(lattice.forward(words, log_p)[:4, 0]), [total("▁" + w) for w in words[:4]])
 
 
-def test_token_counts_equal_viterbi(spark, docs):
-    log_p = token_counts.log_probabilities(pieces.read_pieces(PIECES))
-    unknown = min(log_p.values()) - 10
+def test_expected_counts_equal_enumeration():
+    vocabulary = ["▁a", "a", "b", "ab", "▁ab", "bb"]
+    lattice = language_id.Lattice(vocabulary)
+    p = np.arange(1, 8, dtype=float) / 28
 
-    def viterbi(w):
-        best = [(0.0, 0)]
+    def ways(w):
+        """Every segmentation as piece numbers; a character outside the vocabulary is piece 6."""
+        if not w:
+            return [[]]
+        out = []
+        for k in range(1, len(w) + 1):
+            if w[:k] in vocabulary or k == 1:
+                head = vocabulary.index(w[:k]) if w[:k] in vocabulary else 6
+                out += [[head, *rest] for rest in ways(w[k:])]
+        return out
+
+    for log_p, prob in ((np.log(p), p), (None, np.full(7, 1 / 7))):
+        want = np.zeros(7)
+        for word, weight in (("ab", 1.0), ("abbab", 3.0), ("zab", 2.0)):
+            all_ways = ways("▁" + word)
+            total = sum(np.prod(prob[w]) for w in all_ways)
+            for w in all_ways:
+                np.add.at(want, w, weight * np.prod(prob[w]) / total)
+        assert np.allclose(lattice.expected(["ab", "abbab", "zab"], np.array([1.0, 3.0, 2.0]), log_p), want)
+
+
+def test_token_counts_equal_plain_dynamic_programme(spark, docs):
+    vocabulary = pieces.read_pieces(PIECES, lower=False)
+    model = token_counts.estimate(docs, "text", spark.sparkContext.broadcast(vocabulary))
+    assert np.isclose(np.exp(model).sum(), 1)
+    log_p, unknown = dict(zip(vocabulary, model)), model[-1]
+
+    def scores(w):
+        best, ahead = [(0.0, 0)], [0.0]
         for j in range(1, len(w) + 1):
-            best.append(min((best[i][0] - (log_p.get(w[i:j], unknown if j - i == 1 else -np.inf)), best[i][1] + 1) for i in range(max(0, j - 20), j)))
-        return best[-1][1]
+            spans = [(i, log_p.get(w[i:j], unknown if j - i == 1 else -np.inf)) for i in range(max(0, j - 20), j)]
+            size = {i: 1 if w[i:j] in log_p else len(w[i:j].encode()) for i, _ in spans}
+            best.append(min((best[i][0] - p, best[i][1] + size[i]) for i, p in spans))
+            ahead.append(np.logaddexp.reduce([ahead[i] + p for i, p in spans]))
+        return best[-1][1], ahead[-1]
+
+    texts = {r["doc_id"]: r["text"] for r in docs.where("n_chars < 1500").limit(60).collect()} | {-1: "Case MATTERS 漢字 \u00a0x\u2003y Ωmega", -2: "", -3: None}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    counter = token_counts.TrieCounter(vocabulary, model)
+    for (k, t), got in zip(texts.items(), counter.counts([t or "" for t in texts.values()])):
+        want = [scores("▁" + w) for w in (t or "").split()]
+        assert got[:2] == (len(want), sum(n for n, _ in want)), k
+        assert np.isclose(got[2], sum(p for _, p in want))
+    assert token_counts.count_tokens(table, PIECES).count() == len(texts)
+
 
-    texts = {r["doc_id"]: r["text"] for r in docs.limit(30).collect()}
-    got = token_counts.count_tokens(docs.where(F.col("doc_id").isin(list(texts))), PIECES).collect()
-    for r in got:
-        words = texts[r["doc_id"]].lower().split()
-        assert (r["n_pretokens"], r["n_tokens"]) == (len(words), sum(viterbi("▁" + w) for w in words))
+def test_token_counts_and_estimate_split_words_alike(spark):
+    text = "a\u00a0b\u2003c\u1680d\x1ce\x85f\u200bg\u180eh"
+    got = [r[0] for r in spark.createDataFrame([(text,)], "t string").select(F.explode(F.split("t", token_counts.WHITE))).collect()]
+    assert got == text.split()
 
 
 def reference_simhash(text):
@@ -257,14 +297,38 @@ def test_license_scan_equals_sql(spark, docs):
     assert [(r["doc_id"], r["template_id"], r["containment"]) for r in licenses.scan(extra).collect()] == [(10_001, "mit-permission", 1.0)]
 
 
-def test_cdc_is_shift_resistant_and_ordered(spark, docs):
-    rows = sorted(docs.collect(), key=lambda r: -r["doc_id"])
-    got = {r["doc_id"]: r for r in cdc.edit_test(docs).collect()}
+def plain_chunks(text, least, normal, most, bits):
+    """Byte by byte: a chunk ends where the hash of the last 32 bytes is small, by a bound that depends on the chunk's size."""
+    raw, out, chunk = text.encode(), [], b""
+    for k in range(len(raw)):
+        chunk += raw[k : k + 1]
+        h = sum(int(cdc.GEAR[b]) << i for i, b in enumerate(reversed(raw[max(0, k - 31) : k + 1]))) % 2**32
+        strict, loose = 2 ** (32 - bits - 1), 2 ** (32 - bits + 1)
+        if (least <= len(chunk) <= normal and h < strict) or (len(chunk) >= normal and h < loose) or len(chunk) == most:
+            out.append(chunk)
+            chunk = b""
+    return out + [chunk] * bool(chunk)
+
+
+def plain_containment(a, b):
+    fine = len(a.encode()) <= 1024 and len(b.encode()) <= 1024
+    x, y = (set(plain_chunks(t, *((4, 16, 64, 4) if fine else (16, 64, 256, 6)))) for t in (a, b))
+    if not x or not y:
+        return float(not x and not y)
+    return sum(map(len, x & y)) / min(sum(map(len, x)), sum(map(len, y)))
+
+
+def test_cdc_equals_plain_chunking(spark, docs):
+    rows = sorted(docs.where("n_chars < 6000").collect(), key=lambda r: -r["doc_id"])
+    got = {r["doc_id"]: r for r in cdc.edit_test(docs.where("n_chars < 6000")).collect()}
     for k, r in enumerate(rows):
-        t, following = r["text"], rows[(k + 1) % len(rows)]["text"]
+        t, following, g = r["text"], rows[(k + 1) % len(rows)]["text"], got[r["doc_id"]]
         edited = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
-        assert got[r["doc_id"]]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[r["doc_id"]]["fingerprint"] == cdc.pack(cdc.chunk_set(t))
+        assert g["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and g["n_chars"] == len(t)
+        if k < 60:
+            digests = sorted({xxhash.xxh64_intdigest(c) & ~511 | len(c) for c in plain_chunks(t, 16, 64, 256, 6)})
+            assert g["fingerprint"].partition(".")[0] == base64.b64encode(np.array(digests, dtype="<u8").tobytes()).decode()
+            assert g["near_edited"] == pytest.approx(plain_containment(t, edited)) and g["near_next"] == pytest.approx(plain_containment(t, following))
     text = max((r["text"] for r in rows), key=len)
     assert cdc.containment(cdc.chunk_set(text), cdc.chunk_set("moved " + text)) > 0.9
     assert sum(g["near_edited"] for g in got.values()) / len(got) > 0.5
@@ -326,7 +390,8 @@ def test_wrapper_keeps_copied_articles(spark):
 def test_simple_tree_matching_unites_shapes():
     a, b = wrappers.load("body(h1\tp\tul(li)\tp)"), wrappers.load("body(h1\tp\tdiv)")
     assert wrappers.matching(a, b, {})[0] == 3
-    whole = wrappers.load(wrappers.dump(wrappers.unite(a, b)))
+    whole = wrappers.load(wrappers.write(wrappers.unite(a, b)))
+    assert whole.weight == 2
     assert len(wrappers.align(whole, a)) == 6 and len(wrappers.align(whole, b)) == 4
 
 
