@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill import catalog_ranking, catalog_records, catalog_relations, catalog_screening, catalog_texts  # noqa: F401  (they register their queries)
+from corpusmill import catalog_more, catalog_ranking, catalog_records, catalog_relations, catalog_screening, catalog_texts  # noqa: F401  (they register their queries)
 from corpusmill.operators import lexical, lifecycle, reports, vectors
+from corpusmill.plans.runtime import checkpoint
 from corpusmill.registry import ORACLES, QUERIES, VEC_SQL, Query, docs, emb, on_facts, on_index, on_log, query_vectors, register, tok_sql
 from corpusmill.sources.views import facts, queries_table, recall_log, table
 
@@ -86,7 +87,7 @@ def d3(s, d):
 
 @on_index("d4_bm25_coverage", "SELECT query_id, doc_id, score, matched FROM bm WHERE matched >= 3")
 def d4(s, d):
-    return lexical.bm25(queries_table(s, d), docs(s, d), "doc_id", "text").where("matched >= 3")
+    return lexical.bm25(queries_table(s, d), docs(s, d), "doc_id", "text", least=3)
 
 
 @on_index(
@@ -157,7 +158,7 @@ def g5(s, d):
     SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM u GROUP BY 1, 2""",
 )
 def f4(s, d):
-    b = lexical.bm25(queries_table(s, d), docs(s, d), "doc_id", "text")
+    b = checkpoint(lexical.bm25(queries_table(s, d), docs(s, d), "doc_id", "text"))
     return vectors.rrf([lexical.top_k(b, 20), lexical.top_k(b, 20, score="matched")])
 
 

@@ -368,12 +368,25 @@ def m8(s, d):
     return b7(s, d).groupBy("gate").agg(F.count("*").alias("n"))
 
 
-@register("m2_rate_admission", None)
+@on_log(
+    "m2_rate_admission",
+    """, e AS (SELECT user_id, event_id, epoch(date_trunc('second', ts))::BIGINT AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts))::BIGINT, event_id) AS n FROM recall_log),
+    w AS (WITH RECURSIVE a AS (SELECT user_id, n, event_id, [s] AS kept, 0::BIGINT AS wait FROM e WHERE n = 1
+      UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN len(list_filter(a.kept, lambda t: t > e.s - 604800)) < 3 THEN list_append(list_filter(a.kept, lambda t: t > e.s - 604800), e.s) ELSE list_filter(a.kept, lambda t: t > e.s - 604800) END,
+        CASE WHEN len(list_filter(a.kept, lambda t: t > e.s - 604800)) < 3 THEN 0 ELSE list_filter(a.kept, lambda t: t > e.s - 604800)[1] + 604800 - e.s END FROM a JOIN e ON a.user_id = e.user_id AND e.n = a.n + 1) SELECT * FROM a)
+    SELECT user_id, event_id, wait = 0 AS admitted, wait AS retry_after FROM w""",
+)
 def m2(s, d):
     return changes.rate_admission(recall_log(s, d), cap=3, hours=24 * 7)
 
 
-@register("m3_nonce_dedup", None)
+@on_log(
+    "m3_nonce_dedup",
+    """, e AS (SELECT user_id, qhash % 5 AS nonce, event_id, epoch(date_trunc('second', ts))::BIGINT AS s FROM recall_log),
+    w AS (WITH RECURSIVE a AS (SELECT user_id, nonce, arg_min(event_id, (s, event_id)) AS event_id, min(s) AS s FROM e GROUP BY 1, 2
+      UNION ALL SELECT e.user_id, e.nonce, arg_min(e.event_id, (e.s, e.event_id)), min(e.s) FROM a JOIN e ON a.user_id = e.user_id AND a.nonce = e.nonce AND e.s >= a.s + 604800 GROUP BY e.user_id, e.nonce) SELECT * FROM a)
+    SELECT e.user_id, e.nonce, e.event_id, w.event_id IS NOT NULL AS accepted FROM e LEFT JOIN w USING (event_id)""",
+)
 def m3(s, d):
     return changes.nonce_dedup(recall_log(s, d).select("user_id", (F.col("qhash") % 5).alias("nonce"), "event_id", "ts"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.pairing import against
+from corpusmill.operators.pairing import containing
 from corpusmill.operators.relations import words
 
 # English negation words.
@@ -67,7 +67,9 @@ def match_experiences(queries: DataFrame, experiences: DataFrame, k: int = 5) ->
     """
     e = experiences.select("fact_id", F.explode(F.array_distinct("keywords")).alias("kw"))
     q = queries.select("query_id", words(F.col("query")).alias("ws"))
-    hit = against(e.select("kw").distinct(), q, "query_id").where(F.exists("ws", lambda w: F.contains(F.col("kw"), w))).select("query_id", "kw")
+    asked = q.select("query_id", F.explode("ws").alias("keyword")).distinct()
+    found = containing(e.select(F.col("kw").alias("fact_id"), F.col("kw").alias("low")).distinct(), asked)
+    hit = asked.join(found, "keyword").select("query_id", F.col("fact_id").alias("kw")).distinct()
     n = e.join(hit, "kw").groupBy("query_id", "fact_id").agg(F.count("*").alias("n"))
     j = n.join(experiences.drop("keywords"), "fact_id")
     hot = F.when((F.col("access_count") >= 3) | (F.col("importance") >= 0.95), 0.1).otherwise(0.0)

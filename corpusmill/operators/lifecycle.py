@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.components import connected_components
+from corpusmill.operators.similar import components, jaccard_prefix, rare_items
 from corpusmill.plans.runtime import checkpoint
 
 
@@ -97,7 +97,8 @@ def near_dup_prefix(facts: DataFrame, prefix: int = 30, threshold: float = 0.7)
     """(fact_id, winner): facts that share a trimmed prefix and whose trigram Jaccard is at least the threshold.
 
     Classes are connected components; the winner has the largest importance, then the smallest id. Equal contents are
-    compared once, by their smallest id, so a block of copies makes no pairs.
+    compared once, by their smallest id, so a block of copies makes no pairs; others of a block meet only where they share a
+    rare trigram, and a block's near copies are linked through hubs.
     """
     f = facts.where(~F.col("tombstoned") & F.col("content").isNotNull()).select("fact_id", "importance", F.trim("content").alias("body"))
     f = f.withColumn("digest", F.md5("body"))
@@ -106,14 +107,17 @@ def near_dup_prefix(facts: DataFrame, prefix: int = 30, threshold: float = 0.7)
         .select("digest", "rep", F.substring("body", 1, prefix).alias("block"), F.split("body", "").alias("chars"))
         .select("digest", "rep", "block", trigrams(F.col("chars")).alias("g"))
     )
-    a = reps.select("block", F.col("rep").alias("a"), F.col("g").alias("ga"))
-    b = reps.select("block", F.col("rep").alias("b"), F.col("g").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    near = a.join(b, "block").where(F.col("a") < F.col("b"))
-    # sizes alone can rule a pair out
-    near = near.where(F.least(F.size("ga"), F.size("gb")) >= threshold * F.greatest(F.size("ga"), F.size("gb")))
-    near = near.where(both >= threshold * (F.size("ga") + F.size("gb") - both)).select("a", "b")
-    cc = connected_components(near)
+    crowded = reps.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
+    # trigrams as numbers: a clash of hashes only brings a candidate more, which is verified on the trigrams themselves
+    sets = reps.join(crowded, "block").select(F.col("rep").alias("id"), F.xxhash64("block").alias("block"), F.transform("g", lambda x: F.xxhash64(x)).alias("items"))
+    probes = rare_items(checkpoint(sets), jaccard_prefix(threshold), "block").select("id", F.xxhash64("block", "item").alias("key"))
+
+    def near(x: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x["g"], y["g"]))
+        sizes = F.least(F.size(x["g"]), F.size(y["g"])) >= threshold * F.greatest(F.size(x["g"]), F.size(y["g"]))
+        return (x["block"] == y["block"]) & sizes & (both >= threshold * (F.size(x["g"]) + F.size(y["g"]) - both))
+
+    cc = components(probes, reps.select(F.col("rep").alias("id"), F.struct("block", "g").alias("p")), near)
     cls = f.join(reps.select("digest", "rep"), "digest").join(cc, F.col("rep") == F.col("id"), "left").withColumn("cls", F.coalesce("component", "rep"))
     best = cls.groupBy("cls").agg(F.max_by("fact_id", F.struct("importance", -F.col("fact_id"))).alias("winner"), F.count("*").alias("n"))
     return cls.join(best, "cls").where("n > 1").select("fact_id", "winner")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.pairing import against
+from corpusmill.operators.pairing import containing
 
 
 def ratio(flag: Column) -> Column:
@@ -160,8 +160,9 @@ def topic_index(facts: DataFrame, min_weight: float = 0.5) -> DataFrame:
 
 def lexical_gold(expected: DataFrame, facts: DataFrame) -> DataFrame:
     """(query_id, gold, matched): the fact with the most keywords of the query, ties by importance, then the smallest id."""
-    texts = facts.select("fact_id", "importance", F.lower("content").alias("low"))
-    found = against(texts, expected, "query_id").withColumn("m", F.size(F.filter("keywords", lambda w: F.coalesce(F.contains(F.col("low"), w), F.lit(False)))))
+    asked = expected.select("query_id", F.explode("keywords").alias("keyword"))
+    hits = asked.join(containing(facts.select("fact_id", F.lower("content").alias("low")), asked), "keyword")
+    found = hits.groupBy("query_id", "fact_id").agg(F.count("*").alias("m")).join(facts.select("fact_id", "importance"), "fact_id")
     best = found.where("m > 0").groupBy("query_id").agg(F.max_by("fact_id", F.struct("m", "importance", -F.col("fact_id"))).alias("gold"), F.max("m").alias("matched"))
     return best.withColumn("matched", F.col("matched").cast("long"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.pairing import against
+from corpusmill.operators.pairing import containing
 
 # Prefixes that mark a turn as small talk, and the start of a command line.
 SMALL_TALK = ["嗯", "ok", "好", "好的", "thanks", "谢谢", "hi", "hello", "👍", "你好"]
@@ -174,20 +174,30 @@ def keywords(text: Column, n: int = 5, shortest: int = 4) -> Column:
 def keyword_oracle(expected: DataFrame, facts: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, fact_id, rank): the k most important facts that contain any keyword of the query as a substring.
 
-    expected(query_id, keywords). Cost: every text against every query; queries are broadcast in checked size or dealt in blocks.
+    expected(query_id, keywords). Keywords meet the words of the texts, not the texts.
     """
-    texts = facts.select("fact_id", "importance", F.lower("content").alias("low"))
-    hits = against(texts, expected, "query_id").where(F.exists("keywords", lambda w: F.contains(F.col("low"), w)))
+    asked = expected.select("query_id", F.explode(F.array_distinct("keywords")).alias("keyword"))
+    found = containing(facts.select("fact_id", F.lower("content").alias("low")), asked)
+    hits = asked.join(found, "keyword").select("query_id", "fact_id").distinct().join(facts.select("fact_id", "importance"), "fact_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("importance"), "fact_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "fact_id", "rank")
 
 
 def consult(queries: DataFrame, facts: DataFrame, k: int = 3) -> DataFrame:
-    """(query_id, bucket, fact_id, rank): per zone the k most important facts that contain all words of the query's keywords."""
-    texts = facts.where(zone(F.col("kind")) != "other").select("fact_id", "importance", "age_days", zone(F.col("kind")).alias("bucket"), F.lower("content").alias("low"))
-    hits = against(texts, queries, "query_id").where(F.forall("keywords", lambda w: F.contains(F.col("low"), w)))
+    """(query_id, bucket, fact_id, rank): per zone the k most important facts that contain all words of the query's keywords.
+
+    A query without keywords asks for nothing, so that the most important facts of each zone answer it.
+    """
+    texts = facts.where((zone(F.col("kind")) != "other") & F.col("content").isNotNull()).select("fact_id", "importance", "age_days", zone(F.col("kind")).alias("bucket"), F.lower("content").alias("low"))
+    asked = queries.select("query_id", F.array_distinct("keywords").alias("ks"))
+    words = asked.select("query_id", F.size("ks").alias("n"), F.explode("ks").alias("keyword"))
+    found = words.join(containing(texts, words), "keyword").groupBy("query_id", "fact_id").agg(F.count("*").alias("m"), F.first("n").alias("n")).where("m = n")
+    hits = found.join(texts.drop("low"), "fact_id")
     order = Window.partitionBy("query_id", "bucket").orderBy(F.desc("importance"), "age_days", "fact_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "bucket", "fact_id", "rank")
+    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "bucket", "fact_id", "rank")
+    best = texts.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("importance"), "age_days", "fact_id"))).where(F.col("rank") <= k)
+    every = asked.where("size(ks) = 0").join(F.broadcast(best.select("bucket", "fact_id", "rank")), F.lit(True))  # k rows a zone
+    return ranked.unionByName(every.select("query_id", "bucket", "fact_id", "rank"))
 
 
 def grounding_ratio(pairs: DataFrame) -> DataFrame:

@@ -272,13 +272,15 @@ def scrub(text: Column) -> Column:
 def clear_tool_results(text: Column, keep: int = 3) -> Column:
     """Replace all but the last `keep` marked tool results of a text by a placeholder with their id."""
     block = r"(?s)__tool_result_([A-Za-z0-9_-]+?)__(.*?)__/tool_result__"
-    found = F.regexp_extract_all(text, F.lit(block), F.lit(1))
-    drop = F.size(found) - keep
-    pieces = F.split(text, block)
-    whole = F.regexp_extract_all(text, F.lit(block), F.lit(0))
-    kept = F.transform(whole, lambda w, i: F.when(i < drop, F.concat(F.lit("[TOOL_RESULT_CLEARED:"), F.get(found, i), F.lit("]"))).otherwise(w))
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(kept, i), F.lit("")))), "")
-    return F.when(drop > 0, joined).otherwise(text)
+    whole, ids = (F.regexp_extract_all(text, F.lit(block), F.lit(k)) for k in (0, 1))
+    parts = F.arrays_zip(F.split(text, block).alias("piece"), whole.alias("whole"), ids.alias("id"))  # the last piece has no result after it
+
+    def step(acc: Column, x: Column) -> Column:
+        result = F.when(acc["left"] > 0, F.concat(F.lit("[TOOL_RESULT_CLEARED:"), x["id"], F.lit("]"))).otherwise(x["whole"])
+        return F.struct((acc["left"] - 1).alias("left"), F.concat(acc["out"], F.coalesce(x["piece"], F.lit("")), F.coalesce(result, F.lit(""))).alias("out"))
+
+    start = F.struct((F.size(whole) - keep).alias("left"), F.lit("").alias("out"))
+    return F.when(F.size(whole) > keep, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(text)
 
 
 def distill(text: Column) -> Column:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.lexical import top_k
+from corpusmill.plans.runtime import bounded_batches, checkpoint, shuffle_partitions
 
-BROADCAST_QUERIES = 10_000
+BROADCAST_BYTES = 16 << 20
+BLOCK_ROWS = 4096
+PAIR_ROWS = 2048
 
 
 def norm(v: Column) -> Column:
@@ -23,28 +30,69 @@ def with_norm(df: DataFrame, v: str = "embedding") -> DataFrame:
     return df.withColumn("nrm", norm(F.col(v))).where(F.col("nrm") > 0)
 
 
-def cosine_scores(queries: DataFrame, emb: DataFrame) -> DataFrame:
+def unit(rows) -> np.ndarray:
+    """Vectors as rows of a double matrix, each of length 1."""
+    m = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
+    return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+
+
+def _meet(q: pd.DataFrame, e: pd.DataFrame, least: float, best: int | None) -> pd.DataFrame:
+    """(query_id, fact_id, cosine) of a block of queries and a block of vectors, by one matrix product for each length."""
+    out = []
+    wq, we = q["embedding"].map(len), e["embedding"].map(len)
+    for d in np.intersect1d(wq.unique(), we.unique()):
+        left, right = q[wq == d], e[we == d]
+        sims = unit(left["embedding"]) @ unit(right["embedding"]).T
+        a, b = left["query_id"].to_numpy(), right["fact_id"].to_numpy()
+        keep = (sims >= least) & (a[:, None] != b[None, :])
+        if best is not None and sims.shape[1] > best:
+            bar = np.partition(np.where(keep, sims, -2.0), sims.shape[1] - best, axis=1)[:, sims.shape[1] - best]
+            keep &= sims >= bar[:, None]  # ties at the bar stay
+        i, j = np.nonzero(keep)
+        out.append(pd.DataFrame({"query_id": a[i], "fact_id": b[j], "cosine": sims[i, j]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "fact_id": [], "cosine": []})
+
+
+def cosine_scores(queries: DataFrame, emb: DataFrame, least: float = -2.0, best: int | None = None) -> DataFrame:
     """(query_id, fact_id, cosine): every query against every vector of its length, a query never meeting itself.
 
-    queries(query_id, embedding), emb(fact_id, embedding). Up to 10,000 queries are broadcast, checked by a count;
-    a larger query table is compared block by block through a keyed join, so that no side must fit in memory.
+    queries(query_id, embedding), emb(fact_id, embedding), both with whole ids; null and zero vectors are left out. Only
+    pairs of at least the given cosine; with best, only pairs that can be among that many best of a query. Queries up to
+    BROADCAST_BYTES, measured, are held by every executor while vectors stream past; a larger query table is dealt into blocks
+    that each meet all vectors, so that no side must fit in memory. Blocks are compared by matrix products.
     """
-    q = with_norm(queries).select("query_id", F.col("embedding").alias("q"), F.col("nrm").alias("qn"))
-    e = with_norm(emb).select("fact_id", "embedding", "nrm")
-    if q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        pairs = e.join(F.broadcast(q), (F.size("q") == F.size("embedding")) & (F.col("query_id") != F.col("fact_id")))
-    else:
-        blocks = 64
-        left = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        pairs = left.join(right, "block").where((F.size("q") == F.size("embedding")) & (F.col("query_id") != F.col("fact_id")))
-    return pairs.select("query_id", "fact_id", (dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("nrm"))).alias("cosine"))
+    spark = emb.sparkSession
+    bounded_batches(spark, BLOCK_ROWS)
+    q = with_norm(queries).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    e = with_norm(emb).select(F.col("fact_id").cast("long").alias("fact_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    size = q.agg(F.sum(F.size("embedding") * 8 + 16).alias("b"), F.count("*").alias("n")).first()
+    schema = "query_id long, fact_id long, cosine double"
+    if (size["b"] or 0) <= BROADCAST_BYTES:
+        held = spark.sparkContext.broadcast(q.toPandas())  # checked: at most 16 MB
+
+        def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b) and len(held.value):
+                    yield _meet(held.value, b, least, best)
+
+        return e.mapInPandas(stream, schema)
+    blocks = -(-size["b"] // BROADCAST_BYTES)
+    slices = shuffle_partitions(spark)
+    slices = max(slices, -(-e.count() // BLOCK_ROWS))
+    left = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    right = e.withColumn("slice", F.pmod(F.xxhash64("fact_id"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _meet(a, b, least, best) if len(a) and len(b) else pd.DataFrame({"query_id": [], "fact_id": [], "cosine": []})
+
+    return left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInPandas(pair, schema)
 
 
 def vector_topk(queries: DataFrame, emb: DataFrame, k: int, recency_weight: float = 0.2, half_life: float = 30.0) -> DataFrame:
     """Top k by (1 - w) cosine + w 0.5^(age / half_life) among the max(4k, 32) nearest; emb also has age_days."""
-    pool = top_k(cosine_scores(queries, emb), max(4 * k, 32), item="fact_id", score="cosine").drop("rank")
-    blended = pool.join(emb.select("fact_id", "age_days"), "fact_id")
+    pool = max(4 * k, 32)
+    near = top_k(cosine_scores(queries, emb, best=pool), pool, item="fact_id", score="cosine").drop("rank")
+    blended = near.join(emb.select("fact_id", "age_days"), "fact_id")
     score = (1 - recency_weight) * F.col("cosine") + recency_weight * F.pow(F.lit(0.5), F.col("age_days") / half_life)
     return top_k(blended.select("query_id", "fact_id", F.round(score, 6).alias("score")), k, item="fact_id")
 
@@ -58,22 +106,58 @@ def centroids(emb: DataFrame, key: str) -> DataFrame:
 
 
 def two_level_topk(queries: DataFrame, emb: DataFrame, key: str, l1: int = 3, l2: int = 10) -> DataFrame:
-    """The l2 nearest vectors inside each query's l1 nearest clusters."""
+    """(query_id, fact_id, score, rank): the l2 nearest vectors inside each query's l1 nearest clusters.
+
+    Queries meet the clusters' centroids; then each cluster's queries, in blocks, meet its vectors, dealt into slices, and no
+    others. A vector whose cluster has one member only is in no cluster.
+    """
     c = centroids(emb, key).select(F.col(key).cast("long").alias("fact_id"), F.col("centroid").alias("embedding"))
-    q = queries.withColumnRenamed("query_id", "qid").withColumn("query_id", -1 - F.col("qid"))
-    near = top_k(cosine_scores(q.select("query_id", "embedding"), c), l1, item="fact_id", score="cosine")
-    near = near.select((-1 - F.col("query_id")).alias("query_id"), F.col("fact_id").alias("cluster"))
-    member = emb.select("fact_id", F.col(key).cast("long").alias("cluster"))
-    scored = cosine_scores(queries, emb).join(member, "fact_id").join(F.broadcast(near), ["query_id", "cluster"], "left_semi")
+    q = queries.select((-1 - F.col("query_id")).alias("query_id"), "embedding")  # never the number of a cluster
+    near = top_k(cosine_scores(q, c, best=l1), l1, item="fact_id", score="cosine")
+    near = checkpoint(near.select((-1 - F.col("query_id")).alias("query_id"), F.col("fact_id").alias("cluster")))
+    asked = near.join(queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")), "query_id")
+    sizes = checkpoint(emb.groupBy(F.col(key).cast("long").alias("cluster")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("slices")))
+    blocks = near.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    cut = checkpoint(sizes.join(blocks, "cluster"))
+    left = asked.join(cut, "cluster").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    members = with_norm(emb).select("fact_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col(key).cast("long").alias("cluster"))
+    right = members.join(cut, "cluster").withColumn("slice", F.pmod(F.xxhash64("fact_id"), F.col("slices")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("cluster", "block", "slice", "query_id", "embedding").toDF("cluster", "block", "slice", "query_id", "embedding")
+    right = right.select("cluster", "block", "slice", "fact_id", "embedding").toDF("cluster", "block", "slice", "fact_id", "embedding")
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _meet(a, b, -2.0, l2) if len(a) and len(b) else pd.DataFrame({"query_id": [], "fact_id": [], "cosine": []})
+
+    keys = ["cluster", "block", "slice"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, "query_id long, fact_id long, cosine double")
     return top_k(scored.select("query_id", "fact_id", F.round("cosine", 6).alias("score")), l2, item="fact_id")
 
 
 def cosine_pairs(emb: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, cosine) with a < b for pairs at or above the threshold, compared in keyed tiles."""
-    q = emb.select(F.col("fact_id").alias("query_id"), "embedding")
-    return cosine_scores(q, emb).where((F.col("query_id") < F.col("fact_id")) & (F.round("cosine", 9) >= threshold)).select(
-        F.col("query_id").alias("a"), F.col("fact_id").alias("b"), F.round("cosine", 6).alias("cosine")
-    )
+    """(a, b, cosine) with a < b for pairs at or above the threshold: the exact form, every vector against every other.
+
+    Vectors are packed in blocks of PAIR_ROWS, and each pair of blocks is one task's matrix product, so that tasks grow with the
+    table and a vector is sent once for each block. The work is quadratic, as exact pairs of any threshold ask for.
+    """
+    spark = emb.sparkSession
+    e = with_norm(emb).select(F.col("fact_id").cast("long").alias("fact_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    n = max(1, -(-e.count() // PAIR_ROWS))
+    own = e.withColumn("own", F.pmod(F.xxhash64("fact_id"), F.lit(n)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = own.select("fact_id", "embedding", "own", other.alias("other")).select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def pair(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        first, second = (b, b) if key[0] == key[1] else (b[b["own"] == key[0]], b[b["own"] == key[1]])
+        if not len(first) or not len(second):
+            return pd.DataFrame({"a": [], "b": [], "cosine": []})
+        found = _meet(first.rename(columns={"fact_id": "query_id"}), second, threshold - 1e-9, None)
+        if key[0] == key[1]:
+            found = found[found["query_id"] < found["fact_id"]]
+        ids = np.sort(found[["query_id", "fact_id"]].to_numpy(), axis=1).reshape(-1, 2)
+        return pd.DataFrame({"a": ids[:, 0], "b": ids[:, 1], "cosine": found["cosine"].to_numpy()})
+
+    found = dealt.groupBy("i", "j").applyInPandas(pair, "a long, b long, cosine double")
+    return found.where(F.round("cosine", 9) >= threshold).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def rrf(lists: list[DataFrame], k: int = 60) -> DataFrame:
