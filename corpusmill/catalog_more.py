@@ -1,4 +1,4 @@
-"""Queries of path scores, reflection, entities, private spans and two-level search, with their DuckDB SQL."""
+"""Queries of path scores, reflection, entities, private spans, two-level search, planned changes and chains, with their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ from corpusmill.catalog_ranking import on_lists
 from corpusmill.catalog_relations import candidates, words_sql
 from corpusmill.catalog_screening import text_sql
 from corpusmill.catalog_texts import noted, on_notes
-from corpusmill.operators import entities, private, reflection, relations, screening, vectors
+from corpusmill.operators import changes, coreference, entities, lifecycle, private, reflection, relations, screening, vectors
 from corpusmill.operators.lexical import top_k
 from corpusmill.operators.relations import NEGATIONS
+from corpusmill.plans.chain import Registry
 from corpusmill.plans.runtime import checkpoint
-from corpusmill.registry import VEC_SQL, docs, emb, on_facts, query_vectors, register
-from corpusmill.sources.views import facts, queries_table
+from corpusmill.registry import VEC_SQL, docs, emb, on_facts, on_log, query_vectors, register
+from corpusmill.sources.views import facts, queries_table, recall_log
 
 RELATION_SQL = f"""p1 AS (SELECT *, len(wa)::DOUBLE AS na, len(wb)::DOUBLE AS nb, len(list_intersect(wa, wb))::DOUBLE AS m, len(list_intersect(ea, eb))::DOUBLE AS em, len(list_distinct(ea)) AS xa, len(list_distinct(eb)) AS xb FROM p0),
     p2 AS (SELECT *, CASE WHEN na + nb > 0 THEN m / (na + nb - m) ELSE 0 END AS j, CASE WHEN xa + xb > 0 THEN em / (xa + xb - em) ELSE 0 END AS e, abs(length(ta) - length(tb)) AS gap,
@@ -151,3 +152,86 @@ def j2_redact(s, d):
     """Texts redacted by earliest span; held against plain Python."""
     out = private.pii_redact(docs(s, d), "doc_id", "text")
     return out.select("doc_id", F.md5("redacted").alias("digest"), F.length("redacted").alias("n_chars"), "hits", "blocked")
+
+
+@on_facts(
+    "h12_renewals",
+    """, h AS (SELECT DISTINCT event_id % 100 AS fact_id FROM events WHERE event_id % 3 = 0),
+    x AS (SELECT fact_id, CASE WHEN access_count >= 3 THEN 'promoted' WHEN h.fact_id IS NOT NULL THEN 'renewed' WHEN expires_in_days < 0 THEN 'demoted' END AS reason
+      FROM facts LEFT JOIN h USING (fact_id) WHERE NOT tombstoned AND scope_type = 'short_term')
+    SELECT fact_id, CASE WHEN reason = 'promoted' THEN 'long_term' ELSE 'short_term' END AS scope, CASE reason WHEN 'renewed' THEN 30 WHEN 'demoted' THEN 0 ELSE -1 END AS expires_in_days, reason FROM x WHERE reason IS NOT NULL""",
+)
+def h12_renewals(s, d):
+    hits = recall_log(s, d).where("event_id % 3 = 0").select(F.col("hit_a").alias("fact_id"))
+    return changes.renewals(facts(s, d), hits).fillna(-1, ["expires_in_days"])
+
+
+@on_log(
+    "h20_retry_actions",
+    """, x AS (SELECT event_id AS item_id, CASE intent WHEN 'error' THEN 'error' WHEN 'view' THEN 'running' ELSE 'done' END AS status, n_results AS attempts, event_id % 60 AS age, qhash % 30 AS lease FROM recall_log),
+    y AS (SELECT item_id, CASE WHEN status = 'done' AND age > 30 THEN 'purge' WHEN status = 'error' AND attempts >= 5 THEN 'give_up' WHEN status = 'error' THEN 'requeue' WHEN status = 'running' AND lease > 15 THEN 'reclaim' END AS action FROM x)
+    SELECT item_id, action FROM y WHERE action IS NOT NULL""",
+)
+def h20_actions(s, d):
+    log = recall_log(s, d)
+    status = F.when(F.col("intent") == "error", "error").when(F.col("intent") == "view", "running").otherwise("done")
+    items = log.select(F.col("event_id").alias("item_id"), status.alias("status"), F.col("n_results").alias("attempts"), (F.col("event_id") % 60).alias("age_days"), (F.col("qhash") % 30).alias("lease_minutes"))
+    return changes.retry_actions(items)
+
+
+@on_log(
+    "h21_trust_changes",
+    """, o AS (SELECT user_id AS peer_id, sum(CASE WHEN intent = 'error' THEN -10 ELSE 3 END) AS bump FROM recall_log GROUP BY 1),
+    p AS (SELECT DISTINCT user_id AS peer_id, user_id % 101 AS was FROM recall_log), n AS (SELECT peer_id, was, greatest(0, least(100, was + coalesce(bump, 0)))::BIGINT AS trust FROM p LEFT JOIN o USING (peer_id))
+    SELECT peer_id, trust, trust < 10 AS quarantined, CASE WHEN trust < 10 THEN was ELSE -1 END AS original FROM n""",
+)
+def h21_changes(s, d):
+    log = recall_log(s, d).where("user_id IS NOT NULL")
+    peers = log.select(F.col("user_id").alias("peer_id"), (F.col("user_id") % 101).alias("trust")).distinct()
+    return changes.trust_changes(peers, log.select(F.col("user_id").alias("peer_id"), F.when(F.col("intent") == "error", -10).otherwise(3).alias("bump"))).fillna(-1, ["original"])
+
+
+@on_facts(
+    "h1_invalidate_requests",
+    """, q AS (SELECT event_id % 1200 AS fact_id, event_id % 40 AS at_days, 'u' || (user_id % 5) AS by_, event_type AS reason FROM events WHERE event_id % 2 = 0),
+    f1 AS (SELECT fact_id, arg_max({'at': at_days, 'by_': by_, 'reason': reason}, (at_days, by_, reason)) AS r FROM q GROUP BY 1),
+    x AS (SELECT f1.fact_id, r, ended_days, CASE WHEN f.fact_id IS NULL THEN 'missing' WHEN tombstoned THEN 'gone' WHEN ended_days IS NOT NULL THEN 'already' ELSE 'invalidated' END AS status FROM f1 LEFT JOIN facts f USING (fact_id))
+    SELECT fact_id, status, coalesce(CASE WHEN status = 'invalidated' THEN r.at ELSE ended_days END, -1)::BIGINT AS ended_days, CASE WHEN status = 'invalidated' THEN r.by_ END AS ended_by, CASE WHEN status = 'invalidated' THEN r.reason END AS reason FROM x""",
+)
+def h1_requests(s, d):
+    e = F.col("event_id")
+    asked = recall_log(s, d).where("event_id % 2 = 0").select((e % 1200).alias("fact_id"), (e % 40).alias("at_days"), F.concat(F.lit("u"), F.col("user_id") % 5).alias("by"), F.col("intent").alias("reason"))
+    return changes.invalidate_requests(facts(s, d), asked).fillna(-1, ["ended_days"])
+
+
+@on_facts(
+    "a7_export_rows",
+    """, b AS (SELECT kind, fact_id, importance, tombstoned, md5(trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g'))) AS h FROM facts),
+    l AS (SELECT kind, h, arg_max(fact_id, (importance, -fact_id)) AS fact_id, count(*) AS copies FROM b WHERE NOT tombstoned GROUP BY 1, 2)
+    SELECT kind, fact_id, 'entry' AS part, copies FROM l UNION ALL SELECT kind, b.fact_id, CASE WHEN l.fact_id IS NOT NULL THEN 'moved' ELSE 'removed' END, 1 FROM b LEFT JOIN l USING (kind, h) WHERE tombstoned""",
+)
+def a7_rows(s, d):
+    return changes.export_rows(facts(s, d))
+
+
+@register("j19_coreference", None)
+def j19(s, d):
+    """Led texts with pronouns replaced from the ten texts before of their user and topic; held against plain Python."""
+    f = facts(s, d).select("fact_id", "user_id", "topic", "age_days").join(noted(s, d).select("fact_id", F.col("t").alias("content")), "fact_id")
+    dated = f.withColumn("created", -F.col("age_days"))
+    out = coreference.resolve_pronouns(dated, ["user_id", "topic"], ["created"])
+    return out.select("fact_id", F.md5("resolved").alias("digest"), "changed")
+
+
+STEPS = Registry()
+STEPS.add("live", lambda f: f.where(lifecycle.is_active()), "screen")
+STEPS.add("commons", lambda f: f.where("visibility = 'commons'"), "screen")
+STEPS.add("weigh", lambda f: f.withColumn("weight", F.round(F.col("importance") * F.col("confidence"), 6)), "score")
+STEPS.add("certain", lambda f: f.where("confidence >= 0.5"), "screen")
+
+
+@on_facts("n1_chain", "SELECT fact_id, round(importance * confidence, 6) AS weight FROM facts WHERE NOT tombstoned AND ended_days IS NULL AND visibility = 'commons' AND round(confidence, 6) >= 0.5")
+def n1(s, d):
+    """Steps chosen by tag and chained over the facts: all screens, then the scores."""
+    sure = facts(s, d).withColumn("confidence", F.round("confidence", 6))
+    return STEPS.chain(sure, [*STEPS.select("screen"), *STEPS.select("score")]).select("fact_id", "weight")

@@ -79,7 +79,7 @@ def b6(s, d):
 _TALK = ", ".join(f"'{p}'" for p in screening.SMALL_TALK)
 GATE_SQL = f"""CASE WHEN text IS NULL OR length(regexp_replace(text, '^\\s+', '')) = 0 THEN 'empty' WHEN length(text) < 30 THEN 'too_short'
   WHEN lower(regexp_extract(regexp_replace(text, '^\\s+', ''), '^[^\\s]+')) IN ({_TALK}) OR lower(substr(regexp_replace(text, '^\\s+', ''), 1, 2)) IN ({_TALK}) THEN 'noise_prefix'
-  WHEN regexp_matches(regexp_replace(text, '^\\s+', ''), {text_sql(screening.COMMAND_START)}) THEN 'execution_log' ELSE 'keep' END"""
+  WHEN regexp_matches(regexp_replace(text, '^\\s+', ''), {text_sql(screening.command_start())}) THEN 'execution_log' ELSE 'keep' END"""
 
 
 @register("b7_capture_gate", f"SELECT conv_id, turn, {GATE_SQL} AS gate FROM conversations")

@@ -42,3 +42,20 @@ def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, Column]) -> Dat
     out = ranged.join(F.broadcast(offsets), "pid_")  # a row per partition
     out = out.withColumns({k: F.coalesce(F.sum(f"v_{k}").over(here), F.lit(0)) + F.col(f"o_{k}") for k in sums})
     return out.drop("pid_", *[f"{x}_{k}" for k in sums for x in "vo"])
+
+
+def with_previous(df: DataFrame, order: list[str], carried: list[str]) -> DataFrame:
+    """Add prev_<c> for each carried column: its value in the row before in the order, null in the first row.
+
+    Rows are range partitioned and checkpointed, so that no key is bound to one task; a partition's first row takes the last
+    row of the nearest partition before it, of which there is one row per partition.
+    """
+    n = shuffle_partitions(df.sparkSession)
+    ranged = checkpoint(df.repartitionByRange(n, *order).withColumn("pid_", F.spark_partition_id()))
+    ends = ranged.groupBy("pid_").agg(F.max_by(F.struct(*carried), F.struct(*order)).alias("end_"))
+    before = Window.partitionBy(F.lit(0)).orderBy("pid_")
+    ends = ends.select("pid_", F.lag("end_").over(before).alias("end_"))
+    here = Window.partitionBy("pid_").orderBy(*order)
+    own = F.lag(F.struct(*carried)).over(here)
+    out = ranged.join(F.broadcast(ends), "pid_").withColumn("prev_", F.coalesce(own, F.col("end_")))  # a row per partition
+    return out.select(*df.columns, *[F.col("prev_").getField(c).alias(f"prev_{c}") for c in carried])

@@ -180,3 +180,72 @@ def nonce_dedup(log: DataFrame, days: int = 7) -> DataFrame:
     rows = log.where("user_id IS NOT NULL AND nonce IS NOT NULL AND ts IS NOT NULL").select("user_id", "nonce", "event_id", F.col("ts").cast("long").alias("s"))
     dealt = rows.repartition(shuffle_partitions(log.sparkSession), "user_id", "nonce").sortWithinPartitions("user_id", "nonce", "s", "event_id")
     return dealt.mapInPandas(run, "user_id long, nonce long, event_id long, accepted boolean")
+
+
+def renewals(facts: DataFrame, hits: DataFrame, ttl: int = 30, least: int = 3) -> DataFrame:
+    """(fact_id, scope, expires_in_days, reason): scope changes of live short-term facts.
+
+    One recalled in hits(fact_id) is renewed for ttl days; one with enough accesses becomes long-term and never ends; else one
+    past its end is demoted to the end itself, today.
+    """
+    short = facts.where(~F.col("tombstoned") & (F.col("scope_type") == "short_term"))
+    j = short.join(hits.select("fact_id").distinct().withColumn("hit", F.lit(True)), "fact_id", "left")
+    reason = F.when(F.col("access_count") >= least, "promoted").when(F.coalesce("hit", F.lit(False)), "renewed").when(F.col("expires_in_days") < 0, "demoted")
+    days = F.when(reason == "renewed", ttl).when(reason == "demoted", 0)
+    scope = F.when(reason == "promoted", "long_term").otherwise("short_term")
+    return j.select("fact_id", scope.alias("scope"), days.alias("expires_in_days"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def retry_actions(items: DataFrame, max_attempts: int = 5, keep_days: int = 30, lease_minutes: int = 15) -> DataFrame:
+    """(item_id, action) over items(item_id, status, attempts, age_days, lease_minutes): purge, give_up, requeue or reclaim.
+
+    Done items past keep_days go; failed ones are queued again while attempts are left; a running one whose lease is over is
+    taken back. All others need nothing.
+    """
+    action = (
+        F.when((F.col("status") == "done") & (F.col("age_days") > keep_days), "purge")
+        .when((F.col("status") == "error") & (F.col("attempts") >= max_attempts), "give_up")
+        .when(F.col("status") == "error", "requeue")
+        .when((F.col("status") == "running") & (F.col("lease_minutes") > lease_minutes), "reclaim")
+    )
+    return items.select("item_id", action.alias("action")).where("action IS NOT NULL")
+
+
+def trust_changes(peers: DataFrame, outcomes: DataFrame, lowest: int = 10) -> DataFrame:
+    """(peer_id, trust, quarantined, original): trust after bumps, held in 0..100; below the lowest a peer is set aside.
+
+    outcomes(peer_id, bump) are summed per peer. original is the trust a peer set aside had, to give back later.
+    """
+    total = outcomes.groupBy("peer_id").agg(F.sum("bump").alias("bump"))
+    new = F.greatest(F.lit(0), F.least(F.lit(100), F.col("trust") + F.coalesce("bump", F.lit(0))))
+    j = peers.join(total, "peer_id", "left").select("peer_id", F.col("trust").alias("was"), new.cast("long").alias("trust"))
+    low = F.col("trust") < lowest
+    return j.select("peer_id", "trust", low.alias("quarantined"), F.when(low, F.col("was")).cast("long").alias("original"))
+
+
+def invalidate_requests(facts: DataFrame, requests: DataFrame) -> DataFrame:
+    """(fact_id, status, ended_days, ended_by, reason) of requests(fact_id, at_days, by, reason): what each does, none done twice.
+
+    Of several requests for a fact the earliest by at_days (days before now, largest first), then by and reason, counts. invalidated sets
+    the end; an ended fact keeps its own (already); a removed one gives gone; an unknown one missing.
+    """
+    first = requests.groupBy("fact_id").agg(F.max_by(F.struct("at_days", "by", "reason"), F.struct("at_days", "by", "reason")).alias("r"))
+    j = first.join(facts.select("fact_id", "tombstoned", "ended_days"), "fact_id", "left")
+    status = F.when(F.col("tombstoned").isNull(), "missing").when(F.col("tombstoned"), "gone").when(F.col("ended_days").isNotNull(), "already").otherwise("invalidated")
+    done = status == "invalidated"
+    return j.select("fact_id", status.alias("status"), F.when(done, F.col("r.at_days")).otherwise(F.col("ended_days")).cast("long").alias("ended_days"), F.when(done, F.col("r.by")).alias("ended_by"), F.when(done, F.col("r.reason")).alias("reason"))
+
+
+def export_rows(facts: DataFrame) -> DataFrame:
+    """(kind, fact_id, part, copies): rows of an export by kind: a live entry for each content, its copies counted, and ended rows.
+
+    Live rows of one kind and content, white space aside, collapse to the one of most importance, ties by smallest id. Removed
+    rows that a live row of the same content replaces are moved, others removed.
+    """
+    body = F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " "))
+    f = facts.select("kind", "fact_id", "importance", "tombstoned", F.md5(body).alias("h"))
+    live = f.where("NOT tombstoned").groupBy("kind", "h").agg(F.max_by("fact_id", F.struct("importance", -F.col("fact_id"))).alias("fact_id"), F.count("*").alias("copies"))
+    entries = live.select("kind", "fact_id", F.lit("entry").alias("part"), "copies")
+    gone = f.where("tombstoned").join(live.select("kind", "h", F.lit(True).alias("has")), ["kind", "h"], "left")
+    part = F.when(F.coalesce("has", F.lit(False)), "moved").otherwise("removed")
+    return entries.unionByName(gone.select("kind", "fact_id", part.alias("part"), F.lit(1).cast("long").alias("copies")))

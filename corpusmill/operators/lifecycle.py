@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.ordered import prefix_sums, with_previous
 from corpusmill.operators.similar import components, jaccard_prefix, rare_items
 from corpusmill.plans.runtime import checkpoint
 
@@ -137,15 +138,25 @@ def ancestors(edges: DataFrame, seeds: DataFrame, max_depth: int = 8) -> DataFra
 
 
 def session_clusters(chunks: DataFrame, gap_minutes: int = 30) -> DataFrame:
-    """Consecutive chunks of a user; a new cluster opens when the gap exceeds the limit. One row per cluster."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts").cast("long") - F.lag(F.col("ts").cast("long")).over(order)
-    marked = chunks.withColumn("opens", F.coalesce((gap > 60 * gap_minutes).cast("int"), F.lit(1)))
-    numbered = marked.withColumn("cluster", F.sum("opens").over(order))
-    return numbered.groupBy("user_id", "cluster").agg(
+    """Consecutive chunks of a user; a new cluster opens when the gap exceeds the limit. One row per cluster.
+
+    Users are not bound to tasks: rows lie in ranges of (user, time), and sums over ranges number the clusters.
+    """
+    order = ["user_id", "ts", "event_id"]
+    rows = with_previous(chunks.select(*order), order, ["user_id", "ts"])
+    same = F.col("prev_user_id").eqNullSafe(F.col("user_id")) & F.col("prev_ts").isNotNull()
+    gap = F.col("ts").cast("long") - F.col("prev_ts").cast("long")
+    opens = F.when(same & F.coalesce(gap <= 60 * gap_minutes, F.lit(False)), 0).otherwise(1)
+    summed = prefix_sums(rows.select(*order, opens.alias("opens")), order, {"before": F.col("opens")})
+    placed = summed.select(*order, (F.col("before") + F.col("opens")).alias("number"))
+    grouped = placed.groupBy("user_id", "number").agg(
         F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"),
         (F.max("ts").cast("long") - F.min("ts").cast("long")).alias("seconds"),
     )
+    grouped = checkpoint(grouped)
+    first = grouped.groupBy(F.col("user_id").alias("u_")).agg(F.min("number").alias("low_"))
+    joined = grouped.join(first, F.col("user_id").eqNullSafe(F.col("u_")))
+    return joined.select("user_id", (F.col("number") - F.col("low_") + 1).alias("cluster"), "n", "first_id", "last_id", "seconds")
 
 
 def lifecycle(facts: DataFrame) -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.plans.runtime import shuffle_partitions
+
 # English discourse words that a recall query loses, and words that say nothing about an error.
-DISCOURSE = (
-    "i we you he she it they the a an do does did what when where how which last next this that these those about just really very actually"
-).split()
-ERROR_NOISE = "the and for with from this that have into your file line value error errors".split()
+DISCOURSE = [
+    "i", "we", "you", "he", "she", "it", "they", "the", "a", "an", "do", "does", "did", "what", "when", "where", "how", "which", "last", "next", "this", "that", "these",
+    "those", "about", "just", "really", "very", "actually",
+]
+ERROR_NOISE = ["the", "and", "for", "with", "from", "this", "that", "have", "into", "your", "file", "line", "value", "error", "errors"]
 # Kinds that may supersede or gate older facts of the gated kinds.
 UPDATE_KINDS = ["user_correction", "correction", "pushback", "fact_update", "user_preference", "decision", "success_pattern"]
 GATED_KINDS = ["user_preference", "decision", "user_correction", "success_pattern"]
@@ -299,13 +305,31 @@ def usage_rate(results: DataFrame, expected: DataFrame, facts: DataFrame, cite:
 
 
 def snapshot_ratchet(runs: DataFrame, least: float = 0.005, window: int = 3) -> DataFrame:
-    """(variant, run, median, snapshot) over runs(variant, run, score): the snapshot rises to the median of the last runs if that is at least `least` above it, never falls."""
+    """(variant, run, median, snapshot) over runs(variant, run, score): the snapshot rises to the median of the last runs if that is at least `least` above it, never falls.
+
+    Rows stream in order of variant and run; a task holds one number.
+    """
     order = Window.partitionBy("variant").orderBy("run")
     last = F.sort_array(F.collect_list("score").over(order.rowsBetween(1 - window, 0)))
     med = F.element_at(last, (F.floor(F.size(last) / 2) + 1).cast("int"))
-    so_far = runs.withColumn("median", med).withColumn("meds", F.collect_list("median").over(order))
-    up = F.aggregate("meds", F.lit(None).cast("double"), lambda a, m: F.when(a.isNull() | (m >= a + least), m).otherwise(a))
-    return so_far.select("variant", "run", F.round("median", 6).alias("median"), F.round(up, 6).alias("snapshot"))
+    rows = runs.select("variant", "run", med.cast("double").alias("median"))
+    kind = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        variant, high = None, None
+        for b in batches:
+            out = []
+            for v, m in zip(b["variant"].tolist(), b["median"].tolist()):
+                if v != variant or high is None:
+                    variant, high = v, m
+                elif m >= high + least:
+                    high = m
+                out.append(high)
+            yield b.assign(snapshot=np.array(out, dtype=float))
+
+    dealt = rows.repartition(shuffle_partitions(runs.sparkSession), "variant").sortWithinPartitions("variant", "run")
+    risen = dealt.mapInPandas(run, f"variant {kind['variant']}, run {kind['run']}, median double, snapshot double")
+    return risen.select("variant", "run", F.round("median", 6).alias("median"), F.round("snapshot", 6).alias("snapshot"))
 
 
 def build_holdout(facts: DataFrame, tuning: DataFrame, share: float = 0.5) -> DataFrame:

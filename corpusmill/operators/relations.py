@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.lexical import top_k
+from corpusmill.plans.runtime import checkpoint
 
 # Negation words, connector words of chains, and role nouns.
 NEGATIONS = ["not", "no", "never"]
@@ -17,15 +18,17 @@ BRIDGE_TERMS = [
     "works", "worked", "job", "company", "friend", "partner", "colleague", "meeting", "met", "visit", "visited", "together", "helped",
     "married", "relationship", "family", "son", "daughter", "mother", "father",
 ]
-ROLES = (
-    "friend partner spouse husband wife child kid son daughter mother father mom dad sister brother boss teacher student doctor counselor "
-    "therapist artist mentor colleague neighbor"
-).split()
+ROLES = [
+    "friend", "partner", "spouse", "husband", "wife", "child", "kid", "son", "daughter", "mother", "father", "mom", "dad", "sister", "brother", "boss", "teacher",
+    "student", "doctor", "counselor", "therapist", "artist", "mentor", "colleague", "neighbor",
+]
 # Stop words of the reranker.
-RERANK_STOPWORDS = (
-    "a an and are as at be by do for from has have he her his i in is it its me my no not of on or our she so the their them they this to us was we were "
-    "what when where which who why will with you your"
-).split()
+RERANK_STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "do", "for", "from", "has", "have", "he", "her", "his", "i", "in", "is", "it", "its", "me", "my", "no", "not",
+    "of", "on", "or", "our", "she", "so", "the", "their", "them", "they", "this", "to", "us", "was", "we", "were", "what", "when", "where", "which", "who", "why",
+    "will", "with", "you", "your",
+]
+SUBSETS_OF = 6
 
 
 def words(text: Column) -> Column:
@@ -237,15 +240,27 @@ def scenario_rank(queries: DataFrame, scenarios: DataFrame, k: int = 3) -> DataF
 
 
 def entity_links(entities: DataFrame) -> DataFrame:
-    """(fact_id, n_links): how many other facts share an exact entity with each, without making pairs.
+    """(fact_id, n_links): how many other facts share an exact entity with each.
 
-    entities(fact_id, type, value), distinct. Links are counted by inclusion and exclusion over the subsets of a fact's
-    entities; a fact may have four, more raise an error.
+    entities(fact_id, type, value), distinct. Among facts of up to SUBSETS_OF entities links are counted by inclusion and
+    exclusion over the subsets of a fact's entities, without making pairs. Facts with more entities meet their partners by a
+    join on the entity, each partner once.
     """
-    per = entities.groupBy("fact_id").agg(F.sort_array(F.collect_set(F.struct("type", "value"))).alias("e"))
-    n = F.when(F.size("e") > 4, F.raise_error(F.lit("more than four entities of a fact"))).otherwise(F.pow(F.lit(2), F.size("e")).cast("int"))
-    masks = per.withColumn("mask", F.explode(F.sequence(F.lit(1), n - 1)))
+    rows = checkpoint(entities.where(F.col("fact_id").isNotNull() & F.col("value").isNotNull()).select("fact_id", "type", "value").distinct())
+    per = rows.groupBy("fact_id").agg(F.count("*").alias("k"))
+    many = checkpoint(rows.join(per.where(F.col("k") > SUBSETS_OF).select("fact_id"), "fact_id", "left_semi"))
+    few = rows.join(many.select("fact_id").distinct(), "fact_id", "left_anti")
+    sets = few.groupBy("fact_id").agg(F.sort_array(F.collect_set(F.struct("type", "value"))).alias("e"))  # at most SUBSETS_OF
+    masks = sets.withColumn("mask", F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("e")).cast("int") - 1)))
     subset = masks.select("fact_id", F.bit_count("mask").alias("bits"), F.filter("e", lambda x, i: F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0).alias("part"))
     sizes = subset.groupBy("part").agg(F.count("*").alias("n"))
     signed = F.when(F.col("bits") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
-    return subset.join(sizes, "part").groupBy("fact_id").agg((F.sum(signed) - 1).alias("n_links"))
+    counted = subset.join(sizes, "part").groupBy("fact_id").agg((F.sum(signed) - 1).alias("n"))
+    pairs = many.toDF("a", "type", "value").join(rows.toDF("b", "type", "value"), ["type", "value"]).where("a <> b").select("a", "b").distinct()
+    pairs = checkpoint(pairs)
+    long = many.select(F.col("fact_id").alias("a")).distinct()
+    of_many = pairs.groupBy(F.col("a").alias("fact_id")).agg(F.count("*").alias("n"))
+    of_few = pairs.join(long.withColumnRenamed("a", "b"), "b", "left_anti").groupBy(F.col("b").alias("fact_id")).agg(F.count("*").alias("n"))
+    zero = long.select(F.col("a").alias("fact_id"), F.lit(0).cast("long").alias("n"))
+    every = counted.unionByName(of_many).unionByName(of_few).unionByName(zero)
+    return every.groupBy("fact_id").agg(F.sum("n").alias("n_links"))

@@ -57,6 +57,7 @@ SCRUBS = [
     (r"/(?:home|Users|root|[a-z]/Users)/[^\s\"']+", "<PATH>"),
     (r"(?:10\.[0-9]{1,3}|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.[0-9]{1,3}\.[0-9]{1,3}", "<IP>"),
 ]
+# Generic words that are no topic.
 TOPIC_SKIP = ["doc", "test", "note", "example", "step", "note timestamp", "doc timestamp"]
 # Words at the head of a block that mark its part in a procedure.
 PARTS = {
@@ -64,6 +65,7 @@ PARTS = {
     "action": ["操作", "修", "执行", "跑", "设", "改", "重启", "清理", "归档", "fix", "action", "do "],
     "verify": ["验证", "确认", "应该", "预期", "验收", "回滚", "verify", "expect", "confirm"],
 }
+# Names of weekdays, from Monday.
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 
 
@@ -129,6 +131,7 @@ def resolve_date(text: Column, anchor: Column) -> Column:
     def on(date: Column, precision: str) -> Column:
         return F.struct(date.alias("event_date"), F.lit(precision).alias("precision"))
 
+    # fixed values: phrases and their days from the anchor, in order
     fixed = [("today", 0), ("yesterday", -1), ("tomorrow", 1), ("the other day", -3), ("last night", -1), ("this morning", 0), ("tonight", 0), ("last week", -7), ("this week", 0), ("next week", 7)]
     out = F.when(text.rlike(word("today")), at(F.lit(0)))
     for phrase, days in fixed[1:]:

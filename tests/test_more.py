@@ -159,3 +159,101 @@ def test_cosine_blocks_equal_brute_force(spark, monkeypatch):
     assert pairs == {(i, j) for i in range(60) for j in range(i + 1, 60) if u[i] @ u[j] >= 0.5}
     got = {(r["query_id"], r["fact_id"]): r["cosine"] for r in vectors.cosine_scores(df.withColumnRenamed("fact_id", "query_id"), df).collect()}
     assert len(got) == 60 * 59 and all(np.isclose(c, u[i] @ u[j]) for (i, j), c in got.items())
+
+
+def plain_names(text):
+    from corpusmill.operators.coreference import NO_NAMES, PRONOUN_STARTS, TITLES
+
+    body = (text or "").lstrip()
+    if body[:2] in PRONOUN_STARTS or body[:1].lower() in PRONOUN_STARTS or (body.split() or [""])[0].lower() in PRONOUN_STARTS:
+        return []
+    found = re.findall(f"[一-鿿]{{0,4}}(?:{'|'.join(TITLES)})", body) + [w for w in re.findall("[一-鿿]{2,4}", body) if w not in NO_NAMES]
+    return [w for w in found + re.findall(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b", body) if len(w) >= 2]
+
+
+def plain_resolve(text, pool):
+    from corpusmill.operators.coreference import CHINESE, ENGLISH
+
+    at = 0
+    for word in CHINESE + ENGLISH if pool else []:
+        pattern = re.compile(re.escape(word) if word in CHINESE else rf"\b{word}\b", re.I)
+        if pattern.search(text):
+            name = pool[at % len(pool)]
+            text = pattern.sub(lambda m: name[0].upper() + name[1:] if m[0][0].isupper() and word in ENGLISH else name, text)
+            at = at % len(pool) + 1
+    return text
+
+
+def test_pronouns_equal_a_plain_walk(spark):
+    from corpusmill.operators import coreference
+
+    lines = ["王经理 met Maria Lopez in Rome", "She said he likes it", "他们 told them: That person is here", None, "  ", "It was theirs", "Bob and Ann", "her friend", "她同意 and they agree", "She said he likes it"]
+    rows = [(k, "ab"[k % 2] if k < 6 else "a", k // 3, t) for k, t in enumerate(lines * 3)]
+    df = spark.createDataFrame(rows, "fact_id long, grp string, created int, content string")
+    got = {r["fact_id"]: r["resolved"] for r in coreference.resolve_pronouns(df, ["grp"], ["created"]).collect()}
+    for k, group, _, text in rows:
+        text = text or ""
+        past = [t or "" for i, g, _, t in rows if g == group and i < k][-20:][::-1]
+        pool = []
+        for t in [t for t in past if t.strip() != text.strip()][:10]:
+            pool += [n for n in plain_names(t) if n.lower() not in {p.lower() for p in pool}]
+            pool = [p for j, p in enumerate(pool) if p.lower() not in {q.lower() for q in pool[:j]}]
+        assert got[k] == (plain_resolve(text, pool) if text.strip() else text), k
+
+
+def test_streams_equal_their_batch_twins(spark, tmp_path):
+    from corpusmill.operators import changes
+    from corpusmill.streaming import jobs
+
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", (F.col("event_id") % 5).alias("nonce"), F.col("ts").cast("timestamp").alias("ts"))
+    events.write.parquet(str(tmp_path / "e"))
+    stream = lambda: spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(jobs.run_to_memory(jobs.nonces(stream()), "nonces")) == key(changes.nonce_dedup(events))
+    assert key(jobs.run_to_memory(jobs.admissions(stream(), 3, 168), "admissions")) == key(changes.rate_admission(events, 3, 168))
+    seen = []
+    jobs.each_batch(stream(), lambda batch, n: seen.append((n, batch.count())), str(tmp_path / "c"))
+    assert sum(n for _, n in seen) == events.count()
+
+
+def test_sessions_of_one_hot_user(spark):
+    rnd = random.Random(9)
+    rows, s = [], 0
+    for k in range(500):
+        s += rnd.choice([60, 1800, 1801, 4000])
+        rows.append((k, 1 if k % 10 else None, s))
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = sorted((r["user_id"] or 0, r["cluster"], r["n"], r["first_id"], r["last_id"]) for r in lifecycle.session_clusters(df.drop("s")).collect())
+    want = []
+    for user in (None, 1):
+        last, cluster = None, 0
+        for k, u, t in rows:
+            if u != user:
+                continue
+            if last is None or t - last > 1800:
+                cluster += 1
+                want.append([user or 0, cluster, 0, k, k])
+            want[-1][2] += 1
+            want[-1][4] = k
+            last = t
+    assert got == sorted(map(tuple, want))
+
+
+def test_links_of_facts_with_many_entities(spark):
+    from corpusmill.operators import relations
+
+    rnd = random.Random(3)
+    rows = [(k, "t", str(e)) for k in range(40) for e in rnd.sample(range(60), 9 if k % 4 == 0 else 3)]
+    own = {k: {e for i, _, e in rows if i == k} for k in range(40)}
+    got = dict(map(tuple, relations.entity_links(spark.createDataFrame(rows, "fact_id long, type string, value string")).collect()))
+    assert got == {k: sum(bool(own[k] & own[j]) for j in range(40) if j != k) for k in range(40)}
+
+
+def test_chain_selects_by_tag(spark):
+    from corpusmill.plans.chain import Registry
+
+    steps = Registry()
+    steps.add("even", lambda d: d.where("id % 2 = 0"), "screen", "cheap")
+    steps.add("big", lambda d: d.where("id > 4"), "screen")
+    assert steps.select("screen") == ["even", "big"] and steps.select("screen", "cheap") == ["even"]
+    assert [r["id"] for r in steps.chain(spark.range(10), steps.select("screen")).collect()] == [6, 8]
