@@ -7,8 +7,8 @@ are united. Each vector then searches every shard that may hold a row it links w
 a margin of its nearest or within link range. In a dense group that many centroids cut, these are all clusters of the group.
 The search walks the shard's part of the united graph: greedily from the vector's own row, the shard's medoid, rows spread
 over the shard and one row of each connected part, expanding further while nodes within the link range (and a margin) remain
-unexpanded. A pair is counted in the home cluster of the row found and nowhere else, verified in double precision. A shard
-above the row bound is cut at random into sub-shards with a graph each, and its seekers, dealt into parts, search all of
+unexpanded. A pair is counted in the home cluster of the row found and nowhere else, verified in double precision; where a
+row has few links in a task, its pairs are handed on, so that a pair that one end has found counts for both. A shard above the row bound is cut at random into sub-shards with a graph each, and its seekers, dealt into parts, search all of
 them. Tasks return counts and a spanning forest, never all pairs. Recall is audited against brute force, and where it is too
 low the search is widened, at last to all clusters and all of their rows.
 """
@@ -30,7 +30,7 @@ from corpusmill.plans.runtime import bounded_batches, checkpoint
 THRESHOLD = 0.9
 MARGIN = 0.15
 OVERLAP = 2
-REACH = 2.0
+REACH = 1.0
 NEAR = 0.05
 SEEKERS = 8192
 SHARD_ROWS = 1024
@@ -47,6 +47,7 @@ QUERY_ROWS = 128
 ASSIGN_ROWS = 65_536
 AUDIT_QUERIES = 4096
 PAIR_ROWS = 1 << 14
+PAIRS_OF = 64
 
 
 def valid(embedding: Column) -> Column:
@@ -257,13 +258,17 @@ def _graphs(placed: DataFrame) -> DataFrame:
 
 
 def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
-    """Links of one shard's seekers to its members: (kind, a, b, n), sums of copies and edges of a spanning forest."""
+    """Links of one shard's seekers to its members: (kind, a, b, n, m).
+
+    Kind 2: a found b, of n copies, itself being m; kind 0: a has more than PAIRS_OF links here, to n rows in all; kind 1: an
+    edge of a spanning forest.
+    """
     members = shard[shard["role"] == 0]
     ids = members["id"].to_numpy()
     copies = members["copies"].to_numpy()
-    out: list[tuple[int, int, int, int]] = []
+    out: list[tuple[int, int, int, int, int]] = []
     if not len(ids):
-        return pd.DataFrame(out, columns=["kind", "a", "b", "n"])
+        return pd.DataFrame(out, columns=["kind", "a", "b", "n", "m"])
     home = members["home"].to_numpy(dtype=bool)
     x = unit(members["embedding"])
     place = {v: k for k, v in enumerate(ids.tolist())}
@@ -280,7 +285,7 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
         links[k, : len(near)] = near
     entries = entry_points(x, links)
     seekers = shard[shard["role"] == 1]
-    their = seekers["id"].to_numpy()
+    their, own_copies = seekers["id"].to_numpy(), seekers["copies"].to_numpy()
     nodes = np.union1d(ids, their)
     forest = Forest(len(nodes))
     place_of = partial(np.searchsorted, nodes)
@@ -293,17 +298,19 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
         row, col = row[other], col[other]
         # a row is counted in its home cluster only; elsewhere it is a way point and joins components
         counted = home[col]
-        n = np.bincount(row[counted], copies[col[counted]], len(part)).astype(np.int64)
-        for r in np.flatnonzero(n):
-            out.append((0, int(their[k + r]), 0, int(n[r])))
+        links_of, n = np.bincount(row[counted], minlength=len(part)), np.bincount(row[counted], copies[col[counted]], len(part)).astype(np.int64)
+        for r in np.flatnonzero(links_of > PAIRS_OF):
+            out.append((0, int(their[k + r]), 0, int(n[r]), 0))
+        few = counted & (links_of[row] <= PAIRS_OF)
+        out += [(2, int(their[k + r]), int(ids[c]), int(copies[c]), int(own_copies[k + r])) for r, c in zip(row[few].tolist(), col[few].tolist())]
         # a spanning forest of the links: only pairs in different trees so far are looked at one by one
         a, b = place_of(their[k + row]), place_of(ids[col])
         root = np.array(forest.parent)
         while (root[root] != root).any():
             root = root[root]
         apart = root[a] != root[b]
-        out += [(1, int(nodes[i]), int(nodes[j]), 0) for i, j in zip(a[apart].tolist(), b[apart].tolist()) if forest.join(i, j)]
-    return pd.DataFrame(out, columns=["kind", "a", "b", "n"])
+        out += [(1, int(nodes[i]), int(nodes[j]), 0, 0) for i, j in zip(a[apart].tolist(), b[apart].tolist()) if forest.join(i, j)]
+    return pd.DataFrame(out, columns=["kind", "a", "b", "n", "m"])
 
 
 def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 100, most: int = AUDIT_QUERIES) -> float | None:
@@ -391,9 +398,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, beam: int
     seeker = placed.where("seeker").withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int"))
     seeker = seeker.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     seeker = seeker.select("cluster", "sub", "part", F.lit(1).alias("role"), "id", "copies", "embedding", F.lit(False).alias("home"), F.array().cast("array<long>").alias("near"))
-    found = member.union(seeker).groupBy("cluster", "sub", "part").applyInPandas(lambda s: _find(s, threshold, beam), "kind int, a long, b long, n long")
+    found = member.union(seeker).groupBy("cluster", "sub", "part").applyInPandas(lambda s: _find(s, threshold, beam), "kind int, a long, b long, n long, m long")
     found = checkpoint(found)
-    linked = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    # a row with too many links for pairs counts what it found itself, any other what either end found
+    crowded = checkpoint(found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")))
+    pairs = found.where("kind = 2")
+    told = pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), F.col("m").alias("n")).join(crowded.select("id"), "id", "left_anti")
+    each = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "n").unionByName(told).groupBy("id", "other").agg(F.max("n").alias("n"))
+    linked = each.groupBy("id").agg(F.sum("n").alias("n")).unionByName(crowded).groupBy("id").agg(F.sum("n").alias("n"))
     component = connected_components(found.where("kind = 1").select("a", "b"))
     classes = (
         groups.select("h", "g", "id", "copies", "low")
