@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.catalog_ranking import on_lists
+from corpusmill.catalog_ranking import OUTCOME_WEIGHT, WEIGHT_SQL, on_lists, vector_list
 from corpusmill.catalog_relations import candidates, words_sql
-from corpusmill.catalog_screening import text_sql
+from corpusmill.catalog_screening import case_sql, text_sql
 from corpusmill.catalog_texts import noted, on_notes
-from corpusmill.operators import changes, coreference, entities, lifecycle, private, reflection, relations, screening, vectors
+from corpusmill.operators import changes, coreference, entities, fusion, lifecycle, private, reflection, relations, screening, vectors
 from corpusmill.operators.lexical import top_k
 from corpusmill.operators.relations import NEGATIONS
 from corpusmill.plans.chain import Registry
@@ -235,3 +235,34 @@ def n1(s, d):
     """Steps chosen by tag and chained over the facts: all screens, then the scores."""
     sure = facts(s, d).withColumn("confidence", F.round("confidence", 6))
     return STEPS.chain(sure, [*STEPS.select("screen"), *STEPS.select("score")]).select("fact_id", "weight")
+
+
+@on_notes("g3_classify_noted", f"SELECT * FROM (SELECT fact_id, {case_sql('trim(split_part(t, chr(10), 1))', screening.ZONE_MARKERS)} AS kind FROM nt WHERE fact_id % 7 = 0) WHERE kind IS NOT NULL")
+def g3_noted(s, d):
+    """Plain facts whose led text begins with a marker."""
+    return screening.classify_first_line(noted(s, d).where("fact_id % 7 = 0").select("fact_id", F.col("t").alias("content"), F.lit("fact").alias("kind")))
+
+
+@on_notes("g14_importance_noted", f"SELECT * FROM (SELECT fact_id, round(0.1::DOUBLE * (fact_id % 10), 6) AS importance, {case_sql('t', screening.BOOSTS)}::DOUBLE AS target FROM nt) WHERE target > importance")
+def g14_noted(s, d):
+    """Led texts whose signal asks for more importance than a tenth of their id's last digit."""
+    return screening.importance_audit(noted(s, d).select("fact_id", F.col("t").alias("content"), F.round(0.1 * (F.col("fact_id") % 10), 6).alias("importance")))
+
+
+@on_lists(
+    "f1_hybrid_full",
+    f""", mx AS (SELECT query_id, max(abs(score)) AS m FROM lx GROUP BY 1), a AS (SELECT query_id, fact_id, CASE WHEN m > 0 THEN abs(score) / m ELSE 0 END AS lex FROM lx JOIN mx USING (query_id)),
+    q0 AS (SELECT item_id AS query_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,}}') AS l FROM benchmark), qk AS (SELECT query_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:5] AS qk FROM q0),
+    f0 AS (SELECT *, regexp_extract_all(lower(coalesce(content, '')), '[a-z]{{4,}}') AS l FROM facts), fk AS (SELECT fact_id, kind, list_filter(l, lambda x, i: list_position(l, x) = i)[1:5] AS k, CASE WHEN age_days % 3 = 0 THEN -0.5 WHEN age_days <= 30 THEN 0.7 ELSE 0 END::DOUBLE AS b FROM f0),
+    h AS (SELECT query_id, fact_id, (0.6::DOUBLE * coalesce(lex, 0) + 0.4::DOUBLE * coalesce(score, 0)
+        + 0.15::DOUBLE * coalesce(CASE WHEN len(qk) + len(k) > 0 THEN len(list_intersect(qk, k))::DOUBLE / (len(qk) + len(k) - len(list_intersect(qk, k))) END, 0))
+        * (1 + 0.3::DOUBLE * (coalesce({WEIGHT_SQL}, 1) - 1)) * (1 + CASE WHEN coalesce(b, 0) > 0 THEN 0.4::DOUBLE * b ELSE 0.15::DOUBLE * coalesce(b, 0) END) AS s
+      FROM a FULL JOIN vx USING (query_id, fact_id) LEFT JOIN fk USING (fact_id) LEFT JOIN qk USING (query_id))
+    SELECT query_id, fact_id, score, rank FROM (SELECT query_id, fact_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, fact_id)::INT AS rank FROM h) WHERE rank <= 10""",
+)
+def f1_full(s, d):
+    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in OUTCOME_WEIGHT.items() for x in kv])[F.col("kind")], F.lit(1.0))
+    age = F.when(F.col("age_days") % 3 == 0, -0.5).when(F.col("age_days") <= 30, 0.7).otherwise(0.0)
+    f = facts(s, d).select("fact_id", weight.alias("outcome_weight"), screening.keywords(F.col("content")).alias("keywords"), age.alias("temporal"))
+    asked = queries_table(s, d).select("query_id", screening.keywords(F.col("query")).alias("keywords"))
+    return fusion.hybrid_full(candidates(s, d), vector_list(s, d, 20), f, asked)

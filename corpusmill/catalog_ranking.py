@@ -68,7 +68,18 @@ def f5(s, d):
     return fusion.weighted_max(by_fact(lexical.top_k(scored(s, d), 20)), vector_list(s, d, 20))
 
 
-@register("f6_mmr", None)
+@on_index(
+    "f6_mmr",
+    f""", tk AS (SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM bm) WHERE n <= 50),
+    tm AS (SELECT doc_id, list(DISTINCT term) AS terms FROM tok GROUP BY 1), pl AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS s, terms FROM tk JOIN tm USING (doc_id)),
+    pick AS (WITH RECURSIVE w AS (
+      SELECT query_id, 1 AS k, arg_max(doc_id, (s, -doc_id)) AS doc_id, [arg_max(doc_id, (s, -doc_id))] AS ids, [arg_max(terms, (s, -doc_id))] AS sets FROM pl GROUP BY 1
+      UNION ALL SELECT query_id, k + 1, doc_id, list_append(ids, doc_id), list_append(sets, terms) FROM (
+        SELECT w.query_id, w.k, w.ids, w.sets, p.doc_id, p.terms, row_number() OVER (PARTITION BY w.query_id ORDER BY
+          0.7::DOUBLE * p.s - (1 - 0.7::DOUBLE) * list_max(list_transform(w.sets, lambda t: len(list_intersect(t, p.terms))::DOUBLE / (len(t) + len(p.terms) - len(list_intersect(t, p.terms))))) DESC, p.s DESC, p.doc_id) AS n
+        FROM w JOIN pl p ON w.query_id = p.query_id AND w.k < 5 AND NOT list_contains(w.ids, p.doc_id)) WHERE n = 1) SELECT * FROM w)
+    SELECT query_id, doc_id, k::BIGINT AS rank FROM pick""",
+)
 def f6(s, d):
     best = lexical.top_k(scored(s, d), 50).select("query_id", "doc_id", "score")
     top = F.max("score").over(lexical.Window.partitionBy("query_id"))

@@ -101,3 +101,23 @@ def mmr(pool: DataFrame, k: int = 5, weight: float = 0.7, limit: int = 50) -> Da
         return pd.DataFrame({"query_id": g["query_id"].iloc[order], "doc_id": g["doc_id"].iloc[order], "rank": range(1, len(order) + 1)})
 
     return top_k(pool, limit).drop("rank").groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, rank long")
+
+
+def hybrid_full(lexical: DataFrame, vector: DataFrame, facts: DataFrame, queries: DataFrame, k: int = 10, w_lexical: float = 0.6, w_vector: float = 0.4) -> DataFrame:
+    """hybrid_merge with 0.15 times the Jaccard of keywords added before the outcome's factor, and a factor of time after it.
+
+    queries(query_id, keywords), facts(fact_id, outcome_weight, keywords, temporal): the last factor is 1 + 0.4 temporal where that
+    is above 0, else 1 + 0.15 temporal. Null keywords share nothing.
+    """
+    top = F.max(F.abs("lex")).over(Window.partitionBy("query_id"))
+    a = lexical.select("query_id", "fact_id", F.col("score").alias("lex"))
+    a = a.withColumn("lex", F.when(top > 0, F.abs("lex") / top).otherwise(0.0))
+    both = a.join(vector.select("query_id", "fact_id", F.col("score").alias("vec")), ["query_id", "fact_id"], "full")
+    j = both.join(queries.select("query_id", F.array_distinct("keywords").alias("qk")), "query_id", "left").join(facts, "fact_id", "left")
+    shared = F.size(F.array_intersect("qk", F.array_distinct("keywords")))
+    union = F.size("qk") + F.size(F.array_distinct("keywords")) - shared
+    overlap = F.coalesce(F.when(union > 0, shared / union), F.lit(0.0))
+    s = w_lexical * F.coalesce("lex", F.lit(0.0)) + w_vector * F.coalesce("vec", F.lit(0.0)) + 0.15 * overlap
+    t = F.coalesce("temporal", F.lit(0.0))
+    s = s * (1 + 0.3 * (F.coalesce("outcome_weight", F.lit(1.0)) - 1)) * (1 + F.when(t > 0, 0.4 * t).otherwise(0.15 * t))
+    return top_k(j.select("query_id", "fact_id", F.round(s, 6).alias("score")), k, item="fact_id")
