@@ -11,8 +11,8 @@ BROADCAST_BYTES = 16 << 20
 GRAM = 3
 
 
-def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast only if the bytes of its values, counted now, are at most the bound.
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df, marked for broadcast only if the bytes of its values, counted now, are at most the bound (BROADCAST_BYTES).
 
     Strings count their bytes, arrays 16 a value and those of their strings, all else 16.
     """
@@ -29,7 +29,7 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     total = F.lit(0)
     for name, kind in df.dtypes:
         total = total + weight(name, kind)
-    return F.broadcast(df) if (df.agg(F.sum(total).alias("b")).first()["b"] or 0) <= most else df
+    return F.broadcast(df) if (df.agg(F.sum(total).alias("b")).first()["b"] or 0) <= (BROADCAST_BYTES if most is None else most) else df
 
 
 def against(rows: DataFrame, queries: DataFrame, query_id: str) -> DataFrame:

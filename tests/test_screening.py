@@ -67,7 +67,7 @@ def test_capture_gate_and_route_of_edge_texts(spark):
 def test_blocks_meet_like_a_broadcast(spark, monkeypatch):
     rows, queries = spark.range(40).toDF("fact_id"), spark.range(9).toDF("query_id")
     want = sorted(map(tuple, against(rows, queries, "query_id").select("fact_id", "query_id").collect()))
-    monkeypatch.setattr("corpusmill.operators.pairing.BROADCAST_ROWS", 3)
+    monkeypatch.setattr("corpusmill.operators.pairing.BROADCAST_BYTES", 3)
     assert sorted(map(tuple, against(rows, queries, "query_id").select("fact_id", "query_id").collect())) == want and len(want) == 360
 
 
