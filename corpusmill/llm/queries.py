@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import ann, bpe, cdc, language_id, licenses, mixing, sharding, simhash, token_counts, wrappers
+from corpusmill.llm import ann, bpe, cdc, divergence, fim, language_id, licenses, mixing, quality, sharding, simhash, token_counts, wrappers
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 PIECE_FILE = "piece_bpe_32k.model"
@@ -73,6 +73,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), seed="1").drop("text")
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,9 +103,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
         "op10_bpe": op10_bpe,
+        "op11_divergence": op11_divergence,
+        "op12_fim": op12_fim,
+        "op13_quality": op13_quality,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL}
+    return {"op1_mixing": mixing.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op11_divergence": divergence.ORACLE_SQL, "op12_fim": fim.ORACLE_SQL}
