@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill import catalog_more, catalog_ranking, catalog_records, catalog_relations, catalog_screening, catalog_texts  # noqa: F401  (they register their queries)
-from corpusmill.operators import lexical, lifecycle, reports, vectors
+from corpusmill.operators import lex_index, lexical, lifecycle, reports, vectors
 from corpusmill.plans.runtime import checkpoint
-from corpusmill.registry import ORACLES, QUERIES, VEC_SQL, Query, docs, emb, on_facts, on_index, on_log, query_vectors, register, tok_sql
+from corpusmill.registry import ORACLES, QUERIES, VEC_SQL, Query, docs, emb, kept_index, on_facts, on_index, on_log, query_vectors, register, tok_sql
 from corpusmill.sources.views import facts, queries_table, recall_log, table
 
 
@@ -73,8 +73,7 @@ def d1(s, d):
 
 @on_index("d2_build_index", "SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM post GROUP BY 1")
 def d2(s, d):
-    postings, _ = lexical.build_index(docs(s, d), "doc_id", "text")
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return kept_index(s, d).postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @on_index(
@@ -82,12 +81,12 @@ def d2(s, d):
     "SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 5",
 )
 def d3(s, d):
-    return lexical.top_k(lexical.bm25(queries_table(s, d), docs(s, d), "doc_id", "text"), 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return lex_index.best(queries_table(s, d), kept_index(s, d), 5, skip=False).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @on_index("d4_bm25_coverage", "SELECT query_id, doc_id, score, matched FROM bm WHERE matched >= 3")
 def d4(s, d):
-    return lexical.bm25(queries_table(s, d), docs(s, d), "doc_id", "text", least=3)
+    return lex_index.bm25(queries_table(s, d), kept_index(s, d), least=3)
 
 
 @on_index(
@@ -96,7 +95,7 @@ def d4(s, d):
     FROM qt LEFT JOIN idf USING (term), st GROUP BY 1""",
 )
 def d5(s, d):
-    return lexical.known_term_ratio(queries_table(s, d), docs(s, d), "doc_id", "text")
+    return lex_index.known_term_ratio(queries_table(s, d), kept_index(s, d))
 
 
 @on_index(
@@ -106,7 +105,7 @@ def d5(s, d):
     SELECT query_id, round(max(part) / any_value(mass), 6) AS coverage, max(m) AS matched FROM p JOIN m USING (query_id) GROUP BY 1""",
 )
 def d6(s, d):
-    return lexical.idf_coverage(queries_table(s, d), docs(s, d), "doc_id", "text")
+    return lex_index.idf_coverage(queries_table(s, d), kept_index(s, d))
 
 
 @register(
@@ -158,7 +157,7 @@ def g5(s, d):
     SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM u GROUP BY 1, 2""",
 )
 def f4(s, d):
-    b = checkpoint(lexical.bm25(queries_table(s, d), docs(s, d), "doc_id", "text"))
+    b = checkpoint(lex_index.bm25(queries_table(s, d), kept_index(s, d)))
     return vectors.rrf([lexical.top_k(b, 20), lexical.top_k(b, 20, score="matched")])
 
 
@@ -315,7 +314,7 @@ def k16(s, d):
 def l1(s, d):
     q = queries_table(s, d)
     keywords = F.slice(F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("[a-z]{8,}"), F.lit(0)))), 1, 3)
-    results = lexical.top_k(lexical.bm25(q, docs(s, d), "doc_id", "text"), 10)
+    results = lex_index.best(q, kept_index(s, d), 10, skip=False)
     return reports.hit_mrr(results, q.select("query_id", keywords.alias("keywords")), docs(s, d))
 
 
@@ -428,6 +427,9 @@ def d8(s, d):
     return reports.gate_calibration(d6(s, d), "coverage", [0.25, 0.5, 0.75, 0.9])
 
 
+from corpusmill import catalog_jobs  # noqa: E402, F401  (its streams share the SQL of their batch twins above)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators import fusion, lexical, reports, vectors
-from corpusmill.registry import INDEX_SQL, VEC_SQL, docs, emb, on_facts, on_index, query_vectors, register
+from corpusmill.operators import fusion, lex_index, lexical, reports, vectors
+from corpusmill.registry import INDEX_SQL, VEC_SQL, docs, emb, kept_index, on_facts, on_index, query_vectors, register
 from corpusmill.sources.views import FACTS_SQL, facts, queries_table, recall_log, table
 
 OUTCOME_WEIGHT = {"success_pattern": 1.2, "lesson": 1.1, "failure_pattern": 0.8}
@@ -19,8 +20,9 @@ def expected(s, d):
     return queries_table(s, d).select("query_id", F.slice(F.sort_array(F.array_distinct(words)), 1, 3).alias("keywords"))
 
 
-def scored(s, d):
-    return lexical.bm25(queries_table(s, d), docs(s, d), "doc_id", "text")
+def best(s, d, k):
+    """(query_id, doc_id, score, rank): the k best texts of every benchmark query; these are long, so that no block is skipped."""
+    return lex_index.best(queries_table(s, d), kept_index(s, d), k, skip=False).select("query_id", "doc_id", "score", "rank")
 
 
 def by_fact(df):
@@ -52,7 +54,7 @@ def on_lists(name, sql):
 def f1(s, d):
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in OUTCOME_WEIGHT.items() for x in kv])[F.col("kind")], F.lit(1.0))
     weighed = facts(s, d).select("fact_id", weight.alias("outcome_weight"))
-    return fusion.hybrid_merge(by_fact(lexical.top_k(scored(s, d), 20)), vector_list(s, d, 20), weighed)
+    return fusion.hybrid_merge(by_fact(best(s, d, 20)), vector_list(s, d, 20), weighed)
 
 
 @on_facts(
@@ -65,7 +67,7 @@ def f3(s, d):
 
 @on_lists("f5_weighted_max", "SELECT query_id, fact_id, round(max(score), 7) AS score FROM (SELECT * FROM lx UNION ALL SELECT query_id, fact_id, 0.5::DOUBLE * score FROM vx) GROUP BY 1, 2")
 def f5(s, d):
-    return fusion.weighted_max(by_fact(lexical.top_k(scored(s, d), 20)), vector_list(s, d, 20))
+    return fusion.weighted_max(by_fact(best(s, d, 20)), vector_list(s, d, 20))
 
 
 @on_index(
@@ -81,10 +83,10 @@ def f5(s, d):
     SELECT query_id, doc_id, k::BIGINT AS rank FROM pick""",
 )
 def f6(s, d):
-    best = lexical.top_k(scored(s, d), 50).select("query_id", "doc_id", "score")
-    top = F.max("score").over(lexical.Window.partitionBy("query_id"))
+    found = best(s, d, 50).select("query_id", "doc_id", "score")
+    top = F.max("score").over(Window.partitionBy("query_id"))
     terms = docs(s, d).select("doc_id", F.array_distinct(lexical.tokens(F.col("text"))).alias("terms"))
-    return fusion.mmr(best.withColumn("score", F.col("score") / top).join(terms, "doc_id"), 5)
+    return fusion.mmr(found.withColumn("score", F.col("score") / top).join(terms, "doc_id"), 5)
 
 
 @on_facts(
@@ -101,12 +103,12 @@ def f14(s, d):
     """SELECT query_id, fact_id, max(score) AS score, bool_and(i) AS injected FROM (SELECT query_id, fact_id, score, FALSE AS i FROM lx UNION ALL SELECT query_id, fact_id, NULL, TRUE FROM vx) GROUP BY 1, 2""",
 )
 def f20(s, d):
-    return fusion.dedupe_hits(by_fact(lexical.top_k(scored(s, d), 20)), vector_list(s, d, 20))
+    return fusion.dedupe_hits(by_fact(best(s, d, 20)), vector_list(s, d, 20))
 
 
 @on_lists("f22_scope_weight", "SELECT query_id, fact_id, round(CASE WHEN scope_type = 'short_term' THEN 0.85::DOUBLE * score ELSE score END, 6) AS score FROM lx JOIN facts USING (fact_id)")
 def f22(s, d):
-    return fusion.scope_weight(by_fact(lexical.top_k(scored(s, d), 20)), facts(s, d))
+    return fusion.scope_weight(by_fact(best(s, d, 20)), facts(s, d))
 
 
 @on_index(
@@ -117,8 +119,7 @@ def f22(s, d):
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM c) WHERE rank <= 5""",
 )
 def f23(s, d):
-    postings, _ = lexical.build_index(docs(s, d), "doc_id", "text")
-    return fusion.set_cosine(postings, lexical.query_terms(queries_table(s, d)))
+    return fusion.set_cosine(kept_index(s, d).postings(), lexical.query_terms(queries_table(s, d)))
 
 
 @on_lists(
@@ -129,12 +130,12 @@ def f23(s, d):
 )
 def f25(s, d):
     tiers = facts(s, d).select("fact_id", F.col("tier").alias("scope"))
-    return fusion.multi_scope_merge(by_fact(lexical.top_k(scored(s, d), 20)).join(tiers, "fact_id"), {"public": 0.5, "private": 1.0})
+    return fusion.multi_scope_merge(by_fact(best(s, d, 20)).join(tiers, "fact_id"), {"public": 0.5, "private": 1.0})
 
 
 @on_index("h17_forget_by_query", f", {TOP_SQL} SELECT query_id, doc_id, score FROM r WHERE rank = 1 AND score >= 5")
 def h17(s, d):
-    return lexical.top_k(scored(s, d), 1).where("score >= 5").select("query_id", "doc_id", "score")
+    return best(s, d, 1).where("score >= 5").select("query_id", "doc_id", "score")
 
 
 @on_facts("k9_entity_coverage", "SELECT tier, count(*) AS n, round(avg((topic IS NOT NULL OR lang IS NOT NULL)::INT), 6) AS covered FROM facts GROUP BY 1")
@@ -157,7 +158,7 @@ def k14(s, d):
     SELECT count(*) AS queries, round(avg(1 - sent / source), 6) AS mean_saving, round(median(1 - sent / source), 6) AS median_saving FROM x""",
 )
 def k18(s, d):
-    return reports.token_savings(lexical.top_k(scored(s, d), 5), docs(s, d))
+    return reports.token_savings(best(s, d, 5), docs(s, d))
 
 
 @on_facts("k19_topic_index", "SELECT topic, count(DISTINCT user_id) AS peers, round(avg(importance), 6) AS avg_weight, max(importance) AS max_weight FROM facts WHERE importance >= 0.5 GROUP BY 1")
@@ -179,7 +180,7 @@ def gold(s, d):
     FROM gold LEFT JOIN r ON gold.query_id = r.query_id AND gold = doc_id""".replace("SELECT query_id, coalesce", "SELECT gold.query_id, coalesce"),
 )
 def l2(s, d):
-    return reports.golden_mrr(lexical.top_k(scored(s, d), 10), gold(s, d))
+    return reports.golden_mrr(best(s, d, 10), gold(s, d))
 
 
 @on_index("l3_lexical_gold", f", {GOLD_SQL} SELECT query_id, gold, m AS matched FROM gold")
@@ -193,7 +194,7 @@ st AS (SELECT DISTINCT query_id FROM kw, documents d WHERE len(list_filter(keywo
 
 @on_index("l4_gap_class", f", {HITS_SQL.replace('st AS', 'stored AS')} SELECT query_id, CASE WHEN first IS NOT NULL THEN 'hit' WHEN s.query_id IS NOT NULL THEN 'retrieval_gap' ELSE 'storage_gap' END AS gap FROM kw LEFT JOIN ok USING (query_id) LEFT JOIN stored s USING (query_id)")
 def l4(s, d):
-    hits = reports.hit_mrr(lexical.top_k(scored(s, d), 10), expected(s, d), docs(s, d))
+    hits = reports.hit_mrr(best(s, d, 10), expected(s, d), docs(s, d))
     return reports.gap_class(hits, gold(s, d))
 
 
@@ -204,7 +205,7 @@ def l4(s, d):
     SELECT query_id, count(*) AS n, count(*) FILTER (ok) AS covered, bool_and(ok) AS complete FROM c GROUP BY 1""",
 )
 def l5(s, d):
-    return reports.keyword_coverage(lexical.top_k(scored(s, d), 10), expected(s, d), docs(s, d))
+    return reports.keyword_coverage(best(s, d, 10), expected(s, d), docs(s, d))
 
 
 @on_index(
@@ -214,7 +215,7 @@ def l5(s, d):
     SELECT query_id, round(coalesce(1.0::DOUBLE / b, 0), 6) AS before, round(coalesce(1.0::DOUBLE / a, 0), 6) AS after FROM a""",
 )
 def l7(s, d):
-    return reports.retirement_impact(lexical.top_k(scored(s, d), 11), expected(s, d), docs(s, d), 10)
+    return reports.retirement_impact(best(s, d, 11), expected(s, d), docs(s, d), 10)
 
 
 @on_index(
@@ -262,8 +263,7 @@ CHUNK_INDEX_SQL = INDEX_SQL.replace("FROM documents", "FROM (SELECT conv_id * 10
     f"WITH {CHUNK_INDEX_SQL} SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM bm) WHERE rank <= 5",
 )
 def d7(s, d):
-    chunks = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), F.substring("text", 1, 200).alias("prefix"))
-    return lexical.top_k(lexical.bm25(queries_table(s, d), chunks, "event_id", "prefix", repeats=True), 5).select("query_id", "doc_id", "score", "rank")
+    return lex_index.best(queries_table(s, d), kept_index(s, d, "conversations"), 5, repeats=True, skip=False).select("query_id", "doc_id", "score", "rank")
 
 
 @on_facts(

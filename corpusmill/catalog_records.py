@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.catalog_ranking import by_fact, expected, on_lists, scored
+from corpusmill.catalog_ranking import by_fact, best, by_fact, expected, on_lists
 from corpusmill.catalog_relations import quoted
 from corpusmill.catalog_screening import EXPECTED_SQL, case_sql, text_sql
 from corpusmill.operators import lexical, records, vectors
 from corpusmill.operators.records import DISCOURSE, ERROR_NOISE, GATED_KINDS, INTENTS, SIGNALS, UPDATE_KINDS
-from corpusmill.registry import VEC_SQL, docs, emb, on_facts, on_index, on_log, query_vectors, register
+from corpusmill.registry import VEC_SQL, docs, emb, kept_index, on_facts, on_index, on_log, query_vectors, register
 from corpusmill.sources.views import facts, queries_table, recall_log, table
 
 ZONES = [("failure", ["failure_pattern"]), ("lesson", ["lesson"]), ("success", ["success_pattern"]), ("all", [])]
@@ -99,7 +99,7 @@ def c1(s, d):
 
 @on_index("c3_live_postings", ", " + "li AS (SELECT doc_id FROM documents WHERE doc_id % 23 <> 0) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post JOIN li USING (doc_id) GROUP BY 1")
 def c3(s, d):
-    postings, _ = lexical.build_index(docs(s, d), "doc_id", "text")
+    postings = kept_index(s, d).postings()
     live = facts(s, d).where("NOT tombstoned").select(F.col("fact_id").alias("doc_id"))
     return postings.join(live, "doc_id").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
@@ -184,7 +184,7 @@ def f19(s, d):
     SELECT query_id, doc_id AS fact_id, rank::INT AS rank, FALSE AS explored FROM j WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, (5 + n)::INT, TRUE FROM dp WHERE n <= 2""",
 )
 def f21(s, d):
-    ranked = lexical.top_k(scored(s, d), 20).select("query_id", F.col("doc_id").alias("fact_id"), "rank")
+    ranked = best(s, d, 20).select("query_id", F.col("doc_id").alias("fact_id"), "rank")
     return records.explore(ranked, facts(s, d), share=3)
 
 
@@ -215,7 +215,7 @@ def f26_query(s, d):
     SELECT query_id, (['failure', 'lesson', 'success', 'all'])[b + 1] AS zone, fact_id, rank FROM r2 WHERE rank <= 3""",
 )
 def f26(s, d):
-    return records.zone_fallback(by_fact(lexical.top_k(scored(s, d), 20)).where("score >= 5"), facts(s, d), ZONES)
+    return records.zone_fallback(by_fact(best(s, d, 20)).where("score >= 5"), facts(s, d), ZONES)
 
 
 @on_facts(
@@ -310,7 +310,7 @@ def k20(s, d):
     SELECT *, round(CASE WHEN found > 0 THEN 100.0::DOUBLE * (found - usable) / found ELSE 0 END, 4) AS gap FROM c""",
 )
 def l6(s, d):
-    top = lexical.top_k(scored(s, d), 10).select("query_id", F.col("doc_id").alias("fact_id"), "rank")
+    top = best(s, d, 10).select("query_id", F.col("doc_id").alias("fact_id"), "rank")
     return records.usage_rate(top, expected(s, d), facts(s, d))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.catalog_ranking import by_fact, on_lists, scored, vector_list
+from corpusmill.catalog_ranking import best, by_fact, on_lists, vector_list
 from corpusmill.operators import lexical, relations, screening, vectors
 from corpusmill.operators.relations import BRIDGE_TERMS, NEGATIONS, RERANK_STOPWORDS, ROLES
 from corpusmill.registry import VEC_SQL, docs, emb, on_facts, query_vectors, register
@@ -22,7 +22,7 @@ def words_sql(col: str) -> str:
 
 
 def candidates(s, d):
-    return by_fact(lexical.top_k(scored(s, d), 20))
+    return by_fact(best(s, d, 20))
 
 
 def texts(s, d):

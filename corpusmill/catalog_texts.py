@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.catalog_relations import quoted, words_sql
 from corpusmill.catalog_screening import case_sql, text_sql
-from corpusmill.operators import experiences, screening, texts, vectors
+from corpusmill.operators import experiences, personal_names, screening, scrubbing, texts, vectors
 from corpusmill.operators.texts import CAUSE, FAILURE, LESSON_WORDS, SCRUBS, SEVERE, SUCCESS, TOPIC_SKIP, WEEKDAYS, word
 from corpusmill.registry import VEC_SQL, docs, emb, on_facts, query_vectors, register
 from corpusmill.sources.views import facts, queries_table, table
@@ -278,6 +278,55 @@ def j10(s, d):
     return log.select("conv_id", "piece", texts.clear_tool_results(F.array_join(F.transform("l", lambda x: x["m"]), "\n")).alias("text"))
 
 
+@register("j7_scrub_names", None)
+def j7_names(s, d):
+    """Texts led by a path and followed by its owner's name, which the path alone gives away; held against plain Python."""
+    owner = F.concat(F.lit("ann"), F.lower(F.substring(F.md5(F.col("fact_id").cast("string")), 1, 4)))
+    led = F.concat(F.lit("C:\\Users\\"), owner, F.lit("\\notes\\a.txt and /home/"), owner, F.lit("/b by "), owner, F.lit(", born 1990-01-02; "), F.col("t"))
+    found = noted(s, d).select("fact_id", scrubbing.scrubbed(led).alias("x"))
+    return found.select("fact_id", F.md5("x.text").alias("text_md5"), F.size("x.changes").alias("n_changes"), F.array_join(F.array_distinct(F.transform("x.changes", lambda c: c["kind"])), ",").alias("kinds"))
+
+
+def nested_props(s, d):
+    """Events whose props are nested by fixed arithmetic: strings with paths, hosts and names under keys, lists and JSON in strings; some are broken."""
+    e = table(s, d, "events").select("event_id", "user_id", "event_type", "props")
+    i, name = F.col("event_id"), F.concat(F.lit("bob"), F.col("user_id"))
+    inner = F.to_json(F.struct(F.concat(F.lit("/home/"), name, F.lit("/x y")).alias("p"), (i % 7).alias("n")))
+    body = F.struct(
+        F.concat(F.lit("C:\\Users\\"), name, F.lit("\\"), F.col("event_type"), F.lit(".log")).alias("path"), F.array(F.concat(name, F.lit(" met 10.0."), i % 9, F.lit(".1")), F.lit("plain"), inner).alias("list"),
+        F.struct((F.col("user_id") / 8).alias("x"), F.lit(True).alias("ok"), F.lit("C:\\tmp\\q").alias("C:\\tmp\\q")).alias("deep"), F.lit("see notes. txt at example. com").alias("said"),
+    )
+    json = F.to_json(body)
+    props = F.when(i % 5 == 0, F.col("props")).when(i % 5 == 1, F.substring(json, 1, 40)).otherwise(json)
+    return e.select("event_id", props.alias("props"), F.concat(F.lit("by "), name, F.lit(" on 192.168.1.1")).alias("note"))
+
+
+@register("j8_scrub_values", None)
+def j8(s, d):
+    """JSON columns scrubbed string by string together with the text beside them; held against plain json."""
+    done = scrubbing.scrub_values(nested_props(s, d), ["props", "note"])
+    return done.select("event_id", "props", "note", F.size("changes").alias("n_changes"))
+
+
+SURNAMES, GIVEN = "李王张刘陈杨黄赵周吴方时", "伟芳娜敏静丽强磊洋艳雷明"
+NAMED = [("李雷 主持复盘", True), ("由 王芳 做了周报", True), ("张三负责华东区", True), ("方法要写成步骤", False), ("时间到了就做", False), ("陈静，好", True), ("in 刘洋 out", True), ("方案", False), ("赵强强 x", True), ("周明雷丽", True), ("plain words", False), ("吴, 伟", False), ("方丽", False)]
+NAMED_SQL = "[" + ", ".join(f"{{'t': {text_sql(t)}, 'y': {str(y).lower()}}}" for t, y in NAMED) + "]"
+
+
+@register(
+    "j23_name_detection",
+    f"""WITH x AS (SELECT ({NAMED_SQL})[doc_id % {len(NAMED)} + 1].t || ' ' || coalesce(text, '') AS t, ({NAMED_SQL})[doc_id % {len(NAMED)} + 1].y AS y FROM documents),
+    f AS (SELECT y, regexp_matches(t, '(^|[^一-鿿])[{SURNAMES}][{GIVEN}]{{1,2}}([^一-鿿]|$)') AS f FROM x),
+    c AS (SELECT count(*) FILTER (f AND y) AS tp, count(*) FILTER (f AND NOT y) AS fp, count(*) FILTER (NOT f AND y) AS fn, count(*) FILTER (NOT f AND NOT y) AS tn FROM f)
+    SELECT *, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall FROM c""",
+)
+def j23(s, d):
+    """The detector on the documents, each led by one of a list of labelled phrases; the tables of characters are short ones."""
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in NAMED]), (F.col("doc_id") % len(NAMED) + 1).cast("int"))
+    rows = docs(s, d).select(F.concat(pick(0), F.lit(" "), F.coalesce("text", F.lit(""))).alias("t"), pick(1).alias("y"))
+    return personal_names.measure(rows, "t", "y", SURNAMES, GIVEN)
+
+
 @register("g17_mine_public", None)
 def g17(s, d):
     f = facts(s, d).join(noted(s, d).select("fact_id", "t"), "fact_id").withColumn("content", F.col("t"))

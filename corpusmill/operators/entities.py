@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.operators.private import spans
-
 MOST = 16
 # Ideograph runs that are no person.
 NOT_PERSONS = [
@@ -24,7 +24,7 @@ AFTER = ["是", "有", "在", "了", "说", "做", "叫", "来", "去", "的", "
 NOT_NAMES = [
     "The", "This", "That", "These", "Those", "I", "You", "We", "They", "He", "She", "It", "And", "But", "Or", "Not", "No", "Yes", "If", "When", "Where", "How", "Why",
     "What", "Who", "Then", "Now", "Here", "There", "Today", "Yesterday", "Tomorrow", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday",
-    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December", "API", "ASTOR", "CEO", "CTO", "AI", "OK",
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December", "API", "CEO", "CTO", "AI", "OK",
     "TODO", "URL", "USD", "USDC", "BTC", "ETH", "Post", "Pre", "Ship", "Fact", "User", "Admin", "Bus", "Note", "Class",
 ]
 # Time patterns.
@@ -32,6 +32,24 @@ TIMES = [r"\b\d{4}-\d{1,2}(?:-\d{1,2})?\b", r"\b\d{4}年(?:\d{1,2}月)?(?:\d{1,2
 QUOTED = "[\"“]([^\"”]{2,40})[\"”]"
 
 
+def spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, hit>> of the matches of a pattern, from 0 and in code points; words and digits of any script."""
+    java = f"(?U){pattern}"
+    pieces, hits = F.split(text, java, -1), F.regexp_extract_all(text, F.lit(java), F.lit(0))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["piece"])
+        end = start + F.length(x["hit"])
+        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
+        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    zipped = F.arrays_zip(pieces.alias("piece"), hits.alias("hit"))  # the last piece has no hit after it
+    found = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    return F.when(text.rlike(java), found).otherwise(none)
+
+
 def _ideograph_persons(text: Column) -> Column:
     def person(x: Column) -> Column:
         before = F.when(x["start"] > 0, F.substr(text, x["start"], F.lit(1))).otherwise("")
@@ -42,21 +60,22 @@ def _ideograph_persons(text: Column) -> Column:
     return F.transform(F.filter(spans(text, "[一-鿿]{2,4}"), person), lambda x: x["hit"])
 
 
-def extract(text: Column) -> Column:
+def extract(text: Column, no_names: Iterable[str] = ()) -> Column:
     """array<struct<type, value>>: person (ideographs by context, then capitalised words), time, topic (tickers, quoted phrases).
 
     Equal values of a type in any case count once, the first 16 stay, values are cut at 128 characters. Null and blank texts
-    have none.
+    have none. no_names are further capitalised words that are no person, such as the name of the caller's own system.
     """
+    common = [*NOT_NAMES, *no_names]
 
     def every(pattern: str, group: int = 0) -> Column:
         return F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(group))
 
     parts = [
         ("person", _ideograph_persons(text)),
-        ("person", F.filter(every(r"\b[A-Z][a-zA-Z]{1,30}\b"), lambda w: ~w.isin(NOT_NAMES))),
+        ("person", F.filter(every(r"\b[A-Z][a-zA-Z]{1,30}\b"), lambda w: ~w.isin(common))),
         *[("time", every(p)) for p in TIMES],
-        ("topic", F.filter(every(r"\b[A-Z]{2,5}\b"), lambda w: ~w.isin(NOT_NAMES))),
+        ("topic", F.filter(every(r"\b[A-Z]{2,5}\b"), lambda w: ~w.isin(common))),
         ("topic", every(QUOTED, 1)),
     ]
     def of(kind: str):

@@ -1,22 +1,15 @@
-"""Lexical retrieval: tokens, inverted index, BM25 and term statistics for whole query tables.
-
-A document's length is counted in its row; its words move only where a query has them, so that the cost of a query table is
-one pass over the texts and the postings that match. A query table is joined, never looped over.
-"""
+"""Tokens of texts and queries, and the best of each query; retrieval itself is in lex_index."""
 
 from __future__ import annotations
 
-import json
-import sys
+import re
 import unicodedata
-from functools import lru_cache
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.pairing import small
-from corpusmill.plans.runtime import checkpoint
-
 K1, B = 1.5, 0.75
 # English stop words.
 STOPWORDS = [
@@ -24,84 +17,53 @@ STOPWORDS = [
     "will", "with", "i", "you", "we", "they", "he", "she", "his", "her", "their", "our", "my", "me", "him", "them", "us", "do", "does", "did", "but", "not", "no",
     "so", "if", "then", "than", "into", "about", "over", "under", "out",
 ]
-CJK = "[\u4e00-\u9fff]"
-
-
-@lru_cache(maxsize=1)
-def compatible() -> tuple[str, dict[str, str], str, dict[str, str]]:
-    """Characters whose NFKC form has ASCII letters, digits or ideographs, which they have not themselves.
-
-    (class, forms) of those with a form of one character, then of the others; a class is a few ranges that hold them all and
-    leave out what ordinary text has.
-    """
-    def counts(c: str) -> bool:
-        return (c.isascii() and c.isalnum()) or "\u4e00" <= c <= "\u9fff"
-
-    tables: tuple[dict[str, str], dict[str, str]] = ({}, {})
-    for code in range(128, sys.maxunicode + 1):
-        c = chr(code)
-        if not counts(c) and unicodedata.decomposition(c) and any(map(counts, form := unicodedata.normalize("NFKC", c))):
-            tables[len(form) > 1][c] = form
-
-    def ranges(table: dict[str, str]) -> str:
-        runs: list[list[int]] = []
-        for code in map(ord, table):
-            if runs and code - runs[-1][1] <= 40:
-                runs[-1][1] = code
-            else:
-                runs.append([code, code])
-        return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
-
-    return ranges(tables[0]), tables[0], ranges(tables[1]), tables[1]
-
-
-def nfkc(text: Column) -> Column:
-    """Text with compatibility characters (full width forms, ligatures, circled digits and the like) in their plain form.
-
-    By character: a letter and a combining mark after it stay two characters. Texts without such characters pass untouched.
-    """
-    one, single, several, multiple = compatible()
-    forms = F.from_json(F.lit(json.dumps(multiple)), "map<string,string>")
-    long = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(several), F.coalesce(forms[c], c)).otherwise(c)), "")
-    text = F.when(text.rlike(several), long).otherwise(text)
-    return F.when(text.rlike(one), F.translate(text, "".join(single), "".join(single.values()))).otherwise(text)
+STOPPED = frozenset(STOPWORDS)
+CJK = re.compile("[\u4e00-\u9fff]")
+WORD = re.compile("[a-z0-9]+|[\u4e00-\u9fff]")
+#: ASCII letters and digits stay, letters in lower case; all other bytes part words.
+_FOLD = bytes(ord(chr(c).lower()) if c < 0x80 and chr(c).isalnum() else 0x20 for c in range(256))
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words of two ASCII letters and digits or more, without stop words, and ideographs; null gives none.
+def tokenize(text: str) -> list[str]:
+    """Lower-case words of two ASCII letters and digits or more, without stop words, and ideographs, of the NFKC form.
 
     Each ideograph is a token; after one that follows another, with nothing but other characters between, comes their pair.
     """
-    low = F.lower(nfkc(F.coalesce(text, F.lit(""))))
-    found = F.regexp_extract_all(low, F.lit(f"[a-z0-9]+|{CJK}"), F.lit(0))
-    good = F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).lower()
+    if text.isascii() or not CJK.search(text):
+        return [t for t in text.encode("utf-8", "replace").translate(_FOLD).decode().split() if len(t) > 1 and t not in STOPPED]
+    out, before = [], ""
+    for t in WORD.findall(text):
+        if CJK.match(t):
+            out += [t, before + t] if before else [t]
+            before = t
+        else:
+            before = ""
+            if len(t) > 1 and t not in STOPPED:
+                out.append(t)
+    return out
 
-    def expand(x: Column) -> Column:
-        t, before = x["t"], x["before"]
-        pair = F.when(before.rlike(CJK), F.array(t, F.concat(before, t))).otherwise(F.array(t))
-        return F.when(t.rlike(CJK), pair).when((F.length(t) >= 2) & ~t.isin(STOPWORDS), F.array(t)).otherwise(F.array().cast("array<string>"))
 
-    shifted = F.concat(F.array(F.lit("")), found)
-    zipped = F.filter(F.arrays_zip(found.alias("t"), shifted.alias("before")), lambda x: x["t"].isNotNull())
-    return F.when(low.rlike(CJK), F.flatten(F.transform(zipped, expand))).otherwise(good)
+def tokens(text: Column) -> Column:
+    """array<string> of the tokens of a text, in order; null gives none."""
 
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(tokenize)
 
-def tokenized(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, terms, length): the tokens of each document in its own row; no shuffle."""
-    return docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("terms")).withColumn("length", F.size("terms"))
+    return run(F.coalesce(text, F.lit("")))
 
 
-def build_index(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(postings(doc_id, term, tf), lengths(doc_id, length)) of all terms; a document without terms is in neither."""
-    rows = tokenized(docs, doc_id, text)
-    postings = rows.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return postings, rows.groupBy("doc_id").agg(F.sum("length").alias("length")).where("length > 0")
+def counted(text: Column) -> Column:
+    """struct<length, terms, tfs>: how many tokens a text has, and each different one with its count."""
 
+    @F.pandas_udf("length int, terms array<string>, tfs array<int>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [Counter(tokenize(t)) for t in texts]
+        return pd.DataFrame({"length": [c.total() for c in found], "terms": [list(c) for c in found], "tfs": [list(c.values()) for c in found]})
 
-def update_index(postings: DataFrame, changed: DataFrame, removed: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Postings after documents were changed or added (doc_id, text) and others removed (doc_id); adding again replaces."""
-    gone = changed.select(F.col(doc_id).alias("doc_id")).union(removed.select(F.col(doc_id).alias("doc_id"))).distinct()
-    return postings.join(gone, "doc_id", "left_anti").unionByName(build_index(changed, doc_id, text)[0])
+    return run(F.coalesce(text, F.lit("")))
 
 
 def query_terms(queries: DataFrame, repeats: bool = False) -> DataFrame:
@@ -109,57 +71,7 @@ def query_terms(queries: DataFrame, repeats: bool = False) -> DataFrame:
     return queries.select("query_id", F.explode(found if repeats else F.array_distinct(found)).alias("term"))
 
 
-def matching(queries: DataFrame, docs: DataFrame, doc_id: str, text: str, repeats: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(terms(query_id, term, df, idf), postings(doc_id, length, term, tf) of query terms, stats(n, avgdl) of one row).
-
-    Query terms meet the words before these are counted, so that only matching words are shuffled; a term that no document
-    has gets df null and the largest idf.
-    """
-    rows = tokenized(docs, doc_id, text)
-    stats = checkpoint(rows.agg(F.count_if(F.col("length") > 0).alias("n"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("avgdl")))
-    asked = checkpoint(query_terms(queries, repeats))
-    words = rows.select("doc_id", "length", F.explode("terms").alias("term"))
-    hits = words.join(small(asked.select("term").distinct()), "term").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    hits = checkpoint(hits)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    known = F.coalesce("df", F.lit(0))
-    idf = F.ln((F.col("n") - known + 0.5) / (known + 0.5) + 1)
-    terms = asked.join(df, "term", "left").crossJoin(F.broadcast(stats)).select("query_id", "term", "df", idf.alias("idf"))  # one row
-    return terms, hits, stats
-
-
-def bm25(queries: DataFrame, docs: DataFrame, doc_id: str, text: str, repeats: bool = False, least: int = 1) -> DataFrame:
-    """(query_id, doc_id, score, matched) for every document that shares least terms with a query; score to 6 digits.
-
-    With repeats a query term counts as often as the query has it, otherwise once.
-    """
-    terms, hits, stats = matching(queries, docs, doc_id, text, repeats)
-    pairs = hits.join(small(terms.where("df IS NOT NULL").select("query_id", "term", "idf")), "term").crossJoin(F.broadcast(stats))  # one row
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl"))
-    scored = pairs.groupBy("query_id", "doc_id").agg(
-        F.round(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"), F.count("*").alias("matched")
-    )
-    return scored.where(F.col("matched") >= least) if least > 1 else scored
-
-
 def top_k(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id", score: str = "score") -> DataFrame:
     """The k best items of each query, ties by item."""
     order = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(item))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def known_term_ratio(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(query_id, n_known, ratio): the idf-weighted share of query terms that the corpus has; an unknown term weighs most."""
-    terms, _, _ = matching(queries, docs, doc_id, text)
-    known = F.sum(F.when(F.col("df").isNotNull(), F.col("idf")).otherwise(0.0))
-    return terms.groupBy("query_id").agg(F.count("df").alias("n_known"), F.round(known / F.sum("idf"), 6).alias("ratio"))
-
-
-def idf_coverage(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(query_id, coverage, matched): the best single document's share of the query's idf mass, and most terms matched."""
-    terms, hits, _ = matching(queries, docs, doc_id, text)
-    known = terms.where("df IS NOT NULL").select("query_id", "term", "idf")
-    mass = known.groupBy("query_id").agg(F.sum("idf").alias("mass"))
-    best = hits.join(small(known), "term").groupBy("query_id", "doc_id").agg(F.sum("idf").alias("part"), F.count("*").alias("m"))
-    best = best.groupBy("query_id").agg(F.max("part").alias("part"), F.max("m").alias("matched"))
-    return best.join(mass, "query_id").select("query_id", F.round(F.col("part") / F.col("mass"), 6).alias("coverage"), "matched")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators import lexical
+from corpusmill.operators import lex_index, lexical
+from corpusmill.plans.runtime import ensure_checkpoint_dir
 from corpusmill.sources.views import FACTS_SQL, LOG_SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +66,27 @@ def docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", "text")
 
 
+_KEPT: dict[tuple, lex_index.LexIndex] = {}
+
+
+def kept_index(s: SparkSession, d: str, name: str = "documents") -> lex_index.LexIndex:
+    """The index of a corpus, written once for a session and for the files that its table has now.
+
+    documents are texts by doc_id; conversations are turns by number, of which the first 200 characters count.
+    """
+    rows = table(s, d, name)
+    f = F.col("_metadata")
+    files = rows.select(f["file_path"].alias("p"), f["file_size"].alias("n"), f["file_modification_time"].cast("long").alias("t")).distinct()
+    state = files.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("p", "n", "t")).alias("h")).first()
+    key = s.sparkContext.applicationId, name, state["n"], state["h"]
+    if key not in _KEPT:
+        if name == "conversations":
+            rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.substring("text", 1, 200).alias("text"))
+        ensure_checkpoint_dir(s)
+        _KEPT[key] = lex_index.write_index(rows, "doc_id", "text", f"{s.sparkContext.getCheckpointDir()}/lex-{uuid.uuid4().hex}")
+    return _KEPT[key]
+
+
 def emb(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("fact_id"), "embedding", "label", (F.col("vec_id") % 90).alias("age_days"))
 

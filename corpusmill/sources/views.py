@@ -71,8 +71,18 @@ def queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recall_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_recall_log(table(spark, sf_dir, "events"))
+
+
+def as_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream; its path may be a folder or a file."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def as_recall_log(events: DataFrame) -> DataFrame:
+    """The recall log of events, a table or a stream."""
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", _pick(TIERS, "event_id").alias("tier"), F.col("event_type").alias("intent"),
         F.least(F.lit(1.0), F.col("value") / 50).alias("top_hit_score"), (e % 11).alias("n_results"), F.lit(10).alias("top_k"),
         (e % 500).alias("qhash"), (e % 4 == 0).alias("used_hint"), (F.col("value") * 10).alias("latency_ms"),

@@ -80,9 +80,9 @@ def admissions(events: DataFrame, cap: int = 1000, hours: int = 24, late: str =
     )
 
 
-def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Hand every micro-batch of all available input to step(batch, number), each once; progress is kept in the checkpoint folder."""
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -78,12 +78,6 @@ def test_tokens_of_other_scripts(spark):
     assert got == [plain_tokens(t) for t in rows]
 
 
-def test_index_update_replaces_and_removes(spark):
-    old = lexical.build_index(spark.createDataFrame([(1, "red door"), (2, "blue sea"), (3, "old text")], "d long, t string"), "d", "t")[0]
-    new = lexical.update_index(old, spark.createDataFrame([(1, "green door door")], "d long, t string"), spark.createDataFrame([(3,)], "d long"), "d", "t")
-    assert sorted(map(tuple, new.collect())) == [(1, "door", 2), (1, "green", 1), (2, "blue", 1), (2, "sea", 1)]
-
-
 def test_substring_join_equals_nested_loop(spark):
     rnd = random.Random(4)
     texts = [(k, " ".join("".join(rnd.choice("abcé1") for _ in range(rnd.randrange(1, 7))) for _ in range(rnd.randrange(12)))) for k in range(60)] + [(99, None), (98, "a-b, c! --")]
