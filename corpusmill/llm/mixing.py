@@ -80,21 +80,24 @@ def _repeated(docs: DataFrame, seed: int, weights: dict[str, float] | None, temp
     table = checkpoint(thresholds(rates(docs, weights, temperature, epochs, max_rate)))
     if (table.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_TERMS:
         table = F.broadcast(table)  # checked: at most 640,000 numbers
-    whole = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("ident"), F.struct("*").alias("row_"))
+    nameless = F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit(""))))
+    whole = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.col("doc_id").cast("string"), nameless).alias("ident"), F.struct("*").alias("row_"))
     u = hashed_bits(F.lit(str(seed)), F.col("ident")) / F.lit(float(1 << 52))
     drawn = whole.join(table, "source").withColumn("u", u).withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("n_copies > 0")
     copies = drawn.select("row_", "rate", "n_copies", "ident", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("replica"))
     key = hashed_bits(F.lit(f"{seed}:order"), F.col("ident"), F.col("replica").cast("string"))
-    keyed = copies.withColumn("shuffle_key", key)
-    return keyed.repartition(shuffle_partitions(spark), "shuffle_key").sortWithinPartitions("shuffle_key", "ident", "replica").drop("ident")
+    # rows of one id share a key: the task that they come from spreads them
+    keyed = copies.withColumn("shuffle_key", key).withColumn("from_", F.spark_partition_id())
+    return keyed.repartition(shuffle_partitions(spark), "shuffle_key", "from_").sortWithinPartitions("shuffle_key", "ident", "replica").drop("ident", "from_")
 
 
 def mix(docs: DataFrame, seed: int = 1, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, max_rate: float | None = None) -> DataFrame:
     """Repeat documents (doc_id, text, source, ...) to target weights and shuffle them globally.
 
     Adds rate, n_copies, replica (from 0) and shuffle_key; columns of docs with these names are left out (replicate keeps
-    them). A null source counts as the source ''; null texts have size 0; rows with equal doc_id, null included, draw the
-    same number; a document drawn 0 times is absent; no rows give no rows.
+    them). A null source counts as the source ''; null texts have size 0; rows with equal doc_id draw the
+    same number, rows without one draw by their text; a document drawn 0 times is absent; very long texts move like any
+    other; no rows give no rows.
     """
     out = _repeated(docs, seed, weights, temperature, epochs, max_rate)
     kept = [c for c in docs.columns if c.lower() not in ADDED]
@@ -109,15 +112,16 @@ def replicate(docs: DataFrame, seed: int = 1, weights: dict[str, float] | None =
 ORACLE_SQL = """
 WITH size AS (SELECT coalesce(source, '') AS source, sum(coalesce(length(text), 0))::DOUBLE AS size FROM documents GROUP BY 1),
 w AS (SELECT source, size, pow(size, 0.5) AS w FROM size),
-rate AS (SELECT source, coalesce(CASE WHEN size > 0 THEN least(8.0, (1.0 * (w / sum(w) OVER ())) * sum(size) OVER () / size) END, 0.0) AS rate FROM w),
-k AS (SELECT source, rate, k::INT AS k FROM rate, range(64) t(k)),
+rate AS (SELECT source, coalesce(CASE WHEN size > 0 THEN (1.0 * (w / sum(w) OVER ())) * sum(size) OVER () / size END, 0.0) AS rate FROM w),
+k AS (SELECT source, rate, unnest(range(CASE WHEN rate > 8 THEN greatest(63, ceil(rate + 9 * sqrt(rate))::INT + 40) + 1 ELSE 64 END))::INT AS k FROM rate),
 p AS (SELECT source, rate, k, CASE WHEN rate > 0 THEN exp(-rate + k * ln(rate) - sum(ln(greatest(k, 1)::DOUBLE)) OVER (PARTITION BY source ORDER BY k))
       ELSE (k = 0)::INT::DOUBLE END AS p FROM k),
 c AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p),
-u AS (SELECT d.*, ('0x' || substr(md5('1|' || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents d),
-n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*)::INT AS n_copies
+i AS (SELECT *, row_number() OVER () AS row_, coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))) AS ident FROM documents),
+u AS (SELECT d.*, ('0x' || substr(md5('1|' || ident), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM i d),
+n AS (SELECT u.row_, u.ident, u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*)::INT AS n_copies
       FROM u JOIN c ON coalesce(u.source, '') = c.source AND c.c <= u.u GROUP BY ALL)
 SELECT doc_id, text, lang, source, n_chars, n_copies, r::INT AS replica,
-       ('0x' || substr(md5('1:order|' || doc_id::VARCHAR || '|' || r::VARCHAR), 1, 13))::BIGINT AS shuffle_key
+       ('0x' || substr(md5('1:order|' || ident || '|' || r::VARCHAR), 1, 13))::BIGINT AS shuffle_key
 FROM n, unnest(range(n_copies)) t(r)
 """
