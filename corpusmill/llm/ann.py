@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.simhash import Forest
 from corpusmill.operators.components import connected_components
-from corpusmill.plans.runtime import bounded_batches, checkpoint
+from corpusmill.plans.runtime import bounded_batches, checkpoint, shuffle_partitions
 
 THRESHOLD = 0.9
 MARGIN = 0.15
@@ -45,7 +45,8 @@ RECALL = 0.9
 WIDENING = ((REACH, BEAM), (2 * REACH, 4 * BEAM), (float("inf"), 1 << 30))
 QUERY_ROWS = 128
 ASSIGN_ROWS = 65_536
-AUDIT_QUERIES = 4096
+AUDIT_ROWS = 4096
+AUDIT_SLICE = 1 << 15
 PAIR_ROWS = 1 << 14
 PAIRS_OF = 64
 
@@ -260,8 +261,8 @@ def _graphs(placed: DataFrame) -> DataFrame:
 def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     """Links of one shard's seekers to its members: (kind, a, b, n, m).
 
-    Kind 2: a found b, of n copies, itself being m; kind 0: a has more than PAIRS_OF links here, to n rows in all; kind 1: an
-    edge of a spanning forest.
+    Kind 2: a found b, of n copies, itself being m; kind 0: a has more than PAIRS_OF links to rows at home here, and was therefore
+    compared with all of these: n rows link; kind 1: an edge of a spanning forest.
     """
     members = shard[shard["role"] == 0]
     ids = members["id"].to_numpy()
@@ -293,6 +294,8 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
         part = unit(seekers["embedding"].iloc[k : k + QUERY_ROWS])
         itself = np.array([place.get(v, -1) for v in their[k : k + QUERY_ROWS].tolist()])
         sims = search(part, x, links, entries, itself, threshold - MARGIN, beam)
+        crowd = np.flatnonzero(((sims >= threshold) & home).sum(axis=1) > PAIRS_OF)
+        sims[crowd] = part[crowd] @ x.T  # whole lists are not handed on, so that nothing may be missing here
         row, col = np.nonzero(sims >= threshold)
         other = their[k + row] != ids[col]
         row, col = row[other], col[other]
@@ -313,38 +316,49 @@ def _find(shard: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["kind", "a", "b", "n", "m"])
 
 
-def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 100, most: int = AUDIT_QUERIES) -> float | None:
-    """Share of the links of vectors whose id divides by every that found.n_links holds against brute force; None without any.
+def _counts(asked: pd.DataFrame, rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(id, n): how many of rows each asked vector links to, itself apart."""
+    total = np.zeros(len(asked), dtype=np.int64)
+    left, right = asked["embedding"].map(len).to_numpy(), rows["embedding"].map(len).to_numpy()
+    for d in np.intersect1d(left, right):
+        q, e = np.flatnonzero(left == d), np.flatnonzero(right == d)
+        near = unit(asked["embedding"].iloc[q]) @ unit(rows["embedding"].iloc[e]).T >= threshold
+        total[q] += (near & (asked["id"].to_numpy()[q][:, None] != rows["id"].to_numpy()[e][None, :])).sum(axis=1)
+    return pd.DataFrame({"id": asked["id"].to_numpy(), "n": total})
 
-    Of those vectors about most are taken, by a hash of the id. Executors hold them in one bounded matrix for each vector
-    length, all vectors stream past it, and only counts leave the tasks.
+
+def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 100, most: int = AUDIT_ROWS) -> float | None:
+    """Share of the links of all vectors whose id divides by every that found.n_links holds against brute force; None without any.
+
+    Up to most of them are held by every executor while all vectors stream past; more are dealt into blocks of about so many,
+    each of which meets the vectors in slices. Only counts leave the tasks.
     """
     spark = vectors.sparkSession
     ready = vectors.where(valid(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = ready.where(F.col("id") % every == 0)
+    ready = ready.dropDuplicates(["id", "embedding"])
+    asked = ready.where(F.col("id") % every == 0).dropDuplicates(["id"])
     n = asked.count()
-    if n > most:
-        asked = asked.where(F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1 << 20)) < F.lit(most / n * (1 << 20)))
-    sample = asked.limit(2 * most).toPandas()  # bounded: about most rows
-    if not len(sample):
-        return None
-    sample = sample.drop_duplicates("id")
-    blocks = {d: (part["id"].to_numpy(), unit(part["embedding"])) for d, part in sample.groupby(sample["embedding"].map(len))}
-    held = spark.sparkContext.broadcast(blocks)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {d: np.zeros(len(ids), dtype=np.int64) for d, (ids, _) in held.value.items()}
-        for b in batches:
-            width = b["embedding"].map(len)
-            for d, (ids, q) in held.value.items():
-                part = b[width == d]
-                if len(part):
-                    near = q @ unit(part["embedding"]).T >= threshold
-                    total[d] += (near & (ids[:, None] != part["id"].to_numpy()[None, :])).sum(axis=1)
-        for d, (ids, _) in held.value.items():
-            yield pd.DataFrame({"id": ids, "n": total[d]})
-
-    true = ready.dropDuplicates(["id", "embedding"]).mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("true"))
+    if n <= most:
+        held = spark.sparkContext.broadcast(asked.toPandas())  # checked: at most `most` rows
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b) and len(held.value):
+                    yield _counts(held.value, b, threshold)
+
+        true = ready.mapInPandas(run, "id long, n long")
+    else:
+        blocks, slices = -(-n // most), max(shuffle_partitions(spark), -(-ready.count() // AUDIT_SLICE))
+        part = lambda k: F.pmod(F.xxhash64("id", F.lit(13)), F.lit(k)).cast("int")
+        every_one = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        left = asked.select("id", "embedding", part(blocks).alias("block"), every_one(slices).alias("slice"))
+        right = ready.select("id", "embedding", every_one(blocks).alias("block"), part(slices).alias("slice"))
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            return _counts(a, b, threshold)
+
+        true = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(meet, "id long, n long")
+    true = true.groupBy("id").agg(F.sum("n").alias("true"))
     row = true.join(found.groupBy("vec_id").agg(F.max("n_links").alias("n_links")), F.col("id") == F.col("vec_id")).agg(F.sum(F.least("true", "n_links")).alias("hit"), F.sum("true").alias("all")).first()
     return row["hit"] / row["all"] if row["all"] else None
 
@@ -398,14 +412,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, beam: int
     seeker = placed.where("seeker").withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int"))
     seeker = seeker.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     seeker = seeker.select("cluster", "sub", "part", F.lit(1).alias("role"), "id", "copies", "embedding", F.lit(False).alias("home"), F.array().cast("array<long>").alias("near"))
-    found = member.union(seeker).groupBy("cluster", "sub", "part").applyInPandas(lambda s: _find(s, threshold, beam), "kind int, a long, b long, n long, m long")
+    found = member.union(seeker).groupBy("cluster", "sub", "part").applyInPandas(lambda key, s: _find(s, threshold, beam).assign(cluster=key[0], sub=key[1]), "kind int, a long, b long, n long, m long, cluster long, sub int")
     found = checkpoint(found)
-    # a row with too many links for pairs counts what it found itself, any other what either end found
-    crowded = checkpoint(found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")))
+    # a pair counts for both ends, whichever found it; but where a row was compared with all of a shard, the shard's count holds
+    crowded = checkpoint(found.where("kind = 0").select(F.col("a").alias("id"), "cluster", "sub", "n"))
     pairs = found.where("kind = 2")
-    told = pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), F.col("m").alias("n")).join(crowded.select("id"), "id", "left_anti")
+    told = pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), F.col("m").alias("n"))
+    if not crowded.isEmpty():
+        at = placed.where("home").select(F.col("id").alias("other"), "cluster", F.pmod(F.xxhash64("id", F.lit(5)), F.col("subs")).cast("int").alias("sub"))
+        told = told.join(at, "other").join(crowded.select("id", "cluster", "sub"), ["id", "cluster", "sub"], "left_anti").select("id", "other", "n")
     each = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "n").unionByName(told).groupBy("id", "other").agg(F.max("n").alias("n"))
-    linked = each.groupBy("id").agg(F.sum("n").alias("n")).unionByName(crowded).groupBy("id").agg(F.sum("n").alias("n"))
+    linked = each.groupBy("id").agg(F.sum("n").alias("n")).unionByName(crowded.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
     component = connected_components(found.where("kind = 1").select("a", "b"))
     classes = (
         groups.select("h", "g", "id", "copies", "low")
