@@ -1,10 +1,10 @@
 """Document fingerprints from content-defined chunks.
 
 A gear hash over the last 32 bytes, computed for all positions by doubling, marks cut points: a stricter mask below the
-normal chunk size and a looser one above it keep sizes near the normal. Every text is cut into coarse chunks of about 64
-bytes; texts of at most FINE_BYTES bytes, where few of those fit, into fine ones of about 16 too. A fingerprint is the set of
-chunk digests with lengths; equal passages give equal chunks wherever they stand. Likeness is the shared length over the
-smaller set's, by fine chunks if both texts have them, else by coarse ones.
+normal chunk size and a looser one above it keep sizes near the normal. Every text is cut twice, into coarse chunks of about
+64 bytes and into fine ones of about 16. A fingerprint holds both sets of chunk digests with lengths; equal passages give
+equal chunks wherever they stand. Likeness is the shared length over the smaller set's, at the scale where it is larger: fine
+chunks follow edits of short texts, coarse ones are rarely alike by chance.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from corpusmill.plans.runtime import bounded_batches, shuffle_partitions
 
 #: (least, normal, most bytes, mask bits) of a chunk
 COARSE, FINE = (16, 64, 256, 6), (4, 16, 64, 4)
-FINE_BYTES = 1024
 WINDOW = 32
 LENGTH = np.uint64(0x1FF)
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([i]), 0x6EA8) & 0xFFFFFFFF for i in range(256)], dtype=np.uint32)
@@ -72,10 +71,10 @@ def records(raw: bytes, h: np.ndarray, scale: tuple[int, int, int, int]) -> np.n
 
 
 def chunk_set(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(coarse, fine) chunks of a text; those of a text above FINE_BYTES have no fine part."""
+    """(coarse, fine) chunks of a text of any length."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     h = gear_hashes(raw)
-    return records(raw, h, COARSE), records(raw, h, FINE) if len(raw) <= FINE_BYTES else np.zeros(0, np.uint64)
+    return records(raw, h, COARSE), records(raw, h, FINE)
 
 
 def pack(chunks: tuple[np.ndarray, np.ndarray]) -> str:
@@ -89,8 +88,12 @@ def unpack(fingerprint: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def containment(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
-    """Length of shared chunks over the smaller set's length; two empty texts are alike, one is like no other."""
-    a, b = (x[1], y[1]) if len(x[1]) and len(y[1]) else (x[0], y[0])
+    """Length of shared chunks over the smaller set's length, the larger of both scales; two empty texts are alike, one is like no other."""
+    return max(map(shared_length, x, y))
+
+
+def shared_length(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the smaller set's length that lies in chunks of both."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     if len(a) > len(b):
