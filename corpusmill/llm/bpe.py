@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.plans.runtime import bounded_batches
+from corpusmill.plans.runtime import bounded_batches, free_names
 
 LETTER, NUMBER, OTHER, SPACE_LAST, WHITE_LAST, WHITE_MID, QUOTE1, QUOTE2, RESET = range(9)
 NONE, OPEN, IN_LETTER, IN_NUMBER, IN_OTHER, IN_WHITE, SUFFIX1, SUFFIX2 = range(8)
@@ -309,18 +309,16 @@ def decode(ids: Column | str, ends: Column | str, tokens: Broadcast) -> Column:
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add bpe_ids, bpe_ends (packed token ids and byte ends) and bpe_decoded (the bytes they decode to).
 
-    Rows, nulls and repeated rows are kept as they are; columns of these names are replaced.
+    Rows, nulls and repeated rows are kept as they are; columns of these names are replaced, all others stay; very long texts
+    are encoded whole; no rows give no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     tokens = vocabulary(spark, path)
-    coded = docs.withColumn("bpe_", encode(F.col(text), tokens))
-    return (
-        coded.withColumn("bpe_ids", F.col("bpe_.ids"))
-        .withColumn("bpe_ends", F.col("bpe_.ends"))
-        .withColumn("bpe_decoded", decode(F.col("bpe_.ids"), F.col("bpe_.ends"), tokens))
-        .drop("bpe_")
-    )
+    (name,) = free_names(docs, "bpe_")
+    coded = docs.withColumn(name, encode(F.col(text), tokens))
+    ids, ends = F.col(name).getField("ids"), F.col(name).getField("ends")
+    return coded.withColumn("bpe_ids", ids).withColumn("bpe_ends", ends).withColumn("bpe_decoded", decode(ids, ends, tokens)).drop(name)
 
 
 if sys.byteorder != "little":  # packed ids are read in place

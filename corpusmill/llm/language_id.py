@@ -133,7 +133,7 @@ _LATTICES: dict = {}
 
 
 def _lattice(pieces) -> Lattice:
-    key = hash(tuple(pieces.value[:50])), len(pieces.value)
+    key = hash(tuple(pieces.value))
     if key not in _LATTICES:
         _LATTICES.clear()
         _LATTICES[key] = Lattice(pieces.value)
