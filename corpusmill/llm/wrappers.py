@@ -1,12 +1,15 @@
 """HTML main-text extraction by wrapper induction.
 
 Pages of a host are parsed to DOM trees whose block nodes form a skeleton (adjacent siblings of one kind share a node).
-Simple tree matching aligns the skeletons of a host and unites them to its template, in rounds of bounded groups; counting
-texts by template node over all distinct contents then tells constant nodes, which belong to the template, from varying
-slots, which may hold content. Extraction aligns each page with its host's template, takes the article region if the page
-marks one, else the body without constant nodes, and leaves out page furniture: nodes marked by tag, role or firm class and
-id words, and nodes with softer words (legal, related, share and the like) where the template holds them constant or links
-make up most of their text. Unknown hosts and hosts of few pages have no constant nodes and rely on marks and links alone.
+Simple tree matching aligns the skeletons of a host and unites them to its template, in rounds of bounded groups. Over all
+distinct contents every template node then shows how often it recurs, how many different texts it has and how much text
+outside links: a node that recurs with few texts is constant and belongs to the template, the slots that hold most of the
+varying text are the content. Extraction aligns each page with its host's template and reads the content slots, without page
+furniture: nodes marked by tag, role or class and id words, and nodes with softer words (legal, related, share and the like)
+where the template holds them constant or links make up most of their text.
+
+Unknown hosts, hosts of few pages and pages that do not show their host's content slots are read by marks and links alone:
+main or article, where one holds most of the text around it, else the body.
 """
 
 from __future__ import annotations
@@ -26,11 +29,16 @@ from corpusmill.plans.runtime import bounded_batches, checkpoint
 
 MIN_PAGES = 5
 BROADCAST_BYTES = 16 << 20
-MAX_DEPTH = 32
+#: Levels of a skeleton; what lies deeper belongs to the node above it. A bound of recursion, far beyond what pages show.
+MAX_DEPTH = 128
 FAN_IN = 64
 RARE = 1 / 16
 CELLS = 4_000_000
-SALTS = 16
+#: A node is constant with at most this share of different texts; content is followed into a node with this share of the text;
+#: a slot beside it counts as content from this share of it on; a page with less than this share of its text there is read by marks.
+SAME, MOST, FAIR, SHOWN = 1 / 4, 1 / 2, 1 / 10, 1 / 4
+#: Share of the pages that have what belongs to every page.
+USUAL = 0.9
 
 # HTML element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,6 +68,10 @@ LAYOUT_WORDS = set(
     "area bar block body bottom box button buttons card col column container content group header heading icon icons inner item items left link links list main outer "
     "panel post posts right row section site slot text title to top unit wrap wrapper".split()
 )
+# Words of a name that turn its meaning: a layout without a sidebar is no sidebar.
+TURNING_WORDS = set("no not non without with has have is enable enabled disable disabled".split())
+TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 li pre blockquote dt dd td th caption figcaption".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 KEPT_TAGS = {"html", "body", "article", "main"}
 
@@ -78,11 +90,19 @@ class Node:
 
 
 def _mark(names: str) -> int:
-    """How firmly class and id names mark furniture."""
+    """How firmly class and id names mark furniture.
+
+    A firm word marks a name that ends with it, words of layout apart, or that has none but words of furniture and layout.
+    Parts with digits do not count.
+    """
     mark = 0
     for name in names.split():
-        words = {w for w in TOKEN.findall(name) if not w.isdigit()}
-        if not FIRM_WORDS.isdisjoint(words) or (not NAMED_WORDS.isdisjoint(words) and words <= SOFT_WORDS | LAYOUT_WORDS):
+        words = [w for w in TOKEN.findall(name) if not any(map(str.isdigit, w))]
+        if not TURNING_WORDS.isdisjoint(words):
+            continue
+        end = [w for w in words if w not in LAYOUT_WORDS][-1:]
+        only = FIRM_WORDS.union(SOFT_WORDS, LAYOUT_WORDS).issuperset(words)
+        if not FIRM_WORDS.isdisjoint(end) or (only and not (FIRM_WORDS | NAMED_WORDS).isdisjoint(words)):
             return 2
         if not SOFT_WORDS.isdisjoint(words):
             mark = 1
@@ -170,39 +190,43 @@ class Shape:
         self.size = 1 + sum(c.size for c in children)
 
 
-def skeleton(root: Node) -> tuple[list, list[Node], list[str], dict[int, int]]:
-    """(tree [key, children], a DOM node and the own text of each skeleton node in preorder, skeleton number by DOM node id).
+def skeleton(root: Node) -> tuple[list, list[str], dict[int, int], list[int]]:
+    """(tree [key, children], own text of each node in preorder, node number by DOM node id, characters of each node).
 
     Adjacent sibling blocks of one key share a skeleton node; inline elements and levels below MAX_DEPTH belong to the
-    block around them; scripts and styles have none.
+    block around them; scripts and styles have none. Characters are those of own text outside links and firm furniture.
     """
-    nodes, texts, number = [root], [[]], {id(root): 0}
+    texts, chars, number = [[]], [0], {id(root): 0}
     tree = [root.key, [], 0]
     # depth first in page order: an explicit stack of iterators keeps preorder numbers
-    stack = [(iter(root.children), tree, 0)]
+    stack = [(iter(root.children), tree, 0, False)]
     while stack:
-        it, here, depth = stack[-1]
+        it, here, depth, apart = stack[-1]
         for child in it:
             if isinstance(child, str):
                 texts[here[2]].append(child)
-            elif child.tag in BLOCK and depth < MAX_DEPTH:
+                chars[here[2]] += 0 if apart else len(child) - child.count(" ")
+                continue
+            if child.tag in RAW:
+                continue
+            without = apart or child.noise == 2 or child.tag == "a"
+            if child.tag in BLOCK and depth < MAX_DEPTH:
                 if here[1] and here[1][-1][0] == child.key:
                     sub = here[1][-1]
                 else:
-                    sub = [child.key, [], len(nodes)]
-                    nodes.append(child)
+                    sub = [child.key, [], len(texts)]
                     texts.append([])
+                    chars.append(0)
                     here[1].append(sub)
                 number[id(child)] = sub[2]
-                stack.append((iter(child.children), sub, depth + 1))
-                break
-            elif child.tag not in RAW:
+                stack.append((iter(child.children), sub, depth + 1, without))
+            else:
                 number[id(child)] = here[2]
-                stack.append((iter(child.children), here, depth))
-                break
+                stack.append((iter(child.children), here, depth, without))
+            break
         else:
             stack.pop()
-    return tree, nodes, [" ".join(" ".join(t).split()) for t in texts], number
+    return tree, [" ".join(" ".join(t).split()) for t in texts], number, chars
 
 
 def dump(tree: list) -> str:
@@ -345,8 +369,75 @@ def links_prevail(node: Node) -> bool:
     return total > 0 and 2 * linked >= total
 
 
-def main_text(root: Node, constant: set[int], number: dict[int, int]) -> str:
-    """Blocks of the article region, or of the body without constant skeleton nodes; furniture is left out of both."""
+def content_slots(template: Shape, chars: dict[int, int], constant: set[int]) -> tuple[list[int], list[int]]:
+    """(slots, dropped): template nodes under which content lies, and nodes under these that belong to the template.
+
+    chars has the characters of all pages in each node. From the root the way leads into the child with at least MOST of the
+    text, until text is spread or lies in paragraphs. What lies beside the way belongs to the template if it is constant, or if
+    USUAL of all pages have it with less than a FAIR share of its fullest neighbour's text; headings that vary do not, and beside
+    an article all does. At the end of the way the same holds for parts that are no paragraphs; an article is content as a whole.
+    """
+    total: dict[int, int] = {}
+
+    def add(node: Shape) -> int:
+        own = 0 if node.number in constant else chars.get(node.number, 0)
+        total[node.number] = own + sum(map(add, node.children))
+        return total[node.number]
+
+    tag = lambda node: node.key.partition(".")[0]
+    if not add(template):
+        return [], []
+    usual = lambda c, most: c.weight >= USUAL * template.weight and total[c.number] < FAIR * total[most.number]
+    here, kept = template, []
+    while here.children:
+        heavy = max(here.children, key=lambda c: total[c.number])
+        if total[heavy.number] < MOST * total[here.number] or tag(heavy) in TEXT_TAGS:
+            break
+        if tag(heavy) not in ("article", "main"):
+            kept += [c.number for c in here.children if c is not heavy and total[c.number] and (tag(c) in HEADINGS or not usual(c, heavy))]
+        here = heavy
+    if tag(here) in ("article", "main") or not here.children:
+        return [*kept, here.number], []
+    fullest = max(here.children, key=lambda c: total[c.number])
+    return [*kept, here.number], [c.number for c in here.children if tag(c) not in TEXT_TAGS and usual(c, fullest)]
+
+
+def _letters(node: Node, furniture) -> int:
+    """Characters of a node without spaces and furniture."""
+    n, todo = 0, [node]
+    while todo:
+        for child in todo.pop().children:
+            if isinstance(child, str):
+                n += len("".join(child.split()))
+            elif child.tag not in RAW and not furniture(child):
+                todo.append(child)
+    return n
+
+
+def _marked(root: Node, furniture) -> list[Node]:
+    """The outermost main or article elements that hold most of the text around them, else the root."""
+    def outermost(top: Node, tag: str) -> list[Node]:
+        out, todo = [], [top]
+        while todo:
+            node = todo.pop()
+            if node.tag == tag and node is not top:
+                out.append(node)
+            else:
+                todo += [c for c in reversed(node.children) if not isinstance(c, str) and not furniture(c)]
+        return out
+
+    around = outermost(root, "main") or [root]
+    articles = [a for region in around for a in outermost(region, "article")]
+    if articles and sum(_letters(a, furniture) for a in articles) >= MOST * sum(_letters(r, furniture) for r in around):
+        return articles
+    return around
+
+
+def main_text(root: Node, number: dict[int, int], constant: set[int] = frozenset(), slots: set[int] = frozenset(), dropped: set[int] = frozenset()) -> str:
+    """Blocks of the content slots (skeleton numbers) of a page without dropped ones, or by marks alone where it shows too little of them.
+
+    Furniture is left out of both; constant skeleton nodes are evidence for soft marks.
+    """
     judged: dict[int, bool] = {}
 
     def furniture(node: Node) -> bool:
@@ -356,14 +447,26 @@ def main_text(root: Node, constant: set[int], number: dict[int, int]) -> str:
             judged[id(node)] = number.get(id(node)) in constant or links_prevail(node)
         return judged[id(node)]
 
-    regions, todo = {"article": [], "main": []}, [root]
+    regions = _marked(root, furniture)
+    plain = _blocks(regions, furniture, constant, number)
+    if not slots:
+        return plain
+    inside, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.tag in regions:
-            regions[node.tag].append(node)
-            continue
-        todo += [c for c in reversed(node.children) if not isinstance(c, str) and not furniture(c)]
-    inside = regions["article"] or regions["main"]
+        if number.get(id(node)) in slots and (node.tag in BLOCK or node is root):
+            inside.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if not isinstance(c, str) and not furniture(c)]
+    found = _blocks(inside, lambda node: furniture(node) or (node.tag in BLOCK and number.get(id(node)) in dropped), constant, number)
+    return found if len(found) >= SHOWN * len(plain) else plain
+
+
+def _blocks(regions: list[Node], furniture, constant: set[int], number: dict[int, int]) -> str:
+    """Texts of the blocks in some elements, one a line, without furniture; but in an article, without constant text either.
+
+    A header of the body itself is none of an article.
+    """
     blocks: list[str] = []
     run: list[str] = []
 
@@ -372,19 +475,20 @@ def main_text(root: Node, constant: set[int], number: dict[int, int]) -> str:
             blocks.append(text)
         run.clear()
 
-    for region in inside or [root]:
+    for region in regions:
+        article, headers_go = region.tag in ("article", "main"), region.tag in ("#root", "html", "body")
         stack = [(region, iter(region.children))]
         while stack:
             node, it = stack[-1]
             for child in it:
                 if isinstance(child, str):
-                    if inside or number.get(id(node)) not in constant:
+                    if article or number.get(id(node)) not in constant:
                         run.append(child)
                     continue
                 if child.tag == "br":
                     run.append(" ")
                     continue
-                if furniture(child) or child.tag in RAW or (child.tag == "header" and not inside):
+                if furniture(child) or child.tag in RAW or (child.tag == "header" and headers_go):
                     continue
                 if child.tag in BLOCK:
                     flush()
@@ -408,10 +512,10 @@ def _hash(text: str) -> int:
 
 
 def induce(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, template, constant): each host's united skeleton and the numbers of its constant nodes.
+    """(host, template, constant, slots, dropped): each host's united skeleton, and the numbers of its constant nodes and content slots.
 
-    A node is constant if it has one and the same text on all its pages, min_pages at least and most of the host's, while
-    those do vary. Pages whose text without furniture is equal are copies and count once, by one of them. The distinct
+    A node is constant if min_pages pages at least and most of the host's have it, with different texts on a share SAME of
+    them at most. A host of fewer distinct pages has neither. Pages whose text without furniture is equal are copies and count once, by one of them. The distinct
     skeletons of a host meet in groups of about FAN_IN, whose united trees meet in turn until one is left. A united tree
     leaves out nodes that under RARE of its group's pages have: a node on most pages of the host loses less than RARE of
     them a round and so stays for seven rounds (64^7 skeletons), while a template is at most 1 / RARE mean pages large.
@@ -422,18 +526,18 @@ def induce(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             rows = []
             for host, html in zip(b["host"], b["html"]):
                 root = parse(html)
-                tree, _, texts, number = skeleton(root)
+                tree, texts, number, chars = skeleton(root)
                 # node -1 stands for the page
-                filled = [(-1, 0), *((k, _hash(t)) for k, t in enumerate(texts) if t)]
+                filled = [(-1, 0, 0), *((k, _hash(t), chars[k]) for k, t in enumerate(texts) if t)]
                 shape = dump(tree)
-                rows.append((host, _hash(main_text(root, set(), number)), _hash(shape), shape, [k for k, _ in filled], [h for _, h in filled]))
-            yield pd.DataFrame(rows, columns=["host", "content", "code", "shape", "node", "hash"])
+                rows.append((host, _hash(main_text(root, number)), _hash(shape), shape, *map(list, zip(*filled))))
+            yield pd.DataFrame(rows, columns=["host", "content", "code", "shape", "node", "hash", "chars"])
 
-    seen = pages.mapInPandas(observe, "host string, content long, code long, shape string, node array<int>, hash array<long>")
-    once = checkpoint(seen.groupBy("host", "content").agg(F.min(F.struct("code", "shape", "node", "hash")).alias("page")).select("host", "page.*"))
+    seen = pages.mapInPandas(observe, "host string, content long, code long, shape string, node array<int>, hash array<long>, chars array<int>")
+    once = checkpoint(seen.groupBy("host", "content").agg(F.min(F.struct("code", "shape", "node", "hash", "chars")).alias("page")).select("host", "page.*"))
     # nodes carry the skeleton's code, not its text, which is as long as the page has nodes
-    nodes = once.select("host", "code", F.explode(F.arrays_zip("node", "hash")).alias("of")).select("host", "code", "of.node", "of.hash")
-    counts = checkpoint(nodes.groupBy("host", "code", "node", "hash").agg(F.count("*").alias("n")))
+    nodes = once.select("host", "code", F.inline(F.arrays_zip("node", "hash", "chars")))
+    counts = checkpoint(nodes.groupBy("host", "code", "node", "hash").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")))
     shapes = checkpoint(once.groupBy("host", "code").agg(F.min("shape").alias("shape"), F.count("*").alias("n")))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
@@ -458,15 +562,22 @@ def induce(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             yield pd.DataFrame(rows, columns=["host", "code", "node", "place"])
 
     placed = shapes.select("host", "code", "shape").join(templates, "host").mapInPandas(place, "host string, code long, node int, place int")
-    texts = counts.join(placed, ["host", "code", "node"]).groupBy("host", "place", "hash").agg(F.sum("n").alias("n"))
-    slots = texts.groupBy("host", "place").agg(F.sum("n").alias("pages"), F.count("*").alias("kinds"))
-    total = counts.where("node = -1").groupBy("host").agg(F.sum("n").alias("total"))
-    usual = (F.col("pages") >= min_pages) & (2 * F.col("pages") > F.col("total"))
-    fixed = slots.join(total, "host").groupBy("host").agg(
-        F.collect_list(F.when((F.col("kinds") == 1) & usual, F.col("place"))).alias("constant"), F.max("kinds").alias("most")
-    )
-    constant = F.coalesce(F.when(F.col("most") > 1, F.col("constant")), F.array().cast("array<int>")).alias("constant")
-    return checkpoint(templates.join(fixed, "host", "left").select("host", "template", constant))
+    texts = counts.join(placed, ["host", "code", "node"]).groupBy("host", "place", "hash").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    places = texts.groupBy("host", "place").agg(F.sum("n").alias("pages"), F.count("*").alias("kinds"), F.sum("chars").alias("chars"))
+    total = counts.where("node = -1").groupBy("host").agg(F.sum("n").alias("total")).where(F.col("total") >= min_pages)
+    fixed = (F.col("pages") >= min_pages) & (2 * F.col("pages") > F.col("total")) & (F.col("kinds") <= F.greatest(F.lit(1.0), SAME * F.col("pages")))
+    judged = places.join(total, "host").select("host", F.struct("place", "chars", fixed.alias("fixed")).alias("of"))
+    known = templates.join(judged.groupBy("host").agg(F.collect_list("of").alias("places")), "host")  # as many as the template has nodes
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for host, template, found in zip(b["host"], b["template"], b["places"]):
+                constant = {p["place"] for p in found if p["fixed"]}
+                rows.append((host, template, sorted(constant), *content_slots(load(template), {p["place"]: p["chars"] for p in found}, constant)))
+            yield pd.DataFrame(rows, columns=["host", "template", "constant", "slots", "dropped"])
+
+    return checkpoint(known.mapInPandas(choose, "host string, template string, constant array<int>, slots array<int>, dropped array<int>"))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -474,18 +585,15 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
     A null html counts as empty and gives an empty text; a null url belongs to the host ''. Repeated rows stay; very long
     and deeply nested pages are read whole; no rows give no rows; other columns of pages, whatever their names, are left out.
-    A text is constant on a host only if min_pages distinct pages at least have it.
+    Hosts of fewer than min_pages distinct pages have no wrapper and are read by marks alone.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    wrappers = induce(rows.select("host", "html"), min_pages).where(F.size("constant") > 0)
-    size = wrappers.agg(F.sum(F.octet_length("template") + 4 * F.size("constant") + F.octet_length("host") + 64).alias("b")).first()["b"] or 0
-    if size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(wrappers), "host", "left")
-    else:  # a host's pages are dealt to several tasks, each with the wrapper
-        salted = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    wrappers = induce(rows.select("host", "html"), min_pages)
+    size = wrappers.agg(F.sum(F.octet_length("template") + 4 * (F.size("constant") + F.size("slots") + F.size("dropped")) + F.octet_length("host") + 64).alias("b")).first()["b"] or 0
+    # a larger table of wrappers meets its pages on the host; the pages of a hot one are split where Spark splits skewed joins
+    joined = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loaded: dict[str, Shape] = {}
@@ -495,21 +603,21 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             if len(loaded) > 256 or len(placed) > 4096:
                 loaded.clear()
                 placed.clear()
-            for html, template, constant in zip(b["html"], b["template"], b["constant"]):
+            for html, template, *numbers in zip(*(b[c] for c in ("html", "template", "constant", "slots", "dropped"))):
                 root = parse(html)
-                tree, _, _, number = skeleton(root)
-                fixed: set[int] = set()
-                if template is not None and constant is not None and len(constant):
+                tree, _, number, _ = skeleton(root)
+                sets: list[set[int]] = []
+                if template is not None:
                     shape = dump(tree)
                     if template not in loaded:
                         loaded[template] = load(template)
                     if (template, shape) not in placed:
                         placed[template, shape] = align(loaded[template], load(shape))
-                    keep = set(np.asarray(constant).tolist())
-                    fixed = {k for k, t in placed[template, shape].items() if t in keep}
-                out.append(main_text(root, fixed, number))
+                    wanted = [set(np.asarray(x).tolist()) for x in numbers]
+                    sets = [{k for k, t in placed[template, shape].items() if t in w} for w in wanted]
+                out.append(main_text(root, number, *sets))
             yield pd.DataFrame({"page_id": b["page_id"].to_numpy(), "url": b["url"].to_numpy(), "text": out})
 
     kind = dict(pages.dtypes)
-    found = joined.select("page_id", "url", "html", "template", "constant").mapInPandas(run, f"page_id {kind['page_id']}, url string, text string")
+    found = joined.select("page_id", "url", "html", "template", "constant", "slots", "dropped").mapInPandas(run, f"page_id {kind['page_id']}, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))
