@@ -515,7 +515,7 @@ def induce(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, template, constant, slots, dropped): each host's united skeleton, and the numbers of its constant nodes and content slots.
 
     A node is constant if min_pages pages at least and most of the host's have it, with different texts on a share SAME of
-    them at most; where most of the text would be, none is. A host of fewer distinct pages has neither. Pages whose text without furniture is equal are copies and count once, by one of them. The distinct
+    them at most, while other nodes vary. A host of fewer distinct pages has neither. Pages whose text without furniture is equal are copies and count once, by one of them. The distinct
     skeletons of a host meet in groups of about FAN_IN, whose united trees meet in turn until one is left. A united tree
     leaves out nodes that under RARE of its group's pages have: a node on most pages of the host loses less than RARE of
     them a round and so stays for seven rounds (64^7 skeletons), while a template is at most 1 / RARE mean pages large.
@@ -566,7 +566,7 @@ def induce(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     places = texts.groupBy("host", "place").agg(F.sum("n").alias("pages"), F.count("*").alias("kinds"), F.sum("chars").alias("chars"))
     total = counts.where("node = -1").groupBy("host").agg(F.sum("n").alias("total")).where(F.col("total") >= min_pages)
     fixed = (F.col("pages") >= min_pages) & (2 * F.col("pages") > F.col("total")) & (F.col("kinds") <= F.greatest(F.lit(1.0), SAME * F.col("pages")))
-    judged = places.join(total, "host").select("host", F.struct("place", "chars", fixed.alias("fixed")).alias("of"))
+    judged = places.join(total, "host").select("host", F.struct("place", "chars", fixed.alias("fixed"), (F.col("kinds") > 1).alias("varies")).alias("of"))
     known = templates.join(judged.groupBy("host").agg(F.collect_list("of").alias("places")), "host")  # as many as the template has nodes
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -574,8 +574,8 @@ def induce(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             rows = []
             for host, template, found in zip(b["host"], b["template"], b["places"]):
                 constant = {p["place"] for p in found if p["fixed"]}
-                if sum(p["chars"] for p in found if p["fixed"]) >= MOST * sum(p["chars"] for p in found):
-                    constant = set()  # copies that differ in little are no template
+                if not any(p["varies"] and p["chars"] for p in found):
+                    constant = set()  # pages that only grow are no template
                 rows.append((host, template, sorted(constant), *content_slots(load(template), {p["place"]: p["chars"] for p in found}, constant)))
             yield pd.DataFrame(rows, columns=["host", "template", "constant", "slots", "dropped"])
 
