@@ -354,6 +354,14 @@ def m7(s, d):
     return b11(s, d).select("hit", F.col("queries").alias("distinct_queries_hit"))
 
 
+@register("m7_daily_sketches", None)
+def m7_sketches(s, d):
+    """The same counts from daily sketches, with the exact number beside the estimate; tests hold the error."""
+    reads = recall_log(s, d).select("qhash", "ts", F.explode(F.array("hit_a", "hit_b")).alias("hit"))
+    exact = reads.groupBy(F.col("hit").alias("item")).agg(F.countDistinct("qhash").alias("exact"))
+    return reports.distinct_of(reports.daily_sketches(reads, "hit", "qhash")).join(exact, "item").select(F.col("item").alias("hit"), "days", "estimate", "exact")
+
+
 @on_facts("h2_lifecycle", "SELECT fact_id, (age_days - ended_days)::DOUBLE AS lifetime_days, NOT tombstoned AND ended_days IS NULL AS active FROM facts")
 def h2(s, d):
     return lifecycle.lifecycle(facts(s, d))

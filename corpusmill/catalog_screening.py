@@ -163,6 +163,38 @@ def g6(s, d):
     return changes.apply_merges(_groups(s, d), facts(s, d))
 
 
+TAGS_SQL = "[f.topic, f.lang, 't' || (f.fact_id % 4)]"
+MERGED_SQL = f""", {PAIRS_SQL}, mt AS (SELECT f.fact_id, b.winner, f.importance, f.content, {TAGS_SQL} AS tags FROM m JOIN b ON b.cls = m.cls JOIN facts f ON f.fact_id = m.id),
+    me AS (SELECT fact_id, winner, unnest(tags) AS tag, unnest(range(3)) AS pos FROM mt),
+    mf AS (SELECT winner, tag, min((fact_id <> winner, fact_id, pos)) AS first FROM me WHERE tag IS NOT NULL GROUP BY 1, 2), mu AS (SELECT winner, list(tag ORDER BY first) AS tags FROM mf GROUP BY 1),
+    mw AS (SELECT winner, max(importance) AS most, count(*) FILTER (fact_id <> winner) AS merged FROM mt GROUP BY 1)"""
+
+
+def _merged(s, d):
+    tags = F.array("topic", "lang", F.concat(F.lit("t"), F.col("fact_id") % 4))
+    return changes.merge_rows(_groups(s, d), facts(s, d).withColumn("tags", tags))
+
+
+@on_facts(
+    "g6_merged_rows",
+    f"""{MERGED_SQL} SELECT fact_id, fact_id <> t.winner AS tombstoned, CASE WHEN fact_id = t.winner THEN most ELSE t.importance END AS importance,
+    array_to_string(CASE WHEN fact_id = t.winner THEN u.tags ELSE t.tags END, ',') AS tags, CASE WHEN fact_id = t.winner THEN merged ELSE 0 END AS merged, CASE WHEN fact_id <> t.winner THEN t.winner END AS merged_into
+    FROM mt t JOIN mw w ON w.winner = t.winner LEFT JOIN mu u ON u.winner = t.winner""",
+)
+def g6_rows(s, d):
+    return _merged(s, d)[0].withColumn("tags", F.array_join("tags", ","))
+
+
+@on_facts(
+    "g6_merge_audit",
+    f"""{MERGED_SQL} SELECT t.winner AS target_id, fact_id AS loser_id, 'warning' AS severity, md5(substr(coalesce(content, ''), 1, 120)) AS content_md5, most AS importance, len(u.tags)::INT AS n_tags
+    FROM mt t JOIN mw w ON w.winner = t.winner JOIN mu u ON u.winner = t.winner WHERE fact_id <> t.winner""",
+)
+def g6_audit(s, d):
+    a = _merged(s, d)[1]
+    return a.withColumn("content_md5", F.md5("loser_content")).drop("loser_content")
+
+
 @on_facts(
     "g10_hygiene_scan",
     """, x AS (SELECT fact_id, substr(regexp_replace(content, '[0-9]+', '#', 'g'), 1, 600) AS shape FROM facts WHERE NOT tombstoned AND content IS NOT NULL),
@@ -391,6 +423,13 @@ def m3(s, d):
     return changes.nonce_dedup(recall_log(s, d).select("user_id", (F.col("qhash") % 5).alias("nonce"), "event_id", "ts"))
 
 
+@on_log("k10_failures", "SELECT intent AS event, tier AS error, count(*) AS n, count(DISTINCT user_id) AS users, max(event_id) AS last_id FROM recall_log WHERE top_hit_score < 0.5 GROUP BY 1, 2")
+def k10_failures(s, d):
+    """Failed reads by event and by kind of error, for which the tier that answered stands."""
+    weak = recall_log(s, d).where("top_hit_score < 0.5").groupBy(F.col("intent").alias("event"), F.col("tier").alias("error"))
+    return weak.agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.max("event_id").alias("last_id"))
+
+
 @on_log("k10_warnings", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM recall_log WHERE intent = 'error' GROUP BY 1 ORDER BY day DESC LIMIT 14")
 def k10(s, d):
     days = recall_log(s, d).where("intent = 'error'").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.catalog_relations import quoted, words_sql
 from corpusmill.catalog_screening import case_sql, text_sql
-from corpusmill.operators import experiences, personal_names, screening, scrubbing, texts, vectors
+from corpusmill.operators import distilling, experiences, personal, personal_names, screening, scrubbing, texts, vectors
 from corpusmill.operators.texts import CAUSE, FAILURE, LESSON_WORDS, SCRUBS, SEVERE, SUCCESS, TOPIC_SKIP, WEEKDAYS, word
 from corpusmill.registry import VEC_SQL, docs, emb, on_facts, query_vectors, register
 from corpusmill.sources.views import facts, queries_table, table
@@ -107,9 +107,8 @@ def g13(s, d):
 @on_facts(
     "h4_auto_invalidate",
     f""", {VEC_SQL.strip()}, n AS (SELECT cs.fact_id, query_id, round(cosine, 6) AS score, o.importance AS old, w.importance AS new FROM cs JOIN facts w ON w.fact_id = query_id JOIN facts o ON o.fact_id = cs.fact_id AND o.kind = w.kind AND o.topic = w.topic
-      WHERE w.kind IN ('decision', 'user_preference', 'fact', 'lesson') AND NOT o.tombstoned AND o.ended_days IS NULL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY old DESC, fact_id) AS r FROM n)
-    SELECT fact_id, arg_max(query_id, (score, -query_id)) AS replaced_by, max(score) AS similarity FROM r WHERE r <= 20 AND score >= 0.1 AND new >= old GROUP BY 1""",
+      WHERE w.kind IN ('decision', 'user_preference', 'fact', 'lesson') AND NOT o.tombstoned AND o.ended_days IS NULL)
+    SELECT fact_id, arg_max(query_id, (score, -query_id)) AS replaced_by, max(score) AS similarity FROM n WHERE score >= 0.1 AND new >= old GROUP BY 1""",
 )
 def h4(s, d):
     near = vectors.cosine_scores(query_vectors(s, d), emb(s, d)).select("query_id", "fact_id", F.round("cosine", 6).alias("score"))
@@ -278,6 +277,40 @@ def j10(s, d):
     return log.select("conv_id", "piece", texts.clear_tool_results(F.array_join(F.transform("l", lambda x: x["m"]), "\n")).alias("text"))
 
 
+LEADS = [
+    "First open src/api/v2/handler.py:142, then call bus.flush() with MAX_ROWS=50.", "My phone is 13812345678. The method works.", "We moved to Berlin with the kids. Next step: pin v2.1.3.", "I live in Tokyo.",
+    "Mail ann@example.org, card 4111111111111111, bot_id=8263b17ef000.", "Ship I is done. The process is on mp.weixin.qq.com since 2024-01-02.", "我们的方法分三步，先打开文件，然后保存。我抑郁了。", "telegram chat id: 123456789 is the operator's.", "Our approach to the scanner is a pattern.", "plain",
+]
+
+
+def led(s, d):
+    """(fact_id, kind, confidence, t): each fact's text led by one of a list of phrases, by its id."""
+    phrase = F.element_at(F.array(*map(F.lit, LEADS)), (F.col("fact_id") % len(LEADS) + 1).cast("int"))
+    kind = F.when(F.col("fact_id") % 3 == 0, "method").otherwise(F.col("kind"))
+    return facts(s, d).select("fact_id", kind.alias("kind"), "confidence", F.concat(phrase, F.lit(" "), F.coalesce("content", F.lit(""))).alias("t"))
+
+
+@register("j4_private_values", None)
+def j4_values(s, d):
+    """All private values by the full rules, which look around a match; held against plain Python."""
+    return led(s, d).select("fact_id", F.inline(personal.values_of(F.col("t")))).groupBy("fact_id", "name", "severity").agg(F.count("*").alias("n"), F.min("sample").alias("first_sample"))
+
+
+@register("j6_visibility_rules", None)
+def j6_rules(s, d):
+    """Visibility of facts with and without hints by the full rules."""
+    hint = F.when(F.col("fact_id") % 5 == 0, "commons").when(F.col("fact_id") % 5 == 1, "personal")
+    seen = led(s, d).select("fact_id", personal.visibility_of(F.col("t"), F.col("kind"), hint, F.col("confidence")).alias("v"))
+    return seen.select("fact_id", "v.visibility", "v.reason", F.array_join("v.signals", ",").alias("signals"), "v.override")
+
+
+@register("j9_distill", None)
+def j9(s, d):
+    """Distilled texts with their report; a fold over sentences that SQL does not say; held against plain Python and hand rows."""
+    done = led(s, d).select("fact_id", distilling.distilled(F.col("t")).alias("x"))
+    return done.select("fact_id", F.md5("x.text").alias("text_md5"), F.length("x.text").alias("n_chars"), F.array_join("x.reasons", ",").alias("reasons"), *[f"x.{c}" for c in (*distilling.REPORT, *distilling.FLAGS)])
+
+
 @register("j7_scrub_names", None)
 def j7_names(s, d):
     """Texts led by a path and followed by its owner's name, which the path alone gives away; held against plain Python."""

@@ -104,6 +104,34 @@ def apply_merges(groups: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
+def merge_rows(groups: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, audit) of merging groups(fact_id, winner) of facts (fact_id, importance, tags, content, ...).
+
+    rows(fact_id, tombstoned, importance, tags, merged, merged_into) replaces every fact of a group: the winner takes the largest
+    importance and, after its own tags, those of the others in order of their ids, each once; the others are
+    tombstoned and name the winner. audit(target_id, loser_id, severity, loser_content, importance, n_tags) has a row for each
+    fact merged in, with what the winner has in the end. A winner gathers its different tags only, not its members.
+    """
+    j = checkpoint(groups.where("fact_id IS NOT NULL AND winner IS NOT NULL").distinct().join(facts.select("fact_id", "importance", "tags", "content"), "fact_id"))
+    whole = j.groupBy("winner").agg(F.max("importance").alias("most"), F.count_if(F.col("fact_id") != F.col("winner")).alias("merged"), F.bool_or(F.col("fact_id") == F.col("winner")).alias("there"))
+    whole = whole.where("there AND merged > 0").drop("there")
+    each = j.select("winner", F.struct((F.col("fact_id") != F.col("winner")).alias("late"), "fact_id").alias("at"), F.posexplode("tags").alias("pos", "tag"))
+    first = each.where("tag IS NOT NULL").groupBy("winner", "tag").agg(F.min(F.struct("at", "pos")).alias("first"))
+    tags = first.groupBy("winner").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "tag"))), lambda x: x["tag"]).alias("union"))
+    none = F.array().cast("array<string>")
+    done = j.join(whole.join(tags, "winner", "left"), "winner").withColumn("union", F.coalesce("union", none))
+    won = F.col("fact_id") == F.col("winner")
+    rows = done.select(
+        "fact_id", (~won).alias("tombstoned"), F.when(won, F.col("most")).otherwise(F.col("importance")).alias("importance"), F.when(won, F.col("union")).otherwise(F.coalesce("tags", none)).alias("tags"),
+        F.when(won, F.col("merged")).otherwise(0).alias("merged"), F.when(~won, F.col("winner")).alias("merged_into"),
+    )
+    audit = done.where(~won).select(
+        F.col("winner").alias("target_id"), F.col("fact_id").alias("loser_id"), F.lit("warning").alias("severity"), F.substring(F.coalesce("content", F.lit("")), 1, 120).alias("loser_content"),
+        F.col("most").alias("importance"), F.size("union").alias("n_tags"),
+    )
+    return rows, audit
+
+
 def hygiene_scan(facts: DataFrame, smallest: int = 3) -> DataFrame:
     """(fact_id, first_id): rows whose shape (digits as #, first 600 characters) at least three live rows share, but for the first."""
     live = facts.where(~F.col("tombstoned") & F.col("content").isNotNull())
