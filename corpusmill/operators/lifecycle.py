@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,10 +90,20 @@ def as_of_view(facts: DataFrame, days_before: int) -> DataFrame:
     return facts.where((F.col("age_days") >= days_before) & (F.col("ended_days").isNull() | (F.col("ended_days") < days_before)))
 
 
-def trigrams(chars: Column) -> Column:
-    """Distinct character trigrams of an array of characters; a shorter text is one gram."""
-    runs = F.transform(chars, lambda x, i: F.concat_ws("", x, F.get(chars, i + 1), F.get(chars, i + 2)))
-    return F.array_distinct(F.slice(runs, 1, F.greatest(F.size(chars) - 2, F.lit(1))))
+def trigrams(text: Column) -> Column:
+    """Distinct character trigrams of a text as whole numbers, three code points of 21 bits; a shorter text is one gram."""
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+            if len(c) < 3:
+                c = np.r_[c, [0x1FFFFF] * (3 - len(c))]
+            out.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+        return pd.Series(out, dtype=object)
+
+    return run(text)
 
 
 def near_dup_prefix(facts: DataFrame, prefix: int = 30, threshold: float = 0.7) -> DataFrame:
@@ -103,22 +115,19 @@ def near_dup_prefix(facts: DataFrame, prefix: int = 30, threshold: float = 0.7)
     """
     f = facts.where(~F.col("tombstoned") & F.col("content").isNotNull()).select("fact_id", "importance", F.trim("content").alias("body"))
     f = f.withColumn("digest", F.md5("body"))
-    reps = checkpoint(
-        f.groupBy("digest").agg(F.min("fact_id").alias("rep"), F.first("body").alias("body"))
-        .select("digest", "rep", F.substring("body", 1, prefix).alias("block"), F.split("body", "").alias("chars"))
-        .select("digest", "rep", "block", trigrams(F.col("chars")).alias("g"))
-    )
-    crowded = reps.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
-    # trigrams as numbers: a clash of hashes only brings a candidate more, which is verified on the trigrams themselves
-    sets = reps.join(crowded, "block").select(F.col("rep").alias("id"), F.xxhash64("block").alias("block"), F.transform("g", lambda x: F.xxhash64(x)).alias("items"))
-    probes = rare_items(checkpoint(sets), jaccard_prefix(threshold), "block").select("id", F.xxhash64("block", "item").alias("key"))
+    reps = checkpoint(f.groupBy("digest").agg(F.min("fact_id").alias("rep"), F.substring(F.first("body"), 1, prefix).alias("block")))
+    crowded = reps.join(reps.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"), "block").select("rep", "block")
+    # only texts that share their prefix with another are cut into trigrams
+    bodies = f.select(F.col("fact_id").alias("rep"), "body").join(crowded, "rep")
+    sets = checkpoint(bodies.select(F.col("rep").alias("id"), "block", trigrams(F.col("body")).alias("items")))
+    probes = rare_items(sets.withColumn("block", F.xxhash64("block")), jaccard_prefix(threshold), "block").select("id", F.xxhash64("block", "item").alias("key"))
 
     def near(x: Column, y: Column) -> Column:
         both = F.size(F.array_intersect(x["g"], y["g"]))
         sizes = F.least(F.size(x["g"]), F.size(y["g"])) >= threshold * F.greatest(F.size(x["g"]), F.size(y["g"]))
         return (x["block"] == y["block"]) & sizes & (both >= threshold * (F.size(x["g"]) + F.size(y["g"]) - both))
 
-    cc = components(probes, reps.select(F.col("rep").alias("id"), F.struct("block", "g").alias("p")), near)
+    cc = components(probes, sets.select("id", F.struct("block", F.col("items").alias("g")).alias("p")), near)
     cls = f.join(reps.select("digest", "rep"), "digest").join(cc, F.col("rep") == F.col("id"), "left").withColumn("cls", F.coalesce("component", "rep"))
     best = cls.groupBy("cls").agg(F.max_by("fact_id", F.struct("importance", -F.col("fact_id"))).alias("winner"), F.count("*").alias("n"))
     return cls.join(best, "cls").where("n > 1").select("fact_id", "winner")
