@@ -167,7 +167,7 @@ TAGS_SQL = "[f.topic, f.lang, 't' || (f.fact_id % 4)]"
 MERGED_SQL = f""", {PAIRS_SQL}, mt AS (SELECT f.fact_id, b.winner, f.importance, f.content, {TAGS_SQL} AS tags FROM m JOIN b ON b.cls = m.cls JOIN facts f ON f.fact_id = m.id),
     me AS (SELECT fact_id, winner, unnest(tags) AS tag, unnest(range(3)) AS pos FROM mt),
     mf AS (SELECT winner, tag, min((fact_id <> winner, fact_id, pos)) AS first FROM me WHERE tag IS NOT NULL GROUP BY 1, 2), mu AS (SELECT winner, list(tag ORDER BY first) AS tags FROM mf GROUP BY 1),
-    mw AS (SELECT winner, max(importance) AS most, count(*) FILTER (fact_id <> winner) AS merged FROM mt GROUP BY 1)"""
+    mw AS (SELECT winner, max(importance) AS most, count(*) FILTER (fact_id <> winner) AS merged FROM mt GROUP BY 1 HAVING count(*) FILTER (fact_id <> winner) > 0)"""
 
 
 def _merged(s, d):
@@ -178,11 +178,12 @@ def _merged(s, d):
 @on_facts(
     "g6_merged_rows",
     f"""{MERGED_SQL} SELECT fact_id, fact_id <> t.winner AS tombstoned, CASE WHEN fact_id = t.winner THEN most ELSE t.importance END AS importance,
-    array_to_string(CASE WHEN fact_id = t.winner THEN u.tags ELSE t.tags END, ',') AS tags, CASE WHEN fact_id = t.winner THEN merged ELSE 0 END AS merged, CASE WHEN fact_id <> t.winner THEN t.winner END AS merged_into
+    array_to_string(CASE WHEN fact_id = t.winner THEN u.tags ELSE t.tags END, ',') AS tags, CASE WHEN fact_id = t.winner THEN merged ELSE 0 END AS merged, t.winner AS merged_into
     FROM mt t JOIN mw w ON w.winner = t.winner LEFT JOIN mu u ON u.winner = t.winner""",
 )
 def g6_rows(s, d):
-    return _merged(s, d)[0].withColumn("tags", F.array_join("tags", ","))
+    """Rows after the merge; a winner names itself."""
+    return _merged(s, d)[0].withColumns({"tags": F.array_join("tags", ","), "merged_into": F.coalesce("merged_into", "fact_id")})
 
 
 @on_facts(
