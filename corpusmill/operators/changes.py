@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.components import connected_components
 from corpusmill.operators.screening import keywords
-from corpusmill.plans.runtime import checkpoint, shuffle_partitions
+from corpusmill.plans.runtime import checkpoint, opaque, shuffle_partitions
 
 
 def invalidate(facts: DataFrame, requests: DataFrame) -> DataFrame:
@@ -150,6 +150,7 @@ def keyword_pairs(facts: DataFrame, smallest: int = 3, confidence: float = 0.7)
 
 def provenance_depth(edges: DataFrame, facts: DataFrame, max_depth: int = 64) -> DataFrame:
     """(fact_id, depth): the longest way up to a root over edges(child, parent); roots have 0. One join per level, cycles end at max_depth."""
+    edges = opaque(edges.select("child", "parent"))
     roots = facts.select("fact_id").join(edges.select(F.col("child").alias("fact_id")), "fact_id", "left_anti").distinct()
     front = checkpoint(roots.withColumnRenamed("fact_id", "node"))
     levels = front.withColumn("depth", F.lit(0))

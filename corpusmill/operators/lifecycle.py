@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.ordered import prefix_sums, with_previous
 from corpusmill.operators.similar import components, jaccard_prefix, rare_items
-from corpusmill.plans.runtime import checkpoint
+from corpusmill.plans.runtime import checkpoint, opaque
 
 
 def active_facts(facts: DataFrame, min_age_days: int = 7) -> DataFrame:
@@ -135,6 +135,7 @@ def near_dup_prefix(facts: DataFrame, prefix: int = 30, threshold: float = 0.7)
 
 def ancestors(edges: DataFrame, seeds: DataFrame, max_depth: int = 8) -> DataFrame:
     """(seed, node, depth) over edges(child, parent), the smallest depth of each; one join per level, cycles visited once."""
+    edges = opaque(edges.select("child", "parent"))
     front = checkpoint(seeds.select(F.col("fact_id").alias("seed"), F.col("fact_id").alias("node")).distinct())
     seen = front.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.plans.runtime import checkpoint
+from corpusmill.plans.runtime import checkpoint, opaque
 
 ANCESTORS, DESCENDANTS, DEPTH = 64, 256, 8
 
@@ -20,7 +20,7 @@ def walk(links: DataFrame, nodes: DataFrame, seeds: DataFrame, most: int, max_de
     seeds, and of a level no seed carries on more than most + 1 nodes.
     """
     links = links.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct()
-    links = checkpoint(links.join(nodes.select(F.col("node").alias("target")).distinct().withColumn("there", F.lit(True)), "target", "left"))
+    links = opaque(links.join(nodes.select(F.col("node").alias("target")).distinct().withColumn("there", F.lit(True)), "target", "left"))
     front = checkpoint(seeds.where("seed IS NOT NULL").select("seed", F.col("seed").alias("node")).distinct())
     started, seen, broken = front.select("seed"), front.withColumn("depth", F.lit(0)), front.select("seed").limit(0)
     for depth in range(1, max_depth + 1):
