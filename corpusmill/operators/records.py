@@ -245,6 +245,12 @@ def signals(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, n) for c, n in zip(shown, ["singular", "plural", "emotion", "contact"])]))
 
 
+def speaks(text: Column) -> Column:
+    """Whether a text shows a signal of private speech other than a contact."""
+    has = {n: text.rlike(p) for n, p in SIGNALS}
+    return has["singular"] | (has["plural"] & (has["marker"] | has["travel"])) | has["emotion"]
+
+
 def metadata_entities(parents: Column, keywords: Column, topic: Column, text: Column, most: int = 32) -> Column:
     """Distinct prefixed entities of metadata; where there are none, up to 12 capitalised words of the text."""
     meta = F.concat(

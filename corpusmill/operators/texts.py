@@ -289,15 +289,17 @@ def clear_tool_results(text: Column, keep: int = 3) -> Column:
 def distill(text: Column) -> Column:
     """A text without the sentences that show a private signal, redacted and scrubbed of paths, one space between sentences."""
     sentences = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
-    clean = F.filter(sentences, lambda x: ~F.exists(records.signals(x), lambda n: n != "contact"))
+    clean = F.filter(sentences, lambda x: ~records.speaks(x))
     return screening.redact(scrub(F.array_join(clean, " ")))
 
 
 def mine_public(facts: DataFrame, kinds: list[str], mined: DataFrame, shortest: int = 60) -> DataFrame:
     """(fact_id, text): distilled texts of live facts of shareable kinds that are long enough and still show no signal, not mined(fact_id) yet."""
-    t = facts.where(F.col("kind").isin(kinds) & ~F.col("tombstoned")).select("fact_id", distill(clear_tool_results(F.col("content"))).alias("text"))
-    good = t.where((F.length("text") >= shortest) & (F.size(records.signals(F.col("text"))) == 0))
-    return good.join(mined.select("fact_id").distinct(), "fact_id", "left_anti")
+    live = facts.where(F.col("kind").isin(kinds) & ~F.col("tombstoned")).select("fact_id", "content").join(mined.select("fact_id").distinct(), "fact_id", "left_anti")
+    # out of a generator each text is distilled once, not once for every condition on it
+    cleared = live.select("fact_id", F.explode(F.array(clear_tool_results(F.col("content")))).alias("content"))
+    t = cleared.select("fact_id", F.explode(F.array(distill(F.col("content")))).alias("text"))
+    return t.where((F.length("text") >= shortest) & (F.size(records.signals(F.col("text"))) == 0))
 
 
 def expand_query(queries: DataFrame, synonyms: DataFrame, most: int = 3) -> DataFrame:
