@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import lexical
 from corpusmill.operators.pairing import small
-from corpusmill.plans.runtime import checkpoint, delete
+from corpusmill.plans.runtime import bounded_batches, checkpoint, delete
 
 BUCKETS, PARTS = 32, 16
 GROUP_DOCS = 64
@@ -121,6 +121,7 @@ class LexIndex:
         documents. What is written is checkpointed first, so that a lost executor never reads a half-replaced bucket; a driver
         that dies between the two tables leaves an index to be written anew.
         """
+        bounded_batches(self.spark)
         new = checkpoint(_forward(changed, doc_id, text))
         gone = new.select("doc_id").union(removed.select(F.col(doc_id).alias("doc_id"))).where("doc_id IS NOT NULL").distinct()
         part = F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
@@ -146,6 +147,7 @@ class LexIndex:
 def write_index(docs: DataFrame, doc_id: str, text: str, path: str, buckets: int = BUCKETS, parts: int = PARTS) -> LexIndex:
     """Index documents under a path that did not exist. Rows of one id add up; null texts have no terms; rows without id are left out."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     index = LexIndex(spark, path, 1, kind, buckets, parts)
     index._write_documents(_forward(docs, doc_id, text))
@@ -185,6 +187,7 @@ class Asked:
 
 def ask(queries: DataFrame, index: LexIndex, repeats: bool = False) -> Asked:
     """Meet queries (query_id, query) with the index; with repeats a term counts as often as its query has it."""
+    bounded_batches(queries.sparkSession)
     asked = checkpoint(lexical.query_terms(queries, repeats))
     buckets = index.buckets_of(asked)
     df = index.headers(buckets).groupBy("term").agg(F.sum("n").alias("df"))
