@@ -123,7 +123,7 @@ def e1(s, d):
     f"WITH {VEC_SQL} SELECT query_id, fact_id, score FROM (SELECT query_id, fact_id, round(cosine, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 6) DESC, fact_id) AS r FROM cs JOIN e USING (fact_id) WHERE age_days <= 60) WHERE r <= 5",
 )
 def e2(s, d):
-    scored = vectors.cosine_scores(query_vectors(s, d), emb(s, d).where("age_days <= 60"))
+    scored = vectors.cosine_scores(query_vectors(s, d), emb(s, d).where("age_days <= 60"), best=5)
     return lexical.top_k(scored.select("query_id", "fact_id", F.round("cosine", 6).alias("score")), 5, item="fact_id").drop("rank")
 
 

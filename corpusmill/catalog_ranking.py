@@ -31,7 +31,7 @@ def by_fact(df):
 
 def vector_list(s, d, k):
     """Cosine lists of the vectors whose id is divisible by 50, numbered from 0 like the text queries."""
-    near = vectors.cosine_scores(query_vectors(s, d), emb(s, d)).select(F.floor(F.col("query_id") / 50).alias("query_id"), "fact_id", F.round("cosine", 6).alias("score"))
+    near = vectors.cosine_scores(query_vectors(s, d), emb(s, d), best=k).select(F.floor(F.col("query_id") / 50).alias("query_id"), "fact_id", F.round("cosine", 6).alias("score"))
     return lexical.top_k(near, k, item="fact_id").drop("rank")
 
 
