@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.similar import components, jaccard_prefix, rare_items
+from corpusmill.operators.similar import components, jaccard_prefix, may_reach, parities, rare_items
 from corpusmill.plans.runtime import bounded_batches, checkpoint, shuffle_partitions
 
 # Kinds that are never merged away, and kinds that no cluster takes.
 PROTECTED = ["lock_rule", "rule", "mental_model", "knowledge_page"]
 AUTHORED = ["mental_model", "knowledge_page"]
+SLOTS = 16
 
 
 def clusters(facts: DataFrame, shared: int = 3, ratio: float = 2.0) -> DataFrame:
@@ -105,10 +106,12 @@ def recurring_success(facts: DataFrame, threshold: int = 3, least: float = 0.3)
     s = facts.where(~F.col("tombstoned") & (F.col("kind") == "success_pattern")).select("fact_id", "tier", words.alias("ws")).where(F.size("ws") > 0)
     s = checkpoint(s.withColumn("h", F.xxhash64("tier", F.array_join("ws", " "))))
     classes = checkpoint(s.groupBy("h").agg(F.min("fact_id").alias("id"), F.first("tier").alias("tier"), F.first("ws").alias("ws"), F.count("*").alias("n")))
-    probes = checkpoint(rare_items(classes.select("id", "tier", F.col("ws").alias("items")), jaccard_prefix(least), "tier"))
-    a, b = probes.toDF("a", "tier", "na", "item"), probes.toDF("b", "tier", "nb", "item")
-    fits = (F.col("na") >= F.round(least * F.col("nb"), 9)) & (F.col("nb") >= F.round(least * F.col("na"), 9)) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, ["tier", "item"]).where(fits).select("a", "b").distinct()
+    rare = rare_items(classes.select("id", "tier", F.col("ws").alias("items")), jaccard_prefix(least), "tier", places=True)
+    bounded_batches(facts.sparkSession)
+    slots = classes.select("id", parities(F.col("ws"), SLOTS).alias("p"))
+    probes = checkpoint(rare.join(slots, "id").select("id", "tier", "n", F.xxhash64("item").alias("item"), "place", "p"))
+    a, b = probes.toDF("a", "tier", "na", "item", "ra", "pa"), probes.toDF("b", "tier", "nb", "item", "rb", "pb")
+    pairs = a.join(b, ["tier", "item"]).where((F.col("a") < F.col("b")) & may_reach(least, SLOTS)).select("a", "b").distinct()
     sets = classes.select("id", "ws", "n")
     j = pairs.join(sets.toDF("a", "wa", "ca"), "a").join(sets.toDF("b", "wb", "cb"), "b")
     both = F.size(F.array_intersect("wa", "wb"))

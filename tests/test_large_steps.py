@@ -56,3 +56,33 @@ def test_mined_texts_are_distilled_once(spark):
     plan = mined._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("tool_result_CLEARED") + plan.count("TOOL_RESULT_CLEARED") == 1
     assert [tuple(r) for r in mined.collect()] == [(1, "The build was slow because of a cold cache. Keep the cache warm between the runs of one day.")]
+
+
+def test_candidates_are_pruned_where_they_meet_and_none_is_lost(spark):
+    import random
+
+    from corpusmill.operators import experiences
+
+    rnd = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(60)]
+    base = [rnd.sample(vocabulary, 25) for _ in range(12)]
+    near = [[w for w in b if rnd.random() > 0.2] + rnd.sample(vocabulary, 3) for b in base * 3]
+    rows = [(k, " ".join(ws) + (" not" if k // 12 % 2 else "")) for k, ws in enumerate(base + near)]
+    sets = {k: frozenset(t.split()) for k, t in rows}
+    first = {(s, k // 12 % 2): k for k, s in reversed(list(sets.items()))}
+    want = {(a, b) for (x, p), a in first.items() for (y, q), b in first.items() if p < q and round(len(x & y) / len(x | y), 6) >= 0.6}
+    pairs, _ = experiences.negation_conflicts(spark.createDataFrame(rows, "fact_id long, content string"))
+    assert {(r["plain_class"], r["negated_class"]) for r in pairs.collect()} == want and want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan
+
+
+def test_pairs_at_the_threshold_pass_the_bounds(spark):
+    from corpusmill.operators import similar
+
+    a, b = list("abcdefgh"), list("abcdefgxyz")  # 7 of 11 shared
+    rows = spark.createDataFrame([(a, b)], "wa array<string>, wb array<string>")
+    for place in (1, 2):
+        cols = rows.select(F.size("wa").alias("na"), F.size("wb").alias("nb"), F.lit(place).alias("ra"), F.lit(place).alias("rb"), similar.parities(F.col("wa"), 2).alias("pa"), similar.parities(F.col("wb"), 2).alias("pb"))
+        assert cols.where(similar.may_reach(7 / 11, 2)).count() == 1
+    assert cols.where(similar.may_reach(0.95, 2)).count() == 0
