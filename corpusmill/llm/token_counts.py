@@ -4,7 +4,7 @@ Distinct pre-tokens go into a trie (those that a task has not met before, batch
 have to be shuffled and joined back). Each node gets the forward score of the characters on its path, the summed probability
 of all their segmentations, and the probability and piece count of the best one, computed once from its ancestors, so words
 with a common prefix share the work; terminal nodes' counts are stored by word. The vocabulary is fixed and public, with
-case; its piece probabilities are estimated here by expectation maximisation on a bounded sample of the table.
+case; its piece probabilities are estimated here by expectation maximisation on all words of the table.
 """
 
 from __future__ import annotations
@@ -22,14 +22,13 @@ from corpusmill.llm.pieces import EMPTY, PieceTrie, codes_of, read_pieces
 from corpusmill.plans.runtime import bounded_batches, checkpoint, free_names
 
 MAX_WORDS = 250_000
-SAMPLE_DOCS = 8192
 ROUNDS = 2
 
 
-def estimate(docs: DataFrame, text: str, pieces, sample_docs: int | None = SAMPLE_DOCS, rounds: int = ROUNDS) -> np.ndarray:
+def estimate(docs: DataFrame, text: str, pieces, sample_docs: int | None = None, rounds: int = ROUNDS) -> np.ndarray:
     """Log probabilities of the pieces, the last one for a character outside the vocabulary.
 
-    Fitted on about sample_docs texts, chosen by a hash of the text; None means all. The sample's words are counted once; every round sums
+    Fitted on all texts, or if sample_docs is given on about that many, chosen by a hash of the text. Their words are counted once; every round sums
     their expected piece counts over all segmentations in Spark, from equal probabilities at first, and smooths them. Only
     a number for each piece comes to the driver. Without words all pieces stay equally likely.
     """
@@ -143,12 +142,12 @@ def utf8_bytes(codes: np.ndarray) -> np.ndarray:
     return 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
 
 
-def count_tokens(docs: DataFrame, piece_path: str, text: str = "text", log_p: np.ndarray | None = None, sample_docs: int | None = SAMPLE_DOCS) -> DataFrame:
+def count_tokens(docs: DataFrame, piece_path: str, text: str = "text", log_p: np.ndarray | None = None, sample_docs: int | None = None) -> DataFrame:
     """Add n_pretokens, n_tokens (long) and log_p (double, of all segmentations of its words) to docs.
 
-    Piece probabilities are estimated on a bounded sample of these texts, so that a text's counts depend on its table, unless
-    log_p gives them (a number for each piece in order of id, then one for other characters, as estimate returns) or
-    sample_docs is None, which reads all texts.
+    Piece probabilities are estimated on all these texts, so that a text's counts depend on its table, unless log_p gives them
+    (a number for each piece in order of id, then one for other characters, as estimate returns) or sample_docs asks for a
+    sample.
 
     Null, empty and wordless texts have 0 of each; very long texts are counted whole; rows, repeated ones too, are kept; no
     rows give no rows. Columns of docs with these three names are left out.

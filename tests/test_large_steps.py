@@ -86,3 +86,15 @@ def test_pairs_at_the_threshold_pass_the_bounds(spark):
         cols = rows.select(F.size("wa").alias("na"), F.size("wb").alias("nb"), F.lit(place).alias("ra"), F.lit(place).alias("rb"), similar.parities(F.col("wa"), 2).alias("pa"), similar.parities(F.col("wb"), 2).alias("pb"))
         assert cols.where(similar.may_reach(7 / 11, 2)).count() == 1
     assert cols.where(similar.may_reach(0.95, 2)).count() == 0
+
+
+def test_piece_probabilities_come_from_all_texts(spark, monkeypatch, tmp_path):
+    import numpy as np
+
+    from corpusmill.llm import queries, token_counts
+
+    asked, estimate = [], token_counts.estimate
+    monkeypatch.setattr(token_counts, "estimate", lambda docs, text, pieces, sample_docs=None, **k: asked.append(sample_docs) or estimate(docs, text, pieces, sample_docs, **k))
+    spark.createDataFrame([(k, f"word{k} again") for k in range(20)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op9_token_counts(spark, str(tmp_path)).collect()
+    assert asked == [None] and len(found) == 20 and np.isfinite([r["log_p"] for r in found]).all()
