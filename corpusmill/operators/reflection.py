@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.similar import components, jaccard_prefix, may_reach, parities, rare_items
+from corpusmill.operators.pairing import small
+from corpusmill.operators.similar import jaccard_prefix, may_reach, parities, rare_items, sharing
 from corpusmill.plans.runtime import bounded_batches, checkpoint, shuffle_partitions
 
 # Kinds that are never merged away, and kinds that no cluster takes.
@@ -21,27 +22,18 @@ def clusters(facts: DataFrame, shared: int = 3, ratio: float = 2.0) -> DataFrame
     """(fact_id, cluster): live facts of one kind and scope that are linked, named by the smallest fact of the cluster.
 
     Two facts link if they share three words of four letters or ideographs and neither is over twice as long as the other;
-    links chain. Facts with equal words, kind, scope and length stand for each other. A fact's two most common words bring no
-    candidates, since of three shared words one is always rarer; groups are linked through hubs, not pair by pair.
+    links chain. Words are compared by their 64-bit hashes. Facts with equal words, kind, scope and length stand for each
+    other.
     """
     live = facts.where(~F.col("tombstoned") & ~F.col("kind").isin(AUTHORED) & (F.length("content") > 0))
-    words = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit("[a-zA-Z一-鿿]{4,}"), F.lit(0)), lambda w: F.lower(w))))
-    w = live.select("fact_id", "kind", "scope_type", F.length("content").alias("n"), words.alias("ws")).where(F.size("ws") >= shared)
-    w = checkpoint(w.withColumn("h", F.xxhash64("kind", "scope_type", "n", F.array_join("ws", " "))))
-    reps = w.groupBy("h").agg(F.min("fact_id").alias("id"), F.first("kind").alias("kind"), F.first("scope_type").alias("scope_type"), F.first("n").alias("n"), F.first("ws").alias("ws"))
-    reps = checkpoint(reps.withColumn("g", F.xxhash64("kind", "scope_type")))
-    probes = rare_items(reps.select("id", "g", F.col("ws").alias("items")), F.col("n") - shared + 1, "g")
-    # of one octave of length two facts are never too different, of two they may be: a key for each octave a partner can have
-    octave = F.floor(F.log2("len")).cast("int")
-    sized = probes.join(reps.select("id", F.col("n").alias("len")), "id")
-    keyed = sized.select("id", F.explode(F.array(octave, octave + 1)).alias("o"), "g", "item").select("id", F.xxhash64("g", "item", "o").alias("key"))
-
-    def near(x: Column, y: Column) -> Column:
-        fits = F.greatest(x["n"], y["n"]) <= ratio * F.least(x["n"], y["n"])
-        return (x["g"] == y["g"]) & fits & (F.size(F.array_intersect(x["ws"], y["ws"])) >= shared)
-
-    linked = components(keyed, reps.select("id", F.struct("g", "n", "ws").alias("p")), near)
-    named = w.join(reps.select("h", "id"), "h").join(linked, "id", "left").select("fact_id", F.coalesce("component", "id").alias("cluster"))
+    found = F.regexp_extract_all("content", F.lit("[a-zA-Z一-鿿]{4,}"), F.lit(0))
+    words = F.array_sort(F.array_distinct(F.transform(found, lambda w: F.xxhash64(F.lower(w)))))
+    w = live.select("fact_id", F.xxhash64("kind", "scope_type").alias("g"), F.length("content").cast("long").alias("n"), words.alias("items")).where(F.size("items") >= shared)
+    named = checkpoint(w.select("fact_id", F.xxhash64("g", "n", "items").alias("h")))
+    same = checkpoint(named.groupBy("h").agg(F.min("fact_id").alias("id")))
+    reps = checkpoint(w.join(small(same.select("id")), F.col("fact_id") == F.col("id")).select("id", "g", "n", "items"))
+    linked = sharing(reps, shared, ratio)
+    named = named.join(same, "h").join(linked, "id").select("fact_id", F.col("component").alias("cluster"))
     sizes = named.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
     return named.join(sizes, "cluster").select("fact_id", "cluster")
 
