@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.ordered import prefix_sums, with_previous
-from corpusmill.operators.similar import components, jaccard_prefix, rare_items
-from corpusmill.plans.runtime import checkpoint, opaque
+from corpusmill.operators.components import connected_components
+from corpusmill.operators.pairing import small
+from corpusmill.plans.runtime import bounded_batches, checkpoint, opaque
+
+SMALL_BLOCK, TILE_TEXTS, TILE_CHARS = 64, 2048, 8 << 20
 
 
 def active_facts(facts: DataFrame, min_age_days: int = 7) -> DataFrame:
@@ -90,44 +93,80 @@ def as_of_view(facts: DataFrame, days_before: int) -> DataFrame:
     return facts.where((F.col("age_days") >= days_before) & (F.col("ended_days").isNull() | (F.col("ended_days") < days_before)))
 
 
+def _grams(text: str) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    if len(c) < 3:
+        c = np.r_[c, [0x1FFFFF] * (3 - len(c))]
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
 def trigrams(text: Column) -> Column:
     """Distinct character trigrams of a text as whole numbers, three code points of 21 bits; a shorter text is one gram."""
 
     @F.pandas_udf("array<long>")
     def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-            if len(c) < 3:
-                c = np.r_[c, [0x1FFFFF] * (3 - len(c))]
-            out.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
-        return pd.Series(out, dtype=object)
+        return pd.Series([_grams(t) for t in texts], dtype=object)
 
     return run(text)
 
 
+def _near_texts(ids: np.ndarray, bodies: list[str], side: np.ndarray, threshold: float) -> pd.DataFrame:
+    """(a, b): links of two tiles, or of one with itself where no text has side 1, that connect all pairs at the threshold."""
+    sets = [_grams(t) for t in bodies]
+    n = np.array([len(s) for s in sets])
+    slots = 64 << max(0, int(2 * n.max() - 1).bit_length() - 6)  # twice the largest set, so that parities of unlike sets differ enough
+    odd = np.empty((len(sets), slots // 64), dtype=np.uint64)
+    for k, s in enumerate(sets):
+        odd[k] = np.packbits((np.bincount(s % (slots - 1), minlength=slots) & 1).astype(np.uint8)).view(np.uint64)
+    group, out = np.arange(len(sets)), []
+    x = np.flatnonzero(side == 0)
+    y = np.flatnonzero(side == 1) if (side == 1).any() else x
+    for i in x:
+        z = y[(y > i) | (side[y] == 1)]
+        z = z[(group[z] != group[i]) & (np.minimum(n[z], n[i]) >= (threshold - 1e-9) * np.maximum(n[z], n[i]))]
+        # what only one of two sets has is at least the slots of different parity
+        apart = np.bitwise_count(odd[z] ^ odd[i]).sum(axis=1)
+        for j in z[apart <= (n[z] + n[i]) * (1 - threshold) / (1 + threshold) + 1e-6]:
+            if group[i] != group[j]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= threshold * (n[i] + n[j] - both):
+                    out.append((ids[i], ids[j]))
+                    group[group == group[j]] = group[i]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
 def near_dup_prefix(facts: DataFrame, prefix: int = 30, threshold: float = 0.7) -> DataFrame:
     """(fact_id, winner): facts that share a trimmed prefix and whose trigram Jaccard is at least the threshold.
 
     Classes are connected components; the winner has the largest importance, then the smallest id. Equal contents are
-    compared once, by their smallest id, so a block of copies makes no pairs; others of a block meet only where they share a
-    rare trigram, and a block's near copies are linked through hubs.
+    compared once, by their smallest id. The texts of a prefix lie in classes by their number of trigrams, of which only equal
+    and neighbouring ones can reach the threshold, and in tiles of bounded size; every two tiles that can hold a pair meet in
+    one task, where a pair is refused by the parities of its trigrams or verified on them, unless both are linked already.
     """
     f = facts.where(~F.col("tombstoned") & F.col("content").isNotNull()).select("fact_id", "importance", F.trim("content").alias("body"))
     f = f.withColumn("digest", F.md5("body"))
+    bounded_batches(facts.sparkSession)
     reps = checkpoint(f.groupBy("digest").agg(F.min("fact_id").alias("rep"), F.substring(F.first("body"), 1, prefix).alias("block")))
-    crowded = reps.join(reps.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"), "block").select("rep", "block")
+    crowded = reps.join(reps.groupBy("block").agg(F.count("*").alias("m")).where("m > 1"), "block").select("rep", "block", "m")
     # only texts that share their prefix with another are cut into trigrams
-    bodies = f.select(F.col("fact_id").alias("rep"), "body").join(crowded, "rep")
-    sets = checkpoint(bodies.select(F.col("rep").alias("id"), "block", trigrams(F.col("body")).alias("items")))
-    probes = rare_items(sets.withColumn("block", F.xxhash64("block")), jaccard_prefix(threshold), "block").select("id", F.xxhash64("block", "item").alias("key"))
-
-    def near(x: Column, y: Column) -> Column:
-        both = F.size(F.array_intersect(x["g"], y["g"]))
-        sizes = F.least(F.size(x["g"]), F.size(y["g"])) >= threshold * F.greatest(F.size(x["g"]), F.size(y["g"]))
-        return (x["block"] == y["block"]) & sizes & (both >= threshold * (F.size(x["g"]) + F.size(y["g"]) - both))
-
-    cc = components(probes, sets.select("id", F.struct("block", F.col("items").alias("g")).alias("p")), near)
+    bodies = f.select(F.col("fact_id").alias("rep"), "body").join(small(checkpoint(crowded)), "rep")
+    size = F.when(F.col("m") <= SMALL_BLOCK, 0).otherwise(F.floor(F.log(F.size(trigrams(F.col("body")))) / float(-np.log(threshold) * (1 + 1e-9))))
+    placed = checkpoint(bodies.select(F.col("rep").alias("id"), "block", size.cast("int").alias("o"), "body"))
+    tiles = F.greatest(F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum(F.length("body")) / TILE_CHARS), F.lit(1))
+    cells = checkpoint(placed.groupBy("block", "o").agg(tiles.cast("int").alias("tiles")))
+    tiles = placed.join(small(cells), ["block", "o"]).withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).drop("tiles")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    upper = cells.select("block", F.explode(F.array("o", F.col("o") - 1)).alias("under"), F.col("o").alias("p"), F.col("tiles").alias("others")).toDF("block", "o", "p", "others")
+    met = cells.join(upper, ["block", "o"]).withColumn("t", each("tiles")).withColumn("u", each("others")).where("o < p OR t <= u")
+    met = checkpoint(met.select("block", "o", "t", "p", "u"))
+    first = tiles.join(small(met), ["block", "o", "t"]).select("block", "o", "t", "p", "u", "id", "body", F.lit(0).alias("side"))
+    second = tiles.select("block", F.col("o").alias("p"), F.col("t").alias("u"), "id", "body")
+    second = second.join(small(met.where("o < p OR t < u")), ["block", "p", "u"]).select("block", "o", "t", "p", "u", "id", "body", F.lit(1).alias("side"))
+
+    def near(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        return _near_texts(b["id"].to_numpy(), b["body"].tolist(), b["side"].to_numpy(), threshold)
+
+    cc = connected_components(first.unionByName(second).groupBy("block", "o", "t", "p", "u").applyInPandas(near, "a long, b long"))
     cls = f.join(reps.select("digest", "rep"), "digest").join(cc, F.col("rep") == F.col("id"), "left").withColumn("cls", F.coalesce("component", "rep"))
     best = cls.groupBy("cls").agg(F.max_by("fact_id", F.struct("importance", -F.col("fact_id"))).alias("winner"), F.count("*").alias("n"))
     return cls.join(best, "cls").where("n > 1").select("fact_id", "winner")

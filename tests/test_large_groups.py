@@ -44,3 +44,21 @@ def test_sets_of_one_item_in_common_stay_apart(spark):
     rows = [(k, 0, 10, [1, 2, 100 + k]) for k in range(9)]
     got = similar.sharing(spark.createDataFrame(rows, "id long, g long, n long, items array<long>"), 3, 2.0)
     assert sorted(map(tuple, got.collect())) == [(k, k) for k in range(9)]
+
+
+def test_prefix_groups_in_small_tiles_send_no_trigrams(spark, monkeypatch):
+    from corpusmill.operators import lifecycle
+
+    for name, least in (("SMALL_BLOCK", 4), ("TILE_TEXTS", 6), ("TILE_CHARS", 2000)):
+        monkeypatch.setattr(lifecycle, name, least)
+    monkeypatch.setattr(similar, "rare_items", None)
+    rnd = random.Random(9)
+    head = "a head of thirty characters ok "
+    base = ["".join(rnd.choice("abcdefghijk ") for _ in range(n)) for n in (40, 60, 90, 130)]
+    texts = {k: head + base[k % 4][: rnd.randrange(20, 130)] + "xyz"[: k % 3] for k in range(70)} | {70: "ab", 71: "ab ", 72: "c", 73: ""}
+    rows = spark.createDataFrame([(k, 0.5, t, False) for k, t in texts.items()], "fact_id long, importance double, content string, tombstoned boolean")
+    got = {r["fact_id"]: r["winner"] for r in lifecycle.near_dup_prefix(rows).collect()}
+    body = {k: t.strip(" ") for k, t in texts.items()}
+    grams = {k: {t[i : i + 3] for i in range(len(t) - 2)} or {t} for k, t in body.items()}
+    label = plain(list(texts), lambda a, b: body[a][:30] == body[b][:30] and len(grams[a] & grams[b]) >= 0.7 * len(grams[a] | grams[b]))
+    assert got == {k: c for k, c in label.items() if list(label.values()).count(c) > 1} and len(set(got.values())) > 2
