@@ -150,7 +150,7 @@ b AS (SELECT cls, arg_max(id, (importance, n, -id)) AS winner FROM m GROUP BY 1)
 
 
 def _groups(s, d):
-    return changes.semantic_groups(vectors.cosine_pairs(emb(s, d), 0.35), facts(s, d))
+    return changes.semantic_groups(vectors.cosine_links(emb(s, d), 0.35), facts(s, d))
 
 
 @on_facts("g5_semantic_groups", f", {PAIRS_SQL} SELECT id AS fact_id, winner FROM m JOIN b USING (cls)")

@@ -62,3 +62,22 @@ def test_prefix_groups_in_small_tiles_send_no_trigrams(spark, monkeypatch):
     grams = {k: {t[i : i + 3] for i in range(len(t) - 2)} or {t} for k, t in body.items()}
     label = plain(list(texts), lambda a, b: body[a][:30] == body[b][:30] and len(grams[a] & grams[b]) >= 0.7 * len(grams[a] | grams[b]))
     assert got == {k: c for k, c in label.items() if list(label.values()).count(c) > 1} and len(set(got.values())) > 2
+
+
+def test_cosine_links_of_small_tiles_connect_what_pairs_connect(spark, monkeypatch):
+    from corpusmill.operators import vectors
+
+    monkeypatch.setattr(vectors, "PAIR_ROWS", 16)
+    monkeypatch.setattr(vectors, "TILE_BYTES", 4096)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + 0.25 * rng.normal(size=(20, 8)) for c in rng.normal(size=(6, 8))])
+    rows = [(k, v) for k, v in enumerate(x.tolist())] + [(500, [1.0, 2.0]), (501, [2.0, 4.0]), (502, None)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"fact_id long, embedding array<{kind}>")
+        u = vectors.unit([r["embedding"] for r in df.where("fact_id < 500").orderBy("fact_id").collect()])
+        near = {tuple(map(int, p)) for p in zip(*np.nonzero(np.triu(np.round(u @ u.T, 9) >= 0.9, 1)))} | {(500, 501)}
+        pairs = [(r["a"], r["b"]) for r in vectors.cosine_pairs(df, 0.9).collect()]
+        links = {(r["a"], r["b"]) for r in vectors.cosine_links(df, 0.9).collect()}
+        assert len(pairs) == len(set(pairs)) and set(pairs) == near and all(a < b for a, b in links)
+        groups = [dict(zip(*(c.tolist() for c in components.stars(*np.array(sorted(e)).T)))) for e in (near, links)]
+        assert groups[0] == groups[1] and len(links) < len(near)
