@@ -99,14 +99,14 @@ class LexIndex:
     def _write_postings(self, rows: DataFrame, buckets: list[int] | None = None) -> None:
         """rows (bucket, term, grp, doc_id, tf, length), and their headers; buckets, if given, are all that rows can be in.
 
-        A bucket of a frequent term is written by several tasks. Blocks are counted where they were written, mostly by one
-        task each, before what is left of them meets.
+        Every task writes its rows in order into a file of each bucket, so that postings are not shuffled. Blocks are counted
+        from what was written.
         """
-        ordered = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "grp")
+        ordered = rows.sortWithinPartitions("bucket", "term", "grp")
         ordered.write.partitionBy("bucket").mode("overwrite").options(**DYNAMIC).parquet(f"{self.path}/postings")
         back = self._postings() if buckets is None else self._postings().where(F.col("bucket").isin(buckets) if buckets else F.lit(False))
         heads = back.groupBy("bucket", "term", "grp").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
-        heads.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "grp").write.partitionBy("bucket").mode("overwrite").options(**DYNAMIC).parquet(f"{self.path}/headers")
+        heads.sortWithinPartitions("bucket", "term", "grp").write.partitionBy("bucket").mode("overwrite").options(**DYNAMIC).parquet(f"{self.path}/headers")
 
     def _spread(self, rows: DataFrame) -> DataFrame:
         """A row for each term of a document, with the bucket and the group where its posting lies."""

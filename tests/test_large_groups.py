@@ -81,3 +81,17 @@ def test_cosine_links_of_small_tiles_connect_what_pairs_connect(spark, monkeypat
         assert len(pairs) == len(set(pairs)) and set(pairs) == near and all(a < b for a, b in links)
         groups = [dict(zip(*(c.tolist() for c in components.stars(*np.array(sorted(e)).T)))) for e in (near, links)]
         assert groups[0] == groups[1] and len(links) < len(near)
+
+
+def test_postings_are_written_where_they_arise(spark, tmp_path):
+    from corpusmill.operators import lex_index
+
+    frame, dealt = type(spark.range(1)), []
+    hint = frame.hint
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(frame, "hint", lambda df, *a: dealt.append(df.columns) or hint(df, *a))
+        docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 5} x") for k in range(60)], "doc_id long, text string").repartition(4)
+        index = lex_index.write_index(docs, "doc_id", "text", str(tmp_path / "i"))
+    assert dealt and not any("tf" in columns for columns in dealt)
+    every = list(range(32))
+    assert index.hits(every).count() == index.headers(every).selectExpr("sum(n)").first()[0] == index.postings().count()
