@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.contained import inside
 from corpusmill.operators.pairing import small
 from corpusmill.operators.similar import jaccard_prefix, may_reach, parities, rare_items, sharing
 from corpusmill.plans.runtime import bounded_batches, checkpoint, shuffle_partitions
@@ -63,28 +64,36 @@ def merge_numbers(members: DataFrame, facts: DataFrame) -> DataFrame:
 def merged_parts(members: DataFrame, facts: DataFrame) -> DataFrame:
     """(cluster, part, fact_id): whose texts, in order, make the merged text: the winner's, then each that adds something.
 
-    members(fact_id, cluster, winner). A text adds nothing if it is contained in a text taken before or contains one. Rows
-    stream through their task in order; it holds the texts taken so far of one cluster, which are the result.
+    members(fact_id, cluster, winner). A text adds nothing if it is contained in a text taken before or contains one. Which
+    texts lie inside others is found first; then these pairs alone stream in order through a task, which holds the ids that one
+    cluster has left out so far, no texts.
     """
-    bounded_batches(facts.sparkSession)
     body = F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))
     rows = members.join(facts.select("fact_id", body.alias("body")), "fact_id").where("body <> ''")
     once = rows.groupBy("cluster", "body").agg(F.min(F.struct((F.col("fact_id") != F.col("winner")).cast("int").alias("later"), "fact_id")).alias("at"))
+    once = checkpoint(once.select("cluster", "at.later", "at.fact_id", "body"))
+    pairs = inside(once.select(F.col("cluster").alias("group"), F.col("fact_id").alias("id"), "body"))
+    at = once.select("fact_id", "cluster", F.struct("later", "fact_id").alias("at"))
+    both = pairs.join(at.toDF("a", "cluster", "x"), "a").join(at.select("fact_id", "at").toDF("b", "y"), "b")
+    met = both.select("cluster", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).select("cluster", F.col("u.fact_id").alias("before"), "v.later", "v.fact_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cluster, taken = None, []
+        cluster, left = None, set()
         for b in batches:
             out = []
-            for c, i, text in zip(b["cluster"].tolist(), b["fact_id"].tolist(), b["body"].tolist()):
+            for c, before, i in zip(b["cluster"].tolist(), b["before"].tolist(), b["fact_id"].tolist()):
                 if c != cluster:
-                    cluster, taken = c, []
-                if not any(text in t or t in text for t in taken):
-                    taken.append(text)
-                    out.append((c, len(taken) - 1, i))
-            yield pd.DataFrame(out, columns=["cluster", "part", "fact_id"])
-
-    dealt = once.select("cluster", "at.later", "at.fact_id", "body").repartition(shuffle_partitions(facts.sparkSession), "cluster")
-    return dealt.sortWithinPartitions("cluster", "later", "fact_id").mapInPandas(run, "cluster long, part int, fact_id long")
+                    cluster, left = c, set()
+                if before not in left and i not in left:
+                    left.add(i)
+                    out.append(i)
+            yield pd.DataFrame({"fact_id": out}, dtype="int64")
+
+    dealt = met.repartition(shuffle_partitions(facts.sparkSession), "cluster").sortWithinPartitions("cluster", "later", "fact_id")
+    left = checkpoint(dealt.mapInPandas(run, "fact_id long"))
+    taken = once.select("cluster", "later", "fact_id").join(left, "fact_id", "left_anti")
+    part = F.row_number().over(Window.partitionBy("cluster").orderBy("later", "fact_id")) - 1
+    return taken.select("cluster", part.alias("part"), "fact_id")
 
 
 def recurring_success(facts: DataFrame, threshold: int = 3, least: float = 0.3) -> DataFrame:
