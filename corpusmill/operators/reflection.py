@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.contained import inside
 from corpusmill.operators.pairing import small
-from corpusmill.operators.similar import jaccard_prefix, may_reach, parities, rare_items, sharing
+from corpusmill.operators.similar import likeness_totals, sharing
 from corpusmill.plans.runtime import bounded_batches, checkpoint, shuffle_partitions
 
 # Kinds that are never merged away, and kinds that no cluster takes.
 PROTECTED = ["lock_rule", "rule", "mental_model", "knowledge_page"]
 AUTHORED = ["mental_model", "knowledge_page"]
-SLOTS = 16
 
 
 def clusters(facts: DataFrame, shared: int = 3, ratio: float = 2.0) -> DataFrame:
@@ -99,27 +98,18 @@ def merged_parts(members: DataFrame, facts: DataFrame) -> DataFrame:
 def recurring_success(facts: DataFrame, threshold: int = 3, least: float = 0.3) -> DataFrame:
     """(fact_id, similar, promoted): live successes of the same tier that share least of their words by Jaccard, itself included.
 
-    A fact outside the public tier with enough of them is promoted. Words keep their case; ideographs are words. Facts of equal
-    words are one class with a count; classes meet where they share one of their rarest words, as every pair at the threshold
-    does, and are verified on whole sets.
+    A fact outside the public tier with enough of them is promoted. Words keep their case; ideographs are words. They are
+    compared by their 64-bit hashes. Facts of equal words are one class with a count; classes of a tier meet in tiles.
     """
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z0-9_]+|[一-鿿]"), F.lit(0))))
+    found = F.regexp_extract_all("content", F.lit("[A-Za-z0-9_]+|[一-鿿]"), F.lit(0))
+    words = F.array_sort(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))))
     s = facts.where(~F.col("tombstoned") & (F.col("kind") == "success_pattern")).select("fact_id", "tier", words.alias("ws")).where(F.size("ws") > 0)
-    s = checkpoint(s.withColumn("h", F.xxhash64("tier", F.array_join("ws", " "))))
-    classes = checkpoint(s.groupBy("h").agg(F.min("fact_id").alias("id"), F.first("tier").alias("tier"), F.first("ws").alias("ws"), F.count("*").alias("n")))
-    rare = rare_items(classes.select("id", "tier", F.col("ws").alias("items")), jaccard_prefix(least), "tier", places=True)
+    s = checkpoint(s.withColumn("h", F.xxhash64("tier", "ws")))
+    classes = checkpoint(s.groupBy("h").agg(F.min("fact_id").alias("id"), F.first("tier").alias("g"), F.first("ws").alias("items"), F.count("*").alias("weight")))
     bounded_batches(facts.sparkSession)
-    slots = classes.select("id", parities(F.col("ws"), SLOTS).alias("p"))
-    probes = checkpoint(rare.join(slots, "id").select("id", "tier", "n", F.xxhash64("item").alias("item"), "place", "p"))
-    a, b = probes.toDF("a", "tier", "na", "item", "ra", "pa"), probes.toDF("b", "tier", "nb", "item", "rb", "pb")
-    pairs = a.join(b, ["tier", "item"]).where((F.col("a") < F.col("b")) & may_reach(least, SLOTS)).select("a", "b").distinct()
-    sets = classes.select("id", "ws", "n")
-    j = pairs.join(sets.toDF("a", "wa", "ca"), "a").join(sets.toDF("b", "wb", "cb"), "b")
-    both = F.size(F.array_intersect("wa", "wb"))
-    near = j.where(F.round(both / (F.size("wa") + F.size("wb") - both), 9) >= least)
-    counts = near.select(F.col("a").alias("id"), F.col("cb").alias("n")).unionByName(near.select(F.col("b").alias("id"), F.col("ca").alias("n"))).unionByName(classes.select("id", "n"))
-    totals = counts.groupBy("id").agg(F.sum("n").alias("similar"))
-    return s.join(classes.select("h", "id"), "h").join(totals, "id").select("fact_id", "similar", ((F.col("tier") != "public") & (F.col("similar") >= threshold)).alias("promoted"))
+    others = likeness_totals(classes, least)
+    totals = classes.join(others, "id", "left").select("h", (F.col("weight") + F.coalesce("total", F.lit(0))).alias("similar"))
+    return s.select("fact_id", "tier", "h").join(totals, "h").select("fact_id", "similar", ((F.col("tier") != "public") & (F.col("similar") >= threshold)).alias("promoted"))
 
 
 def path_scores(scored: DataFrame, pairs: DataFrame, direct: DataFrame, cap: float = 0.3, longest: int = 6) -> DataFrame:

@@ -95,3 +95,21 @@ def test_postings_are_written_where_they_arise(spark, tmp_path):
     assert dealt and not any("tf" in columns for columns in dealt)
     every = list(range(32))
     assert index.hits(every).count() == index.headers(every).selectExpr("sum(n)").first()[0] == index.postings().count()
+
+
+def test_likeness_is_summed_in_small_tiles_without_pairs(spark, monkeypatch):
+    from corpusmill.operators import reflection
+
+    for name, least in (("MEET_SETS", 8), ("MEET_ITEMS", 200), ("MEET_CELLS", 30), ("DENSE", 0.1), ("DENSE_ITEMS", 5)):
+        monkeypatch.setattr(similar, name, least)
+    frame, sent = type(spark.range(1)), []
+    distinct = frame.distinct
+    monkeypatch.setattr(frame, "distinct", lambda df: sent.append(df.columns) or distinct(df))
+    rnd = random.Random(11)
+    texts = {k: " ".join(rnd.sample([f"w{i}" for i in range(12 + 20 * (k % 4))], rnd.randrange(1, 12))) for k in range(120)} | {200: "W1 w1", 201: "w1 W1 w1", 202: "", 203: None, 204: "漢字 w1"}
+    rows = [(k, t, ["public", "private"][k % 2], "success_pattern", k == 5) for k, t in texts.items()] + [(300, "w1 w2", "public", "lesson", False)]
+    got = {r["fact_id"]: (r["similar"], r["promoted"]) for r in reflection.recurring_success(spark.createDataFrame(rows, "fact_id long, content string, tier string, kind string, tombstoned boolean")).collect()}
+    sets = {k: {*t.replace("漢字", "漢 字 ").split()} for k, t in texts.items() if t and k != 5}
+    want = {a: sum(a % 2 == b % 2 and round(len(x & y) / len(x | y), 9) >= 0.3 for b, y in sets.items()) for a, x in sets.items()}
+    assert got == {k: (n, k % 2 == 1 and n >= 3) for k, n in want.items()} and max(want.values()) > 5
+    assert not any({"a", "b"} <= {*c} for c in sent)
