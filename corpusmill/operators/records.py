@@ -40,6 +40,24 @@ SIGNALS = [
 ]
 
 
+def whole_word(words: list[str]) -> str:
+    """A pattern of any of these words alone, for an engine that walks: it starts at a word's first letter and looks back from there."""
+    heads = "".join(sorted({w[0] for w in words}))
+    rests = "|".join(f"(?<={h})(?:{'|'.join(w[1:] for w in words if w[0] == h)})" for h in heads)
+    return f"[{heads}](?<![A-Za-z0-9_][{heads}])(?:{rests})(?![A-Za-z0-9_])"
+
+
+# Patterns that are found in the same texts as those above, without a try at every character.
+SOUGHT = {
+    "singular": whole_word(["my", "mine", "me", "I"]),
+    "plural": whole_word(["our", "us", "we"]),
+    "marker": whole_word(["address", "password", "account", "salary", "income", "wife", "husband", "daughter", "son"]),
+    "emotion": whole_word(["suicidal", "suicide", "depression", "depressed", "anxiety"]),
+    "travel": whole_word(["travel", "trip", "vacation", "flight", "itinerary", "ticket", "tickets"]),
+    "contact": r"@(?<=[A-Za-z0-9._%+-]@)[A-Za-z0-9.-]+?\.[A-Za-z]{2}",
+}
+
+
 def union_stores(stores: dict[str, DataFrame]) -> DataFrame:
     """All stores in one table with their origin; a column that a store lacks is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("origin", F.lit(name)) for name, df in stores.items()])
@@ -238,16 +256,20 @@ def restore(log: DataFrame, schema: str) -> DataFrame:
     return j.groupBy("fact_id").agg(F.count("*").alias("versions"), F.max_by("state", F.when(F.col("state").isNotNull(), F.col("version"))).alias("state"))
 
 
+def _shown(text: Column) -> dict[str, Column]:
+    return {n: text.rlike(p) | text.contains("family") if n == "marker" else text.rlike(p) for n, p in SOUGHT.items()}
+
+
 def signals(text: Column) -> Column:
     """Names of the signals of private speech that a text shows; plural pronouns count only beside a personal marker or travel."""
-    has = {n: text.rlike(p) for n, p in SIGNALS}
+    has = _shown(text)
     shown = [has["singular"], has["plural"] & (has["marker"] | has["travel"]), has["emotion"], has["contact"]]
     return F.array_compact(F.array(*[F.when(c, n) for c, n in zip(shown, ["singular", "plural", "emotion", "contact"])]))
 
 
 def speaks(text: Column) -> Column:
     """Whether a text shows a signal of private speech other than a contact."""
-    has = {n: text.rlike(p) for n, p in SIGNALS}
+    has = _shown(text)
     return has["singular"] | (has["plural"] & (has["marker"] | has["travel"])) | has["emotion"]
 
 

@@ -1,5 +1,8 @@
 """Edge rows of pair relations, scenario scores, rescoring, exports and records."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +110,17 @@ def test_signals_and_stripped_texts(spark):
     assert [r[0] for r in q.select(records.strip_discourse(F.col("t"))).collect()] == ["is red door?", "the", "", None]
     e = spark.createDataFrame([("error at C:\\a\\b.py line 0xff: KeyError foo foo /x/y.py",), ("",), (None,)], "t string").coalesce(1)
     assert [r[0] for r in e.select(records.error_query(F.col("t"))).collect()] == ["at KeyError foo", "", None]
+
+
+def test_signals_are_found_in_the_same_texts_and_in_long_runs_at_once(spark):
+    rnd = random.Random(3)
+    parts = ["my", "mine", "me", "I", "our", "us", "we", "wife", "son", "family", "trip", "tickets", "ticket", "suicide", "anxiety", "a@b.co", "@b.co", "a@.co", "a@b.c", "a@..x.yz", "é", "_", " ", "\n", "\U0001f600", "x", "m", ".", "9"]
+    rows = [(k, "".join(rnd.choice(parts) + rnd.choice(["", " ", "", "-"]) for _ in range(rnd.randrange(1, 5)))) for k in range(3000)]
+    df = spark.createDataFrame([*rows, (3000, ""), (3001, "I"), (3002, "we\n"), (3003, "\nme")], "fact_id long, text string")
+    both = df.select(*[F.col("text").rlike(p).alias(n) for n, p in records.SIGNALS], *[c.alias(f"{n}_") for n, c in records._shown(F.col("text")).items()])
+    for r in both.groupBy(*both.columns).count().collect():
+        assert all(r[n] == r[f"{n}_"] for n, _ in records.SIGNALS), r
+    assert all(0 < both.where(n).count() < 3000 for n, _ in records.SIGNALS)
+    began = time.time()
+    run = spark.range(4).select(F.repeat(F.lit("x"), 200_000).alias("text")).repartition(4)
+    assert run.where(F.size(records.signals(F.col("text"))) > 0).count() == 0 and time.time() - began < 20
