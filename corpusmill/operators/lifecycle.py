@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.ordered import prefix_sums, with_previous
-from corpusmill.operators.components import connected_components
+from corpusmill.operators.components import connected_components, stars
 from corpusmill.operators.pairing import small
+from corpusmill.operators.similar import overlaps
 from corpusmill.plans.runtime import bounded_batches, checkpoint, opaque
 
 SMALL_BLOCK, TILE_TEXTS, TILE_CHARS = 64, 2048, 8 << 20
@@ -101,11 +102,11 @@ def _grams(text: str) -> np.ndarray:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct character trigrams of a text as whole numbers, three code points of 21 bits; a shorter text is one gram."""
+    """How many distinct character trigrams a text has, three code points of 21 bits each; a shorter text is one gram, none has null."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([_grams(t) for t in texts], dtype=object)
+        return pd.Series([None if t is None else len(_grams(t)) for t in texts], dtype="Int64")
 
     return run(text)
 
@@ -114,25 +115,14 @@ def _near_texts(ids: np.ndarray, bodies: list[str], side: np.ndarray, threshold:
     """(a, b): links of two tiles, or of one with itself where no text has side 1, that connect all pairs at the threshold."""
     sets = [_grams(t) for t in bodies]
     n = np.array([len(s) for s in sets])
-    slots = 64 << max(0, int(2 * n.max() - 1).bit_length() - 6)  # twice the largest set, so that parities of unlike sets differ enough
-    odd = np.empty((len(sets), slots // 64), dtype=np.uint64)
-    for k, s in enumerate(sets):
-        odd[k] = np.packbits((np.bincount(s % (slots - 1), minlength=slots) & 1).astype(np.uint8)).view(np.uint64)
-    group, out = np.arange(len(sets)), []
     x = np.flatnonzero(side == 0)
     y = np.flatnonzero(side == 1) if (side == 1).any() else x
-    for i in x:
-        z = y[(y > i) | (side[y] == 1)]
-        z = z[(group[z] != group[i]) & (np.minimum(n[z], n[i]) >= (threshold - 1e-9) * np.maximum(n[z], n[i]))]
-        # what only one of two sets has is at least the slots of different parity
-        apart = np.bitwise_count(odd[z] ^ odd[i]).sum(axis=1)
-        for j in z[apart <= (n[z] + n[i]) * (1 - threshold) / (1 + threshold) + 1e-6]:
-            if group[i] != group[j]:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both >= threshold * (n[i] + n[j] - both):
-                    out.append((ids[i], ids[j]))
-                    group[group == group[j]] = group[i]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k, both in overlaps([sets[i] for i in x], [sets[j] for j in y]) if len(x) else ():
+        z = y[k : k + len(both)]
+        j, i = np.nonzero((both >= threshold * (n[x][None, :] + n[z][:, None] - both)) & (x[None, :] != z[:, None]))
+        a, b = stars(np.concatenate([a, ids[x[i]]]), np.concatenate([b, ids[z[j]]]))
+    return pd.DataFrame({"a": a, "b": b})
 
 
 def near_dup_prefix(facts: DataFrame, prefix: int = 30, threshold: float = 0.7) -> DataFrame:
@@ -141,7 +131,7 @@ def near_dup_prefix(facts: DataFrame, prefix: int = 30, threshold: float = 0.7)
     Classes are connected components; the winner has the largest importance, then the smallest id. Equal contents are
     compared once, by their smallest id. The texts of a prefix lie in classes by their number of trigrams, of which only equal
     and neighbouring ones can reach the threshold, and in tiles of bounded size; every two tiles that can hold a pair meet in
-    one task, where a pair is refused by the parities of its trigrams or verified on them, unless both are linked already.
+    one task, which counts the trigrams that each pair shares and hands on the links that connect as all do.
     """
     f = facts.where(~F.col("tombstoned") & F.col("content").isNotNull()).select("fact_id", "importance", F.trim("content").alias("body"))
     f = f.withColumn("digest", F.md5("body"))
@@ -150,7 +140,8 @@ def near_dup_prefix(facts: DataFrame, prefix: int = 30, threshold: float = 0.7)
     crowded = reps.join(reps.groupBy("block").agg(F.count("*").alias("m")).where("m > 1"), "block").select("rep", "block", "m")
     # only texts that share their prefix with another are cut into trigrams
     bodies = f.select(F.col("fact_id").alias("rep"), "body").join(small(checkpoint(crowded)), "rep")
-    size = F.when(F.col("m") <= SMALL_BLOCK, 0).otherwise(F.floor(F.log(F.size(trigrams(F.col("body")))) / float(-np.log(threshold) * (1 + 1e-9))))
+    crowd = trigrams(F.when(F.col("m") > SMALL_BLOCK, F.col("body")))
+    size = F.coalesce(F.floor(F.log(crowd) / float(-np.log(threshold) * (1 + 1e-9))), F.lit(0))
     placed = checkpoint(bodies.select(F.col("rep").alias("id"), "block", size.cast("int").alias("o"), "body"))
     tiles = F.greatest(F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum(F.length("body")) / TILE_CHARS), F.lit(1))
     cells = checkpoint(placed.groupBy("block", "o").agg(tiles.cast("int").alias("tiles")))

@@ -1,6 +1,7 @@
 """Groups of similar texts and vectors whose links are met in blocks, against plain Python."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -113,3 +114,25 @@ def test_likeness_is_summed_in_small_tiles_without_pairs(spark, monkeypatch):
     want = {a: sum(a % 2 == b % 2 and round(len(x & y) / len(x | y), 9) >= 0.3 for b, y in sets.items()) for a, x in sets.items()}
     assert got == {k: (n, k % 2 == 1 and n >= 3) for k, n in want.items()} and max(want.values()) > 5
     assert not any({"a", "b"} <= {*c} for c in sent)
+
+
+def test_unlike_texts_of_one_prefix_are_told_apart_in_seconds(spark):
+    from corpusmill.operators import lifecycle
+
+    rng = np.random.default_rng(6)
+    head = "a head of thirty characters ok "
+    texts = [head + "".join(rng.choice(list("abcdefgh"), 780)) for _ in range(1500)]
+    texts += [t[:600] for t in texts[:40]] + [t[:-5] + "\U0001f600é" for t in texts[40:60]]
+    grams = sorted({t[i : i + 3] for t in texts for i in range(len(t) - 2)})
+    at, held = {g: k for k, g in enumerate(grams)}, np.zeros((len(texts), len(grams)), dtype=np.float32)
+    for k, t in enumerate(texts):
+        held[k, [at[t[i : i + 3]] for i in range(len(t) - 2)]] = 1
+    both, n = (held @ held.T).astype(int), held.sum(axis=1)
+    near = np.argwhere(np.triu(both >= 0.7 * (n[:, None] + n[None, :] - both), 1))
+    began = time.time()
+    ids, low = components.stars(*near.T)
+    found = lifecycle._near_texts(np.arange(len(texts)), texts, np.zeros(len(texts), int), 0.7)
+    assert time.time() - began < 15
+    got = components.stars(found["a"].to_numpy(), found["b"].to_numpy())
+    assert got[0].tolist() == ids.tolist() and got[1].tolist() == low.tolist() and 40 < len(near) < 200_000
+    assert [len(lifecycle._near_texts(np.arange(2), ["abc", "abcd"], np.array([1, 1]), 0.7)), len(lifecycle._near_texts(np.arange(2), ["ab", "ab "], np.array([0, 1]), 0.7))] == [0, 0]
