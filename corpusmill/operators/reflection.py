@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,11 +69,14 @@ def merged_parts(members: DataFrame, facts: DataFrame) -> DataFrame:
     texts lie inside others is found first; then these pairs alone stream in order through a task, which holds the ids that one
     cluster has left out so far, no texts.
     """
-    body = F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))
-    rows = members.join(facts.select("fact_id", body.alias("body")), "fact_id").where("body <> ''")
-    once = rows.groupBy("cluster", "body").agg(F.min(F.struct((F.col("fact_id") != F.col("winner")).cast("int").alias("later"), "fact_id")).alias("at"))
-    once = checkpoint(once.select("cluster", "at.later", "at.fact_id", "body"))
-    pairs = inside(once.select(F.col("cluster").alias("group"), F.col("fact_id").alias("id"), "body"))
+    # the pattern also takes white space before a last line end that is none, which trimming alone does not
+    odd = reduce(or_, [F.col("content").endswith(c) for c in "\u0085\u2028\u2029"])
+    body = F.when(odd, F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))).otherwise(F.btrim("content", F.lit(" \t\n\x0b\f\r")))
+    texts = facts.select("fact_id", body.alias("body")).where("body <> ''")
+    rows = members.join(texts.select("fact_id", F.sha2("body", 256).alias("digest")), "fact_id")
+    once = rows.groupBy("cluster", "digest").agg(F.min(F.struct((F.col("fact_id") != F.col("winner")).cast("int").alias("later"), "fact_id")).alias("at"))
+    once = checkpoint(once.select("cluster", "at.later", "at.fact_id"))
+    pairs = checkpoint(inside(texts.select(F.col("fact_id").alias("id"), "body"), once.select(F.col("fact_id").alias("id"), F.col("cluster").alias("group"))))
     at = once.select("fact_id", "cluster", F.struct("later", "fact_id").alias("at"))
     both = pairs.join(at.toDF("a", "cluster", "x"), "a").join(at.select("fact_id", "at").toDF("b", "y"), "b")
     met = both.select("cluster", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).select("cluster", F.col("u.fact_id").alias("before"), "v.later", "v.fact_id")
